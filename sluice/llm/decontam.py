@@ -18,6 +18,8 @@ one; an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
-_built: dict[int, tuple] = {}
+_built: dict[str, tuple] = {}
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -53,7 +55,7 @@ def windows(items: list[tuple[str, bytes]]) -> dict[bytes, tuple[int, list[str]]
     return out
 
 
-def automaton(key: int, items: list[tuple[str, bytes]]):
+def automaton(key: str, items: list[tuple[str, bytes]]):
     """The automaton and its patterns, once per process."""
     if key not in _built:
         import ahocorasick
@@ -115,7 +117,7 @@ def find_leaks(
         carried = ["_items", "_words"] if number else []
         last = number == len(blocks) - 1
 
-        def factory(shared=shared, key=hash((id(shared), number, len(items), str(items[:3])))):
+        def factory(shared=shared, key=uuid.uuid4().hex):
             found, values = automaton(key, shared.value)
 
             def kernel(array, old_items=None, old_words=None):
