@@ -23,7 +23,6 @@ from .arrow import col
 from .quality_rules import let
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -197,11 +196,11 @@ def _resolve(found: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` with n_words, n_base, first_word, last_word, base_labels (array), labels (array) and score."""
-    t = F.translate(F.coalesce(col(text).cast("string"), F.lit("")), UPPER, LOWER)
-    words = F.trim(F.regexp_replace(t, BREAK, " "))
-    rules = F.transform(
-        F.array(*(F.struct(*map(F.lit, r)) for r in signatures())).cast(_RULE), lambda r: r
-    )
+    # lower() also changes letters beyond A-Z, but those stay word characters, and none of them
+    # becomes a letter of a phrase but the Kelvin sign (k), which no phrase holds.
+    t = F.lower(F.coalesce(col(text).cast("string"), F.lit("")))
+    padded = F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), BREAK, " ")
+    rules = F.array(*(F.struct(*map(F.lit, r)) for r in signatures())).cast(_RULE)
 
     def phrases(norm: Column) -> list[Column]:
         out = []
@@ -228,7 +227,6 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         hits = F.when(gate, base(norm)).otherwise(F.array().cast("array<struct<label:string,n:bigint,first:bigint,last:bigint>>"))
         return F.struct((spaces(norm) - 1).cast("long").alias("n_words"), hits.alias("hits"), found.alias("found"))
 
-    padded = F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
     names = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}
     kept = [n for n in keep if n.lower() not in names]
     rows = docs.select(*map(col, kept), let(padded, result).alias("_r"))

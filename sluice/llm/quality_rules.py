@@ -71,13 +71,20 @@ def measures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host:
     words = F.array_remove(F.split(t, WHITE, -1), "")
     plain = docs.select(
         col(doc_id).alias("doc_id"), col(host).cast("string").alias("host"),
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
-        F.length(F.regexp_replace(t, WHITE, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(lines, F.size).cast("long").alias("n_lines"),
+        let(
+            words,
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                repeated_words(w).cast("long").alias("n_repeat_words"),
+            ),
+        ).alias("w"),
+        (F.length(t) - F.length(F.regexp_replace(t, f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("d"))).alias("l"),
+    )
+    return plain.select(
+        "doc_id", "host", "w.n_words", "w.word_chars", "n_symbols", (F.col("l.n") - F.col("l.d")).alias("n_dup_lines"),
+        "w.n_repeat_words", F.col("l.n").alias("n_lines"),
     )
-    return plain.select("doc_id", "host", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "n_lines")
 
 
 def rules() -> dict[str, Column]:
