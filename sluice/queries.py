@@ -1,4 +1,560 @@
-"""The feed engine's queries over the test tables, with their oracle SQL."""
+"""The feed engine's queries over the test tables, and the same in DuckDB's SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+The tables hold no feeds, so feeds are made of them: `orders` is rendered as raw text
+the way clients send it (padded, thousands separators, day-first dates, a debit mark),
+and put through the readers, the projection and the checks like any file.
+"""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.text import decimal_of, money, run_id
+from .operators import checks, guard, metrics, tables
+from .operators.profile import aggregates, long_form
+from .operators.transform import project
+from .plans.contract import ColumnSpec, FeedContract
+from .plans.plan import IngestionPlan, compile_plan, inject
+from .schemas import CANONICAL
+from .sources import files
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+ORDERS = FeedContract(
+    client="orders", feed_name="daily", format="csv",
+    columns=(
+        ColumnSpec("ref", "trade_id"), ColumnSpec("acct", "account_id"),
+        ColumnSpec("day", "value_date", "date", "%d/%m/%Y"),
+        ColumnSpec("amt", "amount", "decimal", sign_column="mark", negative_marker="F"),
+        ColumnSpec("mark"), ColumnSpec("ccy", "currency", default="usd"),
+        ColumnSpec("cpty", "counterparty"), ColumnSpec("memo", "description"),
+    ),
+)
+
+
+def price(c: str = "o_totalprice") -> Column:
+    return F.col(c).cast("decimal(18,2)")
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a client's text fields."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderkey").alias("idx"), F.lit("orders").alias("sample"),
+        F.concat(F.lit("  ORD-"), F.lpad(key.cast("string"), 10, "0"), F.lit("\t")).alias("ref"),
+        F.concat(F.lit("CUST-"), F.col("o_custkey").cast("string")).alias("acct"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.format_number(price(), 2).alias("amt"),
+        F.col("o_orderstatus").alias("mark"), F.when(key % 3 == 1, "eur").when(key % 3 == 2, "Gbp").otherwise("").alias("ccy"),
+        F.when(key % 10 == 0, " ").otherwise(F.concat(F.lit("CP-"), (F.col("o_custkey") % 97).cast("string"))).alias("cpty"),
+        F.col("o_orderpriority").alias("memo"),
+    )
+
+
+def canonical(spark: SparkSession, sf_dir: str, plan: IngestionPlan | None = None, keep=("o_orderkey",)) -> DataFrame:
+    raw = raw_orders(spark, sf_dir)
+    fields = {c.source: F.col(c.source) for c in ORDERS.columns}
+    return project(raw, fields, plan or compile_plan(ORDERS), keep=tuple(keep))
+
+
+CANON = """canon AS (SELECT o_orderkey, 'ORD-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS trade_id,
+  'CUST-' || CAST(o_custkey AS VARCHAR) AS account_id, strftime(o_orderdate, '%Y-%m-%d') AS value_date,
+  CAST(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END * CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18,2)) AS VARCHAR) AS amount,
+  CASE o_orderkey % 3 WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' ELSE 'USD' END AS currency,
+  CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'CP-' || CAST(o_custkey % 97 AS VARCHAR) END AS counterparty,
+  o_orderpriority AS description FROM orders)"""
+
+SQL: dict[str, str] = {}
+
+
+def canonical_projection(spark, sf_dir):
+    return canonical(spark, sf_dir).select("o_orderkey", *CANONICAL)
+
+
+SQL["canonical_projection"] = f"WITH {CANON} SELECT * FROM canon"
+
+
+def _typed(rows: DataFrame, raw: dict[str, Column]) -> DataFrame:
+    return rows.select(
+        raw["key"].cast("long").alias("o_orderkey"), money(decimal_of(F.replace(raw["amount"], F.lit(","), F.lit("")))).alias("amount"),
+        F.rtrim(raw["memo"]).alias("memo"), F.col("_fault").isNull().alias("sound"),
+    )
+
+
+_TYPED = """SELECT o_orderkey, CAST(CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18,2)) AS VARCHAR) AS amount,
+  {memo} AS memo, TRUE AS sound FROM orders"""
+
+
+def csv_roundtrip(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(
+            F.col("o_orderkey").cast("string"), F.lit(',"'), F.format_number(price(), 2), F.lit('","say ""'), F.col("o_orderpriority"), F.lit('"" twice"')
+        ).alias("line")
+    )
+    return _typed(*files.with_csv(rows, ["key", "amount", "memo"], ",", strict=True))
+
+
+SQL["csv_roundtrip"] = _TYPED.format(memo="'say \"' || o_orderpriority || '\" twice'")
+
+
+def csv_field_faults(spark, sf_dir):
+    cut = F.when(F.col("o_orderkey") % 4 == 0, "").when(F.col("o_orderkey") % 4 == 1, ",x,y").otherwise(",x")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("a"), cut).alias("line"))
+    rows, _ = files.with_csv(rows, ["k", "v"], ",", strict=True)
+    return rows.groupBy((F.col("o_orderkey") % 4).alias("kind")).agg(F.count_if(F.col("_fault").isNotNull()).alias("faults"), F.count("*").alias("n"))
+
+
+SQL["csv_field_faults"] = """SELECT o_orderkey % 4 AS kind, CAST(SUM(CASE WHEN o_orderkey % 4 <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS faults,
+  COUNT(*) AS n FROM orders GROUP BY 1"""
+
+
+def csv_lenient(spark, sf_dir):
+    cut = F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, ",x,y").otherwise(",x")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("a"), cut).alias("line"))
+    rows, raw = files.with_csv(rows, ["k", "v"], ",", strict=False)
+    return rows.select("o_orderkey", raw["k"].alias("k"), raw["v"].alias("v"))
+
+
+SQL["csv_lenient"] = "SELECT o_orderkey, 'a' AS k, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'x' END AS v FROM orders"
+
+
+def fixed_width_roundtrip(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lpad(F.col("o_orderkey").cast("string"), 12, " "), F.lpad(price().cast("string"), 16, " "), F.rpad("o_orderpriority", 20, " ")).alias("line")
+    )
+    rows, raw = files.with_fixed(rows, ["0:12", "12:28", "28:48"], strict=True)
+    return _typed(rows, {"key": F.trim(raw["0:12"]), "amount": F.trim(raw["12:28"]), "memo": raw["28:48"]})
+
+
+SQL["fixed_width_roundtrip"] = _TYPED.format(memo="o_orderpriority")
+
+
+def jsonl_roundtrip(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(
+        F.to_json(F.struct(F.col("o_orderkey").alias("key"), price().alias("amount"), F.col("o_orderpriority").alias("memo"))).alias("line")
+    )
+    return _typed(*files.with_json(rows, ["key", "amount", "memo"], strict=True))
+
+
+SQL["jsonl_roundtrip"] = _TYPED.format(memo="o_orderpriority")
+
+
+def json_props(spark, sf_dir):
+    rows, raw = files.with_json(table(spark, sf_dir, "events").withColumnRenamed("props", "line"), ["k", "none"], strict=True)
+    return rows.select("event_id", raw["k"].alias("k"), F.coalesce(raw["none"], F.lit("")).alias("absent"), F.col("_fault").isNull().alias("sound"))
+
+
+SQL["json_props"] = "SELECT event_id, json_extract_string(props, '$.k') AS k, '' AS absent, TRUE AS sound FROM events"
+
+
+def _document_texts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def framed_lines(spark, sf_dir):
+    framed = files.frame(_document_texts(spark, sf_dir), 0, 0)
+    return framed.select(F.col("sample").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"))
+
+
+_LINES = "[x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\\s]')]"
+SQL["framed_lines"] = f"SELECT doc_id, CAST(len({_LINES}) AS BIGINT) AS n_lines FROM documents"
+
+
+def header_trailer_strip(spark, sf_dir):
+    framed = files.frame(_document_texts(spark, sf_dir), 1, 1)
+    return framed.select(
+        F.col("sample").alias("doc_id"), F.size("body").cast("long").alias("n_body"),
+        F.sha2(F.array_join("body", "\n").cast("binary"), 256).alias("body_sha256"),
+    )
+
+
+SQL["header_trailer_strip"] = f"""WITH l AS (SELECT doc_id, {_LINES} AS x FROM documents), b AS (
+  SELECT doc_id, CASE WHEN len(x) > 2 THEN x[2:len(x) - 1] ELSE [] END AS body FROM l)
+  SELECT doc_id, CAST(len(body) AS BIGINT) AS n_body, sha256(coalesce(array_to_string(body, chr(10)), '')) AS body_sha256 FROM b"""
+
+
+def peek_lines(spark, sf_dir):
+    return files.peek(_document_texts(spark, sf_dir), 3).select(F.col("sample").alias("doc_id"), F.col("idx").cast("long").alias("idx"), "line")
+
+
+SQL["peek_lines"] = """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+  t AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[1:len(a) - 1] ELSE a END AS a FROM l)
+  SELECT doc_id, CAST(i - 1 AS BIGINT) AS idx, a[i] AS line FROM t, unnest(range(1, 4)) AS r(i) WHERE i <= len(a)"""
+
+
+def catalog_digest(spark, sf_dir):
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+
+
+SQL["catalog_digest"] = "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents"
+
+
+def _profile_columns() -> list[Column]:
+    return [
+        "rows", F.col("amount_sum").cast("decimal(38,2)").cast("string").alias("amount_sum"), "unparseable",
+        *(f"null_{c}" for c in CANONICAL), *(f"distinct_{c}" for c in CANONICAL),
+    ]
+
+
+def profile_canonical(spark, sf_dir):
+    """Count, exact sum, null rates and distinct counts of the whole feed."""
+    return canonical(spark, sf_dir).agg(*aggregates()).select(*_profile_columns())
+
+
+_PROFILE = "COUNT(*) AS rows, CAST(SUM(CAST(amount AS DECIMAL(38,2))) AS VARCHAR) AS amount_sum, CAST(0 AS BIGINT) AS unparseable, " + ", ".join(
+    [f"AVG(CASE WHEN {c} = '' THEN 1.0 ELSE 0.0 END) AS null_{c}" for c in CANONICAL] + [f"COUNT(DISTINCT {c}) AS distinct_{c}" for c in CANONICAL]
+)
+SQL["profile_canonical"] = f"WITH {CANON} SELECT {_PROFILE} FROM canon"
+
+
+def profile_by_currency(spark, sf_dir):
+    from .operators.profile import profile
+
+    return profile(canonical(spark, sf_dir), ("currency",)).select("currency", *_profile_columns())
+
+
+SQL["profile_by_currency"] = f"WITH {CANON} SELECT currency, {_PROFILE} FROM canon GROUP BY currency"
+
+
+def tolerant_sum(spark, sf_dir):
+    key = F.col("o_orderkey")
+    spoiled = F.when(key % 7 == 0, "n/a").when(key % 11 == 0, "NaN").otherwise(price().cast("string"))
+    total, bad = checks.tolerant_sum(spoiled)
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(total.cast("decimal(38,2)").cast("string").alias("total"), bad.alias("bad"))
+
+
+SQL["tolerant_sum"] = """SELECT o_orderstatus,
+  CAST(SUM(CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18,2)) END) AS VARCHAR) AS total,
+  CAST(SUM(CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM orders GROUP BY 1"""
+
+
+def spoiled(spark, sf_dir) -> DataFrame:
+    """Canonical rows with wrong amounts, dates and currencies among them."""
+    key = F.col("o_orderkey")
+    return canonical(spark, sf_dir).withColumns(
+        {
+            "amount": F.when(key % 13 == 0, F.concat("amount", F.lit("0"))).otherwise(F.col("amount")),
+            "value_date": F.when(key % 17 == 0, "2024-02-30").otherwise(F.col("value_date")),
+            "currency": F.when(key % 19 == 0, F.lower("currency")).otherwise(F.col("currency")),
+        }
+    )
+
+
+_SPOILED = f"""WITH {CANON}, bad AS (SELECT o_orderkey,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'amount ' || amount || '0 is not a decimal with two places'
+    WHEN o_orderkey % 17 = 0 THEN 'value_date 2024-02-30 is not a date'
+    WHEN o_orderkey % 19 = 0 THEN 'currency ' || lower(currency) || ' is not three capitals' END AS reason FROM canon)"""
+
+
+def schema_violations(spark, sf_dir):
+    return spoiled(spark, sf_dir).select("o_orderkey", checks.row_violation().alias("reason")).filter(F.col("reason").isNotNull())
+
+
+SQL["schema_violations"] = f"{_SPOILED} SELECT o_orderkey, reason FROM bad WHERE reason IS NOT NULL"
+
+
+def schema_findings(spark, sf_dir):
+    rows = spoiled(spark, sf_dir).withColumns({"client": F.lit("orders"), "sample": F.concat(F.lit("part-"), (F.col("o_orderkey") % 5).cast("string")), "iteration": F.lit(1), "idx": F.col("o_orderkey")})
+    return checks.check_schema(rows).select("sample", "check", "severity", "message", F.col("evidence")["violations"].cast("long").alias("violations"))
+
+
+SQL["schema_findings"] = f"""{_SPOILED}, n AS (SELECT 'part-' || CAST(o_orderkey % 5 AS VARCHAR) AS sample, COUNT(*) AS violations FROM bad WHERE reason IS NOT NULL GROUP BY 1)
+  SELECT sample, 'H2_schema' AS "check", 'error' AS severity, sample || ': ' || CAST(violations AS VARCHAR) || ' row(s) violate the canonical schema' AS message, violations FROM n"""
+
+
+def offending_top3(spark, sf_dir):
+    order = [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey"]
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return checks.top_offenders(lines, ["l_returnflag"], order).withColumn("rank", F.col("rank").cast("long"))
+
+
+SQL["offending_top3"] = """SELECT * FROM (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_extendedprice,
+  ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank <= 3"""
+
+
+def _months(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("sample"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("sample").agg(F.count("*").alias("rows"))
+    pins = orders.groupBy("sample").agg((4 * F.count("*")).alias("expected_rows")).filter(F.col("sample") < "2001-06")
+    return rows.withColumns({"client": F.lit("lineitem"), "iteration": F.lit(1)}), pins
+
+
+def completeness(spark, sf_dir):
+    return checks.check_completeness(*_months(spark, sf_dir)).select("sample", "check", "message")
+
+
+SQL["completeness"] = """WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS sample FROM orders),
+  r AS (SELECT sample, COUNT(*) AS rows FROM lineitem JOIN o ON l_orderkey = o_orderkey GROUP BY 1),
+  p AS (SELECT sample, 4 * COUNT(*) AS expected FROM o WHERE sample < '2001-06' GROUP BY 1)
+  SELECT r.sample, 'H3_completeness' AS "check", CASE WHEN expected IS NULL THEN r.sample || ': no profile in the manifest'
+    ELSE r.sample || ': expected ' || CAST(expected AS VARCHAR) || ' rows, got ' || CAST(rows AS VARCHAR) END AS message
+  FROM r LEFT JOIN p ON r.sample = p.sample WHERE expected IS NULL OR rows <> expected"""
+
+
+def _measures(spark, sf_dir, plan=None) -> DataFrame:
+    from .operators.profile import profile
+
+    return long_form(profile(canonical(spark, sf_dir, plan).withColumn("lot", F.col("o_orderkey") % 4), ("lot",)), ("lot",))
+
+
+def drift_findings(spark, sf_dir):
+    """Profiles of a plan that lost its debit mark, against those of the sound plan."""
+    bad = inject(compile_plan(ORDERS), "amount_sign_dropped")
+    base = _measures(spark, sf_dir).withColumnRenamed("observed", "expected")
+    off = checks.drift(_measures(spark, sf_dir, bad), base, ["lot"])
+    text = lambda c: F.col(c).cast("decimal(38,2)").cast("string").alias(c)
+    return off.select("lot", "metric", "column", text("expected"), text("observed"))
+
+
+SQL["drift_findings"] = f"""WITH {CANON}, m AS (SELECT o_orderkey % 4 AS lot, CAST(amount AS DECIMAL(18,2)) AS a, amount FROM canon),
+  s AS (SELECT lot, SUM(a) AS e, SUM(ABS(a)) AS o, COUNT(DISTINCT a) AS de, COUNT(DISTINCT ABS(a)) AS od FROM m GROUP BY lot)
+  SELECT lot, 'amount_sum' AS metric, 'amount' AS "column", CAST(CAST(e AS DECIMAL(38,2)) AS VARCHAR) AS expected, CAST(CAST(o AS DECIMAL(38,2)) AS VARCHAR) AS observed FROM s WHERE ABS(e - o) > 0.005
+  UNION ALL SELECT lot, 'distinct', 'amount', CAST(de AS VARCHAR) || '.00', CAST(od AS VARCHAR) || '.00' FROM s WHERE de <> od"""
+
+
+def latency_flags(spark, sf_dir):
+    ms = (F.col("value") * 30).cast("long")
+    return table(spark, sf_dir, "events").select("event_id", ms.alias("wall_ms"), checks.latency_level(ms).alias("level")).filter("level IS NOT NULL")
+
+
+SQL["latency_flags"] = """SELECT * FROM (SELECT event_id, CAST(trunc(value * 30) AS BIGINT) AS wall_ms,
+  CASE WHEN trunc(value * 30) > 5000 THEN 'error' WHEN trunc(value * 30) > 2500 THEN 'warning' END AS level FROM events) WHERE level IS NOT NULL"""
+
+
+def dag_contract(spark, sf_dir):
+    u = F.col("user_id") % 4
+    e = lambda *x: F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in x))
+    sound = (("extract", "transform"), ("transform", "load"))
+    edges = F.when(u == 1, e(sound[0])).when(u == 2, e(*sound[::-1], sound[0])).when(u == 3, e(*sound, ("extract", "load"))).otherwise(e(*sound))
+    tasks = F.when(u == 3, F.array(F.lit("load"), F.lit("extract"))).otherwise(F.array(*map(F.lit, ("load", "transform", "extract"))))
+    dags = table(spark, sf_dir, "events").select("user_id").distinct().select(
+        "user_id", F.concat(F.lit("u__"), F.col("user_id").cast("string")).alias("dag_id"), F.lit("0 6 * * *").alias("schedule"), tasks.alias("tasks"), edges.alias("edges"),
+        F.concat(F.lit("u__"), F.col("user_id").cast("string")).alias("expected_id"), F.when(u == 0, "0 7 * * *").otherwise("0 6 * * *").alias("expected_schedule"),
+    )
+    return checks.dag_mismatch(dags)
+
+
+SQL["dag_contract"] = """WITH u AS (SELECT DISTINCT user_id FROM events)
+  SELECT user_id, 'schedule' AS field, '0 7 * * *' AS expected, '0 6 * * *' AS actual FROM u WHERE user_id % 4 = 0
+  UNION ALL SELECT user_id, 'edges', 'extract>transform,transform>load', 'extract>transform' FROM u WHERE user_id % 4 = 1
+  UNION ALL SELECT user_id, 'edges', 'extract>transform,transform>load', 'extract>load,extract>transform,transform>load' FROM u WHERE user_id % 4 = 3
+  UNION ALL SELECT user_id, 'tasks', 'extract,load,transform', 'extract,load' FROM u WHERE user_id % 4 = 3"""
+
+
+def report_verdict(spark, sf_dir):
+    """Findings of schema, completeness and latency together, judged per check."""
+    h2 = schema_findings(spark, sf_dir).select("check", "severity")
+    h3 = completeness(spark, sf_dir).select("check", F.lit("error").alias("severity"))
+    h5 = latency_flags(spark, sf_dir).select(F.lit(checks.H5).alias("check"), F.col("level").alias("severity"))
+    return checks.verdict(h2.unionByName(h3).unionByName(h5), ["check"])
+
+
+SQL["report_verdict"] = f"""SELECT "check", COUNT(*) FILTER (severity = 'error') = 0 AS passed, COUNT(*) FILTER (severity = 'error') AS errors FROM (
+  SELECT "check", severity FROM ({SQL["schema_findings"]}) UNION ALL SELECT "check", 'error' FROM ({SQL["completeness"]})
+  UNION ALL SELECT 'H5_latency', level FROM ({SQL["latency_flags"]})) GROUP BY 1"""
+
+
+def manifest_verify(spark, sf_dir):
+    pinned = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"))
+    found = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 3).alias("name")).distinct()
+    both = tables.compare_keys(pinned, found, ["name"])
+    return both.filter("status <> 'both'").select("name", "status")
+
+
+SQL["manifest_verify"] = """SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'missing' ELSE 'unpinned' END AS status
+  FROM (SELECT o_orderkey AS name FROM orders) a FULL OUTER JOIN (SELECT DISTINCT l_orderkey + 3 AS name FROM lineitem) b ON a.name = b.name
+  WHERE a.name IS NULL OR b.name IS NULL"""
+
+
+def semi_anti(spark, sf_dir):
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    have = customers.join(orders, "c_custkey", "left_semi").groupBy("c_mktsegment").count().select("c_mktsegment", F.lit("with").alias("kind"), F.col("count").alias("n"))
+    lack = customers.join(orders, "c_custkey", "left_anti").groupBy("c_mktsegment").count().select("c_mktsegment", F.lit("without").alias("kind"), F.col("count").alias("n"))
+    return have.unionByName(lack)
+
+
+SQL["semi_anti"] = """SELECT c_mktsegment, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'with' ELSE 'without' END AS kind, COUNT(*) AS n FROM customer GROUP BY 1, 2"""
+
+
+def lookup_left(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").filter("n_nationkey % 5 <> 0")
+    region = table(spark, sf_dir, "region")
+    joined = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return joined.select("s_suppkey", F.coalesce("n_name", F.lit("")).alias("nation"), F.coalesce("r_name", F.lit("")).alias("region"))
+
+
+SQL["lookup_left"] = """SELECT s_suppkey, coalesce(n_name, '') AS nation, coalesce(r_name, '') AS region FROM supplier
+  LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) n ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"""
+
+
+def one_to_many(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    many = tables.ordered_names(orders, ["c_custkey"], "o_orderkey")
+    return table(spark, sf_dir, "customer").select("c_custkey").join(many, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("names", F.lit("none")).alias("names"))
+
+
+SQL["one_to_many"] = """SELECT c_custkey, COUNT(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY o_orderkey), 'none') AS names
+  FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"""
+
+
+def consecutive_diff(spark, sf_dir):
+    return tables.changes(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "user_id", "before", F.col("event_type").alias("after"))
+
+
+SQL["consecutive_diff"] = """SELECT event_id, user_id, before, event_type AS after FROM (SELECT event_id, user_id, event_type,
+  LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL AND before <> event_type"""
+
+
+def history_node(spark, sf_dir):
+    return tables.lagged(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", "node", "__start__").select("event_id", "node", "event_type")
+
+
+SQL["history_node"] = "SELECT event_id, coalesce(LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '__start__') AS node, event_type FROM events"
+
+
+def last_write_wins(spark, sf_dir):
+    return tables.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+SQL["last_write_wins"] = """SELECT user_id, event_type, event_id, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"""
+
+
+def top_runs(spark, sf_dir):
+    return tables.newest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 50)
+
+
+SQL["top_runs"] = "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50"
+
+
+def first_pass(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"),
+        F.min_by(F.when(F.col("event_type") != "error", F.col("event_type")), F.when(F.col("event_type") != "error", F.struct("ts", "event_id"))).alias("first_sound"),
+    )
+
+
+SQL["first_pass"] = """SELECT user_id, arg_min(event_type, ts) AS first_type, arg_max(event_type, ts) AS last_type, arg_min(event_type, ts) FILTER (event_type <> 'error') AS first_sound FROM events GROUP BY 1"""
+
+
+def findings_by_check(spark, sf_dir):
+    return metrics.with_total(table(spark, sf_dir, "events"), "event_type")
+
+
+SQL["findings_by_check"] = "SELECT coalesce(event_type, 'total') AS event_type, COUNT(*) AS n FROM events GROUP BY ROLLUP (event_type)"
+
+
+def findings_zero_filled(spark, sf_dir):
+    kinds = spark.createDataFrame([(i, k) for i, k in enumerate(("click", "error", "login", "purchase", "signup", "view"))], "ordinal int, event_type string")
+    return metrics.zero_filled(table(spark, sf_dir, "events"), kinds, "event_type").select("ordinal", "event_type", "n", "total")
+
+
+SQL["findings_zero_filled"] = """WITH k(ordinal, event_type) AS (VALUES (0, 'click'), (1, 'error'), (2, 'login'), (3, 'purchase'), (4, 'signup'), (5, 'view'))
+  SELECT ordinal, k.event_type, COUNT(e.event_id) AS n, (SELECT COUNT(*) FROM events) AS total FROM k LEFT JOIN events e ON e.event_type = k.event_type GROUP BY 1, 2"""
+
+
+def outcome_rates(spark, sf_dir):
+    outcome = metrics.outcome(F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "escalated").otherwise("failed"), (1 + F.col("o_orderkey") % 3).cast("int"))
+    return table(spark, sf_dir, "orders").groupBy(outcome.alias("outcome")).agg(
+        F.count("*").alias("n"), F.avg((1 + F.col("o_orderkey") % 3).cast("double")).alias("mean_iterations"),
+        F.try_divide(F.count_if(F.col("o_orderkey") % 3 == 0).cast("double"), F.count("*")).alias("first_share"),
+    )
+
+
+SQL["outcome_rates"] = """SELECT CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'pass' WHEN o_orderstatus = 'F' THEN 'heal' WHEN o_orderstatus = 'O' THEN 'escalate' ELSE 'failed' END AS outcome,
+  COUNT(*) AS n, AVG(CAST(1 + o_orderkey % 3 AS DOUBLE)) AS mean_iterations, CAST(COUNT(*) FILTER (o_orderkey % 3 = 0) AS DOUBLE) / COUNT(*) AS first_share FROM orders GROUP BY 1"""
+
+
+def set_division(spark, sf_dir):
+    recent = table(spark, sf_dir, "events").filter("value > 100")
+    return tables.divides(recent, ["user_id"], "event_type", ["error", "purchase", "signup"]).select("user_id")
+
+
+SQL["set_division"] = """SELECT user_id FROM events WHERE value > 100 AND event_type IN ('error', 'purchase', 'signup') GROUP BY 1 HAVING COUNT(DISTINCT event_type) = 3"""
+
+
+def union_reports(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias("n"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("kind")).agg(F.count("*").alias("n"))
+    return a.unionByName(b.select("n", "kind"))
+
+
+SQL["union_reports"] = "SELECT o_orderstatus AS kind, COUNT(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT l_linestatus, COUNT(*) FROM lineitem GROUP BY 1"
+
+
+def ordered_agg(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber")
+    return tables.ordered_names(lines.distinct(), ["l_returnflag"], "l_linenumber")
+
+
+SQL["ordered_agg"] = """SELECT l_returnflag, COUNT(*) AS n, string_agg(CAST(l_linenumber AS VARCHAR), ', ' ORDER BY l_linenumber) AS names
+  FROM (SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem) GROUP BY 1"""
+
+
+def run_ids(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", run_id(F.lower("c_mktsegment"), F.lit("2026-01-02").cast("timestamp"), F.col("c_custkey")).alias("run_id"))
+
+
+SQL["run_ids"] = """SELECT c_custkey, lower(c_mktsegment) || '-00000000000000-' || substr(sha256(lower(c_mktsegment) || ':' || CAST(c_custkey AS VARCHAR)), 1, 6) AS run_id FROM customer"""
+
+
+def defect_injection(spark, sf_dir):
+    """Rows that a dropped sign and a swapped date format change, and those they make unreadable."""
+    sound, out = canonical(spark, sf_dir), None
+    for defect in ("amount_sign_dropped", "date_format_swapped"):
+        bad = canonical(spark, sf_dir, inject(compile_plan(ORDERS), defect)).select("o_orderkey", *(F.col(c).alias(f"_{c}") for c in CANONICAL), F.col("error").alias("_error"))
+        differ = F.lit(False)
+        for c in CANONICAL:
+            differ = differ | (F.col(c) != F.col(f"_{c}"))
+        one = sound.join(bad, "o_orderkey").agg(F.count_if(differ).alias("changed"), F.count_if(F.col("_error").isNotNull()).alias("broken"))
+        one = one.select(F.lit(defect).alias("defect"), "changed", "broken")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SQL["defect_injection"] = """SELECT 'amount_sign_dropped' AS defect, COUNT(*) FILTER (o_orderstatus = 'F' AND o_totalprice <> 0) AS changed, CAST(0 AS BIGINT) AS broken FROM orders
+  UNION ALL SELECT 'date_format_swapped', COUNT(*) FILTER (day(o_orderdate) <> month(o_orderdate)), COUNT(*) FILTER (day(o_orderdate) > 12) FROM orders"""
+
+
+def lenient_values(spark, sf_dir):
+    """Empty, bracketed and truncated values in the lenient reading."""
+    key = F.col("o_orderkey")
+    raw = {
+        "n": F.when(key % 3 == 0, "").otherwise(F.concat(key.cast("string"), F.lit(".9"))),
+        "a": F.when(key % 4 == 0, "").when(key % 4 == 1, F.concat(F.lit("("), F.format_number(price(), 2), F.lit(")"))).otherwise(price().cast("string")),
+        "d": F.when(key % 5 == 0, "").otherwise(F.date_format("o_orderdate", "yyyyMMdd")),
+    }
+    spec = replace(ORDERS, columns=(ColumnSpec("n", "trade_id", "int"), ColumnSpec("a", "amount", "decimal"), ColumnSpec("d", "value_date", "date", "%Y%m%d")))
+    rows = table(spark, sf_dir, "orders")
+    return project(rows, raw, compile_plan(spec), strict=False, keep=("o_orderkey",)).select("o_orderkey", "trade_id", "amount", "value_date", F.col("error").isNull().alias("sound"))
+
+
+SQL["lenient_values"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS trade_id,
+  CAST(CASE WHEN o_orderkey % 4 = 0 THEN CAST(0 AS DECIMAL(18,2)) WHEN o_orderkey % 4 = 1 THEN -CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18,2)) ELSE CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18,2)) END AS VARCHAR) AS amount,
+  CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value_date, TRUE AS sound FROM orders"""
+
+
+def guard_scan(spark, sf_dir):
+    """Findings of the static guard over some user code; syntax trees are beyond SQL."""
+    samples = [("sound", "import csv\nrows = []\n"), ("network", "import socket\n"), ("write", "open('x', 'w')\n"), ("broken", "def\n"), ("hop", "x = ().__class__\n")]
+    rows = [(name, f["message"]) for name, code in samples for f in guard.scan(code)]
+    return spark.createDataFrame(rows, "name string, message string")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        canonical_projection, csv_roundtrip, csv_field_faults, csv_lenient, fixed_width_roundtrip, jsonl_roundtrip, json_props, framed_lines,
+        header_trailer_strip, peek_lines, catalog_digest, profile_canonical, profile_by_currency, tolerant_sum, schema_violations, schema_findings,
+        offending_top3, completeness, drift_findings, latency_flags, dag_contract, report_verdict, manifest_verify, semi_anti, lookup_left, one_to_many,
+        consecutive_diff, history_node, last_write_wins, top_runs, first_pass, findings_by_check, findings_zero_filled, outcome_rates, set_division,
+        union_reports, ordered_agg, run_ids, defect_injection, lenient_values, guard_scan,
+    )
+}
+ORACLE_SQL = SQL

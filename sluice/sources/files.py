@@ -38,10 +38,25 @@ def sample_of(path: Column) -> Column:
     return F.regexp_extract(path, SAMPLE, 1)
 
 
+#: Charsets that Spark decodes, by codec names without punctuation.
+CHARSETS = {
+    "utf8": "UTF-8", "latin1": "ISO-8859-1", "iso88591": "ISO-8859-1", "ascii": "US-ASCII", "usascii": "US-ASCII",
+    "utf16": "UTF-16", "utf16le": "UTF-16LE", "utf16be": "UTF-16BE", "utf32": "UTF-32",
+}
+
+
+def charset(encoding: str) -> str:
+    """Spark's name of an encoding; one that it lacks is an error."""
+    name = re.sub("[^a-z0-9]", "", encoding.lower())
+    if name not in CHARSETS:
+        raise ContractError(f"encoding {encoding!r} isn't supported")
+    return CHARSETS[name]
+
+
 def read_texts(spark: SparkSession, paths: str | list[str], encoding: str = "utf-8") -> DataFrame:
     """sample and the whole text of each file, in any encoding that Java knows."""
     files = spark.read.format("binaryFile").load(paths)
-    return files.select(sample_of("path").alias("sample"), F.decode("content", F.lit(encoding)).alias("text"))
+    return files.select(sample_of("path").alias("sample"), F.decode("content", charset(encoding)).alias("text"))
 
 
 def lines_of(text: Column, skip_blank: bool) -> Column:
@@ -94,7 +109,7 @@ def header_names(spark: SparkSession, path: str, spec: FeedContract, strict: boo
         if strict:
             raise ContractError(f"{spec.client}: a delimited file needs a header")
         return [c.source for c in spec.columns]
-    lines = spark.read.text(path, wholetext=False).limit(200 + spec.header_rows) if spec.encoding.lower().replace("-", "") == "utf8" else None
+    lines = spark.read.text(path, wholetext=False).limit(200 + spec.header_rows) if charset(spec.encoding) == "UTF-8" else None
     if lines is not None:
         found = [r.value for r in lines.collect()]
         found = [x for x in found if x.strip() or not spec.skip_blank_lines]
@@ -173,7 +188,7 @@ def contracts(spark: SparkSession, root: str) -> DataFrame:
     """client and the contract block of every spec, or how many there are if not one."""
     block = r"```yaml[ \t]+feed-contract[ \t]*\r?\n((?s:.*?))\r?\n[ \t]*```"
     files = spark.read.format("binaryFile").load(f"{root}/*/spec.md")
-    found = F.regexp_extract_all(F.decode("content", F.lit("utf-8")), F.lit(block), 1)
+    found = F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(block), 1)
     return files.select(F.regexp_extract("path", r"([^/]+)/spec\.md$", 1).alias("client"), F.size(found).alias("blocks"), F.get(found, F.lit(0)).alias("block"))
 
 
