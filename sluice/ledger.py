@@ -62,7 +62,7 @@ class Ledger:
             raise RunNotFound(f"no run {run_id!r}")
         return row.asDict()
 
-    def update(self, run_id: str, **changes) -> dict:
+    def update(self, run_id: str, /, **changes) -> dict:
         known = set(self.runs().columns)
         if wrong := (set(changes) & FIXED) | (set(changes) - known):
             raise FeedError(f"cannot update {sorted(wrong)}")
