@@ -26,6 +26,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 HOST_LIMIT = 0.5
+#: The prior counts for at least so many documents, so that one failure doesn't condemn a small host.
+LEAST_STRENGTH = 5.0
 #: Rules besides the base rule: a document fails if the condition holds.
 MAX_SYMBOL_SHARE = 0.10
 MAX_DUP_LINE_SHARE = 0.30
@@ -101,7 +103,7 @@ def host_verdicts(failed: DataFrame) -> DataFrame:
     """host and condemned, from rows of host and a boolean column per rule.
 
     The prior of a rule has the mean m and variance v of the hosts' rates: its strength
-    is m(1-m)/v - 1, at least 1, and as a few constants per rule it comes to the driver.
+    is m(1-m)/v - 1, at least LEAST_STRENGTH, and as a few constants per rule it comes to the driver.
     Hosts all alike have no variance; then the prior outweighs any host.
     """
     names = [n for n in failed.columns if n != "host"]
@@ -115,7 +117,7 @@ def host_verdicts(failed: DataFrame) -> DataFrame:
     condemned = F.lit(False)
     for r in names:
         m, v = moments[f"{r}_m"] or 0.0, moments[f"{r}_v"] or 0.0
-        strength = max(1.0, m * (1 - m) / v - 1) if v > 1e-12 else 1e12
+        strength = max(LEAST_STRENGTH, m * (1 - m) / v - 1) if v > 1e-12 else 1e12
         condemned = condemned | ((F.col(r) + m * strength) / (F.col("n") + strength) > HOST_LIMIT)
     return rates.select("host", condemned.alias("condemned"))
 

@@ -49,7 +49,7 @@ def load_model(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         crossing = [p for p in map(model.id_to_piece, range(model.get_piece_size())) if MARK in p.lstrip(MARK)]
-        if crossing or model.encode("a", out_type=str)[0][:1] != MARK or model.encode("  a  b ") == model.encode("a b"):
+        if crossing or model.encode("a", out_type=str)[0][:1] != MARK or model.encode("  a  b ") == model.encode("a b") or model.is_unknown(model.piece_to_id(MARK)):
             raise ValueError(f"{path}: pieces span word marks, or spaces are normalised away")
         _models[path] = model
     return _models[path]
@@ -67,6 +67,11 @@ def pre_tokens(text: str) -> list[str]:
     return [x[1:] for x in RUNS.findall(" " + text)]
 
 
+def piece_counts(model, words: list[str]) -> list[int]:
+    """Pieces of each pre-token; the empty one, a single space at a text's end, is a lone word mark."""
+    return [len(ids) or 1 for ids in model.encode(words, num_threads=1)]
+
+
 def pack_table(lengths: dict[str, int]) -> bytes:
     """Lengths (a byte each) of pre-tokens without line ends, and those pre-tokens."""
     keys = [k for k, n in lengths.items() if n < 256 and "\n" not in k]
@@ -91,7 +96,7 @@ def frequent_table(docs: DataFrame, text: str, path: str) -> dict[str, int]:
     for (t,) in rows:
         seen.update(pre_tokens(t))
     words = [w for w, n in seen.most_common(TABLE_ENTRIES) if n > 1 and len(w) <= CACHED_CHARS]
-    return dict(zip(words, map(len, load_model(path).encode(words, num_threads=1)), strict=True)) if words else {}
+    return dict(zip(words, piece_counts(load_model(path), words), strict=True)) if words else {}
 
 
 def count_tokens(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -130,8 +135,8 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", keep: tup
                 tier2.update(known)
             big: dict[str, int] = {}
             if fresh:
-                for w, ids in zip(fresh, model.encode(fresh, num_threads=1)):
-                    (tier2 if len(w) <= CACHED_CHARS else big)[w] = len(ids)
+                for w, n in zip(fresh, piece_counts(model, fresh)):
+                    (tier2 if len(w) <= CACHED_CHARS else big)[w] = n
             for i, missed in enumerate(rest):
                 if missed:
                     counts[i] += sum(tier2[w] if w in tier2 else big[w] for w in missed)
