@@ -18,7 +18,7 @@ COLUMNS = """columns:
   - {source: "Cpty", target: counterparty}
   - {source: "Note", target: description}
 """
-LINES = [f'R{i},A{i % 3},{i + 1:02d}/09/2026,"{1000 * i + 5}.50",{"DR" if i % 2 else "CR"},GBP,Bank {i},n{i}' for i in range(14)]
+LINES = [f'R{i},A{i % 3},{i + 1:02d}/09/2026,"{1000 * i + 5:,}.50",{"DR" if i % 2 else "CR"},GBP,Bank {i},n{i}' for i in range(14)]
 SCENARIOS = {
     "calm": {"expected_outcome": "pass"},
     "flipped": {"expected_outcome": "heal", "injected_defect": "amount_sign_dropped"},
