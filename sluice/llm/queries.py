@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, gam, html_tree, licenses, quality_rules, simhash, token_counts, toxicity
 from .labelled import remainder
+from .oracle import ORACLE_SQL  # noqa: F401  (read by the entry points)
 
 TOKEN_LIMIT = 4096
 
@@ -89,4 +90,3 @@ QUERIES = {
         op9_quality_rules, op10_decontaminate,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
