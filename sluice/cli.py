@@ -18,7 +18,9 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("client")
     build.add_argument("--seed", type=int)
     build.add_argument("--max-iterations", type=int, default=3)
-    sub.add_parser("runs").add_argument("--limit", type=int, default=50)
+    runs = sub.add_parser("runs")
+    runs.add_argument("--limit", type=int, default=50)
+    runs.add_argument("--json", action="store_true")
     sub.add_parser("show").add_argument("run_id")
     for verb in ("approve", "reject"):
         d = sub.add_parser(verb)
@@ -33,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     replay = sub.add_parser("replay")
     replay.add_argument("--seed", type=int, default=42)
     replay.add_argument("--adversarial")
+    replay.add_argument("--headline", help="file for the figures")
     sub.add_parser("verify")
     sub.add_parser("rebuild-manifests")
     return p
@@ -41,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
 def run(args: argparse.Namespace, spark) -> object:
     """What the command gives, as plain data."""
     from .operators import manifest
+    from .operators.reports import text_table, write_headline
     from .service import RunService, replay
     from .sources import files
 
@@ -49,7 +53,8 @@ def run(args: argparse.Namespace, spark) -> object:
         case "build":
             return service.start_run(args.client, args.seed, args.max_iterations)
         case "runs":
-            return service.list_runs(args.limit)
+            found = service.list_runs(args.limit)
+            return found if args.json else text_table(found, ("run_id", "client", "status", "iterations", "created_at"))
         case "show":
             return service.get_run(args.run_id)
         case "approve" | "reject":
@@ -59,7 +64,10 @@ def run(args: argparse.Namespace, spark) -> object:
         case "diff":
             return service.ledger.diff(args.run_id, args.iteration)
         case "replay":
-            return replay(service, args.seed, adversarial_client=args.adversarial)
+            figures = replay(service, args.seed, adversarial_client=args.adversarial)
+            if args.headline:
+                write_headline(figures, args.headline)
+            return figures
         case "verify":
             manifest.verify_all(spark, args.corpus)
             return "all manifests hold"
@@ -76,7 +84,8 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("sluice").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        print(json.dumps(run(args, spark), indent=2, default=str))
+        out = run(args, spark)
+        print(out if isinstance(out, str) else json.dumps(out, indent=2, default=str))
     except FeedError as e:
         print(e, file=sys.stderr)
         return 2

@@ -12,8 +12,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import decimal_of, money, run_id
-from .operators import checks, guard, metrics, tables
+from .functions.text import decimal_of, money, run_id, truncated
+from .operators import checks, custom, guard, metrics, reports, tables
 from .operators.profile import aggregates, long_form
 from .operators.transform import project
 from .plans.contract import ColumnSpec, FeedContract
@@ -540,6 +540,61 @@ SQL["lenient_values"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN
   CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value_date, TRUE AS sound FROM orders"""
 
 
+def nested_state(spark, sf_dir):
+    """Names out of a stored state, where it has any."""
+    key = F.col("event_id")
+    calls = F.to_json(F.struct(F.struct(F.array(F.col("event_type"), F.lit("peek")).alias("tool_calls")).alias("plan")))
+    state = F.when(key % 3 == 0, calls).when(key % 3 == 1, '{"plan": null}').otherwise("no json")
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(reports.nested_texts(state, "$.plan.tool_calls"), ",").alias("tools"))
+
+
+SQL["nested_state"] = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || ',peek' ELSE '' END AS tools FROM events"
+
+
+def json_recovery(spark, sf_dir):
+    key = F.col("event_id")
+    text = F.when(key % 3 == 0, F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))).when(key % 3 == 1, "no object").otherwise(F.concat(F.lit("{broken "), F.col("props")))
+    return table(spark, sf_dir, "events").select("event_id", reports.recovered_json(text).alias("json"))
+
+
+SQL["json_recovery"] = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props END AS json FROM events"
+
+
+def evidence_text(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", truncated(t, 40).alias("evidence"), reports.line_count(t).cast("long").alias("n_lines"))
+
+
+SQL["evidence_text"] = """SELECT doc_id, CASE WHEN length(coalesce(text, '')) > 40 THEN left(text, 40) || '...[truncated]' ELSE coalesce(text, '') END AS evidence,
+  CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS BIGINT) AS n_lines FROM documents"""
+
+
+def report_summaries(spark, sf_dir):
+    """Findings per lot of lines, reduced to a verdict, the checks' verdicts and the messages."""
+    lots = table(spark, sf_dir, "events").filter("value > 150").select(
+        (F.col("event_id") % 20).alias("lot"), F.when(F.col("event_type") == "error", checks.H1).otherwise(checks.H4).alias("check"),
+        F.when(F.col("event_type").isin("error", "view"), "error").otherwise("warning").alias("severity"), F.col("event_id").cast("string").alias("message"),
+    )
+    found = reports.report_summary(lots, checks.checks_frame(spark), ["lot"])
+    return found.select("lot", "passed", F.col("checks")[checks.H1].alias("h1"), F.col("checks")[checks.H4].alias("h4"), F.col("checks")[checks.H6].alias("h6"), F.array_join("errors", ",").alias("errors"))
+
+
+SQL["report_summaries"] = """WITH f AS (SELECT event_id % 20 AS lot, event_type = 'error' AS h1, event_type IN ('error', 'view') AS bad, CAST(event_id AS VARCHAR) AS m FROM events WHERE value > 150)
+  SELECT lot, NOT bool_or(bad) AS passed, NOT bool_or(bad AND h1) AS h1, NOT bool_or(bad AND NOT h1) AS h4, TRUE AS h6,
+    coalesce(string_agg(m, ',' ORDER BY CASE WHEN h1 THEN 1 ELSE 4 END, m) FILTER (bad), '') AS errors FROM f GROUP BY lot"""
+
+
+def custom_transform(spark, sf_dir):
+    """A guarded user transform over raw rows."""
+    source = (
+        "def transform(rows):\n    return [{'trade_id': r['ref'].strip(), 'amount': ('-' if r['mark'] == 'F' else '') + r['amt'].replace(',', '')} for r in rows]\n"
+    )
+    return custom.apply_transform(raw_orders(spark, sf_dir).select("ref", "amt", "mark"), source).select("trade_id", "amount", "currency")
+
+
+SQL["custom_transform"] = f"WITH {CANON} SELECT trade_id, amount, '' AS currency FROM canon"
+
+
 def guard_scan(spark, sf_dir):
     """Findings of the static guard over some user code; syntax trees are beyond SQL."""
     samples = [("sound", "import csv\nrows = []\n"), ("network", "import socket\n"), ("write", "open('x', 'w')\n"), ("broken", "def\n"), ("hop", "x = ().__class__\n")]
@@ -554,7 +609,8 @@ QUERIES = {
         header_trailer_strip, peek_lines, catalog_digest, profile_canonical, profile_by_currency, tolerant_sum, schema_violations, schema_findings,
         offending_top3, completeness, drift_findings, latency_flags, dag_contract, report_verdict, manifest_verify, semi_anti, lookup_left, one_to_many,
         consecutive_diff, history_node, last_write_wins, top_runs, first_pass, findings_by_check, findings_zero_filled, outcome_rates, set_division,
-        union_reports, ordered_agg, run_ids, defect_injection, lenient_values, guard_scan,
+        union_reports, ordered_agg, run_ids, defect_injection, lenient_values, nested_state,
+        json_recovery, evidence_text, report_summaries, custom_transform, guard_scan,
     )
 }
 ORACLE_SQL = SQL

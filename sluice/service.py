@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .errors import FeedError, InvalidTransition
 from .ledger import Ledger, now
 from .operators import checks, guard, manifest, metrics
+from .operators.custom import Declarative, Provider
 from .operators.transform import read_rows
 from .plans.contract import FeedContract
 from .plans.plan import IngestionPlan, compile_plan, dag, inject, mapping_document
@@ -77,9 +78,10 @@ def evaluate(
 class RunService:
     """Starts, decides and shows runs over a corpus folder; publishes to a local folder."""
 
-    def __init__(self, spark: SparkSession, corpus: str, ledger: str, deploy: str, latency_budget_ms: int = checks.LATENCY_BUDGET_MS):
+    def __init__(self, spark: SparkSession, corpus: str, ledger: str, deploy: str, latency_budget_ms: int = checks.LATENCY_BUDGET_MS, provider: Provider | None = None):
         self.spark, self.corpus, self.deploy = spark, corpus.rstrip("/"), Path(deploy)
         self.ledger, self.latency_budget_ms = Ledger(spark, ledger), latency_budget_ms
+        self.provider: Provider = provider or Declarative()
 
     def collect_evidence(self, client: str) -> tuple[str, ...]:
         """Looks at the first sample as a planner does; the names of the calls made."""
@@ -95,7 +97,7 @@ class RunService:
         contract = files.load_contract(self.spark, self.corpus, client)
         pinned = manifest.load_manifest(self.spark, self.corpus, client)
         run_id = new_run_id(client, seed)
-        self.ledger.create({"run_id": run_id, "client": client, "provider": "declarative", "status": "planning", "max_iterations": max_iterations})
+        self.ledger.create({"run_id": run_id, "client": client, "provider": self.provider.name, "status": "planning", "max_iterations": max_iterations})
         steps: list[dict] = []
 
         def step(node: str, following: list[str], status: str, iteration: int, state: dict) -> None:
@@ -105,14 +107,17 @@ class RunService:
         step("__start__", ["load_spec"], "planning", 0, {"client": client})
         try:
             step("load_spec", ["plan"], "planning", 0, {"feed": contract.feed_name})
-            sound = compile_plan(contract, self.collect_evidence(client))
+            sound = self.provider.plan(contract, self.collect_evidence(client))
             step("plan", ["generate"], "generating", 0, {"tool_calls": list(sound.tool_calls)})
             defect = (pinned["scenario"] or {}).get("injected_defect")
             paths = files.sample_paths(self.spark, self.corpus, client)
-            iteration, following = 0, "generate"
+            iteration, following, plan, rows = 0, "generate", sound, []
             while following == "generate":
                 iteration += 1
-                plan = inject(sound, defect) if defect and iteration == 1 else sound
+                if iteration > 1:
+                    plan = self.provider.repair(sound, [r for r in rows if r["severity"] == "error"])
+                elif defect:
+                    plan = inject(sound, defect)
                 step("generate", ["evaluate"], "evaluating", iteration, {"iteration": iteration})
                 found, emitted, wall = evaluate(self.spark, plan, contract, pinned, paths, iteration, self.latency_budget_ms)
                 rows = [r.asDict(recursive=True) for r in found.collect()]

@@ -159,5 +159,40 @@ def test_command_line(spark, corpus, tmp_path):
 
     args = cli.parser().parse_args(["--corpus", str(corpus), "--ledger", str(tmp_path / "l"), "--deploy", str(tmp_path / "d"), "verify"])
     assert cli.run(args, spark) == "all manifests hold"
-    args = cli.parser().parse_args(["--ledger", str(tmp_path / "l"), "runs"])
+    args = cli.parser().parse_args(["--ledger", str(tmp_path / "l"), "runs", "--json"])
     assert cli.run(args, spark) == []
+    args = cli.parser().parse_args(["--ledger", str(tmp_path / "l"), "runs"])
+    assert cli.run(args, spark).startswith("run_id  client")
+
+
+def test_rendering(tmp_path):
+    from sluice.operators import reports
+
+    figures = {"b": 1, "a": "é", "nested": {"x": 1}}
+    reports.write_headline(figures, str(tmp_path / "h.json"))
+    assert (tmp_path / "h.json").read_bytes() == reports.headline_text(dict(reversed(figures.items()))).encode("ascii")
+    document = f"top\n{reports.BEGIN}\nold\n{reports.END}\nend\n"
+    new = reports.spliced(document, figures)
+    assert not reports.is_current(document, figures) and reports.is_current(new, figures) and new.endswith("\nend\n") and "| b | 1 |" in new
+    assert reports.shown(list("abcde")) == ["a", "b", "c", "+2 more"] and reports.shown(["a"]) == ["a"]
+
+
+def test_user_transforms_are_guarded(spark):
+    from sluice.errors import PlanError
+    from sluice.operators.custom import apply_transform
+
+    rows = spark.createDataFrame([("1",), ("2",)], "a string")
+    got = apply_transform(rows, "def transform(rows):\n    return [{'trade_id': r['a'], 'amount': None} for r in rows]\n").collect()
+    assert sorted((r.trade_id, r.amount, r.currency) for r in got) == [("1", "", ""), ("2", "", "")]
+    for bad in ("import os\ndef transform(rows):\n    return rows\n", "x = 1\n"):
+        with pytest.raises(PlanError):
+            apply_transform(rows, bad)
+
+
+def test_output_reader(spark, tmp_path):
+    from sluice.sources import files
+
+    (tmp_path / "good.json").write_text('[{"trade_id": "1"}]')
+    (tmp_path / "bad.json").write_text("not json")
+    rows = files.read_output(spark, str(tmp_path), "trade_id string").collect()
+    assert sorted((r.trade_id or "", r._corrupt or "") for r in rows) == [("", "not json"), ("1", "")]
