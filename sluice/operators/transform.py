@@ -7,7 +7,9 @@ exception, so one bad row doesn't stop a job; `require` turns them into one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decimal_of, first_error, iso_date, money, signed, trim
@@ -99,11 +101,15 @@ def read_rows(spark: SparkSession, paths: list[str], plan: IngestionPlan, strict
     for p in paths:
         names = tuple(files.header_names(spark, p, spec, strict)) if spec.format == "csv" else ()
         groups.setdefault(names, []).append(p)
+    framing = replace(spec, trailer_rows=spec.trailer_rows + 1) if plan.drop_last_row else spec
+    utf8 = files.charset(spec.encoding) == "UTF-8"
     for names, same in groups.items():  # files with equal headers are one scan
-        lines = files.framed_lines(files.read_texts(spark, same, spec.encoding), spec, strict)
-        if plan.drop_last_row:
-            last = F.max("idx").over(files.Window.partitionBy("sample"))
-            lines = lines.withColumn("_last", last).filter("idx < _last").drop("_last")
+        sizes = spark.read.format("binaryFile").load(same).select("path", "length").collect()
+        large = [r.path for r in sizes if utf8 and r.length >= files.LARGE_BYTES]
+        small = [r.path for r in sizes if r.path not in set(large)]
+        scans = [files.framed_lines(files.read_texts(spark, small, spec.encoding), framing, strict)] if small else []
+        scans += [files.framed_lines_large(spark, large, framing)] if large else []
+        lines = scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1])
         rows, raw = files.records(spark, lines, spec, list(names) or None, strict)
         parts.append(project(rows, raw, plan, strict))
     out = parts[0]
@@ -126,8 +132,6 @@ def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def load(rows: DataFrame, path: str) -> int:
     """Write canonical rows, partitioned by date; how many there were."""
-    from pyspark.sql import Observation
-
     seen = Observation("load")
     rows.observe(seen, F.count("*").alias("n")).write.partitionBy("value_date").mode("append").parquet(path)
     return int(seen.get["n"])

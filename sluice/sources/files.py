@@ -100,7 +100,7 @@ def framed_lines_large(spark: SparkSession, paths: str | list[str], spec: FeedCo
     placed = counts.select("path", "block", "first", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(by_file).alias("total"))
     idx = F.col("before") + F.col("at") - F.col("first") - spec.header_rows
     numbered = rows.join(placed, ["path", "block"]).select(sample_of("path").alias("sample"), idx.alias("idx"), "line", "total")
-    return numbered.filter((F.col("idx") >= 0) & (F.col("idx") < F.col("total") - spec.header_rows - spec.trailer_rows)).drop("total")
+    return numbered.filter((F.col("idx") >= 0) & (F.col("idx") < F.col("total") - spec.header_rows - spec.trailer_rows)).select("sample", "idx", "line")
 
 
 def header_names(spark: SparkSession, path: str, spec: FeedContract, strict: bool = True) -> list[str]:

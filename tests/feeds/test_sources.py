@@ -104,6 +104,18 @@ def test_large_files_are_framed_like_small_ones(spark, tmp_path):
     assert sorted(map(tuple, large)) == sorted(map(tuple, small)) and len(small) == 699 + 700 + 701
 
 
+def test_large_feeds_give_the_same_rows(spark, tmp_path, monkeypatch):
+    usual = rows_of(spark, tmp_path, CSV, STRICT)
+    (tmp_path / "b.csv").write_text(CSV)
+    monkeypatch.setattr(files, "LARGE_BYTES", len(CSV) + 1)
+    both = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    (tmp_path / "b.csv").write_text(CSV.replace("TRAILER", "10,04/09/2026,1,C,eur,\nTRAILER"))
+    mixed = read_rows(spark, both, compile_plan(STRICT)).orderBy("sample", "idx").collect()
+    assert [tuple(r)[3:] for r in mixed if r.sample == "a.csv"] == usual and [r.idx for r in mixed if r.sample == "b.csv"] == [0, 1, 2, 3]
+    shorter = read_rows(spark, both, replace(compile_plan(STRICT), drop_last_row=True)).groupBy("sample").count().orderBy("sample").collect()
+    assert [r["count"] for r in shorter] == [2, 3]
+
+
 def test_catalog_peek_and_names(spark, tmp_path):
     d = tmp_path / "corpus" / "c" / "samples"
     d.mkdir(parents=True)
