@@ -10,11 +10,12 @@ The turns of a batch are put together in numpy: lengths of all segments, their
 cumulative offsets, and scatter indices that copy markers and texts into one
 preallocated buffer, which becomes the Arrow column.
 
-Turns are dealt out by conversation and sorted by turn, then role and text (ties).
-A conversation of any length streams through its task: it comes out as parts,
-numbered from 0, whose texts joined are the whole. Null texts and roles are empty;
-null conversation ids are one conversation; repeated rows are repeated turns; an
-empty table gives none.
+Turns are dealt out by conversation and block of TURN_BLOCK turn numbers, so that a
+conversation with a large share of all rows is spread over tasks, and sorted by turn, then
+role and text (ties). A conversation comes out as parts, by block and number, whose texts
+joined are the whole. Null texts and roles are empty; null turns are a block of their own,
+the first; null conversation ids are one conversation; repeated rows are repeated turns;
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ from urllib.parse import quote, unquote
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import col, slices
+from .staging import settle
 
 MARKERS = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 LOSS_ROLE = "assistant"
+TURN_BLOCK = 512
+BROADCAST_ROWS = 200_000
 
 SUSPECT = r"\[\\*/?(?:SYS\]|INST\]|ROLE[=\]])|<\\*/?s>"
 _ESCAPE = re.compile(r"\[(\\*)(?=/?(?:SYS\]|INST\]|ROLE[=\]]))|<(\\*)(?=/?s>)")
@@ -85,28 +89,36 @@ def assemble(roles: list[str], contents: pa.Array, turn_of: np.ndarray) -> pa.Ar
     return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(text_at.astype(np.int64)), pa.py_buffer(out))
 
 
+def block_of(turn: Column) -> Column:
+    """Which block of turn numbers a turn belongs to."""
+    return F.coalesce(F.floor(turn / TURN_BLOCK).cast("long"), F.lit(-(2**62)))
+
+
 def format_conversations(
     rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
 ) -> DataFrame:
-    """conv_id, part, formatted and loss_mask: [start, end) of the assistant texts in code points of the part."""
+    """conv_id, block, part, formatted and loss_mask: [start, end) of the assistant texts in code points of the part.
+
+    A conversation's parts are in the order of block and part.
+    """
     empty = F.lit("")
     turns = rows.select(
-        col(conv_id).alias("conv_id"), col(turn).alias("turn"),
+        col(conv_id).alias("conv_id"), block_of(col(turn)).alias("block"), col(turn).alias("turn"),
         F.coalesce(col(role).cast("string"), empty).alias("role"), F.coalesce(col(text).cast("string"), empty).alias("text"),
     )
-    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = turns.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
     kind = dict(turns.dtypes)["conv_id"]
     mask_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, part, any_before = None, 0, False
         for batch in batches:
-            for piece in slices(batch, 3):
-                ids = piece.column(0).to_pylist()
+            for piece in slices(batch, 4):
+                ids = list(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()))
                 new = np.fromiter((i > 0 and ids[i] != ids[i - 1] for i in range(len(ids))), np.int64, len(ids))
                 turn_of = np.cumsum(new)
-                roles = piece.column(2).to_pylist()
-                contents = piece.column(3).cast(pa.large_string())
+                roles = piece.column(3).to_pylist()
+                contents = piece.column(4).cast(pa.large_string())
                 if pc.any(pc.match_substring_regex(contents, SUSPECT)).as_py():
                     contents = pa.array([escape(x) for x in contents.to_pylist()], pa.large_string())
                 formatted = assemble(roles, contents, turn_of)
@@ -127,11 +139,11 @@ def format_conversations(
                 parts[0] = part + 1 if any_before and heads[0] == before else 0
                 before, part, any_before = heads[-1], parts[-1], True
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(first)), pa.array(parts, pa.int64()), formatted.cast(pa.string()), pa.array(masks, mask_type)],
-                    ["conv_id", "part", "formatted", "loss_mask"],
+                    [*(piece.column(i).take(pa.array(first)) for i in (0, 1)), pa.array(parts, pa.int64()), formatted.cast(pa.string()), pa.array(masks, mask_type)],
+                    ["conv_id", "block", "part", "formatted", "loss_mask"],
                 )
 
-    return dealt.mapInArrow(run, f"conv_id {kind}, part long, formatted string, loss_mask array<struct<start:long,end:long>>")
+    return dealt.mapInArrow(run, f"conv_id {kind}, block long, part long, formatted string, loss_mask array<struct<start:long,end:long>>")
 
 
 def turns_of(formatted: str) -> list[tuple[str, str]]:
@@ -148,8 +160,8 @@ def turns_of(formatted: str) -> list[tuple[str, str]]:
 def digests(formatted: DataFrame) -> DataFrame:
     """What each conversation says, read back from the output of format_conversations.
 
-    The parts of a conversation must lie in order in one partition, as that leaves
-    them; they stream through running digests.
+    The parts of a conversation must lie in order in one partition; they stream through
+    running digests. conversation_digests sees to that.
     """
     kind = dict(formatted.dtypes)["conv_id"]
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -168,9 +180,9 @@ def digests(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             arrow_type = batch.schema.field(0).type
-            for piece in slices(batch, 2):
-                for conv, part, text, mask in zip(*(piece.column(i).to_pylist() for i in range(4))):
-                    if part == 0:
+            for piece in slices(batch, 3):
+                for conv, text, mask in zip(*(piece.column(i).to_pylist() for i in (0, 3, 4))):
+                    if state is None or conv != state[0]:
                         if state is not None:
                             close()
                         state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -189,3 +201,24 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield flush()
 
     return formatted.mapInArrow(run, schema)
+
+
+def conversation_digests(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The digests of all conversations of a table of turns.
+
+    A conversation of one block is whole in one partition and is read back there. The
+    parts of longer ones, formatted in many tasks, are brought together in order: a digest
+    runs from end to end. Which are longer is found from ids and turn numbers alone.
+    """
+    plain = rows.select(col(conv_id).alias("conv_id"), col(turn).alias("turn"), col(role).alias("role"), col(text).alias("text"))
+    spans = plain.groupBy("conv_id").agg(F.min(block_of(F.col("turn"))).alias("a"), F.max(block_of(F.col("turn"))).alias("b"))
+    longer = settle(spans.filter("a <> b").select(F.col("conv_id").alias("_long")), "longer")
+    n = longer.count()
+    if not n:
+        return digests(format_conversations(plain))
+    if n <= BROADCAST_ROWS:
+        longer = F.broadcast(longer)
+    same = F.col("conv_id").eqNullSafe(F.col("_long"))
+    short = digests(format_conversations(plain.join(longer, same, "left_anti")))
+    parts = format_conversations(plain.join(longer, same, "left_semi"))
+    return short.union(digests(parts.repartition("conv_id").sortWithinPartitions("conv_id", "block", "part")))

@@ -62,7 +62,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    return chat.digests(chat.format_conversations(rows.union(extra)))
+    return chat.conversation_digests(rows.union(extra))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

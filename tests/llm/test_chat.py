@@ -8,7 +8,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sluice.llm import arrow, chat
+from sluice.llm import chat
 
 ROLES = ["system", "user", "assistant", "tool", "", None, "a]b\nc[", "user "]
 NASTY = st.text("[]/\\<>sINSTYROLE=é漢 \n", max_size=25) | st.text(max_size=15) | st.sampled_from(["[INST]", "[/INST]", "</s>", "<\\/s>", "[\\\\ROLE=x]", "[ROLE", "<s", "[SYS][/SYS]"])
@@ -47,8 +47,7 @@ def test_conversations(spark, monkeypatch):
     rows += [(7, t, "assistant" if t % 2 else "user", f"turn {t} é", "") for t in range(3000)]
     rows += [(None, 0, "user", "no id", ""), (5, None, "user", "b", ""), (5, None, "user", "a", ""), (5, 0, "assistant", "z", ""), (5, 0, "assistant", "z", "")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").repartition(7)
-    monkeypatch.setattr(chat, "slices", lambda batch, column: arrow.slices(batch, column, 2000))  # here only; workers use their own
-    got = {r.conv_id: tuple(r)[1:] for r in chat.digests(chat.format_conversations(frame)).collect()}
+    got = {r.conv_id: tuple(r)[1:] for r in chat.conversation_digests(frame).collect()}
     by = defaultdict(list)
     for c, t, r, x, _ in rows:
         by[c].append((t is not None, t, r or "", x or ""))
@@ -59,12 +58,18 @@ def test_conversations(spark, monkeypatch):
         loss = "".join(x for _, _, r, x in turns if r == "assistant")
         size = sum(len(a) + len(b) + len(chat.escape(x)) for _, _, r, x in turns for a, b in [chat.markers(r)])
         assert got[c] == (len(turns), digest(told), len(loss), digest(loss), size), c
-    assert chat.digests(chat.format_conversations(frame.limit(0))).collect() == []
+    assert chat.conversation_digests(frame.limit(0)).collect() == []
+    few = frame.filter("conv_id < 5")  # none of several blocks
+    assert {r.conv_id: tuple(r)[1:] for r in chat.conversation_digests(few).collect()} == {c: got[c] for c in (1, 2, 3)}
+    monkeypatch.setattr(chat, "BROADCAST_ROWS", 0)
+    assert {r.conv_id: tuple(r)[1:] for r in chat.conversation_digests(frame).collect()} == got
 
 
 def test_parts_join_to_the_whole(spark):
     rows = [(1, t, "user", "word " * 200) for t in range(9000)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    parts = chat.format_conversations(frame).orderBy("part").collect()
-    assert [p.part for p in parts] == list(range(len(parts))) and len(parts) > 1
+    parts = chat.format_conversations(frame).orderBy("block", "part").collect()
+    assert len({p.block for p in parts}) == -(-9000 // chat.TURN_BLOCK) and all(0 <= p.part for p in parts)
+    for p in parts:
+        assert all(p.formatted[m.start : m.end] == chat.escape("word " * 200) for m in p.loss_mask)
     assert len(chat.turns_of("".join(p.formatted for p in parts))) == 9000
