@@ -24,8 +24,10 @@ def folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back."""
+    """Write `df` to the shared folder and read it back; the table goes when the application ends."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
