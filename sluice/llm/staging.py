@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,11 +19,15 @@ def folder(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own()
     return found.rstrip("/")
 
 
+@cache
+def _own() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sluice-")
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back; the table goes when the application ends."""
     spark = df.sparkSession
