@@ -14,7 +14,7 @@ below it, and half its presentation. It needs MIN_PAGES pages, and is 1 without
 What a page's own marks say is added to it: landmarks (article, main) and all in them
 gain 1, text outside the landmarks of a page that has some loses 1, and branches whose
 tag or class names a menu, header, footer, sidebar, notice, advert, form or comments
-lose 2. Branches below LEAST fall, with all that is in them; the rest gives the text.
+lose 2; a landmark does only as a comment. Branches below LEAST fall, with all that is in them; the rest gives the text.
 
 The tree is two counting aggregations over (host, node, value); the hot host's values
 are many keys, pre-counted in each task. Only nodes of low importance come back to the
@@ -44,10 +44,10 @@ BROADCAST_BYTES = 8 << 20
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'/=>]+)\s*+(?:=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 WORD = re.compile("[a-z]+")
 
 #: Elements that begin a block of their own.
@@ -65,6 +65,9 @@ OUTER_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside comment comments reply replies disqus share sharing social "
     "related recommended newsletter subscribe signup login search widget pagination pager masthead complementary contentinfo".split()
 )
+#: Of these, those that speak of a landmark itself; "has-sidebar" and the like speak of what is beside it.
+TALK_WORDS = frozenset("comment comments reply replies disqus".split())
+NAMED_BY = frozenset({"class", "id", "role"})
 
 
 class Block:
@@ -121,9 +124,14 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
             k -= 1
         del stack[k:]
         words: set[str] = set()
+        landmark = tag in LANDMARKS
         if m[4]:
             for a in ATTRIBUTE.finditer(m[4]):
-                words.update(WORD.findall((a[2] or a[3] or a[4] or "").lower()))
+                name = a[1].lower()
+                if name in NAMED_BY:
+                    said = WORD.findall((a[2] or a[3] or a[4] or "").lower())
+                    words.update(said)
+                    landmark = landmark or name == "role" and "main" in said
         _, parent, path, outer, inside = stack[-1]
         name = ".".join([tag, *sorted(words)])
         kids = children.setdefault(parent, [])
@@ -132,8 +140,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
         if tag in SINGLE:
             continue
         path = f"{path}>{name}"
-        landmark = tag in LANDMARKS or "main" in words and "role" in m[4].lower()
-        named = tag in OUTER_TAGS or bool(words & OUTER_WORDS) or tag == "header" and not (inside or landmark)
+        named = tag in OUTER_TAGS or bool(words & (TALK_WORDS if landmark else OUTER_WORDS)) or tag == "header" and not (inside or landmark)
         stack.append((tag, node_id(path), path, outer or named, inside or landmark))
         children.setdefault(stack[-1][1], [])
     if at < len(page):

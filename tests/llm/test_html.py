@@ -24,7 +24,10 @@ def page(body, head=""):
         ("<article>a<!-- <p>no</p> -->b<script>x<p></script>c</article>", "abc"),
         ('<article><p title="a > b">q</p><td>x<tr></article>', "q\nx"),
         ("plain text only", "plain text only"), ("", ""), ("<nav>x</nav>", ""), ("<article><ul><li>1<li>2<ul><li>3</ul></ul></article>", "1\n2\n3"),
-        ("<ARTICLE><P>Big</P></ARTICLE>", "Big"), ("<article>1 < 2 & 3</article>", "1 < 2 & 3"),
+        ("<ARTICLE><P>Big</P></ARTICLE>", "Big"),
+        ("<article><p title=it's>a</p><p class = 'x' data-id=\"ad\">b</p><p title=\"class=ad >\">c</p><p class=ad>d</p></article>", "a\nb\nc"),
+        ("<div role=main class=\"has-sidebar\">in<article class=\"comment\">no</article></div><div class=main>out</div>", "in"),
+        ("<article>a" + "<p x='" * 5000 + "</article>", "a"), ("<article>x<b title=\"open>y</b></article>", "xy"), ("<article>1 < 2 & 3</article>", "1 < 2 & 3"),
     ],
 )
 def test_marks_alone(html, text):
