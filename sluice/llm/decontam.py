@@ -12,20 +12,22 @@ a shuffle, and hits are carried along and merged. So nothing that is broadcast
 outgrows BLOCK_BYTES times a constant, and no item is left out.
 
 Null and empty texts have no words and no hits; items without words have no
-window; items with equal texts are all reported; repeated rows are judged one by
-one; an empty benchmark leaves every document clean.
+window; items with equal texts are all reported; items without an id hit like any
+other and come out as one null at the end of `items`; repeated rows are judged one
+by one; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import byte_texts, map_texts
+from .arrow import byte_texts, col, map_texts
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -42,9 +44,9 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(WORD_TABLE).split()
 
 
-def windows(items: list[tuple[str, bytes]]) -> dict[bytes, tuple[int, list[str]]]:
+def windows(items: list[tuple[str | None, bytes]]) -> dict[bytes, tuple[int, list[str | None]]]:
     """Pattern to its number of words and the ids of its items."""
-    out: dict[bytes, tuple[int, list[str]]] = {}
+    out: dict[bytes, tuple[int, list[str | None]]] = {}
     for item, raw in items:
         words = words_of(raw)
         n = min(WINDOW, len(words))
@@ -55,7 +57,7 @@ def windows(items: list[tuple[str, bytes]]) -> dict[bytes, tuple[int, list[str]]
     return out
 
 
-def automaton(key: str, items: list[tuple[str, bytes]]):
+def automaton(key: str, items: list[tuple[str | None, bytes]]):
     """The automaton and its patterns, once per process."""
     if key not in _built:
         import ahocorasick
@@ -89,12 +91,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[str, bytes]]]:
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).filter("i is not null")
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str | None, bytes]]]:
+    rows = benchmark.select(col(item).cast("string").alias("i"), F.coalesce(col(text).cast("string"), F.lit("")).alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-int(size) // BLOCK_BYTES))
     for b in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == b)
+        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
         yield [(r.i, r.t.encode()) for r in part.collect()]
 
 
@@ -102,7 +104,7 @@ def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     item: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """Columns `keep` with n_words, n_hit, items (sorted ids with occurring windows) and
+    """Columns `keep` with n_words, n_hit, items (sorted ids with occurring windows, null last) and
     spans (hit stretches as code point offsets of the original text, half-open)."""
     spark = docs.sparkSession
     out = [("n_words", "long"), ("n_hit", "long"), ("items", "array<string>"), ("spans", "array<struct<start:long,end:long>>"), ("word_spans", "array<struct<start:long,end:long>>")]
@@ -142,7 +144,7 @@ def find_leaks(
                                 names.update(values[v][1])
                     spans = merged(spans)
                     n_hit.append(sum(b - a for a, b in spans))
-                    ids.append(sorted(names))
+                    ids.append(sorted(names, key=lambda x: (x is None, x or "")))
                     words.append([{"start": a, "end": b} for a, b in spans])
                     if spans:
                         starts, stops = word_starts(raw)
