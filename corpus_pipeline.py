@@ -2,7 +2,7 @@
 
 Each stage takes what its predecessor kept. Rejected by the toxicity and the quality
 model: gone. Of near duplicates the one with the least id stays; rows without an id
-stay. Documents with a benchmark passage go. What is left comes out as token ids.
+all stay. Documents with a benchmark passage go. What is left comes out as token ids.
 """
 
 from __future__ import annotations
@@ -30,12 +30,22 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id."""
+    """One document of each group of near copies: the one with the least id.
+
+    Rows without an id stay. Where an id names several rows, the component of each is told
+    by its id and fingerprint, and of its rows the one with the least text stays.
+    """
     members = simhash.near_duplicates(docs)
-    others = members.filter("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    twice = members.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    return left if twice.isEmpty() else left.dropDuplicates(["doc_id"])
+    again = members.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if again.isEmpty():
+        others = members.filter("doc_id != component_id").select("doc_id")
+        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (names[docs.columns.index(n)] for n in ("doc_id", "text"))
+    rows = simhash.fingerprints(docs.toDF(*names), text, tuple(names))
+    first = members.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id), "fp", "root").distinct()
+    least = rows.join(first, [doc_id, "fp"]).groupBy("root").agg(F.min_by(F.struct(*names), F.coalesce(text, F.lit(""))).alias("r"))
+    return least.select("r.*").union(rows.filter(F.col(doc_id).isNull()).select(*names)).toDF(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -257,7 +257,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
-    """Every row's id with fp (signed long) and component_id: the least id of its component.
+    """Every row's id with fp (signed long), component_id: the least id of its component, and root: its
+    least fingerprint, which tells components apart where an id is repeated.
 
     Documents with equal fingerprints are one node, and link like any others; those
     without words share fingerprint zero. Null texts are empty. Rows with a null id
@@ -269,5 +270,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     roots = components(near_links(distinct.select("fp"), hot))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = placed.join(named, "root").select("fp", "component_id", "root")
+    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root")

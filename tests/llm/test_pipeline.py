@@ -56,6 +56,16 @@ def test_stages_take_odd_rows(spark):
     assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_copies_with_repeated_ids(spark):
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma")]
+    rows = [(1, long[0], "x"), (1, long[0], "x"), (1, long[1], "y"), (2, long[0], "x"), (3, long[1], "y"), (4, long[2], "z"), (None, long[0], "n"), (None, long[0], "n"), (5, None, "e"), (6, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted([(1, long[0], "x"), (1, long[1], "y"), (4, long[2], "z"), (None, long[0], "n"), (None, long[0], "n"), (5, None, "e")], key=key)
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert (toxicity.THRESHOLD, gam.THRESHOLD) == (0.5, 0.7)
