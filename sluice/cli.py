@@ -1,4 +1,4 @@
-"""Command line: build, runs, show, approve, reject, replay, verify, rebuild-manifests."""
+"""Command line: build, runs, show, history, diff, approve, reject, replay, tool, serve, verify, rebuild-manifests."""
 
 from __future__ import annotations
 
@@ -36,6 +36,12 @@ def parser() -> argparse.ArgumentParser:
     replay.add_argument("--seed", type=int, default=42)
     replay.add_argument("--adversarial")
     replay.add_argument("--headline", help="file for the figures")
+    tool = sub.add_parser("tool", help="call a tool over the corpus or the runs")
+    tool.add_argument("name")
+    tool.add_argument("arguments", nargs="?", default="{}", help="a JSON object")
+    serve = sub.add_parser("serve", help="answer the JSON routes until interrupted")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8000)
     sub.add_parser("verify")
     sub.add_parser("rebuild-manifests")
     return p
@@ -43,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace, spark) -> object:
     """What the command gives, as plain data."""
+    from . import tools
     from .operators import manifest
     from .operators.reports import text_table, write_headline
     from .service import RunService, replay
@@ -68,6 +75,13 @@ def run(args: argparse.Namespace, spark) -> object:
             if args.headline:
                 write_headline(figures, args.headline)
             return figures
+        case "tool":
+            sources, control = tools.source_tools(spark, args.corpus), tools.control_tools(service)
+            box = sources if args.name in sources.tools else control
+            return box.call(args.name, **tools.arguments(args.arguments))
+        case "serve":
+            with tools.server(service, args.host, args.port) as server:
+                server.serve_forever()
         case "verify":
             manifest.verify_all(spark, args.corpus)
             return "all manifests hold"
