@@ -29,7 +29,7 @@ class ToolBox:
     def __init__(self, tools: dict[str, Callable]):
         self.tools, self.calls = tools, []
 
-    def call(self, name: str, **args) -> object:
+    def call(self, name: str, /, **args) -> object:
         self.calls.append(name)
         try:
             if name not in self.tools:
