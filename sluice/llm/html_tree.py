@@ -10,14 +10,19 @@ has two measures in [0, 1]:
   the number of pages with that text there; texts of all pages give 0, own texts 1.
 
 The importance of a branch is the larger of its content, weighted over all that stands
-below it, and half its presentation. It needs MIN_PAGES pages, and is 1 without them.
-What a page's own marks say is added to it: landmarks (article, main) and all in them
-gain 1, text outside the landmarks of a page that has some loses 1, and branches whose
-tag or class names a menu, header, footer, sidebar, notice, advert, form or comments
-lose 2; a landmark does only as a comment. Branches below LEAST fall, with all that is in them; the rest gives the text.
+below it, and half its presentation. It needs MIN_PAGES pages, and is NEUTRAL without
+them. A block has the importance of the node it stands in. What the page's own marks say
+is a bounded prior: blocks in a landmark (article, main) gain MARK, blocks outside the
+landmarks of a page that has some lose MARK. As MARK is less than half the range of the
+importance, text of all pages falls inside landmarks too, and own text stays outside
+them. Blocks below LEAST fall; the rest gives the text.
+
+Branches whose tag or class names a menu, header, footer, sidebar, notice, advert, form
+or comments fall whatever their importance, as their texts are often other ones on each
+page; a landmark does only as a comment.
 
 The tree is two counting aggregations over (host, node, value); the hot host's values
-are many keys, pre-counted in each task. Only nodes of low importance come back to the
+are many keys, pre-counted in each task. Only nodes of MIN_PAGES pages come back to the
 pages: broadcast if that table is small, else by a join.
 
 Null html is empty; null or odd urls share the host ''. A page without kept text has
@@ -39,7 +44,8 @@ from .arrow import SLICE_BYTES, col, map_texts, texts
 from .staging import settle
 
 MIN_PAGES = 5
-LEAST = 0.5
+LEAST = NEUTRAL = 0.5
+MARK = 0.4
 BROADCAST_BYTES = 8 << 20
 
 TOKEN = re.compile(
@@ -150,16 +156,11 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
 
 
 def main_text(page: str, importance: dict[int, float]) -> str:
-    """What is kept of a page, given the importance of its host's nodes (absent: 1)."""
-    blocks, _ = parse(page)
-    landmarks = any(b.inside and not b.outer for b in blocks)
-    kept = []
-    for b in blocks:
-        worth = min([importance.get(n, 1.0) for n in b.nodes[1:]], default=1.0)
-        worth += (1 if b.inside else -1 if landmarks else 0) - (2 if b.outer else 0)
-        if worth >= LEAST:
-            kept.append(b.text)
-    return "\n".join(kept)
+    """What is kept of a page, given the importance of its host's nodes (absent: NEUTRAL)."""
+    blocks = [b for b in parse(page)[0] if not b.outer]
+    landmarks = any(b.inside for b in blocks)
+    mark = lambda b: MARK if b.inside else -MARK if landmarks else 0.0
+    return "\n".join(b.text for b in blocks if importance.get(b.nodes[-1], NEUTRAL) + mark(b) >= LEAST)
 
 
 def host_of(url: Column) -> Column:
@@ -214,8 +215,8 @@ def node_importance(counts: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Columns `keep` of every page with its main text."""
-    low = node_importance(style_counts(pages, url, page)).filter(F.col("importance") < 1.0)
-    trees = settle(low.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("_tree")), "trees")
+    known_nodes = node_importance(style_counts(pages, url, page)).filter(F.col("pages") >= MIN_PAGES)
+    trees = settle(known_nodes.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("_tree")), "trees")
     nodes = trees.agg(F.coalesce(F.sum(F.size("_tree") * 16 + F.length("host")), F.lit(0))).first()[0]
     if nodes <= BROADCAST_BYTES:
         trees = F.broadcast(trees)

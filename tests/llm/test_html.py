@@ -79,3 +79,11 @@ def test_a_join_gives_what_a_broadcast_gives(spark, monkeypatch):
     usual = sorted(map(tuple, html_tree.extract(frame).collect()))
     monkeypatch.setattr(html_tree, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, html_tree.extract(frame).collect())) == usual
+
+
+def test_importance_decides_in_and_out_of_landmarks(spark):
+    said = "<p class='legal'>Terms apply to all</p>"
+    pages = [(i, f"http://a.example/{i}", page(f"<div class='story'><p>story {i} of its own</p></div><div class='tail'>Same tail</div><article><p>piece {i}</p>{said}</article><div class='ad'>buy {i}</div>")) for i in range(12)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_tree.extract(frame).collect()}
+    assert got == {i: f"story {i} of its own\npiece {i}" for i in range(12)}
