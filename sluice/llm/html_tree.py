@@ -26,14 +26,16 @@ are many keys, pre-counted in each task. Only nodes of MIN_PAGES pages come back
 pages: broadcast if that table is small, else by a join.
 
 Null html is empty; null or odd urls share the host ''. A page without kept text has
-an empty text. Repeated rows count as pages of their own. An empty table gives none.
+an empty text. Pages of one host with equal html count as one page: each of n copies
+has a weight of 1/n. Where the tree would take all blocks of a page, its marks alone
+decide. An empty table gives none.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
@@ -160,7 +162,8 @@ def main_text(page: str, importance: dict[int, float]) -> str:
     blocks = [b for b in parse(page)[0] if not b.outer]
     landmarks = any(b.inside for b in blocks)
     mark = lambda b: MARK if b.inside else -MARK if landmarks else 0.0
-    return "\n".join(b.text for b in blocks if importance.get(b.nodes[-1], NEUTRAL) + mark(b) >= LEAST)
+    kept = [b.text for b in blocks if importance.get(b.nodes[-1], NEUTRAL) + mark(b) >= LEAST]
+    return "\n".join(kept or [b.text for b in blocks if NEUTRAL + mark(b) >= LEAST])
 
 
 def host_of(url: Column) -> Column:
@@ -171,14 +174,20 @@ PAGE, STYLE, TEXT = 0, 1, 2
 
 
 def style_counts(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, node, kind, value, n): pages with a node, with a sequence of children, with a text in it."""
-    schema = "host string, node long, kind int, value long, n long"
-    rows = pages.select(host_of(col(url)).alias("host"), col(page).cast("string").alias("page"))
+    """(host, node, kind, value, n): distinct pages with a node, with a sequence of children, with a text in it."""
+    schema = "host string, node long, kind int, value long, n double"
+    rows = pages.select(host_of(col(url)).alias("host"), F.coalesce(col(page).cast("string"), F.lit("")).alias("page"))
+    rows = rows.withColumn("digest", F.xxhash64("page"))
+    copies = settle(rows.groupBy("host", "digest").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    size = copies.agg(F.coalesce(F.sum(F.length("host") + 16), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        copies = F.broadcast(copies)
+    rows = rows.join(copies, ["host", "digest"], "left").select("host", "page", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
 
     def run(batches):
         for batch in batches:
-            hosts, seen, size = batch.column(0).to_pylist(), Counter(), 0
-            for i, host in enumerate(hosts):
+            hosts, shares, seen, size = batch.column(0).to_pylist(), batch.column(2).to_pylist(), defaultdict(float), 0
+            for i, (host, share) in enumerate(zip(hosts, shares)):
                 text = batch.column(1)[i].as_py() or ""
                 blocks, children = parse(text)
                 found = {(host, n, PAGE, 0) for n in children}
@@ -186,16 +195,17 @@ def style_counts(pages: DataFrame, url: str = "url", page: str = "html") -> Data
                 for b in blocks:
                     value = node_id(b.text)
                     found.update((host, n, TEXT, value) for n in b.nodes)
-                seen.update(found)
+                for key in found:
+                    seen[key] += share
                 size += len(text)
                 if size > SLICE_BYTES or i == len(hosts) - 1:
                     cols = [*zip(*seen)]
                     types = [pa.string(), pa.int64(), pa.int32(), pa.int64()]
-                    arrays = [pa.array(c, t) for c, t in zip(cols, types)] + [pa.array(list(seen.values()), pa.int64())]
+                    arrays = [pa.array(c, t) for c, t in zip(cols, types)] + [pa.array(list(seen.values()), pa.float64())]
                     yield pa.RecordBatch.from_arrays(arrays, ["host", "node", "kind", "value", "n"])
-                    seen, size = Counter(), 0
+                    seen, size = defaultdict(float), 0
 
-    return rows.mapInArrow(run, schema).groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, schema).groupBy("host", "node", "kind", "value").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def node_importance(counts: DataFrame) -> DataFrame:

@@ -87,3 +87,20 @@ def test_importance_decides_in_and_out_of_landmarks(spark):
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_tree.extract(frame).collect()}
     assert got == {i: f"story {i} of its own\npiece {i}" for i in range(12)}
+
+
+@pytest.mark.parametrize("n", [4, 5, 1000])
+def test_copies_keep_their_text(spark, n):
+    copy, own = page("<div><p>The same story</p><p>on each</p></div>"), [page(f"<div><p>story {i}</p></div>") for i in range(6)]
+    pages = [(i, f"http://a.example/{i}", copy) for i in range(n)] + [(n + i, f"http://b.example/{i}", copy) for i in range(n)]
+    pages += [(2 * n + i, f"http://b.example/own{i}", h) for i, h in enumerate(own)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_tree.extract(frame).collect()}
+    assert got == {i: "The same story\non each" for i in range(2 * n)} | {2 * n + i: f"story {i}" for i in range(6)}
+    assert {r.pages for r in html_tree.node_importance(html_tree.style_counts(frame)).filter("node = %d" % html_tree.node_id("")).collect()} == {1, 7}
+
+
+def test_a_tree_never_takes_all_of_a_page(spark):
+    nearly = [page(f"<script>track({i})</script><p>One story for all</p><nav>menu</nav>") for i in range(9)]
+    frame = spark.createDataFrame([(i, "http://a.example/", h) for i, h in enumerate(nearly)], "page_id long, url string, html string")
+    assert {r.text for r in html_tree.extract(frame).collect()} == {"One story for all"}
