@@ -19,7 +19,11 @@ them. Blocks below LEAST fall; the rest gives the text.
 
 Branches whose tag or class names a menu, header, footer, sidebar, notice, advert, form
 or comments fall whatever their importance, as their texts are often other ones on each
-page; a landmark does only as a comment.
+page; a landmark does only as a comment. Names on html, body and on wrappers, and forms
+and page headers that wrap, are no such marks: an element wraps if it holds a main, most
+of the text of the page's articles or, where there are neither, of the page (a comment
+section has to hold most of both). Landmarks in a nav, footer, aside or comment are none.
+Where names alone would take all text, or all of the landmarks, only comments count.
 
 The tree is two counting aggregations over (host, node, value); the hot host's values
 are many keys, pre-counted in each task. Only nodes of MIN_PAGES pages come back to the
@@ -67,7 +71,9 @@ BLOCKS = frozenset(
 ENDS = {"p": ({"p"}, set()), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr"}), "th": ({"td", "th", "p"}, {"tr"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"})}
 SINGLE = frozenset({"hr"})
 LANDMARKS = frozenset({"article", "main"})
-OUTER_TAGS = frozenset("nav footer aside form menu dialog select button head fieldset".split())
+OUTER_TAGS = frozenset("nav footer aside menu dialog select button head".split())
+#: Outer if they wrap nothing; a header only outside landmarks.
+SOFT_TAGS = frozenset("form fieldset header".split())
 OUTER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside comment comments reply replies disqus share sharing social "
@@ -76,6 +82,57 @@ OUTER_WORDS = frozenset(
 #: Of these, those that speak of a landmark itself; "has-sidebar" and the like speak of what is beside it.
 TALK_WORDS = frozenset("comment comments reply replies disqus".split())
 NAMED_BY = frozenset({"class", "id", "role"})
+WHOLE = frozenset({"html", "body"})
+
+
+class Element:
+    """An open or closed block element: its place in `elements` of its parent, marks, and lengths of text in it."""
+
+    __slots__ = ("parent", "tag", "landmark", "hard", "word", "talk", "main", "length", "landed")
+
+    def __init__(self, parent, tag, landmark, words):
+        self.parent, self.tag, self.landmark = parent, tag, landmark
+        self.talk = bool(words & TALK_WORDS)
+        self.word = not landmark and bool(words & OUTER_WORDS)
+        self.hard = tag in OUTER_TAGS or landmark and self.talk
+        self.main, self.length, self.landed = False, 0, 0
+
+
+def judge(elements: list[Element], own: list[tuple[int, int]]) -> list[tuple[bool, bool]]:
+    """(outer, inside) of each element; own: place of an element and length of text that stands in it."""
+    hidden, landed = [False] * len(elements), [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        hidden[i] = hidden[e.parent] or e.hard
+        landed[i] = not hidden[i] and (landed[e.parent] or e.landmark)
+        e.main = landed[i] and e.landmark and e.tag != "article"
+    for i, n in own:
+        elements[i].length += n
+        elements[i].landed += n * landed[i]
+    for e in reversed(elements[1:]):
+        up = elements[e.parent]
+        up.length, up.landed, up.main = up.length + e.length, up.landed + e.landed, up.main or e.main
+    top = elements[0]
+
+    def wraps(e: Element) -> bool:
+        most_landed = e.main or 2 * e.landed > top.landed
+        most = 2 * e.length > top.length
+        if e.talk:
+            return most and (most_landed or not top.landed)
+        return most_landed or most and not top.landed and not top.main and e.tag != "header"
+
+    def marks(names: bool) -> list[tuple[bool, bool]]:
+        out = [(False, False)]
+        for e in elements[1:]:
+            outer, inside = out[e.parent]
+            soft = names and (e.word or e.tag in SOFT_TAGS and not (e.tag == "header" and inside)) or e.talk and not e.landmark
+            outer = outer or e.hard or soft and e.tag not in WHOLE and not wraps(e)
+            out.append((outer, inside or e.landmark))
+        return out
+
+    out = marks(True)
+    if any(not out[i][0] and (landed[i] or not top.landed) for i, _ in own):
+        return out
+    return marks(False)
 
 
 class Block:
@@ -95,8 +152,9 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
     """The blocks of a page in order, and each node's children, in order and without repeats in a row."""
     blocks: list[Block] = []
     children: dict[int, list[str]] = {}
-    # Open block elements: tag, node, path, whether outer, whether in a landmark.
-    stack: list[tuple[str, int, str, bool, bool]] = [("", node_id(""), "", False, False)]
+    elements, own = [Element(0, "", False, set())], []
+    # Open block elements: tag, node, path, place in elements.
+    stack: list[tuple[str, int, str, int]] = [("", node_id(""), "", 0)]
     run: list[str] = []
     at = 0
 
@@ -105,7 +163,8 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
             said = " ".join(html.unescape("".join(run)).split())
             run.clear()
             if said:
-                blocks.append(Block([s[1] for s in stack], stack[-1][3], stack[-1][4], said))
+                own.append((stack[-1][3], len(said)))
+                blocks.append(Block([s[1] for s in stack], False, False, said))
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -140,7 +199,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
                     said = WORD.findall((a[2] or a[3] or a[4] or "").lower())
                     words.update(said)
                     landmark = landmark or name == "role" and "main" in said
-        _, parent, path, outer, inside = stack[-1]
+        _, parent, path, place = stack[-1]
         name = ".".join([tag, *sorted(words)])
         kids = children.setdefault(parent, [])
         if not kids or kids[-1] != name:
@@ -148,12 +207,15 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
         if tag in SINGLE:
             continue
         path = f"{path}>{name}"
-        named = tag in OUTER_TAGS or bool(words & (TALK_WORDS if landmark else OUTER_WORDS)) or tag == "header" and not (inside or landmark)
-        stack.append((tag, node_id(path), path, outer or named, inside or landmark))
+        elements.append(Element(place, tag, landmark, words))
+        stack.append((tag, node_id(path), path, len(elements) - 1))
         children.setdefault(stack[-1][1], [])
     if at < len(page):
         run.append(page[at:])
     close()
+    marks = judge(elements, own)
+    for b, (i, _) in zip(blocks, own):
+        b.outer, b.inside = marks[i]
     return blocks, children
 
 

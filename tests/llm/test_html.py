@@ -104,3 +104,27 @@ def test_a_tree_never_takes_all_of_a_page(spark):
     nearly = [page(f"<script>track({i})</script><p>One story for all</p><nav>menu</nav>") for i in range(9)]
     frame = spark.createDataFrame([(i, "http://a.example/", h) for i, h in enumerate(nearly)], "page_id long, url string, html string")
     assert {r.text for r in html_tree.extract(frame).collect()} == {"One story for all"}
+
+
+WRAPPERS = [("<body class='has-sidebar'>", "</body>"), ("<body id=no-sidebar>", "</body>"), ("<div id='page' class='cookie-consent'>", "</div>"), ("<form>", "</form>"), ("<div class='comments-open'>", "</div>"), ("<html class=popup><body class=nav>", "</body></html>")]
+
+
+@pytest.mark.parametrize("start, end", WRAPPERS)
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<nav>menu</nav><article><h1>Head</h1><p>all of the text</p></article><div class='ad'>a longer advert than all of the text</div><footer>me</footer>", "Head\nall of the text"),
+        ("<nav>menu</nav><div class=related>an article elsewhere, of many words</div><main>in</main>", "in"),
+        ("<nav>menu</nav><p>plain text of the page</p><div class='ad'>buy</div>", "plain text of the page"),
+    ],
+)
+def test_names_of_wrappers_are_no_marks(start, end, html, text):
+    assert html_tree.main_text(f"{start}{html}{end}", {}) == text
+
+
+def test_names_that_stay_marks():
+    said = "<article>the main text of it</article>"
+    assert html_tree.main_text(f"<aside><article>no</article></aside><div class=related><article>nor</article></div><form>mail</form>{said}", {}) == "the main text of it"
+    assert html_tree.main_text(f"<div class=wide-promo>{said}</div><div id=comments><article>first!</article></div>", {}) == "the main text of it"
+    assert html_tree.main_text("".join(f"<div class='x-widget'><p>part {i}</p></div>" for i in range(3)) + "<nav>menu</nav>", {}) == "part 0\npart 1\npart 2"
+    assert html_tree.main_text("".join(f"<div class='x-widget'><article>part {i}</article></div>" for i in range(3)) + "<p>credits</p>", {}) == "part 0\npart 1\npart 2"
