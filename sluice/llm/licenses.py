@@ -27,8 +27,8 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Text that any signature holds.
-GATES = ("licen", "spdx", "gpl", "cc by", "cc0", "copyright", "public domain", "copyleft", "rights reserved")
+#: Any match of a signature or of BASE holds one of these.
+GATES = ("licen", "spdx", "gpl", "cc by", "cc0", "bsd", "public domain", "rights reserved")
 
 #: Label, keyword, and names as patterns over single-spaced words.
 NAMES = [
@@ -72,9 +72,9 @@ NAMES = [
     ("cc-by-nc-nd-4.0", "cc by nc nd", r"cc by nc nd 4 0"),
     ("cc-by-4.0", "commons attribution", r"creative commons attribution 4 0(?: international)?(?: public)? licen[cs]e"),
     ("cc-by-3.0", "commons attribution", r"creative commons attribution 3 0(?: unported)? licen[cs]e"),
-    ("cc-by-sa-4.0", "sharealike", r"creative commons attribution share ?alike 4 0(?: international)?(?: public)? licen[cs]e"),
-    ("cc-by-sa-3.0", "sharealike", r"creative commons attribution share ?alike 3 0(?: unported)? licen[cs]e"),
-    ("cc-by-nc-4.0", "noncommercial", r"creative commons attribution non ?commercial 4 0(?: international)? licen[cs]e"),
+    ("cc-by-sa-4.0", "commons attribution", r"creative commons attribution share ?alike 4 0(?: international)?(?: public)? licen[cs]e"),
+    ("cc-by-sa-3.0", "commons attribution", r"creative commons attribution share ?alike 3 0(?: unported)? licen[cs]e"),
+    ("cc-by-nc-4.0", "commons attribution", r"creative commons attribution non ?commercial 4 0(?: international)? licen[cs]e"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("mit", "mit", r"(?:the )?mit licen[cs]e"),
     ("mit", "expat", r"expat licen[cs]e"),

@@ -44,6 +44,55 @@ def test_license_base(spark):
     assert licenses.scan(docs.limit(0)).collect() == []
 
 
+def spellings(tree):
+    """Texts that a pattern matches: each branch, optional parts left out and put in, each letter of a class."""
+    import re._constants as c
+
+    out = {""}
+    for op, arg in tree:
+        if op is c.LITERAL:
+            more = {chr(arg)}
+        elif op is c.IN:
+            more = {chr(x) for o, x in arg if o is c.LITERAL} or {"w"}
+        elif op is c.NOT_LITERAL:
+            more = {"w"}
+        elif op is c.SUBPATTERN:
+            more = spellings(arg[3])
+        elif op is c.BRANCH:
+            more = set().union(*map(spellings, arg[1]))
+        elif op is c.MAX_REPEAT:
+            part = spellings(arg[2])
+            more = {p * n for p in part for n in {arg[0], max(arg[0], 1)}}
+        else:
+            assert op is c.ASSERT or op is c.ASSERT_NOT
+            more = {""}
+        out = {a + b for a in out for b in more}
+    return out
+
+
+def test_every_match_passes_its_keyword_and_the_gate():
+    import re._parser as parser
+
+    rules = licenses.signatures()
+    for _, keyword, pattern, _, _ in rules:
+        for text in spellings(parser.parse(pattern)):
+            assert re.search(pattern, f" {text} "), (pattern, text)
+            assert keyword in f" {text} ", (pattern, text)
+            assert any(g in f" {text} " for g in licenses.GATES), text
+    assert all(any(g in phrase for g in licenses.GATES) for phrase in licenses.BASE)
+
+
+def test_signatures_without_the_word_license_and_spelled_apart(spark):
+    said = {
+        "released under the BSD 3-Clause terms": ["bsd-3-clause"],
+        "Creative Commons Attribution Share Alike 4.0 International License": ["cc-by-sa-4.0"],
+        "Creative Commons Attribution-ShareAlike 3.0 License": ["cc-by-sa-3.0"],
+        "Creative Commons Attribution-Non-Commercial 4.0 International License": ["cc-by-nc-4.0"],
+    }
+    rows = licenses.scan(spark.createDataFrame([(t, t) for t in said], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.labels for r in rows} == said
+
+
 def test_signatures_are_hundreds_and_gated():
     rules = licenses.signatures()
     assert len(rules) > 200
