@@ -7,7 +7,8 @@ a longer one falls, and so does one with the same extent and a later priority;
 partly overlapping ones both stay.
 
 The rules are data: each license has hand-written names, and FORMS turn a name into
-signatures of falling confidence.
+signatures of falling confidence. TEXTS are hand-written patterns for grants,
+conditions, file notices and links, which need no name.
 
 Null and empty texts have no words and no detections. Rows are scanned by themselves.
 """
@@ -28,7 +29,7 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 #: Any match of a signature or of BASE holds one of these.
-GATES = ("licen", "spdx", "gpl", "cc by", "cc0", "bsd", "public domain", "rights reserved")
+GATES = ("licen", "spdx", "gpl", "cc by", "cc0", "bsd", "public domain", "rights reserved", "software", "hereby granted", "copyright", "redistribution and use")
 
 #: Label, keyword, and names as patterns over single-spaced words.
 NAMES = [
@@ -124,6 +125,60 @@ NAMES = [
     ("all-rights-reserved", "rights reserved", r"all rights reserved"),
 ]
 
+#: Label, keyword and pattern of texts by which a license is told without its name.
+_COPIES = r"(?:this|the) software and associated documentation files(?: the software)?"
+_FREE = r"you can redistribute it and or modify it under the terms of the gnu"
+_BY_FSF = r"general public licen[cs]e as published by the free software foundation either version"
+TEXTS = [
+    ("mit", "hereby granted", rf"permission is hereby granted free of charge to any person obtaining a copy of {_COPIES}(?: to deal in the software without restriction)?"),
+    ("mit", "copyright", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    ("x11", "software", r"except as contained in this notice the names? of (?:[^ ]+ ){1,12}shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("ncsa", "hereby granted", rf"permission is hereby granted free of charge to any person obtaining a copy of {_COPIES} to deal with the software without restriction"),
+    ("bsl-1.0", "hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e"),
+    ("ofl-1.1", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("0bsd", "hereby granted", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "hereby granted", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("postgresql", "hereby granted", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "copyright", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "copyright", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "software", r"neither the names? of (?:[^ ]+ ){1,12}may be used to endorse or promote products derived from this software(?: without specific prior written permission)?"),
+    ("bsd-4-clause", "software", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2.0", "licen", r"you may not use this file except in compliance with the licen[cs]e you may obtain a copy of the licen[cs]e at"),
+    ("apache-2.0", "software", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("apache-2.0", "copyright", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e"),
+    ("apache-1.1", "software", r"this product includes software developed by the apache software foundation"),
+    ("gpl-2.0", "software", rf"this program is free software {_FREE} {_BY_FSF} 2 of the licen[cs]e"),
+    ("gpl-3.0", "software", rf"this program is free software {_FREE} {_BY_FSF} 3 of the licen[cs]e"),
+    ("gpl-2.0", "software", r"by contrast the gnu general public licen[cs]e is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users"),
+    ("gpl-3.0", "software", r"the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works"),
+    ("lgpl-2.0", "software", rf"this library is free software {_FREE} library {_BY_FSF} 2 of the licen[cs]e"),
+    ("lgpl-2.1", "software", rf"this library is free software {_FREE} lesser {_BY_FSF} 2 1 of the licen[cs]e"),
+    ("lgpl-3.0", "software", rf"this (?:library|program) is free software {_FREE} lesser {_BY_FSF} 3 of the licen[cs]e"),
+    ("agpl-3.0", "software", rf"this program is free software {_FREE} affero {_BY_FSF} 3 of the licen[cs]e"),
+    ("agpl-3.0", "software", r"the gnu affero general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works"),
+    ("gfdl", "documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e"),
+    ("mpl-2.0", "licen", r"this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
+    ("mpl-1.1", "licen", r"the contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
+    ("epl-1.0", "licen", r"made available under the terms of the eclipse public licen[cs]e v(?:ersion)? ?1 0"),
+    ("epl-2.0", "licen", r"made available under the terms of the eclipse public licen[cs]e v(?:ersion)? ?2 0"),
+    ("zlib", "software", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "software", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("unlicense", "software", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "software", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0-1.0", "copyright", r"to the extent possible under law (?:[^ ]+ ){1,12}has waived all copyright and related or neighbou?ring rights"),
+    ("mit", "opensource org", r"opensource org licen[cs]es? mit"),
+    ("apache-2.0", "apache org", r"apache org licen[cs]es licen[cs]e 2 0"),
+    ("gpl-2.0", "gnu org", r"gnu org licen[cs]es (?:old licen[cs]es )?gpl 2 0"),
+    ("gpl-3.0", "gnu org", r"gnu org licen[cs]es gpl 3 0"),
+    ("cc-by-4.0", "creativecommons", r"creativecommons org licen[cs]es by 4 0"),
+    ("cc-by-sa-4.0", "creativecommons", r"creativecommons org licen[cs]es by sa 4 0"),
+    ("cc-by-sa-3.0", "creativecommons", r"creativecommons org licen[cs]es by sa 3 0"),
+    ("cc-by-nc-4.0", "creativecommons", r"creativecommons org licen[cs]es by nc 4 0"),
+    ("cc-by-nc-sa-4.0", "creativecommons", r"creativecommons org licen[cs]es by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", "creativecommons", r"creativecommons org licen[cs]es by nc nd 4 0"),
+]
+
 #: How a name is put, its priority (less is stronger) and its confidence. An SPDX tag names the label.
 FORMS = [
     ("spdx license identifier {label}", 1, 1.0),
@@ -147,6 +202,7 @@ def signatures() -> list[tuple[str, str, str, int, float]]:
                 keyword = "spdx"
             pattern = form.replace("{label}", words).replace("{name}", f"(?:{name})")
             out.append((label, keyword, f"(?<= ){pattern}(?= )", priority, confidence))
+    out += [(label, keyword, f"(?<= ){pattern}(?= )", 2, 0.95) for label, keyword, pattern in TEXTS]
     return out
 
 

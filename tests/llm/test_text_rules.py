@@ -93,6 +93,23 @@ def test_signatures_without_the_word_license_and_spelled_apart(spark):
     assert {r.doc_id: r.labels for r in rows} == said
 
 
+GRANTS = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "bsd,bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "ncsa": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal with the Software without restriction",
+    "apache-2.0": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "": "You may copy this software for any purpose; copyright 2020 by nobody.",
+}
+
+
+def test_texts_without_a_name(spark):
+    rows = licenses.scan(spark.createDataFrame([(k, t) for k, t in GRANTS.items()], "doc_id string, text string")).collect()
+    assert {r.doc_id: ",".join(r.labels) for r in rows} == {k: k for k in GRANTS}
+    assert len(licenses.TEXTS) > 40 and all(r in licenses.signatures() for r in [(n, k, f"(?<= ){p}(?= )", 2, 0.95) for n, k, p in licenses.TEXTS])
+
+
 def test_signatures_are_hundreds_and_gated():
     rules = licenses.signatures()
     assert len(rules) > 200
