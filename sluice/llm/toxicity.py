@@ -5,14 +5,17 @@ and attention pools them; with the word's own embedding, if it is in the vocabul
 of the training sample, that is the word's input. A second such layer reads the
 words of a window and attention pools them into a logit. All windows of WINDOW
 words, one every STRIDE words and so overlapping, are scored, down to the end of the
-text; the document's logit is the largest, mapped to a chance by a logistic line over
-it and the number of windows, fitted on the training sample.
+text, so that any passage of up to WINDOW - STRIDE + 1 words lies whole in one; the
+document's logit is the largest, mapped to a chance by a logistic line over it and the
+number of windows, fitted on the training sample. Numbers beyond the sample's largest
+count as that.
 
 Training runs on the driver on a bounded sample (TRAIN_PER_CLASS rows of each label, of
 at most TRAIN_CHARS characters), weighted to the labels' true shares for the line.
 Weights are fitted to its texts of at most STEP_CHARS characters, first window by
 window, then document by document, and last with the worst windows of all clean
-texts as documents of their own.
+texts as documents of their own. A label without such texts gives spans of SPAN words
+of its longer ones, first any, then those about the largest logit.
 A word's projections are worked out once per Python worker and kept in a bounded
 table; windows of many documents run through the recurrence together.
 
@@ -36,7 +39,8 @@ from .labelled import remainder, training_rows
 TRAIN_PER_CLASS = 1000
 TRAIN_CHARS = 20_000
 STEP_CHARS = 3000
-WINDOW, STRIDE, WORD_BYTES = 40, 28, 12
+WINDOW, STRIDE, WORD_BYTES = 40, 20, 12
+SPAN = 5 * WINDOW
 CHAR_DIM, CHAR_HIDDEN, WORD_DIM, HIDDEN, ATTENTION = 8, 10, 8, 8, 8
 VOCABULARY = 4096
 EPOCHS, BATCH, RATE = 5, 24, 8e-3
@@ -224,7 +228,7 @@ class Network:
         self.q["ew"][0] = 0
         self.q["d"] = rng.normal(0, 1 / np.sqrt(2 * HIDDEN), 2 * HIDDEN).astype(np.float32)
         self.q["k"] = np.zeros(1, np.float32)
-        self.line = np.array([1.0, 0.0, 0.0])
+        self.line, self.most = np.array([1.0, 0.0, 0.0]), np.inf
 
     def _char_projections(self) -> tuple[np.ndarray, np.ndarray]:
         q = self.q
@@ -260,7 +264,7 @@ class Network:
 
     def chances(self, logits: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Chance of label 1 from the largest logit of a document and its number of windows."""
-        return 1 / (1 + np.exp(-np.clip(_line_inputs(logits, counts) @ self.line, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(_line_inputs(logits, np.minimum(counts, self.most)) @ self.line, -40, 40)))
 
 
 def _line_inputs(logits: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -365,9 +369,16 @@ def fit(texts_: list[str], y: np.ndarray, totals: dict[int, int], epochs: int =
     m = {k: np.zeros_like(v) for k, v in net.q.items()}
     s = {k: np.zeros_like(v) for k, v in net.q.items()}
     count, half = 0, BATCH // 2
-    for epoch in range(epochs if len(set(y[short].tolist())) == 2 else 0):
+    there = set(y[short].tolist())
+    longer = [i for i in range(len(y)) if y[i] not in there]
+    for epoch in range(epochs if len(set(y.tolist())) == 2 else 0):
         last = epoch == epochs - 1
         docs, goal = [every[i] for i in short], y[short]
+        if longer:
+            spans = [every[i] for i in longer]
+            at = _document_logits(net, spans)[2] if epoch else [int(rng.integers(len(d) or 1)) for d in spans]
+            docs = docs + [d[max(0, k - SPAN // 2) :][:SPAN] for d, k in zip(spans, at)]
+            goal = np.concatenate([goal, y[longer]])
         clean = [d for d, label in zip(every, y) if label == 0 and d]
         if epoch:  # texts of a few words are rare in the sample
             at = rng.integers(0, [len(d) for d in clean])
@@ -410,7 +421,7 @@ def _fit_line(net: Network, logits: np.ndarray, counts: np.ndarray, y: np.ndarra
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         g = x.T @ (weight * (y - p)) - ridge * (w - prior)
         w = w + np.clip(np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(3), g), -2, 2)
-    net.line = w
+    net.line, net.most = w, counts.max()
 
 
 class Constant:

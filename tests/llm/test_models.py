@@ -61,6 +61,29 @@ def test_windows_cover_and_overlap():
         assert covered == set(range(n)) and all(b - a < toxicity.WINDOW for a, b in zip(starts, starts[1:]))
 
 
+def test_passages_lie_whole_in_a_window_and_counts_are_clamped():
+    for n in (41, 100, 163):
+        starts = toxicity.windows(n)
+        assert all(any(s <= k and k + 21 <= s + toxicity.WINDOW for s in starts) for k in range(n - 20))
+    net = toxicity.Network([])
+    net.line = np.array([1.0, 1.0, 0.0])
+    y = np.array([0, 0, 1, 1])
+    toxicity._fit_line(net, np.array([-2.0, -1.0, 1.0, 2.0]), np.array([1, 9, 2, 9]), y, {0: 2, 1: 2})
+    at = net.chances(np.zeros(3), np.array([9, 10, 10_000]))
+    assert at[0] == at[1] == at[2] and net.line[1] != 0
+
+
+@pytest.mark.parametrize("long_label", [0, 1])
+def test_a_label_of_long_texts_only_is_learned(long_label):
+    rng = np.random.default_rng(3)
+    plain = lambda n: " ".join(rng.choice(["the", "sea", "and", "sun", "was", "calm", "over", "all"], n))
+    texts = [plain(900 if label == long_label else 60) + (" vile scum rot " * (30 if long_label else 3) if label else "") for label in (0, 1) * 40]
+    y = np.array([0, 1] * 40)
+    net = toxicity.fit(texts, y, {0: 40, 1: 40}, epochs=20)
+    logits, counts, _ = toxicity._document_logits(net, [toxicity.words_of(t) for t in texts])
+    assert np.mean((logits > 0) == (y == 1)) > 0.9 and len(set(counts.tolist())) > 1
+
+
 def test_gam_is_a_sum_of_tables():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 3))
