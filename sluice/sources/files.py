@@ -109,10 +109,11 @@ def header_names(spark: SparkSession, path: str, spec: FeedContract, strict: boo
         if strict:
             raise ContractError(f"{spec.client}: a delimited file needs a header")
         return [c.source for c in spec.columns]
-    lines = spark.read.text(path, wholetext=False).limit(200 + spec.header_rows) if charset(spec.encoding) == "UTF-8" else None
-    if lines is not None:
-        found = [r.value for r in lines.collect()]
-        found = [x for x in found if x.strip() or not spec.skip_blank_lines]
+    if charset(spec.encoding) == "UTF-8":
+        lines = spark.read.text(path, wholetext=False)
+        if spec.skip_blank_lines:
+            lines = lines.filter(~is_blank(F.col("value")))
+        found = [r.value for r in lines.limit(spec.header_rows).collect()]
     else:
         found = frame(read_texts(spark, path, spec.encoding), spec.header_rows, 0, spec.skip_blank_lines).first()["header"]
     if len(found) < spec.header_rows:

@@ -145,3 +145,11 @@ def test_odd_lines(spark):
     got = {r.sample: r.body for r in files.frame(texts, 0, 0, skip_blank=False).collect()}
     assert got == {"a": ["x", "y", "z", "w"], "b": [], "c": ["", " "]}
     assert files.frame(texts, 0, 0).filter(F.col("sample") == "c").first().body == []
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "latin-1"])
+def test_a_header_after_many_blank_lines(spark, tmp_path, encoding):
+    path = tmp_path / "blank.csv"
+    path.write_text("\n \n" * 150 + "a,b\n\n1,2\n")
+    spec = replace(STRICT, encoding=encoding)
+    assert files.header_names(spark, str(path), spec) == ["a", "b"]
