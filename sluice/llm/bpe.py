@@ -9,12 +9,14 @@ use a linked list with a heap instead, which gives the same merges in n log n.
 
 The text is prepared as the vocabulary file says: special strings are cut out
 first, then NFC, white space, lower case, the splitting pattern and the byte
-alphabet. Texts of code points under 0x250, where NFC changes nothing, take a
-direct route; others have the library's own normaliser and splitter do that.
-A file that asks for anything else raises.
+alphabet. Texts that are of code points under 0x250 before and after lower-casing, where
+NFC changes nothing, take a direct route; others have the library's own normaliser and
+splitter do that. A file that asks for anything else raises.
 
 Null and empty texts have no ids; their decoded text is empty. Each row is encoded
-by itself: repeated rows and ids get equal results.
+by itself: repeated rows and ids get equal results, so there are no ties. A text of any
+length is encoded whole; words over LONG bytes are not cached. An empty table gives none.
+An input column named like a result column is left out of the output.
 """
 
 from __future__ import annotations
@@ -201,8 +203,10 @@ class WordBpe:
 
     def words(self, text: str) -> list[str]:
         """Words of a text without special strings."""
-        if not DIRECT.search(text):
-            return self.splitter.findall(text.lower())
+        low = text.lower()
+        # Some letters under 0x250, such as U+0186, have lower-case forms beyond it.
+        if text.isascii() or not (DIRECT.search(text) or DIRECT.search(low)):
+            return self.splitter.findall(low)
         ready = self.library.normalizer.normalize_str(text)
         parts = self.library.pre_tokenizer.pre_tokenize_str(ready)
         return [bytes(self.byte_of[c] for c in p).decode() for p, _ in parts]
