@@ -4,8 +4,6 @@ The rest have none: signature rules with suppression (1), trained models (2, 6),
 and word merges (3, 5), page parsing (4) and XXH64 (8); tests hold them against brute force.
 """
 
-from .quality_rules import HOST_LIMIT, LEAST_STRENGTH, MAX_DUP_LINE_SHARE, MAX_MEAN_WORD, MAX_SYMBOL_SHARE, MIN_MEAN_WORD
-
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -21,9 +19,7 @@ OP10 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT
   FROM d LEFT JOIN cover ON cover.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
 
 _RULES = ("base", "symbols", "dup_lines", "word_length")
-_SHRUNK = " OR ".join(
-    f"({r}_k + {r}_m * {r}_s) / (n + {r}_s) > {HOST_LIMIT}" for r in _RULES
-)
+_CONDEMNED = " OR ".join(f"{r}_p - {r}_m > 1.5 * sqrt({r}_p * (1 - {r}_p) / (n + {r}_s + 1))" for r in _RULES)
 
 OP9 = rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x FROM documents),
   w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, [l FOR l IN string_split(x, chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines FROM t),
@@ -33,12 +29,13 @@ OP9 = rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x FROM docume
   m AS (SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words FROM w LEFT JOIN cover ON cover.doc_id = w.doc_id),
-  f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base, n_symbols > {MAX_SYMBOL_SHARE} * word_chars AS symbols,
-    n_dup_lines > {MAX_DUP_LINE_SHARE} * n_lines AS dup_lines, word_chars < {MIN_MEAN_WORD} * n_words OR word_chars > {MAX_MEAN_WORD} * n_words AS word_length FROM m),
+  f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base, n_symbols > 0.1 * word_chars AS symbols,
+    n_dup_lines > 0.3 * n_lines AS dup_lines, word_chars < 2 * n_words OR word_chars > 15 * n_words AS word_length FROM m),
   h AS (SELECT source, COUNT(*) AS n, {", ".join(f"CAST(SUM(CAST({r} AS INT)) AS DOUBLE) AS {r}_k" for r in _RULES)} FROM f GROUP BY source),
   p AS (SELECT {", ".join(f"AVG({r}_k / n) AS {r}_m, VAR_POP({r}_k / n) AS {r}_v" for r in _RULES)} FROM h),
-  s AS (SELECT {", ".join(f"{r}_m, CASE WHEN {r}_v > 1e-12 THEN greatest({LEAST_STRENGTH}, {r}_m * (1 - {r}_m) / {r}_v - 1) ELSE 1e12 END AS {r}_s" for r in _RULES)} FROM p),
-  c AS (SELECT source, {_SHRUNK} AS condemned FROM h, s)
+  s AS (SELECT {", ".join(f"{r}_m, CASE WHEN {r}_v > 1e-12 THEN greatest(5.0, {r}_m * (1 - {r}_m) / {r}_v - 1) ELSE 1e12 END AS {r}_s" for r in _RULES)} FROM p),
+  k AS (SELECT h.*, s.*, {", ".join(f"({r}_k + {r}_m * {r}_s) / (n + {r}_s) AS {r}_p" for r in _RULES)} FROM h, s),
+  c AS (SELECT source, {_CONDEMNED} AS condemned FROM k)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed,
     NOT base AND NOT (condemned AND (base OR symbols OR dup_lines OR word_length)) AS kept FROM f JOIN c ON f.source IS NOT DISTINCT FROM c.source"""
 

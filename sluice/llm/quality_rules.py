@@ -1,15 +1,20 @@
 """Quality rules with host-level verdicts, in DataFrame functions only.
 
 Each document is measured and put to RULES. Failures are counted per host (column
-`source`), each host's failure rate of a rule is shrunk towards the rate of all
-hosts with a beta prior fitted by moments over the hosts, and a host is condemned
-if a shrunk rate exceeds HOST_LIMIT. The verdicts are joined back to the documents:
-a document of a condemned host is kept only if it passes every rule itself; any
-other one is kept unless the base rule fails.
-
-Null texts have no words, so the base rule fails. A null host is a host like any
-other. Each row is judged by itself; repeated rows count repeatedly for their host.
-An empty table gives none.
+`source`), and each host's failure rate of a rule is shrunk towards the mean rate with
+a beta prior fitted by moments over the hosts. A host is condemned if a shrunk rate
+lies above the prior's mean by more than DEVIATIONS of its own posterior's standard
+deviations: the limit follows from the data, so rates that are high everywhere condemn
+nobody, and a host that stands out is condemned at a low rate, too. The verdicts
+are joined back to the documents: a document of a condemned host is kept only if it
+passes every rule itself; any other one is kept unless the base rule fails. So a
+document without a failure is always kept.
+
+Null texts have no words, so the base rule fails; so do empty ones. A text of any length
+is measured whole, in one row of one task. A null host is a host like any other, and a host
+with a third of all rows is pre-counted in each task. Each row is judged by itself; repeated
+rows count repeatedly for their host, and a rate at the limit (a tie) condemns nobody. An
+empty table gives none. Only the columns named are read, so that others may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from .staging import settle
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-HOST_LIMIT = 0.5
+DEVIATIONS = 1.5
 #: The prior counts for at least so many documents, so that one failure doesn't condemn a small host.
 LEAST_STRENGTH = 5.0
 #: Rules besides the base rule: a document fails if the condition holds.
@@ -51,12 +56,20 @@ def repeated_words(words: Column) -> Column:
         own = F.transform(places, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(places, k + 1) - p, F.lit(WINDOW))))
         return F.aggregate(own, F.lit(0), lambda a, x: a + x)
 
-    def repeats(ordered: Column) -> Column:
-        twice = F.filter(
+    def neighbours(ordered: Column, field: str) -> Column:
+        """Of structs sorted by a field, those that share it with another one."""
+        return F.filter(
             ordered,
-            lambda x, k: (F.coalesce(F.get(ordered, k - 1)["h"] == x["h"], F.lit(False)))
-            | (F.coalesce(F.get(ordered, k + 1)["h"] == x["h"], F.lit(False))),
+            lambda x, k: F.coalesce(F.get(ordered, k - 1)[field] == x[field], F.lit(False))
+            | F.coalesce(F.get(ordered, k + 1)[field] == x[field], F.lit(False)),
+        )
+
+    def repeats(ordered: Column) -> Column:
+        # Equal hashes, then equal words: a clash of hashes makes no repeat.
+        said = F.transform(
+            neighbours(ordered, "h"), lambda x: F.struct(F.concat_ws(" ", *(F.get(words, x["i"] + k) for k in range(WINDOW))).alias("w"), x["i"].alias("i"))
         )
+        twice = let(F.sort_array(said), lambda o: neighbours(o, "w"))
         return let(F.sort_array(F.transform(twice, lambda x: x["i"])), covered)
 
     def count(h: Column) -> Column:
@@ -118,7 +131,8 @@ def host_verdicts(failed: DataFrame) -> DataFrame:
     for r in names:
         m, v = moments[f"{r}_m"] or 0.0, moments[f"{r}_v"] or 0.0
         strength = max(LEAST_STRENGTH, m * (1 - m) / v - 1) if v > 1e-12 else 1e12
-        condemned = condemned | ((F.col(r) + m * strength) / (F.col("n") + strength) > HOST_LIMIT)
+        shrunk, weight = (F.col(r) + m * strength) / (F.col("n") + strength), F.col("n") + strength
+        condemned = condemned | (shrunk - m > DEVIATIONS * F.sqrt(shrunk * (1 - shrunk) / (weight + 1)))
     return rates.select("host", condemned.alias("condemned"))
 
 
