@@ -2,15 +2,19 @@
 
 A text is lower-cased (A-Z), reduced to words with single spaces, and put to the
 rules if one of GATES occurs in it. Each rule has a keyword that must occur before
-its pattern is tried. Rules and their matches carry a priority. A detection inside
-a longer one falls, and so does one with the same extent and a later priority;
-partly overlapping ones both stay.
+its pattern is tried. Rules and their matches carry a priority. Detections are
+resolved in the order of the text: one inside another falls (of equal extents the one
+of weaker priority; a tie of both falls to the later label), and of two that overlap in
+part the one of stronger priority stays, the earlier one at equal priorities. What is left
+doesn't overlap.
 
 The rules are data: each license has hand-written names, and FORMS turn a name into
 signatures of falling confidence. TEXTS are hand-written patterns for grants,
 conditions, file notices and links, which need no name.
 
-Null and empty texts have no words and no detections. Rows are scanned by themselves.
+Null and empty texts have no words and no detections. A text of any length is scanned whole,
+in one row of one task. Rows are scanned by themselves, so repeated rows get equal results. An
+empty table gives none. An input column named like a result column is left out of the output.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 #: Any match of a signature or of BASE holds one of these.
-GATES = ("licen", "spdx", "gpl", "cc by", "cc0", "bsd", "public domain", "rights reserved", "software", "hereby granted", "copyright", "redistribution and use")
+GATES = ("licen", "spdx", "gpl", "cc by", "cc0", "bsd", "public domain", "rights reserved", "software", "hereby granted", "copyright", "redistribution and use", "library exception", "of the mpl was", "gfdl")
 
 #: Label, keyword, and names as patterns over single-spaced words.
 NAMES = [
@@ -121,6 +125,89 @@ NAMES = [
     ("afl-3.0", "academic free", r"academic free licen[cs]e(?: (?:version|v)? ?3 0)?"),
     ("osl-3.0", "open software", r"open software licen[cs]e(?: (?:version|v)? ?3 0)?"),
     ("upl-1.0", "universal permissive", r"universal permissive licen[cs]e(?: (?:version|v)? ?1 0)?"),
+    ("gpl-1.0", "gpl", r"gnu gpl ?v?1(?: 0)?"),
+    ("gpl-2.0", "gpl", r"gpl 2 0(?: only| or later)?"),
+    ("gpl-3.0", "gpl", r"gpl 3 0(?: only| or later)?"),
+    ("gpl-2.0-classpath", "classpath exception", r"gpl(?: v?2(?: 0)?)? with (?:the )?classpath exception"),
+    ("gpl-3.0-gcc", "runtime library exception", r"gcc runtime library exception"),
+    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl ?v?2(?: 0)?"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?v?2 1(?: only| or later)?"),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl ?v?3(?: 0)?(?: only| or later)?"),
+    ("agpl-1.0", "affero", r"affero general public licen[cs]e (?:version |v ?)?1(?: 0)?"),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl ?v?3(?: 0)?(?: only| or later)?"),
+    ("gfdl-1.1", "gfdl", r"gfdl ?v?1 1"),
+    ("gfdl-1.2", "gfdl", r"gfdl ?v?1 2"),
+    ("gfdl-1.3", "gfdl", r"gfdl ?v?1 3"),
+    ("apache-2.0", "asl", r"asl ?v?2(?: 0)? licen[cs]e"),
+    ("cc-by-nc-1.0", "cc by nc", r"cc by nc 1 0"),
+    ("cc-by-nc-2.5", "cc by nc", r"cc by nc 2 5"),
+    ("cc-by-nd-2.0", "cc by nd", r"cc by nd 2 0"),
+    ("cc-by-nd-2.5", "cc by nd", r"cc by nd 2 5"),
+    ("cc-by-nc-sa-2.0", "cc by nc sa", r"cc by nc sa 2 0"),
+    ("cc-by-nc-sa-2.5", "cc by nc sa", r"cc by nc sa 2 5"),
+    ("cc-by-nc-nd-2.0", "cc by nc nd", r"cc by nc nd 2 0"),
+    ("cc-by-nc-nd-2.5", "cc by nc nd", r"cc by nc nd 2 5"),
+    ("cc-by-2.0", "commons attribution", r"creative commons attribution 2 0(?: generic)? licen[cs]e"),
+    ("cc-by-2.5", "commons attribution", r"creative commons attribution 2 5(?: generic)? licen[cs]e"),
+    ("cc-by-sa-2.0", "commons attribution", r"creative commons attribution share ?alike 2 0(?: generic)? licen[cs]e"),
+    ("cc-by-nc-3.0", "commons attribution", r"creative commons attribution non ?commercial 3 0(?: unported)? licen[cs]e"),
+    ("cc-by-nd-4.0", "commons attribution", r"creative commons attribution no ?deriv(?:ative)?s 4 0(?: international)? licen[cs]e"),
+    ("cc-by-nc-sa-4.0", "commons attribution", r"creative commons attribution non ?commercial share ?alike 4 0(?: international)?(?: public)? licen[cs]e"),
+    ("cc-by-nc-sa-3.0", "commons attribution", r"creative commons attribution non ?commercial share ?alike 3 0(?: unported)? licen[cs]e"),
+    ("cc-by-nc-nd-4.0", "commons attribution", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s 4 0(?: international)?(?: public)? licen[cs]e"),
+    ("cc-by-nc-nd-3.0", "commons attribution", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s 3 0(?: unported)? licen[cs]e"),
+    ("cc0-1.0", "creative commons", r"creative commons (?:zero|cc0)(?: 1 0)?(?: universal)? licen[cs]e"),
+    ("cc-pddc", "public domain dedication", r"creative commons public domain dedication(?: and certification)?"),
+    ("bsd-2-clause-patent", "bsd", r"bsd 2 clause plus patent(?: licen[cs]e)?"),
+    ("bsd-3-clause-clear", "bsd", r"(?:bsd 3 clause clear|clear bsd)(?: licen[cs]e)?"),
+    ("bsd-3-clause-lbnl", "bsd", r"(?:lawrence berkeley national labs? bsd|bsd 3 clause lbnl)(?: variant)?(?: licen[cs]e)?"),
+    ("bsd-source-code", "bsd", r"bsd source code attribution(?: licen[cs]e)?"),
+    ("mpl-2.0", "mpl", r"mpl ?v?2 0 licen[cs]e"),
+    ("npl-1.0", "netscape", r"netscape public licen[cs]e(?: (?:version|v))? ?1 0"),
+    ("npl-1.1", "netscape", r"netscape public licen[cs]e(?: (?:version|v))? ?1 1"),
+    ("cddl-1.1", "common development", r"common development and distribution licen[cs]e (?:version |v ?)?1 1"),
+    ("cpal-1.0", "common public attribution", r"common public attribution licen[cs]e(?: (?:version|v)? ?1 0)?"),
+    ("ipl-1.0", "ibm public", r"ibm public licen[cs]e(?: (?:version|v)? ?1 0)?"),
+    ("lpl-1.02", "lucent", r"lucent public licen[cs]e(?: (?:version|v)? ?1 02)?"),
+    ("qpl-1.0", "q public", r"q public licen[cs]e(?: (?:version|v)? ?1 0)?"),
+    ("apsl-2.0", "apple public", r"apple public source licen[cs]e(?: (?:version|v)? ?2 0)?"),
+    ("sissl", "industry standards", r"sun industry standards source licen[cs]e(?: 1 [12])?"),
+    ("spl-1.0", "sun public", r"sun public licen[cs]e(?: (?:version|v)? ?1 0)?"),
+    ("rpl-1.5", "reciprocal public", r"reciprocal public licen[cs]e(?: (?:version|v)? ?1 5)?"),
+    ("osl-2.1", "open software", r"open software licen[cs]e (?:version |v ?)?2 1"),
+    ("afl-2.1", "academic free", r"academic free licen[cs]e (?:version |v ?)?2 1"),
+    ("ecl-2.0", "educational community", r"educational community licen[cs]e(?: (?:version|v)? ?2 0)?"),
+    ("cecill-2.1", "cecill", r"cecill(?: free software)? licen[cs]e(?: agreement)?(?: (?:version|v)? ?2 1)?"),
+    ("cecill-b", "cecill", r"cecill b(?: free software)? licen[cs]e(?: agreement)?"),
+    ("cecill-c", "cecill", r"cecill c(?: free software)? licen[cs]e(?: agreement)?"),
+    ("mulanpsl-2.0", "mulan", r"mulan permissive software licen[cs]e(?: ?v?2)?"),
+    ("lppl-1.3c", "latex project", r"latex project public licen[cs]e(?: (?:version|v)? ?1 3c?)?"),
+    ("zpl-2.1", "zope", r"zope public licen[cs]e(?: (?:version|v)? ?2 1)?"),
+    ("w3c", "w3c", r"w3c software(?: and document)?(?: notice and)? licen[cs]e"),
+    ("unicode-3.0", "unicode", r"unicode licen[cs]e(?: agreement)?(?: v ?3)?"),
+    ("vim", "vim", r"vim licen[cs]e"),
+    ("tcl", "tcl", r"tcl(?: tk)? licen[cs]e"),
+    ("sleepycat", "sleepycat", r"sleepycat licen[cs]e"),
+    ("nasa-1.3", "nasa", r"nasa open source agreement licen[cs]e(?: 1 3)?"),
+    ("intel", "intel", r"intel open source licen[cs]e"),
+    ("naist-2003", "nara institute", r"nara institute(?: of science and technology)? licen[cs]e"),
+    ("ipa", "ipa font", r"ipa font licen[cs]e"),
+    ("bitstream-vera", "bitstream", r"bitstream vera font licen[cs]e"),
+    ("freetype", "freetype", r"freetype(?: project)? licen[cs]e"),
+    ("ijg", "jpeg group", r"independent jpeg group licen[cs]e"),
+    ("beerware", "beer", r"beer ?ware licen[cs]e"),
+    ("json", "json", r"json licen[cs]e"),
+    ("hpnd", "historical permission", r"historical permission notice and disclaimer licen[cs]e"),
+    ("odc-by-1.0", "open data commons", r"open data commons attribution licen[cs]e(?: v?1 0)?"),
+    ("cdla-permissive-2.0", "community data", r"community data licen[cs]e agreement permissive(?: (?:version|v)? ?2 0)?"),
+    ("cdla-sharing-1.0", "community data", r"community data licen[cs]e agreement sharing(?: (?:version|v)? ?1 0)?"),
+    ("ogl-uk-3.0", "open government", r"open government licen[cs]e(?: v?3 0)?"),
+    ("etalab-2.0", "etalab", r"(?:licence ouverte|open licen[cs]e) etalab(?: 2 0)?"),
+    ("sspl-1.0", "server side", r"server side public licen[cs]e(?: (?:version|v)? ?1)?"),
+    ("elastic-2.0", "elastic", r"elastic licen[cs]e(?: (?:version|v)? ?2(?: 0)?)?"),
+    ("polyform-noncommercial", "polyform", r"polyform non ?commercial licen[cs]e(?: 1 0 0)?"),
+    ("openrail", "rail", r"(?:creativeml )?open rail(?: m)? licen[cs]e"),
+    ("bigscience-rail-1.0", "rail", r"bigscience rail licen[cs]e(?: v?1 0)?"),
     ("public-domain", "public domain", r"(?:released|placed|dedicated) (?:in)?to the public domain"),
     ("all-rights-reserved", "rights reserved", r"all rights reserved"),
 ]
@@ -167,6 +254,18 @@ TEXTS = [
     ("unlicense", "software", r"this is free and unencumbered software released into the public domain"),
     ("unlicense", "software", r"anyone is free to copy modify publish use compile sell or distribute this software"),
     ("cc0-1.0", "copyright", r"to the extent possible under law (?:[^ ]+ ){1,12}has waived all copyright and related or neighbou?ring rights"),
+    ("bsd-2-clause", "software", r"this software is provided by the (?:copyright holders|regents|authors?) and contributors as is and any express or implied warranties"),
+    ("mit", "software", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mpl-2.0", "of the mpl was", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("cddl-1.0", "licen", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("apache-2.0", "licen", r"licensed to the apache software foundation asf under one or more contributor licen[cs]e agreements"),
+    ("gpl-2.0", "licen", r"you should have received a copy of the gnu general public licen[cs]e along with this program if not write to the free software foundation"),
+    ("gpl-3.0", "licen", r"you should have received a copy of the gnu general public licen[cs]e along with this program if not see"),
+    ("lgpl", "licen", r"you should have received a copy of the gnu lesser general public licen[cs]e along with this (?:library|program)"),
+    ("agpl-3.0", "licen", r"you should have received a copy of the gnu affero general public licen[cs]e along with this program"),
+    ("cc-by-4.0", "licen", r"this work is licen[cs]ed under a creative commons attribution 4 0 international licen[cs]e"),
+    ("public-domain", "public domain", r"this (?:file|work|software) (?:is|has been placed) in the public domain"),
+    ("proprietary", "licen", r"this software (?:contains|includes) confidential and proprietary information (?:[^ ]+ ){1,12}licen[cs]e"),
     ("mit", "opensource org", r"opensource org licen[cs]es? mit"),
     ("apache-2.0", "apache org", r"apache org licen[cs]es licen[cs]e 2 0"),
     ("gpl-2.0", "gnu org", r"gnu org licen[cs]es (?:old licen[cs]es )?gpl 2 0"),
@@ -238,17 +337,37 @@ def _detections(norm: Column, rules: Column) -> Column:
 
 
 def _resolve(found: Column) -> Column:
-    """(labels, confidence) of the detections that no other one holds."""
-    return F.aggregate(
-        F.sort_array(found),
-        F.struct(F.lit(-1).alias("reach"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("confidence")),
-        lambda acc, x: F.when(
-            acc["reach"] < -x["b"],
-            F.struct((-x["b"]).alias("reach"), F.array_union(acc["labels"], F.array(x["label"])).alias("labels"), F.greatest(acc["confidence"], x["confidence"]).alias("confidence")),
-        ).otherwise(acc),
-        lambda acc: F.struct(acc["labels"].alias("labels"), acc["confidence"].alias("confidence")),
+    """(labels, confidence) of what is left of the detections: one pass over them in the order of the text."""
+    fields = ("a", "b", "priority", "label", "confidence")
+
+    def state(x, end: Column, labels: Column, confidence: Column) -> Column:
+        held = {"a": x["a"], "b": end, "priority": x["priority"], "label": x["label"], "confidence": x["confidence"]}
+        return F.struct(*(held[f].alias(f) for f in fields), labels.alias("labels"), confidence.alias("best"))
+
+    def closed(acc: Column) -> tuple[Column, Column]:
+        """Labels and best confidence with those of the detection held."""
+        return F.when(acc["b"] > 0, F.array_union(acc["labels"], F.array(acc["label"]))).otherwise(acc["labels"]), F.greatest(acc["best"], acc["confidence"])
+
+    def step(acc: Column, x: Column) -> Column:
+        end = -x["b"]
+        stronger = state(x, end, acc["labels"], acc["best"])
+        after = state(x, end, *closed(acc))
+        return (
+            F.when(end <= acc["b"], acc).when((x["a"] < acc["b"]) & (x["priority"] >= acc["priority"]), acc)
+            .when(x["a"] < acc["b"], stronger).otherwise(after)
+        )
+
+    nothing = F.struct(
+        F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("priority"), F.lit("").alias("label"), F.lit(0.0).alias("confidence"),
+        F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("best"),
     )
 
+    def out(acc: Column) -> Column:
+        labels, best = closed(acc)
+        return F.struct(labels.alias("labels"), best.alias("confidence"))
+
+    return F.aggregate(F.sort_array(found), nothing, step, out)
+
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` with n_words, n_base, first_word, last_word, base_labels (array), labels (array) and score."""
