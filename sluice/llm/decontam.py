@@ -1,26 +1,28 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Items and documents are lower-cased (A-Z) and cut into words; every window of
-WINDOW item words (a shorter item: all of it) is a pattern, its words joined and
-enclosed by single spaces. A document's normalised bytes are scanned once; ends of
-matches are mapped to word numbers, and those to offsets of the original text.
-
-Patterns of at most BLOCK_BYTES of items make one automaton, which each Python
-worker builds from a broadcast list. A benchmark beyond that is taken in blocks of
-items: the documents pass one automaton after another in the same stage, without
-a shuffle, and hits are carried along and merged. So nothing that is broadcast
-outgrows BLOCK_BYTES times a constant, and no item is left out.
-
-Null and empty texts have no words and no hits; items without words have no
-window; items with equal texts are all reported; items without an id hit like any
-other and come out as one null at the end of `items`; repeated rows are judged one
-by one; an empty benchmark leaves every document clean.
+WINDOW item words (a shorter item: all of it) is a pattern: a sequence of word numbers, as
+a trie over words takes a fifth of the memory of one over their characters. A document's
+words, numbered alike (a word of no item: 0), are scanned once; ends of matches are word
+positions, which are mapped to offsets of the original text.
+
+Items of up to BLOCK_BYTES make one automaton, which each Python worker builds from a
+broadcast list. A larger benchmark is taken in blocks of items: one automaton after another
+is put to the settled documents in a job of its own, so that the driver and a worker hold one
+block at a time; only documents with hits come out of it, by row number, and their hits are
+brought together per row and joined back. No item is left out.
+
+Null and empty texts have no words and no hits; a text of any length is scanned whole. Items
+without words have no window; items with equal texts (ties) are all reported; items without
+an id hit like any other and come out as one null at the end of `items`; repeated rows are
+judged one by one; an empty benchmark leaves every document clean, and an empty table gives
+none. An input column named like a result column is left out of the output.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import byte_texts, col, map_texts
+from .staging import settle
 
 WINDOW = 10
-BLOCK_BYTES = 4 << 20
+#: An automaton takes some 100 bytes of memory a byte of items.
+BLOCK_BYTES = 2 << 20
 
 #: A-Z to a-z; 0-9, a-z and every byte of a multi-byte character stay; the rest is a space.
 WORD_TABLE = bytes(
@@ -58,18 +62,18 @@ def windows(items: list[tuple[str | None, bytes]]) -> dict[bytes, tuple[int, lis
 
 
 def automaton(key: str, items: list[tuple[str | None, bytes]]):
-    """The automaton and its patterns, once per process."""
+    """The automaton, its patterns and the numbers of its words, once per process."""
     if key not in _built:
         import ahocorasick
 
         _built.clear()
-        found, values = ahocorasick.Automaton(), []
+        found, values, numbers = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), [], {}
         for pattern, value in windows(items).items():
-            found.add_word(pattern.decode("latin-1"), len(values))
+            found.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in pattern.split()), len(values))
             values.append(value)
         if values:
             found.make_automaton()
-        _built[key] = (found, values)
+        _built[key] = (found, values, numbers)
     return _built[key]
 
 
@@ -91,13 +95,60 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str | None, bytes]]]:
-    rows = benchmark.select(col(item).cast("string").alias("i"), F.coalesce(col(text).cast("string"), F.lit("")).alias("t"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = max(1, -(-int(size) // BLOCK_BYTES))
-    for b in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield [(r.i, r.t.encode()) for r in part.collect()]
+def _block_count(items: DataFrame) -> int:
+    """How many blocks of about BLOCK_BYTES the items (i, t) make."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    return max(1, -(-int(size) // BLOCK_BYTES))
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPANS = "array<struct<start:long,end:long>>"
+OUT = [("n_words", "long"), ("n_hit", "long"), ("items", "array<string>"), ("spans", _SPANS), ("word_spans", _SPANS)]
+
+
+def _pairs(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in spans]
+
+
+def _kernel(found, values, numbers):
+    """Arrays of OUT for texts and, if given, for hits that are known already (ids and word spans, or null)."""
+
+    zeros = repeat(0)
+
+    def kernel(array: pa.Array, known_items=None, known_spans=None):
+        n_words, n_hit, ids, chars, words = [], [], [], [], []
+        for i, raw in enumerate(byte_texts(array)):
+            split, names, spans = words_of(raw), set(), []
+            if known_items is not None:
+                names.update(known_items[i].as_py() or ())
+                spans += [(x["start"], x["end"]) for x in known_spans[i].as_py() or ()]
+            if values and split:
+                for end, v in found.iter(tuple(map(numbers.get, split, zeros))):
+                    spans.append((end + 1 - values[v][0], end + 1))
+                    names.update(values[v][1])
+            spans = merged(spans)
+            n_words.append(len(split))
+            n_hit.append(sum(b - a for a, b in spans))
+            ids.append(sorted(names, key=lambda x: (x is None, x or "")))
+            words.append(_pairs(spans))
+            if spans:
+                starts, stops = word_starts(raw)
+                lead = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+                spans = [(int(lead[starts[a]]), int(lead[stops[b - 1]])) for a, b in spans]
+            chars.append(_pairs(spans))
+        return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(chars, SPANS), pa.array(words, SPANS)]
+
+    return kernel
+
+
+def _put_to(docs: DataFrame, text: str, items: list[tuple[str | None, bytes]], keep: list[str]):
+    """OUT of every row for one block of items, and the broadcast list."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # about BLOCK_BYTES
+
+    def factory():
+        return _kernel(*automaton(key, shared.value))
+
+    return map_texts(docs, text, OUT, factory, keep), shared
 
 
 def find_leaks(
@@ -106,58 +157,23 @@ def find_leaks(
 ) -> DataFrame:
     """Columns `keep` with n_words, n_hit, items (sorted ids with occurring windows, null last) and
     spans (hit stretches as code point offsets of the original text, half-open)."""
-    spark = docs.sparkSession
-    out = [("n_words", "long"), ("n_hit", "long"), ("items", "array<string>"), ("spans", "array<struct<start:long,end:long>>"), ("word_spans", "array<struct<start:long,end:long>>")]
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    frame, names = docs, list(keep)
-    if text not in names:
-        names.append(text)
-    frame = docs.select(*names)
-    blocks = list(_blocks(benchmark, item, item_text))
-    for number, items in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(items)
-        carried = ["_items", "_words"] if number else []
-        last = number == len(blocks) - 1
-
-        def factory(shared=shared, key=uuid.uuid4().hex):
-            found, values = automaton(key, shared.value)
-
-            def kernel(array, old_items=None, old_words=None):
-                n_words, n_hit, ids, chars, words = [], [], [], [], []
-                before = zip(old_items.to_pylist(), old_words.to_pylist()) if old_items is not None else None
-                for raw in byte_texts(array):
-                    split = words_of(raw)
-                    names, spans = set(), []
-                    if before is not None:
-                        x, y = next(before)
-                        names.update(x)
-                        spans += [(s["start"], s["end"]) for s in y]
-                    n_words.append(len(split))
-                    if values and split:
-                        plain = b" " + b" ".join(split) + b" "
-                        hits = list(found.iter(plain.decode("latin-1")))
-                        if hits:
-                            gaps = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
-                            ends = np.searchsorted(gaps, [e for e, _ in hits]).tolist()
-                            for end, (_, v) in zip(ends, hits):
-                                spans.append((end - values[v][0], end))
-                                names.update(values[v][1])
-                    spans = merged(spans)
-                    n_hit.append(sum(b - a for a, b in spans))
-                    ids.append(sorted(names, key=lambda x: (x is None, x or "")))
-                    words.append([{"start": a, "end": b} for a, b in spans])
-                    if spans:
-                        starts, stops = word_starts(raw)
-                        lead = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
-                        chars.append([{"start": int(lead[starts[a]]), "end": int(lead[stops[b - 1]])} for a, b in spans])
-                    else:
-                        chars.append([])
-                return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(chars, spans_type), pa.array(words, spans_type)]
-
-            return kernel
-
-        frame = map_texts(frame, text, out, factory, [n for n in names if n in frame.columns], carried)
-        if not last:
-            frame = frame.select(*names, F.col("items").alias("_items"), F.col("word_spans").alias("_words"))
-    result = [n for n in keep if n not in {x for x, _ in out}]
-    return frame.select(*result, "n_words", "n_hit", "items", "spans")
+    names = [n for n in keep if n.lower() not in {x for x, _ in OUT}]
+    items = benchmark.select(col(item).cast("string").alias("i"), F.coalesce(col(item_text).cast("string"), F.lit("")).alias("t"))
+    n = _block_count(items)
+    if n == 1:
+        found, _ = _put_to(docs, text, [(r.i, r.t.encode()) for r in items.collect()], names)
+        return found.select(*map(col, names), "n_words", "n_hit", "items", "spans")
+    kept = [f"_k{i}" for i in range(len(names))]
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), col(text).cast("string").alias("_text"), *(col(x).alias(k) for x, k in zip(names, kept)))
+    rows = settle(rows, "documents")  # so that a row keeps its number
+    hits = None
+    for b in range(n):
+        block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
+        found, shared = _put_to(rows, "_text", [(r.i, r.t.encode()) for r in block], ["_row"])
+        part = settle(found.filter("n_hit > 0").select("_row", "items", "word_spans"), "hits")
+        shared.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    hits = hits.groupBy("_row").agg(F.flatten(F.collect_list("items")).alias("_items"), F.flatten(F.collect_list("word_spans")).alias("_words"))
+    joined = rows.join(hits, "_row", "left")
+    whole = map_texts(joined, "_text", OUT, lambda: _kernel(None, None, None), kept, ("_items", "_words"))
+    return whole.select(*(col(k).alias(x) for x, k in zip(names, kept)), "n_words", "n_hit", "items", "spans")
