@@ -7,12 +7,13 @@ pre-tokens: a run of spaces and what follows it up to the next space. That is
 checked when the model is loaded; another model raises.
 
 Tier one is a table of frequent pre-tokens and their lengths, broadcast as one
-packed blob; it is built from a bounded sample of rows and only decides speed.
+packed blob; it is built from the first rows of the table and only decides speed.
 Tier two encodes what the table misses and keeps it in a cache of the Python
 worker. No pre-token is ever shuffled.
 
-Null and empty texts have no tokens. Each row counts by itself: repeated rows
-and repeated ids get equal counts. Results do not depend on other columns.
+Null and empty texts have no tokens. A text of any length is counted whole. Each row counts
+by itself: repeated rows and repeated ids get equal counts, so there are no ties. An empty
+table gives none. An input column named like a result column is left out of the output.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import byte_texts, map_texts
+from .arrow import byte_texts, col, map_texts
 
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 20_000
@@ -86,12 +87,12 @@ def unpack_table(blob: bytes) -> dict[str, int]:
 
 
 def frequent_table(docs: DataFrame, text: str, path: str) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of about SAMPLE_ROWS rows."""
-    total = docs.count()
-    if not total:
-        return {}
-    sample = docs.select(F.col(text).cast("string").alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
-    rows = sample.sample(fraction=min(1.0, SAMPLE_ROWS / total), seed=7).limit(2 * SAMPLE_ROWS).collect()
+    """Lengths of the most frequent pre-tokens of the first SAMPLE_ROWS rows of at most SAMPLE_CHARS characters.
+
+    Spark takes these from the first files and stops there: the table is not scanned for them.
+    """
+    said = col(text).cast("string").alias("t")
+    rows = docs.select(said).filter(F.length("t") <= SAMPLE_CHARS).limit(SAMPLE_ROWS).collect()
     seen: Counter[str] = Counter()
     for (t,) in rows:
         seen.update(pre_tokens(t))
