@@ -7,10 +7,12 @@ their own from trees over both. A score is the logistic of an intercept and of
 look-ups: a few vectorised additions per document.
 
 The model is fitted on the driver on a bounded sample (TRAIN_PER_CLASS rows of each
-label, of at most TRAIN_CHARS characters), weighted to the labels' true shares.
-Every document is scored on its whole text. Null and empty texts have all measures
-0 and get a score like any other. Without labels of both kinds every score is the
-share of label 1, or 0.5 if there are none. Repeated rows get equal scores.
+label, whole texts of any length; labelled.py has the bound on their sum), weighted to the
+labels' true shares. Every document is scored on its whole text, however long: measures are
+counts of a pass over its bytes. Null and empty texts have all measures 0 and get a score
+like any other. Without labels of both kinds every score is the share of label 1, or 0.5 if
+there are none. Repeated rows get equal scores; a value on a bin's edge falls in the upper
+bin. An empty table gives none. An input column named score is left out of the output.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from .arrow import byte_texts, map_texts
 from .labelled import remainder, training_rows
 
 TRAIN_PER_CLASS = 3000
-TRAIN_CHARS = 40_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE, RIDGE, LEAVES = 150, 60, 0.1, 2.0, 3
 THRESHOLD = 0.7
@@ -169,7 +170,7 @@ class Gam:
 
 def train(documents: DataFrame, labels: DataFrame, target: str = "quality") -> Gam:
     """The model of documents whose id's remainder is not held out."""
-    rows: pd.DataFrame = training_rows(documents, labels, target, MODULUS, HELD_OUT, TRAIN_PER_CLASS, TRAIN_CHARS)
+    rows: pd.DataFrame = training_rows(documents, labels, target, MODULUS, HELD_OUT, TRAIN_PER_CLASS)
     known = labels.filter(remainder(F.col("doc_id"), MODULUS) != HELD_OUT).groupBy(target).count()
     totals = {r[0]: r[1] for r in known.collect() if r[0] in (0, 1)}
     y = rows["y"].to_numpy()

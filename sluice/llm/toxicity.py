@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Two levels. A bidirectional recurrent layer reads the characters (bytes) of a word
-and attention pools them; with the word's own embedding, if it is in the vocabulary
+Two levels. A bidirectional recurrent layer reads the characters of a word (its letters
+and digits, as bytes; other ASCII characters part words and are not read) and attention
+pools them; with the word's own embedding, if it is in the vocabulary
 of the training sample, that is the word's input. A second such layer reads the
 words of a window and attention pools them into a logit. All windows of WINDOW
 words, one every STRIDE words and so overlapping, are scored, down to the end of the
@@ -10,18 +11,21 @@ document's logit is the largest, mapped to a chance by a logistic line over it a
 number of windows, fitted on the training sample. Numbers beyond the sample's largest
 count as that.
 
-Training runs on the driver on a bounded sample (TRAIN_PER_CLASS rows of each label, of
-at most TRAIN_CHARS characters), weighted to the labels' true shares for the line.
-Weights are fitted to its texts of at most STEP_CHARS characters, first window by
-window, then document by document, and last with the worst windows of all clean
-texts as documents of their own. A label without such texts gives spans of SPAN words
-of its longer ones, first any, then those about the largest logit.
+Training runs on the driver on a bounded sample (TRAIN_PER_CLASS rows of each label, whole
+texts of any length; labelled.py has the bound on their sum), weighted to the labels' true
+shares for the line. Weights are fitted first window by window, then document by document,
+and last with the worst windows of all clean texts as documents of their own. A text of
+over WHOLE words takes part in a step by a span of SPAN words: all its windows are scored
+before each epoch, and the span is the one about the largest logit. In the first epoch such
+texts stand back, unless a label has no others; then the span is any.
 A word's projections are worked out once per Python worker and kept in a bounded
 table; windows of many documents run through the recurrence together.
 
 Null and empty texts have one empty window and get a score like any other. Words of
 over WORD_BYTES bytes are read as several. Without labels of both kinds every score
-is the share of label 1, or 0 if there are none. Repeated rows get equal scores.
+is the share of label 1, or 0 if there are none. Repeated rows get equal scores; of equal
+largest windows the first counts. An empty table gives none. An input column named score is
+left out of the output.
 """
 
 from __future__ import annotations
@@ -37,10 +41,8 @@ from .arrow import map_texts, texts
 from .labelled import remainder, training_rows
 
 TRAIN_PER_CLASS = 1000
-TRAIN_CHARS = 20_000
-STEP_CHARS = 3000
 WINDOW, STRIDE, WORD_BYTES = 40, 20, 12
-SPAN = 5 * WINDOW
+WHOLE, SPAN = 11 * WINDOW, 5 * WINDOW
 CHAR_DIM, CHAR_HIDDEN, WORD_DIM, HIDDEN, ATTENTION = 8, 10, 8, 8, 8
 VOCABULARY = 4096
 EPOCHS, BATCH, RATE = 5, 24, 8e-3
@@ -49,8 +51,8 @@ CHUNK = 1024
 THRESHOLD = 0.5
 MODULUS, HELD_OUT = 5, 0
 
-#: ASCII letters and bytes of multi-byte characters stay; the rest is a space.
-_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: ASCII letters, digits and bytes of multi-byte characters stay; the rest is a space.
+_LETTERS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -359,7 +361,7 @@ def _largest(net: Network, docs: list[list[bytes]], place: dict[bytes, int], tab
 def fit(texts_: list[str], y: np.ndarray, totals: dict[int, int], epochs: int = EPOCHS, log=None) -> Network:
     """A network for texts with labels 0 and 1; totals: how many rows of each label there are in all."""
     every = [words_of(t) for t in texts_]
-    short = [i for i, t in enumerate(texts_) if len(t) <= STEP_CHARS]
+    short = [i for i, d in enumerate(every) if len(d) <= WHOLE]
     seen: dict[bytes, int] = {}
     for d in every:
         for w in set(d):
@@ -370,10 +372,11 @@ def fit(texts_: list[str], y: np.ndarray, totals: dict[int, int], epochs: int =
     s = {k: np.zeros_like(v) for k, v in net.q.items()}
     count, half = 0, BATCH // 2
     there = set(y[short].tolist())
-    longer = [i for i in range(len(y)) if y[i] not in there]
+    long = [i for i, d in enumerate(every) if len(d) > WHOLE]
     for epoch in range(epochs if len(set(y.tolist())) == 2 else 0):
         last = epoch == epochs - 1
         docs, goal = [every[i] for i in short], y[short]
+        longer = long if epoch else [i for i in long if y[i] not in there]
         if longer:
             spans = [every[i] for i in longer]
             at = _document_logits(net, spans)[2] if epoch else [int(rng.integers(len(d) or 1)) for d in spans]
@@ -433,7 +436,7 @@ class Constant:
 
 def train(documents: DataFrame, labels: DataFrame, target: str = "toxic") -> Network | Constant:
     """The network of documents whose id's remainder is not held out."""
-    rows = training_rows(documents, labels, target, MODULUS, HELD_OUT, TRAIN_PER_CLASS, TRAIN_CHARS)
+    rows = training_rows(documents, labels, target, MODULUS, HELD_OUT, TRAIN_PER_CLASS)
     known = labels.filter(remainder(F.col("doc_id"), MODULUS) != HELD_OUT).groupBy(target).count()
     totals = {r[0]: r[1] for r in known.collect() if r[0] in (0, 1)}
     y = rows["y"].to_numpy()
