@@ -6,6 +6,7 @@ back as plain Parquet, so a lost executor costs a re-read, not a recomputation.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -17,7 +18,7 @@ def folder(spark: SparkSession) -> str:
     """The shared folder of the session; in local tests, where none is set, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _own()
     return found.rstrip("/")
