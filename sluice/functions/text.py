@@ -79,6 +79,11 @@ def truncated(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("...[truncated]"))).otherwise(c)
 
 
+def truncated_tail(c: Column, n: int) -> Column:
+    """The last n characters, with a mark where some before them are left out."""
+    return F.when(F.length(c) > n, F.concat(F.lit("[truncated]..."), F.right(c, F.lit(n)))).otherwise(c)
+
+
 def run_id(client: Column, stamp: Column, seed: Column) -> Column:
     """client-YYYYmmddHHMMSS-6 hex; with a seed the time is zeros and the hex a digest's."""
     digest = F.substring(F.sha2(F.concat_ws(":", client, seed.cast("string")), 256), 1, 6)

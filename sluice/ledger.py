@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import FeedError, RunNotFound
+from .operators.reports import stored_errors
 from .operators.tables import lagged, latest, newest
 from .plans.plan import IngestionPlan, mapping_document, plan_diff
 from .schemas import CHECKPOINTS, ITERATIONS, RUNS, STATES, TERMINAL
@@ -91,10 +92,8 @@ class Ledger:
 
     def iteration_summaries(self, run_id: str) -> DataFrame:
         """iteration, passed (NULL: never evaluated), wall_ms and the error findings, in order."""
-        finding = "array<struct<check:string,severity:string,message:string>>"
-        found = F.filter(F.from_json("report_json", finding), lambda f: f["severity"] == "error")
         rows = self.iterations().filter(F.col("run_id") == run_id)
-        return rows.select("iteration", "passed", "wall_ms", F.coalesce(found, F.array().cast(finding)).alias("errors")).orderBy("iteration")
+        return rows.select("iteration", "passed", "wall_ms", stored_errors(F.col("report_json")).alias("errors")).orderBy("iteration")
 
     def load_iteration(self, run_id: str, iteration: int) -> dict:
         row = self.iterations().filter((F.col("run_id") == run_id) & (F.col("iteration") == iteration)).first()

@@ -1,7 +1,10 @@
-"""User transforms: Python text that defines transform(rows), guarded, on Arrow batches.
+"""User transforms: Python text that defines transform(rows), guarded.
 
 The text is scanned on the driver; with a finding it isn't sent anywhere. It runs in
-Python workers, which are no sandbox. Rows are dicts of text, in and out.
+Python workers, which are no sandbox, with the guard's own builtins. Rows are dicts of text, in
+and out. A transform gets all rows of one file at once, in their order, where the rows say which
+file they are of: what it remembers from row to row doesn't depend on batches. Without that, rows
+are taken as independent and come batch by batch.
 """
 
 from __future__ import annotations
@@ -22,25 +25,39 @@ MODULE = "transform"
 
 
 def _load(source: str):
-    space: dict = {"__name__": "user_transform"}
+    space: dict = {"__name__": "user_transform", "__builtins__": guard.builtins_of()}
     exec(compile(source, "<transform>", "exec"), space)
     return space[MODULE]
 
 
-def apply_transform(rows: DataFrame, source: str) -> DataFrame:
-    """Canonical rows that the source's transform makes of raw rows, batch by batch."""
+def apply_transform(rows: DataFrame, source: str, by: str | None = None, order: str | None = None) -> DataFrame:
+    """Canonical rows that the source's transform makes of raw rows; by: the column that tells files apart, which
+    comes out too; order: the column that orders a file's rows. Both are no columns of the rows that the source sees."""
     if found := guard.scan(source):
         raise PlanError("; ".join(f["message"] for f in found))
     if f"def {MODULE}(" not in source:
         raise PlanError(f"the source defines no {MODULE}(rows)")
+    schema = ", ".join(f"{c} string" for c in CANONICAL)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(function, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(function(frame.to_dict("records"))), columns=list(CANONICAL)).fillna("").astype(str)
+
+    def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         function = _load(source)
         for batch in batches:
-            made = function(batch.to_dict("records"))
-            yield pd.DataFrame(made, columns=list(CANONICAL)).fillna("").astype(str)
-
-    return rows.mapInPandas(run, ", ".join(f"{c} string" for c in CANONICAL))
+            yield made(function, batch)
+
+    def of_file(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if order is not None:
+            frame = frame.sort_values(order, kind="stable")
+        out = made(_load(source), frame.drop(columns=[c for c in (by, order) if c is not None]))
+        out.insert(0, by, key[0])
+        return out
+
+    if by is None:
+        return rows.mapInPandas(of_batches, schema)
+    kind = rows.schema[by].dataType.simpleString()
+    return rows.groupBy(by).applyInPandas(of_file, f"`{by}` {kind}, {schema}")
 
 
 class Provider(Protocol):

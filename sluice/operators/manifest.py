@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ContractError
 from ..plans.plan import IngestionPlan, compile_plan, inject
-from ..schemas import PROFILE
+from ..schemas import CHECKS, PROFILE
 from ..sources import files
 from .profile import as_pins, profile
 from .tables import compare_keys
@@ -34,8 +35,8 @@ def profile_samples(spark: SparkSession, root: str, client: str) -> DataFrame:
     return both.select("client", "name", "sha256", "bytes", expected.alias("expected_rows"), "amount_sum", "null_rate", "distinct")
 
 
-def build_manifest(spark: SparkSession, root: str, client: str, scenario: dict | None = None) -> dict:
-    """A fresh manifest; the scenario is the given one, else the written one's, else plain."""
+def build_manifest(spark: SparkSession, root: str, client: str, scenario: dict | None = None, fallback: dict[str, dict] | None = None) -> dict:
+    """A fresh manifest; the scenario is the given one, else the written one's, else that of `fallback`, else plain."""
     samples = [r.asDict() for r in profile_samples(spark, root, client).drop("client").orderBy("name").collect()]
     if not samples:
         raise ContractError(f"{client}: no samples")
@@ -43,7 +44,7 @@ def build_manifest(spark: SparkSession, root: str, client: str, scenario: dict |
         try:
             scenario = load_manifest(spark, root, client)["scenario"]
         except ContractError:
-            scenario = PLAIN
+            scenario = (fallback or {}).get(client, PLAIN)
     return {"client": client, "samples": samples, "scenario": {**PLAIN, **scenario}}
 
 
@@ -138,3 +139,49 @@ def adversarial_plan(name: str, sound: IngestionPlan) -> tuple[IngestionPlan, tu
         raise ContractError(f"no adversarial case {name!r}")
     edit, must_fail = ADVERSARIAL[name]
     return edit(sound), must_fail
+
+
+CASE_FILES = {"pipeline": "pipeline.py", "dag": "dag.py", "mapping": "mapping.yaml"}
+_EXPECT = "against_client string, must_fail array<string>, notes string"
+
+
+def adversarial_cases(spark: SparkSession, root: str) -> list[dict]:
+    """The wrong artifacts under root/_adversarial, by name: their texts, the client they are put to, and the checks that must fail.
+
+    A case without its files, for an unknown client, without checks or with an unknown one is an error; no folder, no cases.
+    """
+    folder = f"{root}/_adversarial"
+    try:
+        texts = spark.read.format("binaryFile").load(f"{folder}/*/*")
+    except AnalysisException:
+        return []
+    part = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    pivoted = texts.select(part.alias("name"), files.sample_of(F.col("path")).alias("file"), F.decode("content", "UTF-8").alias("text"))
+    pivoted = pivoted.groupBy("name").pivot("file", ["expect.json", *CASE_FILES.values()]).agg(F.first("text"))
+    expect = F.from_json(F.col("`expect.json`"), _EXPECT)
+    rows = pivoted.select("name", expect.alias("e"), *(F.col(f"`{f}`").alias(k) for k, f in CASE_FILES.items())).orderBy("name").collect()
+    known, out, wrong = set(files.list_clients(spark, root)), [], []
+    for r in rows:
+        e = r.e
+        if e is None or e.against_client is None:
+            wrong.append(f"{r.name}: expect.json is missing or invalid")
+        elif e.against_client not in known:
+            wrong.append(f"{r.name}: unknown client {e.against_client!r}")
+        elif not e.must_fail:
+            wrong.append(f"{r.name}: no check that must fail")
+        elif unknown := sorted(set(e.must_fail) - set(CHECKS)):
+            wrong.append(f"{r.name}: unknown checks {unknown}")
+        elif lost := [f for k, f in CASE_FILES.items() if r[k] is None]:
+            wrong.append(f"{r.name}: lacks {', '.join(lost)}")
+        else:
+            out.append({"name": r.name, "against_client": e.against_client, "must_fail": list(e.must_fail), "notes": e.notes or "", **{k: r[k] for k in CASE_FILES}})
+    if wrong:
+        raise ContractError("; ".join(wrong))
+    return out
+
+
+def plan_of_case(case: dict, sound: IngestionPlan) -> IngestionPlan:
+    """The plan that stands for a case: the edit of that name, else the sound plan with the case's code."""
+    if case["name"] in ADVERSARIAL:
+        return adversarial_plan(case["name"], sound)[0]
+    return replace(sound, source_code=case["pipeline"])

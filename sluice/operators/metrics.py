@@ -15,8 +15,9 @@ def outcome(status: Column, iterations: Column) -> Column:
 
 
 def with_total(df: DataFrame, key: str) -> DataFrame:
-    """Rows per key, and of all as 'total'."""
-    return df.rollup(key).agg(F.count("*").alias("n")).select(F.coalesce(key, F.lit("total")).alias(key), "n")
+    """Rows per key, and of all as 'total'; a null key stays null."""
+    counts = df.rollup(key).agg(F.count("*").alias("n"), F.grouping(key).alias("_all"))
+    return counts.select(F.when(F.col("_all") == 1, "total").otherwise(F.col(key)).alias(key), "n")
 
 
 def zero_filled(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

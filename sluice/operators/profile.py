@@ -30,12 +30,12 @@ def profile(rows: DataFrame, by: tuple[str, ...] = ("sample",), columns=CANONICA
     Several exact distinct counts at once expand each row per column; so each column is
     counted from its own distinct values, which tasks reduce before anything is moved.
     """
-    if len(by) == 0:
-        return rows.agg(*aggregates(columns))
     plain = [x for x in aggregates(columns)[: 3 + len(columns)]]
     base = rows.groupBy(*by).agg(*plain)
     pairs = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c), F.lit("")).alias("v")) for c in columns))).alias("x"))
     values = pairs.select(*by, "x.c", "x.v").distinct().groupBy(*by).agg(*(F.count_if(F.col("c") == c).alias(f"distinct_{c}") for c in columns))
+    if not by:
+        return base.crossJoin(values)  # one row each
     return base.join(values, list(by))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,12 @@ def recovered_json(text: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull() & (body != ""), body)
 
 
+def stored_errors(report_json: Column) -> Column:
+    """The error findings of a stored report, in its order; none where it can't be read."""
+    kind = "array<struct<check:string,severity:string,message:string>>"
+    return F.coalesce(F.filter(F.from_json(report_json, kind), lambda f: f["severity"] == "error"), F.array().cast(kind))
+
+
 def line_count(text: Column) -> Column:
     """Lines of a text; a line end at its end begins no further one."""
     return F.when(text == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)))
@@ -48,7 +55,8 @@ def line_count(text: Column) -> Column:
 
 def text_table(rows: Sequence[dict], columns: Sequence[str]) -> str:
     """Rows as a table of fitted columns."""
-    cells = [list(columns), *([str(r.get(c, "")) for c in columns] for r in rows)]
+    said = lambda v: f"{v:%Y-%m-%d %H:%M:%S}" if isinstance(v, datetime) else str(v)
+    cells = [list(columns), *([said(r.get(c, "")) for c in columns] for r in rows)]
     width = [max(len(line[i]) for line in cells) for i in range(len(columns))]
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(line, width)).rstrip() for line in cells)
 

@@ -49,3 +49,10 @@ def divides(df: DataFrame, keys: list[str], value: str, required: list) -> DataF
     """Keys that have every required value."""
     has = df.filter(F.col(value).isin(*required)).groupBy(*keys).agg(F.collect_set(value).alias("has"))
     return has.filter(F.size(F.array_except(F.array(*map(F.lit, required)), F.col("has"))) == 0)
+
+
+def first_sound(df: DataFrame, keys: list[str], order: list[str], error: str) -> DataFrame:
+    """The first row of each key that has no error; keys that have none are left out."""
+    rest = [c for c in df.columns if c not in keys]
+    picked = df.filter(F.col(error).isNull()).groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return picked.select(*keys, "_r.*").select(*df.columns)

@@ -98,8 +98,8 @@ def read_rows(spark: SparkSession, paths: list[str], plan: IngestionPlan, strict
     spec = plan.contract
     parts = []
     groups: dict[tuple, list[str]] = {}
-    for p in paths:
-        names = tuple(files.header_names(spark, p, spec, strict)) if spec.format == "csv" else ()
+    headers = files.header_names_of(spark, paths, spec, strict) if spec.format == "csv" else [()] * len(paths)
+    for p, names in zip(paths, headers):
         groups.setdefault(names, []).append(p)
     framing = replace(spec, trailer_rows=spec.trailer_rows + 1) if plan.drop_last_row else spec
     utf8 = files.charset(spec.encoding) == "UTF-8"
@@ -108,7 +108,7 @@ def read_rows(spark: SparkSession, paths: list[str], plan: IngestionPlan, strict
         large = [r.path for r in sizes if utf8 and r.length >= files.LARGE_BYTES]
         small = [r.path for r in sizes if r.path not in set(large)]
         scans = [files.framed_lines(files.read_texts(spark, small, spec.encoding), framing, strict)] if small else []
-        scans += [files.framed_lines_large(spark, large, framing)] if large else []
+        scans += [files.framed_lines_large(spark, large, framing, strict)] if large else []
         lines = scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1])
         rows, raw = files.records(spark, lines, spec, list(names) or None, strict)
         parts.append(project(rows, raw, plan, strict))

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import decimal_of, money, run_id, truncated
+from .functions.text import decimal_of, money, run_id, truncated, truncated_tail
 from .operators import checks, custom, guard, metrics, reports, tables
-from .operators.profile import aggregates, long_form
-from .operators.transform import project
+from .operators.profile import as_pins, long_form, profile
+from .operators.transform import project, quarantine
 from .plans.contract import ColumnSpec, FeedContract
 from .plans.plan import IngestionPlan, compile_plan, inject
 from .schemas import CANONICAL
@@ -188,8 +189,7 @@ SQL["peek_lines"] = """WITH l AS (SELECT doc_id, string_split(coalesce(text, '')
 
 
 def catalog_digest(spark, sf_dir):
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+    return files.with_digests(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content")))
 
 
 SQL["catalog_digest"] = "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents"
@@ -204,7 +204,7 @@ def _profile_columns() -> list[Column]:
 
 def profile_canonical(spark, sf_dir):
     """Count, exact sum, null rates and distinct counts of the whole feed."""
-    return canonical(spark, sf_dir).agg(*aggregates()).select(*_profile_columns())
+    return profile(canonical(spark, sf_dir), ()).select(*_profile_columns())
 
 
 _PROFILE = "COUNT(*) AS rows, CAST(SUM(CAST(amount AS DECIMAL(38,2))) AS VARCHAR) AS amount_sum, CAST(0 AS BIGINT) AS unparseable, " + ", ".join(
@@ -214,8 +214,6 @@ SQL["profile_canonical"] = f"WITH {CANON} SELECT {_PROFILE} FROM canon"
 
 
 def profile_by_currency(spark, sf_dir):
-    from .operators.profile import profile
-
     return profile(canonical(spark, sf_dir), ("currency",)).select("currency", *_profile_columns())
 
 
@@ -299,8 +297,6 @@ SQL["completeness"] = """WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y
 
 
 def _measures(spark, sf_dir, plan=None) -> DataFrame:
-    from .operators.profile import profile
-
     return long_form(profile(canonical(spark, sf_dir, plan).withColumn("lot", F.col("o_orderkey") % 4), ("lot",)), ("lot",))
 
 
@@ -447,7 +443,7 @@ def findings_by_check(spark, sf_dir):
     return metrics.with_total(table(spark, sf_dir, "events"), "event_type")
 
 
-SQL["findings_by_check"] = "SELECT coalesce(event_type, 'total') AS event_type, COUNT(*) AS n FROM events GROUP BY ROLLUP (event_type)"
+SQL["findings_by_check"] = "SELECT CASE WHEN GROUPING(event_type) = 1 THEN 'total' ELSE event_type END AS event_type, COUNT(*) AS n FROM events GROUP BY ROLLUP (event_type)"
 
 
 def findings_zero_filled(spark, sf_dir):
@@ -472,11 +468,10 @@ SQL["outcome_rates"] = """SELECT CASE WHEN o_orderstatus = 'F' AND o_orderkey %
 
 
 def set_division(spark, sf_dir):
-    recent = table(spark, sf_dir, "events").filter("value > 100")
-    return tables.divides(recent, ["user_id"], "event_type", ["error", "purchase", "signup"]).select("user_id")
+    return tables.divides(table(spark, sf_dir, "events"), ["user_id"], "event_type", ["error", "purchase", "signup"]).select("user_id")
 
 
-SQL["set_division"] = """SELECT user_id FROM events WHERE value > 100 AND event_type IN ('error', 'purchase', 'signup') GROUP BY 1 HAVING COUNT(DISTINCT event_type) = 3"""
+SQL["set_division"] = """SELECT user_id FROM events WHERE event_type IN ('error', 'purchase', 'signup') GROUP BY 1 HAVING COUNT(DISTINCT event_type) = 3"""
 
 
 def union_reports(spark, sf_dir):
@@ -571,7 +566,7 @@ SQL["evidence_text"] = """SELECT doc_id, CASE WHEN length(coalesce(text, '')) >
 
 def report_summaries(spark, sf_dir):
     """Findings per lot of lines, reduced to a verdict, the checks' verdicts and the messages."""
-    lots = table(spark, sf_dir, "events").filter("value > 150").select(
+    lots = table(spark, sf_dir, "events").select(
         (F.col("event_id") % 20).alias("lot"), F.when(F.col("event_type") == "error", checks.H1).otherwise(checks.H4).alias("check"),
         F.when(F.col("event_type").isin("error", "view"), "error").otherwise("warning").alias("severity"), F.col("event_id").cast("string").alias("message"),
     )
@@ -579,7 +574,7 @@ def report_summaries(spark, sf_dir):
     return found.select("lot", "passed", F.col("checks")[checks.H1].alias("h1"), F.col("checks")[checks.H4].alias("h4"), F.col("checks")[checks.H6].alias("h6"), F.array_join("errors", ",").alias("errors"))
 
 
-SQL["report_summaries"] = """WITH f AS (SELECT event_id % 20 AS lot, event_type = 'error' AS h1, event_type IN ('error', 'view') AS bad, CAST(event_id AS VARCHAR) AS m FROM events WHERE value > 150)
+SQL["report_summaries"] = """WITH f AS (SELECT event_id % 20 AS lot, event_type = 'error' AS h1, event_type IN ('error', 'view') AS bad, CAST(event_id AS VARCHAR) AS m FROM events)
   SELECT lot, NOT bool_or(bad) AS passed, NOT bool_or(bad AND h1) AS h1, NOT bool_or(bad AND NOT h1) AS h4, TRUE AS h6,
     coalesce(string_agg(m, ',' ORDER BY CASE WHEN h1 THEN 1 ELSE 4 END, m) FILTER (bad), '') AS errors FROM f GROUP BY lot"""
 
@@ -602,6 +597,256 @@ def guard_scan(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, message string")
 
 
+def guard_verdicts(spark, sf_dir):
+    """How many findings the guard has in a snippet of each order; trees are parsed in tasks, a snippet once each."""
+    snippets = (
+        "rows = [x for x in range({k})]\n", "import typing\ntyping.sys.modules['os'].getpid({k})\n", "x = open\nx('f{k}', 'w')\n",
+        "from pathlib import Path\nPath('{k}').removedirs()\n", "open('f{k}', 'rb').read()\n", "import collections.abc\ncollections.abc.sys.exit({k})\n",
+    )
+    key = F.col("o_orderkey")
+    code = F.element_at(F.array(*map(F.lit, snippets)), (key % len(snippets)).cast("int") + 1)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.replace(code, F.lit("{k}"), key.cast("string")).alias("code"))
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"o_orderkey": batch["o_orderkey"], "clean": [not guard.scan(x) for x in batch["code"]]})
+
+    return rows.mapInPandas(run, "o_orderkey long, clean boolean")
+
+
+SQL["guard_verdicts"] = "SELECT o_orderkey, o_orderkey % 6 IN (0, 4) AS clean FROM orders"
+
+
+def _spec(**changes) -> FeedContract:
+    return replace(ORDERS, **changes)
+
+
+def framed_lenient(spark, sf_dir):
+    """Data lines between two header lines and one trailer line, with their places; texts too short have none."""
+    texts = _document_texts(spark, sf_dir)
+    lines = files.framed_lines(texts, _spec(header_rows=2, trailer_rows=1), strict=False)
+    return lines.select(F.col("sample").alias("doc_id"), "idx", F.sha2(F.col("line").cast("binary"), 256).alias("line_sha256"))
+
+
+SQL["framed_lenient"] = f"""WITH l AS (SELECT doc_id, {_LINES} AS x FROM documents)
+  SELECT doc_id, CAST(i - 1 AS BIGINT) AS idx, sha256(x[i + 2]) AS line_sha256 FROM l, unnest(range(1, len(x) - 2)) AS r(i)"""
+
+
+def fixed_lenient(spark, sf_dir):
+    """Fixed slices of lines that are cut off here and there, sign column included."""
+    key = F.col("o_orderkey")
+    whole = F.concat(F.lpad(key.cast("string"), 12, " "), F.lpad(price().cast("string"), 16, " "), F.col("o_orderstatus"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(key % 5 == 0, F.left(whole, F.lit(20))).otherwise(whole).alias("line"))
+    spec = _spec(format="fixed_width", columns=(ColumnSpec("0:12", "trade_id"), ColumnSpec("12:28", "amount", "decimal", sign_column="28:29", negative_marker="f")))
+    rows, raw = files.records(spark, rows, spec, strict=False)
+    return project(rows, raw, compile_plan(spec), strict=False, keep=("o_orderkey",)).select("o_orderkey", "trade_id", (F.col("amount") != "").alias("there"), F.when(key % 5 != 0, F.col("amount")).alias("amount"))
+
+
+SQL["fixed_lenient"] = """SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS trade_id, TRUE AS there,
+  CASE WHEN o_orderkey % 5 <> 0 THEN CAST(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END * CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18,2)) AS VARCHAR) END AS amount FROM orders"""
+
+
+def jsonl_lenient(spark, sf_dir):
+    """Objects with nulls, booleans, missing keys and long decimals; lines that are none."""
+    key = F.col("o_orderkey")
+    line = (
+        F.when(key % 4 == 0, F.concat(F.lit('{"a": null, "b": true, "c": '), key.cast("string"), F.lit(".10}")))
+        .when(key % 4 == 1, F.concat(F.lit('{"a": "x", "b": false, "c": 12345678901234567.'), (key % 90 + 10).cast("string"), F.lit("}")))
+        .when(key % 4 == 2, "[1, 2]").otherwise('{"a": ""}')
+    )
+    rows, raw = files.with_json(table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line")), ["a", "b", "c"], strict=False)
+    return rows.select("o_orderkey", *(F.coalesce(raw[k], F.lit("")).alias(k) for k in "abc"), F.col("_fault").isNull().alias("sound"))
+
+
+SQL["jsonl_lenient"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 'x' ELSE '' END AS a,
+  CASE o_orderkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS b,
+  CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) || '.1' WHEN 1 THEN '12345678901234567.' || rtrim(CAST(o_orderkey % 90 + 10 AS VARCHAR), '0') ELSE '' END AS c,
+  o_orderkey % 4 <> 2 AS sound FROM orders"""
+
+
+def format_dispatch(spark, sf_dir):
+    """The same orders as delimited, fixed-width and JSON lines, each read by what its contract says."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderpriority").alias("p"))
+    spec = lambda form, k, p: _spec(format=form, columns=(ColumnSpec(k, "trade_id"), ColumnSpec(p, "description")))
+    cases = [
+        (spec("csv", "k", "p"), F.concat_ws(",", "k", "p")), (spec("fixed_width", "0:10", "10:30"), F.concat(F.rpad("k", 10, " "), F.rpad("p", 20, " "))),
+        (spec("jsonl", "k", "p"), F.to_json(F.struct("k", "p"))),
+    ]
+    out = None
+    for one, line in cases:
+        rows, raw = files.records(spark, orders.select(line.alias("line")), one)
+        got = project(rows, raw, compile_plan(one), keep=()).select(F.lit(one.format).alias("format"), "trade_id", "description", F.col("error").isNull().alias("sound"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+SQL["format_dispatch"] = """SELECT format, CAST(o_orderkey AS VARCHAR) AS trade_id, o_orderpriority AS description, TRUE AS sound
+  FROM orders, (VALUES ('csv'), ('fixed_width'), ('jsonl')) AS f(format)"""
+
+
+def row_errors(spark, sf_dir):
+    """Rows that don't convert, each with its place in its file; sound ones are let through."""
+    key = F.col("o_orderkey")
+    raw = raw_orders(spark, sf_dir).withColumns({"amt": F.when(key % 23 == 0, "n/a").otherwise(F.col("amt")), "idx": key, "sample": F.lit("day")})
+    fields = {c.source: F.col(c.source) for c in ORDERS.columns}
+    _, bad = quarantine(project(raw, fields, compile_plan(ORDERS)))
+    return bad.select(F.col("idx").alias("o_orderkey"), F.substring_index("error", ": ", 1).alias("place"), F.col("error").contains("n/a").alias("said"))
+
+
+SQL["row_errors"] = "SELECT o_orderkey, 'data row ' || CAST(o_orderkey + 1 AS VARCHAR) AS place, TRUE AS said FROM orders WHERE o_orderkey % 23 = 0"
+
+
+def runtime_findings(spark, sf_dir):
+    """The first row that doesn't convert in each sample, and how many there are."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.lit("orders").alias("client"), F.concat(F.lit("part-"), (key % 7).cast("string")).alias("sample"), F.lit(1).alias("iteration"),
+        key.alias("idx"), F.when((key % 29 == 0) & (key % 7 < 5), F.concat(F.lit("bad "), key.cast("string"))).alias("error"),
+    )
+    found = checks.check_runtime(rows)
+    return found.select("sample", "check", "severity", "message", F.col("evidence")["rows"].cast("long").alias("rows"))
+
+
+SQL["runtime_findings"] = """SELECT sample, 'H1_runtime' AS "check", 'error' AS severity, sample || ': bad ' || CAST(MIN(k) AS VARCHAR) AS message, COUNT(*) AS rows
+  FROM (SELECT o_orderkey AS k, 'part-' || CAST(o_orderkey % 7 AS VARCHAR) AS sample FROM orders WHERE o_orderkey % 29 = 0 AND o_orderkey % 7 < 5) GROUP BY sample"""
+
+
+def stored_reports(spark, sf_dir):
+    """Error findings out of stored reports; what can't be read has none."""
+    key = F.col("event_id")
+    finding = F.struct(F.col("event_type").alias("check"), F.when(key % 2 == 0, "error").otherwise("warning").alias("severity"), F.lit("m").alias("message"))
+    report = F.when(key % 5 == 0, "no json").otherwise(F.to_json(F.array(finding, F.struct(F.lit("z").alias("check"), F.lit("error").alias("severity"), F.lit("m").alias("message")))))
+    errors = reports.stored_errors(report)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(errors, lambda e: e["check"]), ",").alias("failed"))
+
+
+SQL["stored_reports"] = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 2 = 0 THEN event_type || ',z' ELSE 'z' END AS failed FROM events"
+
+
+def defects_of_framing(spark, sf_dir):
+    """Rows that a kept trailer adds and that a shifted slice and kept thousands separators change."""
+    out = []
+    texts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sample")).agg(F.concat(F.lit("k\n"), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), "\n"), F.lit("\nTRAILER")).alias("text"))
+    sound = compile_plan(_spec(trailer_rows=1))
+    lines = lambda plan: files.framed_lines(texts, plan.contract).agg(F.count("*").alias("n"))
+    out.append(lines(inject(sound, "trailer_not_skipped")).select(F.lit("trailer_not_skipped").alias("defect"), "n"))
+    spec = _spec(format="fixed_width", columns=(ColumnSpec("0:10", "trade_id"), ColumnSpec("10:13", "currency")))
+    fixed = table(spark, sf_dir, "orders").select(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), F.lit("usd")).alias("line"))
+
+    def currencies(plan):
+        rows, raw = files.records(spark, fixed, plan.contract)
+        return project(rows, raw, plan, keep=())
+
+    out.append(currencies(inject(compile_plan(spec), "wrong_slice")).agg(F.lit("wrong_slice").alias("defect"), F.count_if(F.col("currency") != "USD").alias("n")))
+    kept = canonical(spark, sf_dir, inject(compile_plan(ORDERS), "thousands_separator_kept"))
+    out.append(kept.agg(F.lit("thousands_separator_kept").alias("defect"), F.count_if(F.col("error").isNotNull()).alias("n")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+SQL["defects_of_framing"] = """SELECT 'trailer_not_skipped' AS defect, COUNT(*) + COUNT(DISTINCT o_custkey) AS n FROM orders
+  UNION ALL SELECT 'wrong_slice', COUNT(*) FROM orders UNION ALL SELECT 'thousands_separator_kept', COUNT(*) FILTER (CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18,2)) >= 1000) FROM orders"""
+
+
+def evidence_tail(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", truncated_tail(t, 40).alias("evidence"))
+
+
+SQL["evidence_tail"] = "SELECT doc_id, CASE WHEN length(coalesce(text, '')) > 40 THEN '[truncated]...' || right(text, 40) ELSE coalesce(text, '') END AS evidence FROM documents"
+
+
+def first_sound_event(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", F.when(F.col("event_type") == "error", "bad").alias("fault"))
+    return tables.first_sound(rows, ["user_id"], ["ts", "event_id"], "fault").select("user_id", "event_id", "event_type")
+
+
+SQL["first_sound_event"] = """SELECT user_id, event_id, event_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r
+  FROM events WHERE event_type <> 'error') WHERE r = 1"""
+
+
+def rounded_amounts(spark, sf_dir):
+    """Thousandths rounded half up, on both sides of zero; there is no negative zero."""
+    text = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise(""), F.lit("0.0"), F.lpad((F.col("o_orderkey") % 50).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", money(decimal_of(text)).alias("amount"))
+
+
+SQL["rounded_amounts"] = """WITH r AS (SELECT o_orderkey, (o_orderkey % 50 + 5) // 10 AS cents FROM orders)
+  SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND cents > 0 THEN '-' ELSE '' END || '0.0' || CAST(cents AS VARCHAR) AS amount FROM r"""
+
+
+def contract_scan(spark, sf_dir):
+    """Contract blocks in texts: none, one, several, with either line end, or left open."""
+    key = F.col("doc_id")
+    block = F.concat(F.lit("```yaml  feed-contract \nclient: c"), key.cast("string"), F.lit("\n  x: ```\n  ```\n"))
+    text = (
+        F.when(key % 5 == 0, F.lit("none\n```yaml\na: 1\n```\n")).when(key % 5 == 1, F.concat(F.lit("# t\n"), block)).when(key % 5 == 2, F.concat(block, F.lit("and\n"), block))
+        .when(key % 5 == 3, F.replace(block, F.lit("\n"), F.lit("\r\n"))).otherwise(F.lit("```yaml feed-contract\nnever closed\n"))
+    )
+    found = table(spark, sf_dir, "documents").select("doc_id", files.contract_block(text).alias("b"))
+    return found.select("doc_id", F.col("b.blocks").cast("long").alias("blocks"), F.coalesce("b.block", F.lit("")).alias("block"))
+
+
+SQL["contract_scan"] = """SELECT doc_id, CAST(CASE doc_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS blocks,
+  CASE WHEN doc_id % 5 IN (1, 2, 3) THEN 'client: c' || CAST(doc_id AS VARCHAR) || chr(10) || '  x: ```' ELSE '' END AS block FROM documents"""
+
+
+def replay_figures(spark, sf_dir):
+    """The headline of runs made of orders: outcomes against what was expected, first passes, findings and their total."""
+    orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
+    key = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "escalated").otherwise("failed")
+    runs = orders.select(
+        key.cast("string").alias("run_id"), F.lit("c").alias("client"), status.alias("status"), (1 + key % 3).cast("int").alias("iterations"),
+        F.when(key % 2 == 0, "heal").otherwise("pass").alias("expected"), F.array(F.lit("peek"), F.lit("list")).alias("tool_calls"),
+    )
+    steps = runs.select("run_id", F.explode(F.sequence(F.lit(1), F.col("iterations"))).alias("iteration"), "iterations").select("run_id", "iteration", (F.col("iteration") == F.col("iterations")).alias("passed"))
+    found = events.select(F.col("user_id").cast("string").alias("source"), F.when(F.col("event_type") == "error", checks.H1).otherwise(checks.H4).alias("check"), F.when(F.col("event_id") % 2 == 0, "error").otherwise("warning").alias("severity"))
+    cases = events.groupBy("user_id").agg(F.collect_set("event_type").alias("failed")).select(F.col("user_id").cast("string").alias("name"), F.array(F.lit("error"), F.lit("view")).alias("must_fail"), "failed")
+    got = metrics.headline(runs, steps, found, cases, events.select(F.col("user_id").cast("string").alias("run_id")), checks.checks_frame(spark))
+    picked = {k: got[k] for k in ("scenarios", "first_pass_rate", "healed_rate", "adversarial_rejected", "mean_iterations", "checkpoints")}
+    picked |= {"errors": ",".join(str(n) for n in got["errors"].values()), "total_errors": str(got["total_errors"]), "tool_calls": str(got["tool_calls"]), "tools": ",".join(got["tools"])}
+    return spark.createDataFrame(list(picked.items()), "figure string, value string")
+
+
+SQL["replay_figures"] = """WITH o AS (SELECT *, 1 + o_orderkey % 3 AS it, CASE WHEN o_orderkey % 2 = 0 THEN 'heal' ELSE 'pass' END AS expected,
+    CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'pass' WHEN o_orderstatus = 'F' THEN 'heal' WHEN o_orderstatus = 'O' THEN 'escalate' ELSE 'failed' END AS observed FROM orders),
+  r AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (observed = expected) AS matched, COUNT(*) FILTER (it = 1) AS firsts, COUNT(*) FILTER (expected = 'heal') AS heals,
+    COUNT(*) FILTER (expected = 'heal' AND observed = 'heal') AS healed, AVG(it) AS mean FROM o),
+  u AS (SELECT user_id, COUNT(DISTINCT event_type) FILTER (event_type IN ('error', 'view')) = 2 AS rejected FROM events GROUP BY 1),
+  a AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (rejected) AS rejected FROM u),
+  e AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (event_id % 2 = 0 AND event_type = 'error') AS h1, COUNT(*) FILTER (event_id % 2 = 0 AND event_type <> 'error') AS h4 FROM events)
+  SELECT 'scenarios' AS figure, CAST(matched AS VARCHAR) || ' / ' || CAST(n AS VARCHAR) AS value FROM r
+  UNION ALL SELECT 'first_pass_rate', CAST(firsts AS VARCHAR) || ' / ' || CAST(n AS VARCHAR) FROM r UNION ALL SELECT 'healed_rate', CAST(healed AS VARCHAR) || ' / ' || CAST(heals AS VARCHAR) FROM r
+  UNION ALL SELECT 'adversarial_rejected', CAST(rejected AS VARCHAR) || ' / ' || CAST(n AS VARCHAR) FROM a UNION ALL SELECT 'mean_iterations', printf('%.2f', mean) FROM r
+  UNION ALL SELECT 'checkpoints', CAST(n AS VARCHAR) FROM e UNION ALL SELECT 'errors', CAST(h1 AS VARCHAR) || ',0,0,' || CAST(h4 AS VARCHAR) || ',0,0' FROM e
+  UNION ALL SELECT 'total_errors', CAST(h1 + h4 AS VARCHAR) FROM e UNION ALL SELECT 'tool_calls', CAST(2 * n AS VARCHAR) FROM r UNION ALL SELECT 'tools', 'list,peek'"""
+
+
+def pinned_profiles(spark, sf_dir):
+    """Profiles of samples as pins: expected rows, the sum as text, and the maps' values."""
+    rows = canonical(spark, sf_dir).withColumn("sample", F.col("currency"))
+    pins = as_pins(profile(rows))
+    return pins.select("sample", "rows", "amount_sum", F.col("null_rate")["counterparty"].alias("null_counterparty"), F.col("distinct")["account_id"].alias("accounts"))
+
+
+SQL["pinned_profiles"] = f"""WITH {CANON} SELECT currency AS sample, COUNT(*) AS rows, CAST(SUM(CAST(amount AS DECIMAL(38,2))) AS VARCHAR) AS amount_sum,
+  AVG(CASE WHEN counterparty = '' THEN 1.0 ELSE 0.0 END) AS null_counterparty, COUNT(DISTINCT account_id) AS accounts FROM canon GROUP BY 1"""
+
+
+def adversarial_division(spark, sf_dir):
+    """Samples whose dropped last row shows in their row counts (the plan edit of that name)."""
+    texts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("sample")).agg(F.concat(F.lit("k\n"), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), "\n")).alias("text"))
+    spec = _spec(trailer_rows=1)  # one line more than the contract has: what a dropped last row is
+    rows = files.framed_lines(texts, spec, strict=False).groupBy("sample").agg(F.count("*").alias("rows"))
+    profiles = texts.select("sample").join(rows, "sample", "left").select("sample", F.coalesce("rows", F.lit(0)).alias("rows")).withColumns({"client": F.lit("orders"), "iteration": F.lit(1)})
+    pins = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("sample")).agg(F.count("*").alias("expected_rows"))
+    return checks.check_completeness(profiles, pins).select("sample", "check", "message")
+
+
+SQL["adversarial_division"] = """SELECT CAST(o_custkey AS VARCHAR) AS sample, 'H3_completeness' AS "check",
+  CAST(o_custkey AS VARCHAR) || ': expected ' || CAST(COUNT(*) AS VARCHAR) || ' rows, got ' || CAST(COUNT(*) - 1 AS VARCHAR) AS message FROM orders GROUP BY o_custkey"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -610,7 +855,9 @@ QUERIES = {
         offending_top3, completeness, drift_findings, latency_flags, dag_contract, report_verdict, manifest_verify, semi_anti, lookup_left, one_to_many,
         consecutive_diff, history_node, last_write_wins, top_runs, first_pass, findings_by_check, findings_zero_filled, outcome_rates, set_division,
         union_reports, ordered_agg, run_ids, defect_injection, lenient_values, nested_state,
-        json_recovery, evidence_text, report_summaries, custom_transform, guard_scan,
+        json_recovery, evidence_text, report_summaries, custom_transform, guard_scan, guard_verdicts, framed_lenient, fixed_lenient, jsonl_lenient,
+        format_dispatch, row_errors, runtime_findings, stored_reports, defects_of_framing, evidence_tail, first_sound_event, rounded_amounts,
+        contract_scan, replay_figures, pinned_profiles, adversarial_division,
     )
 }
 ORACLE_SQL = SQL

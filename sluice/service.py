@@ -5,10 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 import secrets
+import threading
 import time
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,36 +49,88 @@ def decision_of(payload) -> tuple[str, str, str]:
     return payload["decision"], payload["approver"], payload.get("note") or ""
 
 
+#: So many files are timed one after another, each by itself; more of them side by side.
+SERIAL_FILES, SIDE_BY_SIDE = 16, 4
+
+
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float) -> Iterator[threading.Event]:
+    """Cancels the jobs of this thread that run longer; the event tells whether that happened."""
+    tag, late = f"evaluate-{secrets.token_hex(6)}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        yield late
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+
+
+def timed_rows(spark: SparkSession, plan: IngestionPlan, paths: list[str], iteration: int) -> list[tuple[DataFrame, int, int]]:
+    """Each file's rows, kept for the checks, how many there are, and milliseconds: those that reading it took, and a declared delay."""
+
+    def one(path: str) -> tuple[DataFrame, int, int]:
+        began = time.monotonic()
+        rows = read_rows(spark, [path], plan, strict=False).withColumn("iteration", F.lit(iteration)).persist()
+        n = rows.count()
+        return rows, n, int((time.monotonic() - began) * 1000) + plan.delay_ms
+
+    if len(paths) <= SERIAL_FILES:
+        return [one(p) for p in paths]
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(one), paths))
+
+
 def evaluate(
     spark: SparkSession, plan: IngestionPlan, contract: FeedContract, pinned: dict, paths: list[str], iteration: int = 1,
-    latency_budget_ms: int = checks.LATENCY_BUDGET_MS, tolerance: float = checks.NULL_TOLERANCE,
+    latency_budget_ms: int = checks.LATENCY_BUDGET_MS, tolerance: float = checks.NULL_TOLERANCE, timeout_s: float = checks.TIMEOUT_S,
 ) -> tuple[DataFrame, int, int]:
     """Findings of a plan on some files, rows emitted and milliseconds.
 
-    Code with guard findings is not run: those are all that is found. The rows are read once and kept for the checks;
-    a declared delay counts as time.
+    Code with guard findings is not run: those are all that is found. Each file is read once, timed by itself, and
+    kept for the checks; a declared delay counts as time. Where reading or checking goes on beyond `timeout_s`, its
+    jobs are cancelled; that, or a file that takes longer by its delay, is a finding of H1.
     """
+    names = [p.rsplit("/", 1)[-1] for p in paths]
+
+    def failed(messages: list[tuple[str, str, dict]]) -> DataFrame:
+        return spark.createDataFrame([(contract.client, sample, iteration, checks.H1, "error", m, proof) for sample, m, proof in messages], checks.FINDINGS)
+
     if plan.source_code and (bad := guard.scan(plan.source_code)):
-        rows = [(contract.client, "", iteration, checks.H1, "error", f["message"], {"line": str(f["line"])}) for f in bad]
-        return spark.createDataFrame(rows, checks.FINDINGS), 0, 0
-    canonical = read_rows(spark, paths, plan, strict=False).withColumn("iteration", F.lit(iteration)).persist()
-    try:
-        began = time.monotonic()
-        emitted = canonical.count()
-        wall = int((time.monotonic() - began) * 1000 / len(paths)) + plan.delay_ms
-        names = [p.rsplit("/", 1)[-1] for p in paths]
-        found = checks.evaluate_rows(canonical, manifest.pins(spark, pinned), tolerance)
-        times = spark.createDataFrame([(contract.client, n, iteration, wall) for n in names], "client string, sample string, iteration int, wall_ms long")
-        d = dag(plan)
-        dags = spark.createDataFrame(
-            [(contract.client, names[0], iteration, d["dag_id"], d["schedule"], d["tasks"], d["edges"], f"{contract.client}__{contract.feed_name}", contract.schedule_cron)],
-            "client string, sample string, iteration int, dag_id string, schedule string, tasks array<string>, edges array<array<string>>, expected_id string, expected_schedule string",
-        )
-        everything = found.unionByName(checks.check_latency(times, latency_budget_ms)).unionByName(checks.check_dag(dags))
-        collected = everything.collect()  # a few rows per sample and measure
-    finally:
-        canonical.unpersist()
-    return spark.createDataFrame(collected, checks.FINDINGS), emitted, wall * len(paths)
+        return failed([("", f["message"], {"line": str(f["line"])}) for f in bad]), 0, 0
+    began, read = time.monotonic(), []
+    with time_limit(spark, timeout_s * max(1, len(paths))) as late:
+        try:
+            read = timed_rows(spark, plan, paths, iteration)
+            canonical = reduce(DataFrame.unionByName, (rows for rows, _, _ in read))
+            times = [(contract.client, n, iteration, ms) for n, (_, _, ms) in zip(names, read)]
+            found = checks.evaluate_rows(canonical, manifest.pins(spark, pinned), tolerance)
+            d = dag(plan)
+            dags = spark.createDataFrame(
+                [(contract.client, names[0], iteration, d["dag_id"], d["schedule"], d["tasks"], d["edges"], f"{contract.client}__{contract.feed_name}", contract.schedule_cron)],
+                "client string, sample string, iteration int, dag_id string, schedule string, tasks array<string>, edges array<array<string>>, expected_id string, expected_schedule string",
+            )
+            timed = spark.createDataFrame(times, "client string, sample string, iteration int, wall_ms long")
+            everything = found.unionByName(checks.check_latency(timed, latency_budget_ms)).unionByName(checks.check_dag(dags))
+            collected = everything.collect()  # a few rows per sample and measure
+        except Exception:
+            if not late.is_set():
+                raise
+            wall = int((time.monotonic() - began) * 1000)
+            return failed([("", f"timed out: more than {timeout_s:g} s a file", {"wall_ms": str(wall)})]), 0, wall
+        finally:
+            for rows, _, _ in read:
+                rows.unpersist()
+    over = [(n, f"{n}: timed out after {timeout_s:g} s", {"wall_ms": str(ms)}) for _, n, _, ms in times if ms > 1000 * timeout_s]
+    out = spark.createDataFrame(collected, checks.FINDINGS)
+    return out.unionByName(failed(over)) if over else out, sum(n for _, n, _ in read), sum(ms for _, _, ms in read)
 
 
 class RunService:
@@ -193,15 +251,16 @@ def replay(service: RunService, seed: int = 42, clients: list[str] | None = None
         pinned = manifest.load_manifest(spark, service.corpus, client)
         tools = service.state_at(run["run_id"], 2)["tool_calls"]
         runs.append((run["run_id"], client, run["status"], run["iterations"], pinned["scenario"]["expected_outcome"], tools))
-    if adversarial_client:
-        contract = files.load_contract(spark, service.corpus, adversarial_client)
-        pinned = manifest.load_manifest(spark, service.corpus, adversarial_client)
-        paths = files.sample_paths(spark, service.corpus, adversarial_client)
-        for name in manifest.ADVERSARIAL:
-            plan, must_fail = manifest.adversarial_plan(name, compile_plan(contract))
-            rows = [r for r in evaluate(spark, plan, contract, pinned, paths, 1, service.latency_budget_ms)[0].collect() if r.severity == "error"]
-            cases.append((name, list(must_fail), sorted({r.check for r in rows})))
-            found += [(name, r.check, r.severity) for r in rows]
+    wrong = manifest.adversarial_cases(spark, service.corpus)
+    if adversarial_client and not wrong:
+        wrong = [{"name": n, "against_client": adversarial_client, "must_fail": list(must), "pipeline": ""} for n, (_, must) in manifest.ADVERSARIAL.items()]
+    for case in wrong:
+        client, name = case["against_client"], case["name"]
+        contract, pinned = files.load_contract(spark, service.corpus, client), manifest.load_manifest(spark, service.corpus, client)
+        plan = manifest.plan_of_case(case, compile_plan(contract))
+        rows = [r for r in evaluate(spark, plan, contract, pinned, files.sample_paths(spark, service.corpus, client), 1, service.latency_budget_ms)[0].collect() if r.severity == "error"]
+        cases.append((name, case["must_fail"], sorted({r.check for r in rows})))
+        found += [(name, r.check, r.severity) for r in rows]
     ids = [r[0] for r in runs]
     iterations = service.ledger.iterations().filter(F.col("run_id").isin(ids))
     reported = iterations.select("run_id", F.explode(F.from_json("report_json", "array<struct<check:string,severity:string>>")).alias("f")).select(F.col("run_id").alias("source"), "f.check", "f.severity")

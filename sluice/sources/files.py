@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import csv
 import re
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 
 from ..errors import ContractError
 from ..functions.text import is_blank, split_lines
-from ..plans.contract import FeedContract, parse_contract, slice_of
+from ..plans.contract import FENCE, LANGUAGE, FeedContract, parse_contract, slice_of
 from ..schemas import EVENTS
 
 #: Files from this size on are framed without being read whole.
 LARGE_BYTES = 64 << 20
+#: Fixed value: the characters of a plain name.
 SAFE_NAME = re.compile(r"[A-Za-z0-9._-]+")
 SAMPLE = r"([^/]+)$"
 
@@ -85,7 +87,7 @@ def framed_lines(texts: DataFrame, spec: FeedContract, strict: bool = True) -> D
     return framed.select("sample", F.posexplode(body).alias("idx", "line")).withColumn("idx", F.col("idx").cast("long"))
 
 
-def framed_lines_large(spark: SparkSession, paths: str | list[str], spec: FeedContract) -> DataFrame:
+def framed_lines_large(spark: SparkSession, paths: str | list[str], spec: FeedContract, strict: bool = True) -> DataFrame:
     """As framed_lines, for UTF-8 files of any size; splits are counted first, then placed."""
     rows = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
@@ -97,7 +99,11 @@ def framed_lines_large(spark: SparkSession, paths: str | list[str], spec: FeedCo
     counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     by_file = Window.partitionBy("path")
     before = F.sum("n").over(by_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    placed = counts.select("path", "block", "first", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(by_file).alias("total"))
+    total, need = F.sum("n").over(by_file), spec.header_rows + spec.trailer_rows
+    if strict:
+        short = F.raise_error(F.concat(sample_of("path"), F.lit(f": fewer than {need} lines")))
+        total = F.when(total < need, short.cast("long")).otherwise(total)
+    placed = counts.select("path", "block", "first", F.coalesce(before, F.lit(0)).alias("before"), total.alias("total"))
     idx = F.col("before") + F.col("at") - F.col("first") - spec.header_rows
     numbered = rows.join(placed, ["path", "block"]).select(sample_of("path").alias("sample"), idx.alias("idx"), "line", "total")
     return numbered.filter((F.col("idx") >= 0) & (F.col("idx") < F.col("total") - spec.header_rows - spec.trailer_rows)).select("sample", "idx", "line")
@@ -122,6 +128,12 @@ def header_names(spark: SparkSession, path: str, spec: FeedContract, strict: boo
     return names if strict else [x.strip() for x in names]
 
 
+def header_names_of(spark: SparkSession, paths: list[str], spec: FeedContract, strict: bool = True) -> list[tuple[str, ...]]:
+    """header_names of many files; their small jobs run side by side."""
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(lambda p: tuple(header_names(spark, p, spec, strict)), paths))
+
+
 def with_csv(lines: DataFrame, names: list[str], delimiter: str, strict: bool) -> tuple[DataFrame, dict[str, Column]]:
     """Lines parsed as delimited fields, and a column per name; strict sets `_fault` where the field count differs."""
     schema = ", ".join(f"f{i} string" for i in range(len(names))) + ", _corrupt string"
@@ -142,7 +154,7 @@ def with_fixed(lines: DataFrame, sources: list[str], strict: bool) -> tuple[Data
 
 
 def with_json(lines: DataFrame, keys: list[str], strict: bool) -> tuple[DataFrame, dict[str, Column]]:
-    """Lines as flat JSON objects; numbers keep their digits, null is empty."""
+    """Lines as flat JSON objects; numbers keep their exact value (zeros at the end of a fraction go), null is empty."""
     parsed = lines.withColumn("_v", F.try_parse_json("line"))
     bad = F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT")
     parsed = parsed.withColumn("_fault", F.when(bad, F.lit("not a JSON object")))
@@ -164,13 +176,16 @@ def records(spark: SparkSession, lines: DataFrame, spec: FeedContract, names: li
 # --- catalogs -------------------------------------------------------------------
 
 
+def with_digests(files: DataFrame, content: str = "content") -> DataFrame:
+    """The same rows with bytes and sha256 of a binary column instead of it."""
+    return files.withColumns({"bytes": F.octet_length(content).cast("long"), "sha256": F.sha2(F.col(content), 256)}).drop(content)
+
+
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     """client, name, bytes and sha256 of every sample under root/<client>/samples."""
     files = spark.read.format("binaryFile").load(f"{root}/*/samples/*")
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)/samples/[^/]+$", 1).alias("client"), sample_of("path").alias("name"),
-        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
-    ).orderBy("client", "name")
+    named = files.select(F.regexp_extract("path", r"([^/]+)/samples/[^/]+$", 1).alias("client"), sample_of("path").alias("name"), "content")
+    return with_digests(named).orderBy("client", "name")
 
 
 def list_clients(spark: SparkSession, root: str) -> list[str]:
@@ -185,12 +200,32 @@ def load_contract(spark: SparkSession, root: str, client: str) -> FeedContract:
     return parse_contract(text["text"], client)
 
 
+def contract_block(text: Column) -> Column:
+    """blocks, how many contract blocks a text has, and block, the first one: as contract_blocks, in one pass over the lines."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    fence, said = F.lit(FENCE), F.lit(" ".join(LANGUAGE))
+    start = F.struct(F.lit(False).alias("open"), F.lit(0).alias("blocks"), F.array().cast("array<string>").alias("held"), F.array().cast("array<string>").alias("first"))
+
+    def step(acc: Column, x: Column) -> Column:
+        closes = acc["open"] & F.regexp_replace(x, r"\A[ \t]+", "").startswith(fence)
+        words = F.trim(F.regexp_replace(F.substring(x, len(FENCE) + 1, 1 << 20), r"[ \t]+", " "))
+        opens = ~acc["open"] & x.startswith(FENCE + LANGUAGE[0]) & (words == said)
+        as_is = (acc["open"], acc["blocks"], acc["held"], acc["first"])
+        empty = F.array().cast("array<string>")
+        closed = (F.lit(False), acc["blocks"] + 1, empty, F.when(acc["blocks"] == 0, acc["held"]).otherwise(acc["first"]))
+        opened = (F.lit(True), acc["blocks"], empty, acc["first"])
+        more = (acc["open"], acc["blocks"], F.concat(acc["held"], F.array(x)), acc["first"])
+        made = lambda parts: F.struct(*(p.alias(n) for p, n in zip(parts, ("open", "blocks", "held", "first"))))
+        return F.when(closes, made(closed)).when(acc["open"], made(more)).when(opens, made(opened)).otherwise(made(as_is))
+
+    return F.aggregate(lines, start, step, lambda acc: F.struct(acc["blocks"].alias("blocks"), F.when(acc["blocks"] > 0, F.array_join(acc["first"], "\n")).alias("block")))
+
+
 def contracts(spark: SparkSession, root: str) -> DataFrame:
-    """client and the contract block of every spec, or how many there are if not one."""
-    block = r"```yaml[ \t]+feed-contract[ \t]*\r?\n((?s:.*?))\r?\n[ \t]*```"
+    """client, blocks (how many contract blocks there are) and the first block of every spec."""
     files = spark.read.format("binaryFile").load(f"{root}/*/spec.md")
-    found = F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(block), 1)
-    return files.select(F.regexp_extract("path", r"([^/]+)/spec\.md$", 1).alias("client"), F.size(found).alias("blocks"), F.get(found, F.lit(0)).alias("block"))
+    found = files.select(F.regexp_extract("path", r"([^/]+)/spec\.md$", 1).alias("client"), contract_block(F.decode("content", "UTF-8")).alias("b"))
+    return found.select("client", "b.blocks", "b.block")
 
 
 def sample_paths(spark: SparkSession, root: str, client: str) -> list[str]:
@@ -205,6 +240,14 @@ def peek(texts: DataFrame, rows: int = 5) -> DataFrame:
     return texts.select("sample", F.posexplode(F.slice(lines, 1, max(1, min(rows, 5)))).alias("idx", "line"))
 
 
+def append_events(spark: SparkSession, path: str, events: list[dict]) -> None:
+    """Adds events (ts, node, run_id, and anything else as detail) to the log, a line each; values that aren't text are written as text."""
+    fixed = ("ts", "node", "run_id")
+    as_text = lambda v: None if v is None else v if isinstance(v, str) else str(v)
+    rows = [(*(as_text(e.get(k)) for k in fixed), {k: as_text(v) for k, v in e.items() if k not in fixed}) for e in events]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").json(path)
+
+
 def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """The event log: JSON lines; blank lines are skipped."""
     reader = spark.readStream if stream else spark.read
