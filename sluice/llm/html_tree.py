@@ -17,22 +17,27 @@ landmarks of a page that has some lose MARK. As MARK is less than half the range
 importance, text of all pages falls inside landmarks too, and own text stays outside
 them. Blocks below LEAST fall; the rest gives the text.
 
-Branches whose tag or class names a menu, header, footer, sidebar, notice, advert, form
-or comments fall whatever their importance, as their texts are often other ones on each
-page; a landmark does only as a comment. Names on html, body and on wrappers, and forms
-and page headers that wrap, are no such marks: an element wraps if it holds a main, most
-of the text of the page's articles or, where there are neither, of the page (a comment
-section has to hold most of both). Landmarks in a nav, footer, aside or comment are none.
-Where names alone would take all text, or all of the landmarks, only comments count.
+A node also has a mass: the characters that stand in it, each text's weighted by 1 - log_m(c).
+Branches whose tag or class names a menu, header, footer, sidebar, notice, advert, form or
+comments fall, as their texts are often other ones on each page, which no entropy tells from
+an article's; unless the tree overrules the name: a branch with over half of the mass of its
+host is the host's text, whatever it is called (but comments are comments). A landmark has no
+such name but as a comment. Names on html, body and on wrappers, and forms and page headers
+that wrap, are no marks either: an element wraps if it holds a main, most of the text of the
+page's articles or, where there are neither, of the page (a comment section has to hold most
+of both). Landmarks in a nav, footer, aside or comment are none. Where names alone would take
+all text, or all of the landmarks, only comments count.
 
 The tree is two counting aggregations over (host, node, value); the hot host's values
 are many keys, pre-counted in each task. Only nodes of MIN_PAGES pages come back to the
-pages: broadcast if that table is small, else by a join.
+pages: as a broadcast table if it is small; else page and node rows are joined, salted
+against hot hosts, and a page gets the few nodes that it has itself, never its host's tree.
 
 Null html is empty; null or odd urls share the host ''. A page without kept text has
-an empty text. Pages of one host with equal html count as one page: each of n copies
-has a weight of 1/n. Where the tree would take all blocks of a page, its marks alone
-decide. An empty table gives none.
+an empty text. A page of any length is parsed whole. Pages of one host with equal html count
+as one page: each of n copies has a weight of 1/n. An importance equal to LEAST (a tie) stays.
+Where the tree would take all blocks of a page, its marks alone decide. An empty table gives
+none. An input column named text is left out of the output.
 """
 
 from __future__ import annotations
@@ -41,6 +46,7 @@ import html
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -53,6 +59,8 @@ MIN_PAGES = 5
 LEAST = NEUTRAL = 0.5
 MARK = 0.4
 BROADCAST_BYTES = 8 << 20
+#: Into so many parts a hot host's rows are dealt where tables are joined.
+SALTS = 16
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -88,18 +96,19 @@ WHOLE = frozenset({"html", "body"})
 class Element:
     """An open or closed block element: its place in `elements` of its parent, marks, and lengths of text in it."""
 
-    __slots__ = ("parent", "tag", "landmark", "hard", "word", "talk", "main", "length", "landed")
+    __slots__ = ("parent", "tag", "node", "landmark", "hard", "word", "talk", "main", "length", "landed")
 
-    def __init__(self, parent, tag, landmark, words):
-        self.parent, self.tag, self.landmark = parent, tag, landmark
+    def __init__(self, parent, tag, node, landmark, words):
+        self.parent, self.tag, self.node, self.landmark = parent, tag, node, landmark
         self.talk = bool(words & TALK_WORDS)
         self.word = not landmark and bool(words & OUTER_WORDS)
         self.hard = tag in OUTER_TAGS or landmark and self.talk
         self.main, self.length, self.landed = False, 0, 0
 
 
-def judge(elements: list[Element], own: list[tuple[int, int]]) -> list[tuple[bool, bool]]:
-    """(outer, inside) of each element; own: place of an element and length of text that stands in it."""
+def judge(elements: list[Element], own: list[tuple[int, int]]) -> list[tuple[tuple[Element, ...], bool]]:
+    """(marks, inside) of each element: the elements about it that are marked as outer, and whether it is in a
+    landmark; own: place of an element and length of text that stands in it."""
     hidden, landed = [False] * len(elements), [False] * len(elements)
     for i, e in enumerate(elements[1:], 1):
         hidden[i] = hidden[e.parent] or e.hard
@@ -120,13 +129,14 @@ def judge(elements: list[Element], own: list[tuple[int, int]]) -> list[tuple[boo
             return most and (most_landed or not top.landed)
         return most_landed or most and not top.landed and not top.main and e.tag != "header"
 
-    def marks(names: bool) -> list[tuple[bool, bool]]:
-        out = [(False, False)]
+    def marks(names: bool) -> list[tuple[tuple[Element, ...], bool]]:
+        out: list[tuple[tuple[Element, ...], bool]] = [((), False)]
         for e in elements[1:]:
-            outer, inside = out[e.parent]
+            marked, inside = out[e.parent]
             soft = names and (e.word or e.tag in SOFT_TAGS and not (e.tag == "header" and inside)) or e.talk and not e.landmark
-            outer = outer or e.hard or soft and e.tag not in WHOLE and not wraps(e)
-            out.append((outer, inside or e.landmark))
+            if e.hard or soft and e.tag not in WHOLE and not wraps(e):
+                marked = (*marked, e)
+            out.append((marked, inside or e.landmark))
         return out
 
     out = marks(True)
@@ -138,23 +148,26 @@ def judge(elements: list[Element], own: list[tuple[int, int]]) -> list[tuple[boo
 class Block:
     """A run of text of one block element: path of nodes, marks, and its text."""
 
-    __slots__ = ("nodes", "outer", "inside", "text")
+    __slots__ = ("nodes", "marks", "inside", "text")
 
-    def __init__(self, nodes, outer, inside, text):
-        self.nodes, self.outer, self.inside, self.text = nodes, outer, inside, text
+    def __init__(self, nodes, text):
+        self.nodes, self.marks, self.inside, self.text = nodes, (), False, text
 
 
 def node_id(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - (1 << 63)
 
 
+ROOT = node_id("")
+
+
 def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
     """The blocks of a page in order, and each node's children, in order and without repeats in a row."""
     blocks: list[Block] = []
     children: dict[int, list[str]] = {}
-    elements, own = [Element(0, "", False, set())], []
+    elements, own = [Element(0, "", ROOT, False, set())], []
     # Open block elements: tag, node, path, place in elements.
-    stack: list[tuple[str, int, str, int]] = [("", node_id(""), "", 0)]
+    stack: list[tuple[str, int, str, int]] = [("", ROOT, "", 0)]
     run: list[str] = []
     at = 0
 
@@ -164,7 +177,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
             run.clear()
             if said:
                 own.append((stack[-1][3], len(said)))
-                blocks.append(Block([s[1] for s in stack], False, False, said))
+                blocks.append(Block([s[1] for s in stack], said))
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -207,27 +220,40 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
         if tag in SINGLE:
             continue
         path = f"{path}>{name}"
-        elements.append(Element(place, tag, landmark, words))
-        stack.append((tag, node_id(path), path, len(elements) - 1))
+        elements.append(Element(place, tag, node_id(path), landmark, words))
+        stack.append((tag, elements[-1].node, path, len(elements) - 1))
         children.setdefault(stack[-1][1], [])
     if at < len(page):
         run.append(page[at:])
     close()
-    marks = judge(elements, own)
+    judged = judge(elements, own)
     for b, (i, _) in zip(blocks, own):
-        b.outer, b.inside = marks[i]
+        b.marks, b.inside = judged[i]
     return blocks, children
 
 
-def main_text(page: str, importance: dict[int, float]) -> str:
-    """What is kept of a page, given the importance of its host's nodes (absent: NEUTRAL)."""
-    blocks = [b for b in parse(page)[0] if not b.outer]
+Nodes = dict[int, tuple[float, float]]
+
+
+def text_of(blocks: list[Block], nodes: Nodes) -> str:
+    """What is kept of a page's blocks, given importance and mass of nodes of its host's tree (absent: NEUTRAL)."""
+    whole = nodes.get(ROOT, (0.0, 0.0))[1]
+
+    def overruled(e: Element) -> bool:
+        return not e.talk and 2 * nodes.get(e.node, (0.0, 0.0))[1] > whole
+
+    blocks = [b for b in blocks if all(map(overruled, b.marks))]
     landmarks = any(b.inside for b in blocks)
     mark = lambda b: MARK if b.inside else -MARK if landmarks else 0.0
-    kept = [b.text for b in blocks if importance.get(b.nodes[-1], NEUTRAL) + mark(b) >= LEAST]
+    kept = [b.text for b in blocks if nodes.get(b.nodes[-1], (NEUTRAL,))[0] + mark(b) >= LEAST]
     return "\n".join(kept or [b.text for b in blocks if NEUTRAL + mark(b) >= LEAST])
 
 
+def main_text(page: str, nodes: Nodes) -> str:
+    """As text_of, of a page's html."""
+    return text_of(parse(page)[0], nodes)
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
@@ -236,19 +262,25 @@ PAGE, STYLE, TEXT = 0, 1, 2
 
 
 def style_counts(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, node, kind, value, n): distinct pages with a node, with a sequence of children, with a text in it."""
-    schema = "host string, node long, kind int, value long, n double"
+    """(host, node, kind, value, n, chars): distinct pages with a node, with a sequence of children, with a text in it,
+    and the characters of such texts."""
+    schema = "host string, node long, kind int, value long, n double, chars double"
     rows = pages.select(host_of(col(url)).alias("host"), F.coalesce(col(page).cast("string"), F.lit("")).alias("page"))
     rows = rows.withColumn("digest", F.xxhash64("page"))
     copies = settle(rows.groupBy("host", "digest").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
     size = copies.agg(F.coalesce(F.sum(F.length("host") + 16), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
-        copies = F.broadcast(copies)
-    rows = rows.join(copies, ["host", "digest"], "left").select("host", "page", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+        rows = rows.join(F.broadcast(copies), ["host", "digest"], "left")
+    else:
+        copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.spark_partition_id() % SALTS).join(copies, ["host", "digest", "salt"], "left")
+    rows = rows.select("host", "page", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
 
     def run(batches):
         for batch in batches:
-            hosts, shares, seen, size = batch.column(0).to_pylist(), batch.column(2).to_pylist(), defaultdict(float), 0
+            hosts, shares, size = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
+            seen: dict[tuple, float] = defaultdict(float)
+            chars: dict[tuple, float] = defaultdict(float)
             for i, (host, share) in enumerate(zip(hosts, shares)):
                 text = batch.column(1)[i].as_py() or ""
                 blocks, children = parse(text)
@@ -256,58 +288,104 @@ def style_counts(pages: DataFrame, url: str = "url", page: str = "html") -> Data
                 found.update((host, n, STYLE, node_id("|".join(kids))) for n, kids in children.items() if kids)
                 for b in blocks:
                     value = node_id(b.text)
-                    found.update((host, n, TEXT, value) for n in b.nodes)
+                    for n in b.nodes:
+                        key = (host, n, TEXT, value)
+                        found.add(key)
+                        chars[key] += share * len(b.text)
                 for key in found:
                     seen[key] += share
                 size += len(text)
                 if size > SLICE_BYTES or i == len(hosts) - 1:
                     cols = [*zip(*seen)]
                     types = [pa.string(), pa.int64(), pa.int32(), pa.int64()]
-                    arrays = [pa.array(c, t) for c, t in zip(cols, types)] + [pa.array(list(seen.values()), pa.float64())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["host", "node", "kind", "value", "n"])
-                    seen, size = defaultdict(float), 0
+                    arrays = [pa.array(c, t) for c, t in zip(cols, types)]
+                    arrays += [pa.array(list(seen.values()), pa.float64()), pa.array([chars.get(k, 0.0) for k in seen], pa.float64())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["host", "node", "kind", "value", "n", "chars"])
+                    seen.clear()
+                    chars.clear()
+                    size = 0
 
-    return rows.mapInArrow(run, schema).groupBy("host", "node", "kind", "value").agg(F.round(F.sum("n")).cast("long").alias("n"))
+    counted = rows.mapInArrow(run, schema).groupBy("host", "node", "kind", "value")
+    return counted.agg(F.round(F.sum("n")).cast("long").alias("n"), F.sum("chars").alias("chars"))
 
 
 def node_importance(counts: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of every node of the style trees."""
+    """(host, node, pages, importance, mass) of every node of the style trees."""
     on = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0.0))
     n = F.col("n").cast("double")
     nodes = counts.groupBy("host", "node").agg(
         on(PAGE, n).alias("m"), on(STYLE, n).alias("s"), on(STYLE, n * F.log(n)).alias("s_log"),
-        on(TEXT, n).alias("t"), on(TEXT, n * F.log(n)).alias("t_log"),
+        on(TEXT, n).alias("t"), on(TEXT, n * F.log(n)).alias("t_log"), F.sum("chars").alias("c"), on(TEXT, F.col("chars") * F.log(n)).alias("c_log"),
     )
     base = F.log(F.col("m"))
     presentation = F.when(F.col("s") > 0, (F.log("s") - F.col("s_log") / F.col("s")) / base).otherwise(0.0)
     content = F.when(F.col("t") > 0, 1 - F.col("t_log") / F.col("t") / base).otherwise(0.0)
     worth = F.when(F.col("m") < MIN_PAGES, 1.0).otherwise(F.greatest(content, presentation / 2))
-    return nodes.select("host", "node", F.col("m").cast("long").alias("pages"), worth.alias("importance"))
+    mass = F.when(F.col("m") > 1, F.col("c") - F.col("c_log") / base).otherwise(F.col("c"))
+    return nodes.select("host", "node", F.col("m").cast("long").alias("pages"), worth.alias("importance"), mass.alias("mass"))
+
+
+class Forest:
+    """Nodes of many hosts as sorted arrays: what a broadcast holds."""
+
+    def __init__(self, nodes):
+        self.of = {h: tuple(part[c].to_numpy() for c in ("node", "importance", "mass")) for h, part in nodes.sort_values("node").groupby("host")}
+
+    def pick(self, host: str, wanted: list[int]) -> Nodes:
+        if host not in self.of or not wanted:
+            return {}
+        node, importance, mass = self.of[host]
+        at = np.minimum(np.searchsorted(node, wanted), len(node) - 1)
+        return {n: (float(importance[i]), float(mass[i])) for n, i in zip(wanted, at.tolist()) if node[i] == n}
+
+
+def nodes_of(blocks: list[Block]) -> list[int]:
+    return list({n for b in blocks for n in b.nodes})
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Columns `keep` of every page with its main text."""
-    known_nodes = node_importance(style_counts(pages, url, page)).filter(F.col("pages") >= MIN_PAGES)
-    trees = settle(known_nodes.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("_tree")), "trees")
-    nodes = trees.agg(F.coalesce(F.sum(F.size("_tree") * 16 + F.length("host")), F.lit(0))).first()[0]
-    if nodes <= BROADCAST_BYTES:
-        trees = F.broadcast(trees)
+    known = node_importance(style_counts(pages, url, page)).filter(F.col("pages") >= MIN_PAGES)
+    known = settle(known.select("host", "node", "importance", "mass"), "trees")
     names = [n for n in keep if n.lower() != "text"]
-    need = list(dict.fromkeys([*names, url, page]))
-    joined = pages.select(*map(col, need), host_of(col(url)).alias("_host")).join(trees.withColumnRenamed("host", "_site"), F.col("_host") == F.col("_site"), "left")
-    known: dict = {}
+    kept = [f"_k{i}" for i in range(len(names))]
+    rows = pages.select(col(page).cast("string").alias("_page"), host_of(col(url)).alias("_host"), *(col(n).alias(k) for n, k in zip(names, kept)))
+    size = known.agg(F.coalesce(F.sum(F.octet_length("host") + 24), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        shared = pages.sparkSession.sparkContext.broadcast(Forest(known.toPandas()))
+
+        def factory():
+            forest = shared.value
+
+            def kernel(array, hosts):
+                parsed = [(h, parse(x)[0]) for x, h in zip(texts(array), hosts.to_pylist())]
+                return [pa.array([text_of(blocks, forest.pick(h, nodes_of(blocks))) for h, blocks in parsed], pa.string())]
+
+            return kernel
+
+        found = map_texts(rows, "_page", [("text", "string")], factory, kept, ("_host",))
+    else:
+        found = _joined_texts(rows, known, kept)
+    return found.select(*(col(k).alias(n) for k, n in zip(kept, names)), "text")
+
+
+def _joined_texts(rows: DataFrame, known: DataFrame, kept: list[str]) -> DataFrame:
+    """Columns `kept` and the text of rows (_page, _host), where the trees are too large to broadcast."""
+    rows = settle(rows.select(F.monotonically_increasing_id().alias("_row"), "*"), "pages")  # so that a row keeps its number
+
+    def list_nodes():
+        return lambda array: [pa.array([nodes_of(parse(x)[0]) for x in texts(array)], pa.list_(pa.int64()))]
+
+    have = map_texts(rows, "_page", [("nodes", "array<long>")], list_nodes, ("_row", "_host"))
+    have = have.select("_row", "_host", F.explode("nodes").alias("node"), (F.col("_row") % SALTS).cast("int").alias("salt"))
+    dealt = known.select(F.col("host").alias("_host"), "node", "importance", "mass", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = have.join(dealt, ["_host", "node", "salt"]).groupBy("_row").agg(F.collect_list(F.struct("node", "importance", "mass")).alias("_nodes"))
 
     def factory():
-        def kernel(array, hosts, tree):
-            out = []
-            for i, (said, host) in enumerate(zip(texts(array), hosts.to_pylist())):
-                if host not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[host] = {x["node"]: x["importance"] for x in tree[i].as_py() or ()}
-                out.append(main_text(said, known[host]))
-            return [pa.array(out, pa.string())]
+        def kernel(array, nodes):
+            trees = ({x["node"]: (x["importance"], x["mass"]) for x in t or ()} for t in nodes.to_pylist())
+            return [pa.array([main_text(x, t) for x, t in zip(texts(array), trees)], pa.string())]
 
         return kernel
 
-    return map_texts(joined, page, [("text", "string")], factory, names, ("_host", "_tree"))
+    return map_texts(rows.join(own, "_row", "left"), "_page", [("text", "string")], factory, kept, ("_nodes",))
