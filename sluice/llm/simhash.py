@@ -8,9 +8,11 @@ differ so far; a pair is pruned when that exceeds MAX_BITS or when all below it
 linked already. A task keeps a union of what it has linked and gives out a star
 per component, at most one link per fingerprint, never all pairs of a group.
 
-A sub-trie of over HOT fingerprints is dealt out by pairs of its nodes some
+A sub-trie of over HOT fingerprints is dealt out by pairs of its nodes DEEPER
 levels further down, each pair a group of its own: a pair (p, q) of nodes is
-kept if they differ in at most MAX_BITS bits, so no link is lost.
+kept if they differ in at most MAX_BITS bits, so no link is lost. Groups that are
+still larger are dealt out again, down to whole fingerprints if need be: no task
+ever holds more than HOT and a flush of rows at once.
 
 The components of all links come from alternating large and small stars, as
 DataFrame joins, settled in the shared folder in each round.
@@ -19,6 +21,7 @@ DataFrame joins, settled in the shared folder in each round.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,9 @@ HOT = 20_000
 DEEPER = 4
 FRONTIER = 1 << 19
 FLUSH_ROWS = 200_000
+BROADCAST_ROWS = 200_000
+#: At most so many fingerprints have a HEAVY-th of all rows each.
+HEAVY = 100_000
 
 _LANES = (np.arange(8) * 256).astype(np.int64)
 _BIT_OF = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -175,29 +181,44 @@ def join_groups(group: np.ndarray, keys: np.ndarray, levels: np.ndarray, start_d
     return links.root
 
 
-def near_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that join all near ones, over paths."""
+def _deeper(members: DataFrame, depth: int) -> DataFrame:
+    """Members of node pairs (lo, hi) at `depth`, as members of the near pairs of their children DEEPER levels down."""
+    child = F.shiftrightunsigned("key", BITS - depth - DEEPER)
+    node = F.shiftrightunsigned("key", BITS - depth)
+    partner = F.when(node == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    far = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi")))
+    masks = F.filter(F.array(*(F.lit(m).cast("long") for m in range(1 << DEEPER))), lambda m: far + F.bit_count(m) <= MAX_BITS)
+    other = F.shiftleft(partner, DEEPER).bitwiseOR(child.bitwiseAND(F.lit((1 << DEEPER) - 1)).bitwiseXOR(F.col("mask")))
+    dealt = members.select("block", "lo", "hi", "key", "fp", F.explode(masks).alias("mask"))
+    return dealt.select("block", F.lit(depth + DEEPER).alias("depth"), F.least(child, other).alias("lo"), F.greatest(child, other).alias("hi"), "key", "fp")
+
+
+def node_groups(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """(block, depth, lo, hi, key, fp): each fingerprint in the groups of node pairs that it is to be compared in,
+    none of over `hot` fingerprints but where two whole fingerprints are more than that."""
     blocks, width = MAX_BITS + 1, BITS // (MAX_BITS + 1)
     turned = [F.struct(F.lit(j).alias("block"), (F.shiftleft("fp", width * j).bitwiseOR(F.shiftrightunsigned("fp", BITS - width * j) if j else F.lit(0).cast("long"))).alias("key")) for j in range(blocks)]
-    rows = distinct.select("fp", F.explode(F.array(*turned)).alias("x")).select("fp", "x.block", "x.key", F.shiftrightunsigned("x.key", BITS - width).alias("value"))
-    # A group beyond `hot` is dealt out by node pairs: 4 levels down, or 8 or 12.
-    level = F.lit(3 * DEEPER)
-    for k in (2, 1):
-        level = F.when(F.col("n") <= hot * 2 ** (k * DEEPER), F.lit(k * DEEPER)).otherwise(level)
-    large = rows.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("block", "value", level.alias("level"))
-    rows = rows.join(large, ["block", "value"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    masks = F.array(F.lit(0))
-    for k in (1, 2, 3):
-        near = [m for m in range(2 ** (k * DEEPER)) if m.bit_count() <= MAX_BITS]
-        masks = F.when(F.col("level") == k * DEEPER, F.array(*map(F.lit, near))).otherwise(masks)
-    # Here shift amounts differ by row: the SQL function takes columns.
-    node = F.expr(f"CAST(shiftrightunsigned(shiftleft(key, {width}), {BITS} - level) AS INT)")
-    node = F.when(F.col("level") > 0, node).otherwise(0)
-    pairs = rows.withColumn("node", node).withColumn("mask", F.explode(masks)).withColumn("other", F.col("node").bitwiseXOR(F.col("mask")))
-    pairs = pairs.select("block", "value", F.least("node", "other").alias("lo"), F.greatest("node", "other").alias("hi"), "key", "fp", "level")
-    group = ["block", "value", "lo", "hi"]
+    rows = distinct.select("fp", F.explode(F.array(*turned)).alias("x")).select("fp", "x.block", "x.key", F.shiftrightunsigned("x.key", BITS - width).alias("node"))
+    todo = rows.select("block", F.lit(width).alias("depth"), F.col("node").alias("lo"), F.col("node").alias("hi"), "key", "fp")
+    done, depth, pair = [], width, ["block", "lo", "hi"]
+    while depth < BITS:
+        large = settle(todo.groupBy(*pair).agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(*pair), "large")
+        n = large.count()
+        if not n:
+            break
+        if n <= BROADCAST_ROWS:
+            large = F.broadcast(large)
+        done.append(todo.join(large, pair, "left_anti").select(*todo.columns))
+        todo = settle(_deeper(todo.join(large, pair, "left_semi"), depth), "deeper")
+        depth += DEEPER
+    return reduce(DataFrame.unionByName, done, todo)
+
+
+def near_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that join all near ones, over paths."""
+    width, group = BITS // (MAX_BITS + 1), ["block", "depth", "lo", "hi"]
     # Unsigned order of the keys: the top bit is flipped.
-    dealt = pairs.repartition(*group).sortWithinPartitions(*group, F.col("key").bitwiseXOR(F.lit(-(2**63))))
+    dealt = node_groups(distinct, hot).repartition(*group).sortWithinPartitions(*group, F.col("key").bitwiseXOR(F.lit(-(2**63))))
 
     def links_of(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(parts)
@@ -208,7 +229,7 @@ def near_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
         new[0] = True
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
-        root = join_groups(np.cumsum(new), table.column("key").to_numpy().view(np.uint64), table.column("level").to_numpy(), width)
+        root = join_groups(np.cumsum(new), table.column("key").to_numpy().view(np.uint64), table.column("depth").to_numpy() - width, width)
         fp, here = table.column("fp").to_numpy(), np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(fp[here]), pa.array(fp[root[here]])], ["a", "b"])
 
@@ -261,14 +282,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     least fingerprint, which tells components apart where an id is repeated.
 
     Documents with equal fingerprints are one node, and link like any others; those
-    without words share fingerprint zero. Null texts are empty. Rows with a null id
+    without words share fingerprint zero. Null texts are empty; a text of any length is
+    taken whole. Ties go to the least id and the least fingerprint. Rows with a null id
     link too; they never name a component unless all its ids are null (then it is
-    null). Repeated ids give repeated rows. An empty table gives none.
+    null). Repeated ids give repeated rows. An empty table gives none. Other columns may have
+    any name: they are not read.
     """
     marked = settle(fingerprints(docs, text, (doc_id,)).toDF("doc_id", "fp"), "fingerprints")
-    distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = components(near_links(distinct.select("fp"), hot))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id", "root")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root")
+    by_fp = settle(placed.join(named, "root").select("fp", "component_id", "root", "n"), "by-fp")
+    # Fingerprints with many copies are few, so they are broadcast; the others' rows are dealt out by fingerprint.
+    many = F.col("n") > max(hot, marked.count() // HEAVY)
+    heavy = F.broadcast(by_fp.filter(many).drop("n"))
+    rest = marked.join(heavy.select("fp"), "fp", "left_anti").join(by_fp.filter(~many), "fp")
+    return marked.join(heavy, "fp").unionByName(rest, allowMissingColumns=True).select("doc_id", "fp", "component_id", "root")
