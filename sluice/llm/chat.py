@@ -10,12 +10,14 @@ The turns of a batch are put together in numpy: lengths of all segments, their
 cumulative offsets, and scatter indices that copy markers and texts into one
 preallocated buffer, which becomes the Arrow column.
 
-Turns are dealt out by conversation and block of TURN_BLOCK turn numbers, so that a
-conversation with a large share of all rows is spread over tasks, and sorted by turn, then
-role and text (ties). A conversation comes out as parts, by block and number, whose texts
-joined are the whole. Null texts and roles are empty; null turns are a block of their own,
-the first; null conversation ids are one conversation; repeated rows are repeated turns;
-an empty table gives none.
+Turns are dealt out by conversation and block of TURN_BLOCK turn numbers, and sorted by turn,
+then role and text (ties). Conversations of several blocks or of over HOT_TURNS turns are dealt
+out by ranges of that order instead, so that one with a large share of all rows, or with many
+turns that are null or equal, is spread over tasks. A conversation comes out as parts, by
+block, task and number, whose texts joined are the whole. Null texts and roles are empty; a text
+of any length is one turn. Null turns are a block of their own, the first; null conversation ids
+are one conversation; repeated rows are repeated turns; an empty table gives none. Only the four
+columns named are read, so that others may have any name.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from urllib.parse import quote, unquote
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,9 @@ from .staging import settle
 MARKERS = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 LOSS_ROLE = "assistant"
 TURN_BLOCK = 512
+HOT_TURNS = 8 * TURN_BLOCK
+#: Ranges are told apart by so many characters of a text.
+RANGE_CHARS = 32
 BROADCAST_ROWS = 200_000
 
 SUSPECT = r"\[\\*/?(?:SYS\]|INST\]|ROLE[=\]])|<\\*/?s>"
@@ -95,23 +101,28 @@ def block_of(turn: Column) -> Column:
 
 
 def format_conversations(
-    rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+    rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", ranges: bool = False,
 ) -> DataFrame:
-    """conv_id, block, part, formatted and loss_mask: [start, end) of the assistant texts in code points of the part.
+    """conv_id, block, task, part, formatted and loss_mask: [start, end) of the assistant texts in code points of the part.
 
-    A conversation's parts are in the order of block and part.
+    A conversation's parts are in the order of block, task and part. ranges: deal out by ranges of turns, roles and
+    beginnings of texts, which splits blocks, too.
     """
     empty = F.lit("")
     turns = rows.select(
         col(conv_id).alias("conv_id"), block_of(col(turn)).alias("block"), col(turn).alias("turn"),
         F.coalesce(col(role).cast("string"), empty).alias("role"), F.coalesce(col(text).cast("string"), empty).alias("text"),
     )
-    dealt = turns.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
+    if ranges:
+        dealt = turns.repartitionByRange("conv_id", "block", "turn", "role", F.left("text", F.lit(RANGE_CHARS)))
+    else:
+        dealt = turns.repartition("conv_id", "block")
+    dealt = dealt.sortWithinPartitions("conv_id", "block", "turn", "role", "text")
     kind = dict(turns.dtypes)["conv_id"]
     mask_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, part, any_before = None, 0, False
+        before, part, any_before, task = None, 0, False, TaskContext.get().partitionId()
         for batch in batches:
             for piece in slices(batch, 4):
                 ids = list(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()))
@@ -139,11 +150,11 @@ def format_conversations(
                 parts[0] = part + 1 if any_before and heads[0] == before else 0
                 before, part, any_before = heads[-1], parts[-1], True
                 yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(i).take(pa.array(first)) for i in (0, 1)), pa.array(parts, pa.int64()), formatted.cast(pa.string()), pa.array(masks, mask_type)],
-                    ["conv_id", "block", "part", "formatted", "loss_mask"],
+                    [*(piece.column(i).take(pa.array(first)) for i in (0, 1)), pa.array([task] * len(parts), pa.int64()), pa.array(parts, pa.int64()), formatted.cast(pa.string()), pa.array(masks, mask_type)],
+                    ["conv_id", "block", "task", "part", "formatted", "loss_mask"],
                 )
 
-    return dealt.mapInArrow(run, f"conv_id {kind}, block long, part long, formatted string, loss_mask array<struct<start:long,end:long>>")
+    return dealt.mapInArrow(run, f"conv_id {kind}, block long, task long, part long, formatted string, loss_mask array<struct<start:long,end:long>>")
 
 
 def turns_of(formatted: str) -> list[tuple[str, str]]:
@@ -180,8 +191,8 @@ def digests(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             arrow_type = batch.schema.field(0).type
-            for piece in slices(batch, 3):
-                for conv, text, mask in zip(*(piece.column(i).to_pylist() for i in (0, 3, 4))):
+            for piece in slices(batch, 4):
+                for conv, text, mask in zip(*(piece.column(i).to_pylist() for i in (0, 4, 5))):
                     if state is None or conv != state[0]:
                         if state is not None:
                             close()
@@ -206,13 +217,13 @@ def digests(formatted: DataFrame) -> DataFrame:
 def conversation_digests(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """The digests of all conversations of a table of turns.
 
-    A conversation of one block is whole in one partition and is read back there. The
-    parts of longer ones, formatted in many tasks, are brought together in order: a digest
-    runs from end to end. Which are longer is found from ids and turn numbers alone.
+    A conversation of one block and at most HOT_TURNS turns is whole in one partition and is read
+    back there. The parts of longer ones, formatted in many tasks, are brought together in order: a
+    digest runs from end to end. Which are longer is found from ids and turn numbers alone.
     """
     plain = rows.select(col(conv_id).alias("conv_id"), col(turn).alias("turn"), col(role).alias("role"), col(text).alias("text"))
-    spans = plain.groupBy("conv_id").agg(F.min(block_of(F.col("turn"))).alias("a"), F.max(block_of(F.col("turn"))).alias("b"))
-    longer = settle(spans.filter("a <> b").select(F.col("conv_id").alias("_long")), "longer")
+    spans = plain.groupBy("conv_id").agg(F.min(block_of(F.col("turn"))).alias("a"), F.max(block_of(F.col("turn"))).alias("b"), F.count("*").alias("n"))
+    longer = settle(spans.filter((F.col("a") != F.col("b")) | (F.col("n") > HOT_TURNS)).select(F.col("conv_id").alias("_long")), "longer")
     n = longer.count()
     if not n:
         return digests(format_conversations(plain))
@@ -220,5 +231,5 @@ def conversation_digests(rows: DataFrame, conv_id: str = "conv_id", turn: str =
         longer = F.broadcast(longer)
     same = F.col("conv_id").eqNullSafe(F.col("_long"))
     short = digests(format_conversations(plain.join(longer, same, "left_anti")))
-    parts = format_conversations(plain.join(longer, same, "left_semi"))
-    return short.union(digests(parts.repartition("conv_id").sortWithinPartitions("conv_id", "block", "part")))
+    parts = format_conversations(plain.join(longer, same, "left_semi"), ranges=True)
+    return short.union(digests(parts.repartition("conv_id").sortWithinPartitions("conv_id", "block", "task", "part")))
