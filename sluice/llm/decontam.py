@@ -1,10 +1,11 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Items and documents are lower-cased (A-Z) and cut into words; every window of
-WINDOW item words (a shorter item: all of it) is a pattern: a sequence of word numbers, as
-a trie over words takes a fifth of the memory of one over their characters. A document's
-words, numbered alike (a word of no item: 0), are scanned once; ends of matches are word
-positions, which are mapped to offsets of the original text.
+WINDOW item words (a shorter item: all of it) is a pattern: a string of one character per
+word (WIDE characters where a block has more words than there are characters), as a trie over
+words takes a fifth of the memory of one over their letters. A document's words, written
+alike (a word of no item: zero), are scanned once; ends of matches are word positions, which
+are mapped to offsets of the original text.
 
 Items of up to BLOCK_BYTES make one automaton, which each Python worker builds from a
 broadcast list. A larger benchmark is taken in blocks of items: one automaton after another
@@ -22,6 +23,7 @@ none. An input column named like a result column is left out of the output.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -35,6 +37,7 @@ from .staging import settle
 WINDOW = 10
 #: An automaton takes some 100 bytes of memory a byte of items.
 BLOCK_BYTES = 2 << 20
+CHARACTERS, WIDE = 0x110000, 2
 
 #: A-Z to a-z; 0-9, a-z and every byte of a multi-byte character stay; the rest is a space.
 WORD_TABLE = bytes(
@@ -61,19 +64,30 @@ def windows(items: list[tuple[str | None, bytes]]) -> dict[bytes, tuple[int, lis
     return out
 
 
+def word_codes(patterns: Iterable[bytes]) -> tuple[dict[bytes, str], int]:
+    """The string that stands for each word of the patterns, and the length of these strings."""
+    words = dict.fromkeys(w for p in patterns for w in p.split())
+    if len(words) < CHARACTERS:
+        return {w: chr(i) for i, w in enumerate(words, 1)}, 1
+    # The first character is of the upper half, the others of the lower, so that no match begins inside a word.
+    half = CHARACTERS // 2
+    return {w: chr(half + i // half) + chr(i % half) for i, w in enumerate(words)}, WIDE
+
+
 def automaton(key: str, items: list[tuple[str | None, bytes]]):
-    """The automaton, its patterns and the numbers of its words, once per process."""
+    """The automaton, its patterns, and the codes of its words and their length, once per process."""
     if key not in _built:
         import ahocorasick
 
         _built.clear()
-        found, values, numbers = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), [], {}
-        for pattern, value in windows(items).items():
-            found.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in pattern.split()), len(values))
+        found, values, patterns = ahocorasick.Automaton(), [], windows(items)
+        codes, width = word_codes(patterns)
+        for pattern, value in patterns.items():
+            found.add_word("".join(codes[w] for w in pattern.split()), len(values))
             values.append(value)
         if values:
             found.make_automaton()
-        _built[key] = (found, values, numbers)
+        _built[key] = (found, values, codes, width)
     return _built[key]
 
 
@@ -110,10 +124,10 @@ def _pairs(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"start": a, "end": b} for a, b in spans]
 
 
-def _kernel(found, values, numbers):
+def _kernel(found, values, codes, width):
     """Arrays of OUT for texts and, if given, for hits that are known already (ids and word spans, or null)."""
 
-    zeros = repeat(0)
+    unknown = repeat("\0" * width)
 
     def kernel(array: pa.Array, known_items=None, known_spans=None):
         n_words, n_hit, ids, chars, words = [], [], [], [], []
@@ -123,8 +137,9 @@ def _kernel(found, values, numbers):
                 names.update(known_items[i].as_py() or ())
                 spans += [(x["start"], x["end"]) for x in known_spans[i].as_py() or ()]
             if values and split:
-                for end, v in found.iter(tuple(map(numbers.get, split, zeros))):
-                    spans.append((end + 1 - values[v][0], end + 1))
+                for end, v in found.iter("".join(map(codes.get, split, unknown))):
+                    end = (end + 1) // width
+                    spans.append((end - values[v][0], end))
                     names.update(values[v][1])
             spans = merged(spans)
             n_words.append(len(split))
@@ -175,5 +190,5 @@ def find_leaks(
         hits = part if hits is None else hits.unionByName(part)
     hits = hits.groupBy("_row").agg(F.flatten(F.collect_list("items")).alias("_items"), F.flatten(F.collect_list("word_spans")).alias("_words"))
     joined = rows.join(hits, "_row", "left")
-    whole = map_texts(joined, "_text", OUT, lambda: _kernel(None, None, None), kept, ("_items", "_words"))
+    whole = map_texts(joined, "_text", OUT, lambda: _kernel(None, None, None, 1), kept, ("_items", "_words"))
     return whole.select(*(col(k).alias(x) for x, k in zip(names, kept)), "n_words", "n_hit", "items", "spans")

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,18 @@ def test_leaks(spark, monkeypatch, block):
     assert decontam.find_leaks(docs.limit(0), bench).collect() == []
 
 
+def test_many_words_take_two_characters(monkeypatch):
+    monkeypatch.setattr(decontam, "CHARACTERS", 8)
+    items = [(str(i), " ".join(f"w{(i * 7 + k) % 13}" for k in range(12)).encode()) for i in range(4)] + [("s", b"w1 w2")]
+    found, values, codes, width = decontam.automaton("narrow", items)
+    assert width == 2 and len(set(codes.values())) == len(codes) == 13
+    kernel = decontam._kernel(found, values, codes, width)
+    for text in ("x w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 y", "w1 w2 w1", "w2 w1", "none", ""):
+        words = text.split()
+        hits = {j + k for _, raw in items for w in [raw.decode().split()] for n in [min(10, len(w))] for i in range(len(w) - n + 1) for j in range(len(words)) if words[j : j + n] == w[i : i + n] for k in range(n)}
+        assert kernel(pa.array([text]))[1].to_pylist() == [len(hits)], text
+
+
 def test_leak_digest(spark):
     from sluice.llm.queries import op10_decontaminate  # noqa: F401  (registered)
 
