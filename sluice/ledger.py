@@ -88,7 +88,12 @@ class Ledger:
 
     def save_iteration(self, row: dict) -> None:
         """Insert or replace one iteration."""
-        self._append("iterations", ITERATIONS, [row | {"version": time.time_ns()}])
+        self.save_iterations([row])
+
+    def save_iterations(self, rows: list[dict]) -> None:
+        """Insert or replace iterations; of equal ones the last counts."""
+        at = time.time_ns()
+        self._append("iterations", ITERATIONS, [row | {"version": at + i} for i, row in enumerate(rows)])
 
     def iteration_summaries(self, run_id: str) -> DataFrame:
         """iteration, passed (NULL: never evaluated), wall_ms and the error findings, in order."""

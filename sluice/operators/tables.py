@@ -19,12 +19,12 @@ def newest(df: DataFrame, at: str, key: str, k: int) -> DataFrame:
 
 
 def lagged(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, start: str) -> DataFrame:
-    """The previous row's value in each key, `start` at the first."""
+    """The previous row's value in each key, `start` at the first. A key's rows are sorted in one task, which spills if they are many."""
     return df.withColumn(name, F.coalesce(F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)), F.lit(start)))
 
 
 def changes(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Rows whose value differs from the previous row's of their key; that is `before`."""
+    """Rows whose value differs from the previous row's of their key; that is `before`. A key's rows are sorted in one task."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("before", before).filter(F.col("before").isNotNull() & (F.col("before") != F.col(value)))
 

@@ -7,16 +7,19 @@ and put through the readers, the projection and the checks like any file.
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import FeedError
 from .functions.text import decimal_of, money, run_id, truncated, truncated_tail
-from .operators import checks, custom, guard, metrics, reports, tables
+from .ledger import Ledger
+from .operators import checks, custom, guard, manifest, metrics, reports, tables
 from .operators.profile import as_pins, long_form, profile
-from .operators.transform import project, quarantine
+from .operators.transform import load, project, quarantine
 from .plans.contract import ColumnSpec, FeedContract
 from .plans.plan import IngestionPlan, compile_plan, inject
 from .schemas import CANONICAL
@@ -847,6 +850,109 @@ SQL["adversarial_division"] = """SELECT CAST(o_custkey AS VARCHAR) AS sample, 'H
   CAST(o_custkey AS VARCHAR) || ': expected ' || CAST(COUNT(*) AS VARCHAR) || ' rows, got ' || CAST(COUNT(*) - 1 AS VARCHAR) AS message FROM orders GROUP BY o_custkey"""
 
 
+def ledger_iterations(spark, sf_dir):
+    """Iterations of a ledger, one for each nation, of which every third is written again: the last one counts."""
+    ledger = Ledger(spark, files.work_folder(spark, "ledger"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()  # 25 rows at any scale
+    report = lambda k: f'[{{"check": "H1_runtime", "severity": "{"error" if k % 2 else "warning"}", "message": "m{k}"}}]'
+    row = lambda r, ms: {"run_id": f"r{r.n_regionkey}", "iteration": r.n_nationkey, "passed": r.n_nationkey % 2 == 0, "wall_ms": ms, "rows_emitted": 1, "report_json": report(r.n_nationkey), "plan_json": ""}
+    ledger.save_iterations([row(r, r.n_nationkey) for r in nations])
+    ledger.save_iterations([row(r, r.n_nationkey + 1000) for r in nations if r.n_nationkey % 3 == 0])
+    errors = F.array_join(F.transform(reports.stored_errors(F.col("report_json")), lambda e: e["message"]), ",")
+    return ledger.iterations().select("run_id", "iteration", "passed", "wall_ms", errors.alias("errors"))
+
+
+SQL["ledger_iterations"] = """SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS run_id, n_nationkey AS iteration, n_nationkey % 2 = 0 AS passed,
+  CAST(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey + 1000 ELSE n_nationkey END AS BIGINT) AS wall_ms, CASE WHEN n_nationkey % 2 = 1 THEN 'm' || CAST(n_nationkey AS VARCHAR) ELSE '' END AS errors FROM nation"""
+
+
+def ledger_runs(spark, sf_dir):
+    """Runs of a ledger, one for each region: created, then brought to an end; a second creation and an unknown state are refused."""
+    ledger, refused = Ledger(spark, files.work_folder(spark, "ledger")), {}
+    for r in table(spark, sf_dir, "region").select("r_regionkey").orderBy("r_regionkey").collect():  # 5 rows at any scale
+        run = {"run_id": f"r{r.r_regionkey}", "client": "c", "provider": "p", "status": "planning", "max_iterations": 3}
+        ledger.create(run)
+        ledger.update(run["run_id"], status="approved" if r.r_regionkey % 2 else "escalated", iterations=r.r_regionkey, final_passed=r.r_regionkey % 2 == 1)
+        refused[run["run_id"]] = 0
+        for again in (lambda: ledger.create(run), lambda: ledger.update(run["run_id"], status="unknown"), lambda: ledger.update(run["run_id"], created_at=None)):
+            try:
+                again()
+            except FeedError:
+                refused[run["run_id"]] += 1
+    seen = spark.createDataFrame(list(refused.items()), "run_id string, refused int")
+    found = ledger.list(50).join(seen, "run_id").withColumn("active", F.lit(ledger.active()))
+    return found.select("run_id", "status", "iterations", "final_passed", "refused", "active")
+
+
+SQL["ledger_runs"] = """SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS run_id, CASE WHEN r_regionkey % 2 = 1 THEN 'approved' ELSE 'escalated' END AS status,
+  r_regionkey AS iterations, r_regionkey % 2 = 1 AS final_passed, CAST(3 AS INTEGER) AS refused, FALSE AS active FROM region"""
+
+
+def event_log(spark, sf_dir):
+    """Events appended in two goes and read back; values that are no text are written as such."""
+    path = files.work_folder(spark, "events")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 rows at any scale
+    for part in (nations[:10], nations[10:]):
+        files.append_events(spark, path, [{"ts": f"t{r.n_nationkey}", "node": r.n_name, "run_id": "r", "n": r.n_nationkey, "even": r.n_nationkey % 2 == 0} for r in part])
+    return files.read_events(spark, path).select("ts", "node", "run_id", F.col("detail")["n"].alias("n"), F.col("detail")["even"].alias("even"))
+
+
+SQL["event_log"] = """SELECT 't' || CAST(n_nationkey AS VARCHAR) AS ts, n_name AS node, 'r' AS run_id, CAST(n_nationkey AS VARCHAR) AS n,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'True' ELSE 'False' END AS even FROM nation"""
+
+_CORPUS_SPEC = """# feed
+
+```yaml feed-contract
+client: {client}
+feed_name: daily
+format: csv
+columns:
+  - {{source: "k", target: trade_id}}
+  - {{source: "d", target: value_date, dtype: date, date_format: "%d.%m.%Y"}}
+  - {{source: "a", target: amount, dtype: decimal}}
+  - {{source: "y", target: currency}}
+```
+"""
+
+
+def corpus_pins(spark, sf_dir):
+    """A corpus with a client for each region and its nations as a feed: catalog, contracts, profiles and written manifests, read back."""
+    root = files.work_folder(spark, "corpus")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()  # 25 rows at any scale
+    for region in sorted({r.n_regionkey for r in rows}):
+        client = f"r{region}"
+        lines = [f"{r.n_nationkey},{r.n_nationkey % 28 + 1:02d}.01.2020,{r.n_nationkey}.5,{'eur' if r.n_nationkey % 2 else ''}\n" for r in rows if r.n_regionkey == region]
+        files.put_text(spark, f"{root}/{client}/spec.md", _CORPUS_SPEC.format(client=client))
+        files.put_text(spark, f"{root}/{client}/samples/nations.csv", "k,d,a,y\n" + "".join(lines))
+    for client in files.list_clients(spark, root):
+        files.put_text(spark, f"{root}/{client}/manifest.json", json.dumps(manifest.build_manifest(spark, root, client)))
+    pins = manifest.manifests(spark, root).select("client", F.explode("samples").alias("s"), F.col("scenario")["expected_outcome"].alias("outcome"))
+    disk = files.catalog(spark, root)
+    same = (pins["client"] == disk["client"]) & (F.col("s.name") == disk["name"]) & (F.col("s.sha256") == disk["sha256"])
+    return pins.join(disk, same).select(
+        disk["client"], "name", disk["bytes"], disk["sha256"], "s.expected_rows", "s.amount_sum", "outcome",
+        F.col("s.null_rate")["currency"].alias("null_currency"), F.col("s.distinct")["trade_id"].alias("distinct_ids"),
+    )
+
+
+SQL["corpus_pins"] = """WITH t AS (SELECT n_regionkey, 'k,d,a,y' || chr(10) || string_agg(CAST(n_nationkey AS VARCHAR) || ',' || lpad(CAST(n_nationkey % 28 + 1 AS VARCHAR), 2, '0') || '.01.2020,'
+    || CAST(n_nationkey AS VARCHAR) || '.5,' || CASE WHEN n_nationkey % 2 = 1 THEN 'eur' ELSE '' END || chr(10), '' ORDER BY n_nationkey) AS x, COUNT(*) AS n, SUM(n_nationkey) AS total,
+    AVG(CASE WHEN n_nationkey % 2 = 1 THEN 0.0 ELSE 1.0 END) AS null_currency FROM nation GROUP BY 1)
+  SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS client, 'nations.csv' AS name, CAST(strlen(x) AS BIGINT) AS bytes, sha256(x) AS sha256, n AS expected_rows,
+    CAST(CAST(total + 0.5 * n AS DECIMAL(18,2)) AS VARCHAR) AS amount_sum, 'pass' AS outcome, null_currency, n AS distinct_ids FROM t"""
+
+
+def rows_sink(spark, sf_dir):
+    """Canonical rows written by date, here the first day of the year, and read back; with how many the sink says it wrote."""
+    path = files.work_folder(spark, "rows")
+    written = load(canonical(spark, sf_dir).drop("error").withColumn("value_date", F.concat(F.left("value_date", F.lit(4)), F.lit("-01-01"))).select(*CANONICAL), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("value_date").cast("string").alias("value_date")).agg(F.count("*").alias("n"), F.lit(written).cast("long").alias("written"))
+
+
+SQL["rows_sink"] = "SELECT strftime(o_orderdate, '%Y') || '-01-01' AS value_date, COUNT(*) AS n, (SELECT COUNT(*) FROM orders) AS written FROM orders GROUP BY 1"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -857,7 +963,7 @@ QUERIES = {
         union_reports, ordered_agg, run_ids, defect_injection, lenient_values, nested_state,
         json_recovery, evidence_text, report_summaries, custom_transform, guard_scan, guard_verdicts, framed_lenient, fixed_lenient, jsonl_lenient,
         format_dispatch, row_errors, runtime_findings, stored_reports, defects_of_framing, evidence_tail, first_sound_event, rounded_amounts,
-        contract_scan, replay_figures, pinned_profiles, adversarial_division,
+        contract_scan, replay_figures, pinned_profiles, adversarial_division, ledger_iterations, ledger_runs, event_log, corpus_pins, rows_sink,
     )
 }
 ORACLE_SQL = SQL

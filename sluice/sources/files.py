@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import csv
 import re
+import tempfile
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import ContractError
+from ..errors import ContractError, FeedError
 from ..functions.text import is_blank, split_lines
 from ..plans.contract import FENCE, LANGUAGE, FeedContract, parse_contract, slice_of
 from ..schemas import EVENTS
@@ -257,3 +259,29 @@ def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFra
 def read_output(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON rows of a transform; rows that aren't such get their text in `_corrupt` instead of an error."""
     return spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+
+
+# --- folders ----------------------------------------------------------------------
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share; it goes when the application ends. Only in local mode is it a temporary one of this machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise FeedError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="sluice-")
+    path = f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small UTF-8 file to any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
