@@ -21,9 +21,11 @@ from .operators import checks, custom, guard, manifest, metrics, reports, tables
 from .operators.profile import as_pins, long_form, profile
 from .operators.transform import load, project, quarantine
 from .plans.contract import ColumnSpec, FeedContract
-from .plans.plan import IngestionPlan, compile_plan, inject
+from .plans.plan import IngestionPlan, compile_plan, dag, inject, mapping_document
 from .schemas import CANONICAL
+from .service import route
 from .sources import files
+from .streaming.arrivals import ingest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -953,6 +955,98 @@ def rows_sink(spark, sf_dir):
 SQL["rows_sink"] = "SELECT strftime(o_orderdate, '%Y') || '-01-01' AS value_date, COUNT(*) AS n, (SELECT COUNT(*) FROM orders) AS written FROM orders GROUP BY 1"
 
 
+def missing_columns(spark, sf_dir):
+    """A contract's column that a feed lacks: an error where that is strict, empty where it is lenient."""
+    rows = raw_orders(spark, sf_dir)
+    fields = {c.source: F.col(c.source) for c in ORDERS.columns if c.source != "memo"}
+    out = None
+    for strict in (True, False):
+        one = project(rows, fields, compile_plan(ORDERS), strict=strict, keep=("o_orderkey",)).select("o_orderkey", F.lit(strict).alias("strict"), "description", F.col("error").isNotNull().alias("failed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SQL["missing_columns"] = "SELECT o_orderkey, strict, '' AS description, strict AS failed FROM orders, (VALUES (TRUE), (FALSE)) AS s(strict)"
+
+
+def transform_by_file(spark, sf_dir):
+    """A user transform that keeps count: each customer's orders are a file, whose rows it gets in their order."""
+    source = (
+        "def transform(rows):\n    total = 0\n    out = []\n    for n, r in enumerate(rows):\n        total += int(r['key']) % 10\n"
+        "        out.append({'trade_id': r['key'], 'account_id': str(n), 'description': str(total)})\n    return out\n"
+    )
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").cast("string").alias("key"))
+    made = custom.apply_transform(rows, source, by="o_custkey", order="o_orderkey")
+    return made.select("o_custkey", F.col("trade_id").cast("long").alias("o_orderkey"), F.col("account_id").cast("long").alias("place"), F.col("description").cast("long").alias("total"))
+
+
+SQL["transform_by_file"] = """SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER w - 1 AS place, CAST(SUM(o_orderkey % 10) OVER w AS BIGINT) AS total FROM orders
+  WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"""
+
+
+def mapping_documents(spark, sf_dir):
+    """The mapping document of a contract for each nation, and its plan's declared graph against one that lacks an edge."""
+    rows = []
+    for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # 25 rows at any scale
+        columns = (ColumnSpec(f"k{r.n_nationkey}", "trade_id"), ColumnSpec("d", "value_date", "date", "%d.%m.%Y"), ColumnSpec("x"))
+        plan = compile_plan(_spec(client=r.n_name, feed_name="daily", columns=columns))
+        bad = dag(inject(plan, "dag_missing_dependency"))
+        rows.append((r.n_name, mapping_document(plan), bad["dag_id"], bad["schedule"], bad["tasks"], bad["edges"], f"{r.n_name}__daily", "0 6 * * 1-5"))
+    made = spark.createDataFrame(rows, "client string, document string, dag_id string, schedule string, tasks array<string>, edges array<array<string>>, expected_id string, expected_schedule string")
+    return checks.dag_mismatch(made)
+
+
+SQL["mapping_documents"] = """SELECT n_name AS client, 'client: "' || n_name || '"' || chr(10) || 'feed: "daily"' || chr(10) || 'format: "csv"' || chr(10) || 'fields:' || chr(10)
+    || '- source: "k' || CAST(n_nationkey AS VARCHAR) || '"' || chr(10) || '  target: "trade_id"' || chr(10) || '  dtype: "str"' || chr(10)
+    || '- source: "d"' || chr(10) || '  target: "value_date"' || chr(10) || '  dtype: "date"' || chr(10) || '  transform: "date in %d.%m.%Y, written YYYY-MM-DD"' || chr(10)
+    || '- source: "x"' || chr(10) || '  target: null' || chr(10) || '  dtype: "str"' || chr(10) AS document,
+  'edges' AS field, 'extract>transform,transform>load' AS expected, 'extract>transform' AS actual FROM nation"""
+
+
+def driver_views(spark, sf_dir):
+    """What the driver makes of small lists: plain names, what follows an evaluation, shortened lists, tables of text."""
+    by_region: dict[int, list] = {}
+    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # 25 rows at any scale
+        by_region.setdefault(r.n_regionkey, []).append(r)
+    rows = []
+    for region, nations in by_region.items():
+        plain = 0
+        for n in nations:
+            try:
+                files.safe_name(n.n_name)
+                plain += 1
+            except FeedError:
+                pass
+        names = [n.n_name for n in nations]
+        rows.append((region, plain, route(region == 0, region, 3), ",".join(reports.shown(names)), reports.text_table([{"k": region, "first": names[0]}], ["k", "first"])))
+    return spark.createDataFrame(rows, "n_regionkey int, plain long, following string, shown string, text string")
+
+
+SQL["driver_views"] = """WITH n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation)
+  SELECT n_regionkey, COUNT(*) FILTER (regexp_full_match(n_name, '[A-Za-z0-9._-]+')) AS plain,
+    CASE WHEN n_regionkey = 0 THEN 'await_approval' WHEN n_regionkey < 3 THEN 'generate' ELSE 'escalate' END AS following,
+    string_agg(n_name, ',' ORDER BY r) FILTER (r <= 3) || CASE WHEN COUNT(*) > 3 THEN ',+' || CAST(COUNT(*) - 3 AS VARCHAR) || ' more' ELSE '' END AS shown,
+    'k  first' || chr(10) || CAST(n_regionkey AS VARCHAR) || '  ' || MAX(n_name) FILTER (r = 1) AS text FROM n GROUP BY 1"""
+
+
+def arrivals(spark, sf_dir):
+    """A file for each region arrives, a row of each of which doesn't convert; then they are taken up by a stream, twice: the second run finds nothing new."""
+    top = files.work_folder(spark, "arrivals")
+    by_region: dict[int, list] = {}
+    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # 25 rows at any scale
+        by_region.setdefault(r.n_regionkey, []).append(r.n_nationkey)
+    spec = _spec(columns=(ColumnSpec("k", "trade_id", "int"), ColumnSpec("d", "value_date", "date", "%Y-%m-%d")))
+    for region, keys in by_region.items():
+        files.put_text(spark, f"{top}/in/r{region}.csv", "k,d\n" + "".join(f"{k},2026-01-{k + 1:02d}\n" for k in keys) + "x,2026-01-01\n")
+    for _ in range(2):
+        ingest(spark, f"{top}/in", compile_plan(spec), f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    good, bad = (spark.read.parquet(f"{top}/out/{n}").groupBy("sample").agg(F.count("*").alias(n)) for n in ("rows", "quarantine"))
+    return good.join(bad, "sample")
+
+
+SQL["arrivals"] = "SELECT 'r' || CAST(n_regionkey AS VARCHAR) || '.csv' AS sample, COUNT(*) AS rows, CAST(1 AS BIGINT) AS quarantine FROM nation GROUP BY 1"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -964,6 +1058,7 @@ QUERIES = {
         json_recovery, evidence_text, report_summaries, custom_transform, guard_scan, guard_verdicts, framed_lenient, fixed_lenient, jsonl_lenient,
         format_dispatch, row_errors, runtime_findings, stored_reports, defects_of_framing, evidence_tail, first_sound_event, rounded_amounts,
         contract_scan, replay_figures, pinned_profiles, adversarial_division, ledger_iterations, ledger_runs, event_log, corpus_pins, rows_sink,
+        missing_columns, transform_by_file, mapping_documents, driver_views, arrivals,
     )
 }
 ORACLE_SQL = SQL
