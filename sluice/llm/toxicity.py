@@ -73,18 +73,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _gru(xs, u: np.ndarray, mask, keep: list) -> list[np.ndarray]:
-    """Hidden states of a gated recurrent layer over input projections xs (t, batch, 3h)."""
+def _active(mask: np.ndarray) -> list:
+    """For each step of a mask (t, batch) the rows that it goes on for: a slice where these are the first ones."""
+    count = mask.sum(1).tolist()
+    return [slice(0, k) if mask[t, :k].all() else np.flatnonzero(mask[t]) for t, k in enumerate(count)]
+
+
+def _gru(xs, u: np.ndarray, rows: list, keep: list) -> list[np.ndarray]:
+    """Hidden states of a gated recurrent layer over input projections xs (t, batch, 3h); rows: see _active."""
     n = u.shape[0]
     h = np.zeros((xs.shape[1], n), np.float32)
     out = []
-    for t, x in enumerate(xs):
-        hu = h @ u
+    for on, x in zip(rows, xs):
+        here, x = h[on], x[on]
+        hu = here @ u
         gates = _sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
         z, r = gates[:, :n], gates[:, n:]
         c = np.tanh(x[:, 2 * n :] + r * hu[:, 2 * n :])
-        keep.append((h, z, r, c, hu[:, 2 * n :]))
-        h = np.where(mask[t][:, None], c + z * (h - c), h)
+        keep.append((here, z, r, c, hu[:, 2 * n :]))
+        h = h.copy()
+        h[on] = c + z * (here - c)
         out.append(h)
     return out
 
@@ -124,23 +132,27 @@ def _scan(table: np.ndarray, idx: np.ndarray, u: np.ndarray, mask, out: np.ndarr
         h, z = out[t], z
 
 
-def _gru_back(grad: np.ndarray, kept: list, u: np.ndarray, mask: np.ndarray):
+def _gru_back(grad: np.ndarray, kept: list, u: np.ndarray, rows: list):
     """Gradients of the input projections (t, batch, 3h) and of u, from those of the states (t, batch, h)."""
     n, du = u.shape[0], np.zeros_like(u)
-    dx = np.empty((*grad.shape[:2], 3 * n), np.float32)
+    dx = np.zeros((*grad.shape[:2], 3 * n), np.float32)
     carry = np.zeros(grad.shape[1:], np.float32)
     for t in range(len(kept) - 1, -1, -1):
-        h, z, r, c, hn = kept[t]
-        whole = grad[t] + carry
-        on = mask[t][:, None]
-        d = np.where(on, whole, 0)
-        dc = d * (1 - z) * (1 - c * c)
-        dz = d * (h - c) * z * (1 - z)
-        dr = dc * hn * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dc], 1)
-        dhu = np.concatenate([dz, dr, dc * r], 1)
+        (h, z, r, c, hn), on = kept[t], rows[t]
+        carry = grad[t] + carry
+        d, left = carry[on], 1 - z
+        dhu = np.empty((len(d), 3 * n), np.float32)
+        dz, dr, dc = dhu[:, :n], dhu[:, n : 2 * n], dhu[:, 2 * n :]
+        np.multiply(d, left, out=dc)
+        dc *= 1 - c * c
+        np.multiply(d, h - c, out=dz)
+        dz *= z * left
+        np.multiply(dc, hn, out=dr)
+        dr *= r * (1 - r)
+        dx[t][on] = dhu
+        dc *= r
         du += h.T @ dhu
-        carry = np.where(on, d * z, whole) + dhu @ u.T
+        carry[on] = d * z + dhu @ u.T
     return dx, du
 
 
@@ -182,15 +194,16 @@ class Layer:
         """fx, bx: input projections (t, batch, 3h)."""
         kf: list = []
         kb: list = []
-        f = _gru(fx, q[f"{self.p}uf"], mask, kf)
-        b = _gru(bx[::-1], q[f"{self.p}ub"], mask[::-1], kb)
+        rows = _active(mask)
+        f = _gru(fx, q[f"{self.p}uf"], rows, kf)
+        b = _gru(bx[::-1], q[f"{self.p}ub"], rows[::-1], kb)
         states = np.concatenate([np.stack(f), np.stack(b[::-1])], 2)
         pooled, more = self.pool(q, states, mask)
-        return pooled, (states, mask, kf, kb, *more)
+        return pooled, (states, rows, kf, kb, *more)
 
     def backward(self, q, grad: np.ndarray, cache, into: dict):
         """Adds gradients to `into`; returns those of fx and bx."""
-        states, mask, kf, kb, s, weight = cache
+        states, rows, kf, kb, s, weight = cache
         h, p = self.hidden, self.p
         de = (grad[None] * states).sum(2)
         de = weight * (de - (weight * de).sum(0))
@@ -199,9 +212,9 @@ class Layer:
         into[f"{p}v"] += (de[:, :, None] * s).sum((0, 1))
         into[f"{p}a"] += flat.T @ ds.reshape(-1, ATTENTION)
         dstates = weight[:, :, None] * grad[None] + ds @ q[f"{p}a"].T
-        fx, du = _gru_back(dstates[:, :, :h], kf, q[f"{p}uf"], mask)
+        fx, du = _gru_back(dstates[:, :, :h], kf, q[f"{p}uf"], rows)
         into[f"{p}uf"] += du
-        bx, du = _gru_back(dstates[::-1, :, h:], kb, q[f"{p}ub"], mask[::-1])
+        bx, du = _gru_back(dstates[::-1, :, h:], kb, q[f"{p}ub"], rows[::-1])
         into[f"{p}ub"] += du
         return fx, bx[::-1]
 
@@ -287,7 +300,7 @@ def _step(net: Network, docs: list[list[bytes]], y: np.ndarray, rng, by_window:
     """Gradients over one batch of documents; by_window: each window is to have its document's label."""
     q = net.q
     grads = {k: np.zeros_like(v) for k, v in q.items()}
-    vocabulary = sorted({w for d in docs for w in d}) or [b" "]
+    vocabulary = sorted({w for d in docs for w in d}, key=lambda w: (-len(w), w)) or [b" "]  # so that the rows that go on are the first ones
     place = {w: i for i, w in enumerate(vocabulary)}
     flat = np.array([place[w] for d in docs for w in d] or [0], np.int64)
     rows, length, first = _layout([len(d) for d in docs], [windows(len(d), WINDOW) for d in docs])
@@ -296,7 +309,8 @@ def _step(net: Network, docs: list[list[bytes]], y: np.ndarray, rng, by_window:
 
     ids, cmask = _char_rows(vocabulary)
     pf, pb = net._char_projections()
-    chars, ccache = CHARS.forward(q, pf[ids], pb[ids], cmask)
+    at = ids.astype(np.intp)
+    chars, ccache = CHARS.forward(q, np.take(pf, at, axis=0), np.take(pb, at, axis=0), cmask)
     number = np.array([net.index.get(w, 0) for w in vocabulary])
     number[rng.random(len(number)) < 0.3] = 0  # now and then a known word is read by its characters alone
     x = np.concatenate([q["ew"][number], chars], 1)
@@ -321,19 +335,23 @@ def _step(net: Network, docs: list[list[bytes]], y: np.ndarray, rng, by_window:
     grads["k"] += dlogit.sum()
     dfx, dbx = WORDS.backward(q, dlogit[:, None] * q["d"][None, :], wcache, grads)
     dx = np.zeros_like(x)
+    flat_idx = idx.ravel()
+    order = np.argsort(flat_idx, kind="stable")
+    at = np.flatnonzero(np.diff(flat_idx[order], prepend=-1))
+    there = flat_idx[order][at]
     for name, d, w in (("f", dfx, "wwf"), ("b", dbx, "wwb")):
-        order = np.argsort(idx.ravel(), kind="stable")
-        at = np.flatnonzero(np.diff(idx.ravel()[order], prepend=-1))
         g = np.zeros((len(vocabulary), 3 * HIDDEN), np.float32)
-        g[idx.ravel()[order][at]] = np.add.reduceat(d.reshape(-1, 3 * HIDDEN)[order], at, 0)
+        g[there] = np.add.reduceat(d.reshape(-1, 3 * HIDDEN)[order], at, 0)
         grads[w] += x.T @ g
         grads[f"wo{name}"] += g.sum(0)
         dx += g @ q[w].T
     np.add.at(grads["ew"], number, dx[:, :WORD_DIM])
     grads["ew"][0] = 0
     dcf, dcb = CHARS.backward(q, dx[:, WORD_DIM:], ccache, grads)
+    held = ids[cmask]  # places beyond a word's end have no gradient
     for name, d, table in (("f", dcf, "cwf"), ("b", dcb, "cwb")):
-        g = np.stack([np.bincount(ids.ravel(), d.reshape(-1, 3 * CHAR_HIDDEN)[:, k], 256) for k in range(3 * CHAR_HIDDEN)], 1).astype(np.float32)
+        by_unit = np.ascontiguousarray(d[cmask].T, np.float64)
+        g = np.stack([np.bincount(held, row, 256) for row in by_unit], 1).astype(np.float32)
         grads[table] += q["ec"].T @ g
         grads[f"co{name}"] += g.sum(0)
         grads["ec"] += g @ q[table].T
