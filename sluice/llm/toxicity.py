@@ -30,7 +30,10 @@ left out of the output.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -376,6 +379,23 @@ def _largest(net: Network, docs: list[list[bytes]], place: dict[bytes, int], tab
     return np.maximum.reduceat(logits, first), counts, at
 
 
+@contextmanager
+def _one_blas_thread():
+    """The products here are small and lose by threads: meanwhile the OpenBLAS that numpy brings along has one."""
+    held = None
+    for path in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
+        lib = ctypes.CDLL(str(path))
+        put, get = (getattr(lib, f"scipy_openblas_{k}_num_threads64_", None) for k in ("set", "get"))
+        if put and get:
+            held = put, get()
+            put(1)
+    try:
+        yield
+    finally:
+        if held:
+            held[0](held[1])
+
+
 def fit(texts_: list[str], y: np.ndarray, totals: dict[int, int], epochs: int = EPOCHS, log=None) -> Network:
     """A network for texts with labels 0 and 1; totals: how many rows of each label there are in all."""
     every = [words_of(t) for t in texts_]
@@ -461,7 +481,8 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "toxic") -> Net
     if len(set(y.tolist())) < 2:
         n = sum(totals.values())
         return Constant(totals.get(1, 0) / n if n else 0.0)
-    return fit(rows["text"].tolist(), y, totals)
+    with _one_blas_thread():
+        return fit(rows["text"].tolist(), y, totals)
 
 
 _tables: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
