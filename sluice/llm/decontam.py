@@ -1,11 +1,11 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Items and documents are lower-cased (A-Z) and cut into words; every window of
-WINDOW item words (a shorter item: all of it) is a pattern: a string of one character per
-word (WIDE characters where a block has more words than there are characters), as a trie over
-words takes a fifth of the memory of one over their letters. A document's words, written
-alike (a word of no item: zero), are scanned once; ends of matches are word positions, which
-are mapped to offsets of the original text.
+WINDOW item words (a shorter item: all of it) is a pattern: a string of two characters per
+word, or as many as it takes to number the words of a block in DIGITS signs. Such a trie takes
+a half to a third of the memory of one over letters, and its nodes have few children, so that a
+step is as fast. A document's words, written alike (a word of no item: zeros), are scanned
+once; ends of matches are word positions, which are mapped to offsets of the original text.
 
 Items of up to BLOCK_BYTES make one automaton, which each Python worker builds from a
 broadcast list. A larger benchmark is taken in blocks of items: one automaton after another
@@ -35,9 +35,9 @@ from .arrow import byte_texts, col, map_texts
 from .staging import settle
 
 WINDOW = 10
-#: An automaton takes some 100 bytes of memory a byte of items.
-BLOCK_BYTES = 2 << 20
-CHARACTERS, WIDE = 0x110000, 2
+#: An automaton takes some 200 bytes of memory a byte of items.
+BLOCK_BYTES = 1 << 20
+DIGITS = 128
 
 #: A-Z to a-z; 0-9, a-z and every byte of a multi-byte character stay; the rest is a space.
 WORD_TABLE = bytes(
@@ -67,11 +67,12 @@ def windows(items: list[tuple[str | None, bytes]]) -> dict[bytes, tuple[int, lis
 def word_codes(patterns: Iterable[bytes]) -> tuple[dict[bytes, str], int]:
     """The string that stands for each word of the patterns, and the length of these strings."""
     words = dict.fromkeys(w for p in patterns for w in p.split())
-    if len(words) < CHARACTERS:
-        return {w: chr(i) for i, w in enumerate(words, 1)}, 1
-    # The first character is of the upper half, the others of the lower, so that no match begins inside a word.
-    half = CHARACTERS // 2
-    return {w: chr(half + i // half) + chr(i % half) for i, w in enumerate(words)}, WIDE
+    width = 2
+    while DIGITS**width < len(words):
+        width += 1
+    # The first sign is of a range of its own, so that no match begins inside a word.
+    codes = {w: "".join(chr(i // DIGITS**k % DIGITS) for k in range(width)) for i, w in enumerate(words)}
+    return {w: chr(DIGITS + ord(c[0])) + c[1:] for w, c in codes.items()}, width
 
 
 def automaton(key: str, items: list[tuple[str | None, bytes]]):

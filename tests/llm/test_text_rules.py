@@ -190,11 +190,11 @@ def test_leaks(spark, monkeypatch, block):
     assert decontam.find_leaks(docs.limit(0), bench).collect() == []
 
 
-def test_many_words_take_two_characters(monkeypatch):
-    monkeypatch.setattr(decontam, "CHARACTERS", 8)
+def test_many_words_take_more_signs(monkeypatch):
+    monkeypatch.setattr(decontam, "DIGITS", 3)
     items = [(str(i), " ".join(f"w{(i * 7 + k) % 13}" for k in range(12)).encode()) for i in range(4)] + [("s", b"w1 w2")]
     found, values, codes, width = decontam.automaton("narrow", items)
-    assert width == 2 and len(set(codes.values())) == len(codes) == 13
+    assert width == 3 and len(set(codes.values())) == len(codes) == 13
     kernel = decontam._kernel(found, values, codes, width)
     for text in ("x w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 y", "w1 w2 w1", "w2 w1", "none", ""):
         words = text.split()
