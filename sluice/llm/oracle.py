@@ -49,4 +49,26 @@ OP7 = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
       ELSE 14 + length(url_encode(role)) END) AS chars FROM c GROUP BY conv_id)
   SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g"""
 
-ORACLE_SQL = {"op7_chat_format": OP7, "op9_quality_rules": OP9, "op10_decontaminate": OP10}
+
+
+def _op13() -> str:
+    """Ten rounds written out: every distance, every time."""
+    parts = [
+        """v0 AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, v FROM v0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS k, v AS c FROM v ORDER BY sha256('3:' || vec_id), v LIMIT 8)",
+    ]
+    for i in range(11):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM
+    (SELECT r, k, CAST(list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(v, c)]) AS BIGINT) AS d FROM v, c{i}) GROUP BY r)""")
+        if i < 10:
+            parts.append(f"""m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM
+    (SELECT k, j, SUM(CAST(v[j] AS HUGEINT)) AS s, COUNT(*) AS n FROM a{i} JOIN v USING (r), range(1, 65) AS t(j) GROUP BY k, j) GROUP BY k),
+  c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))""")
+    return f"""WITH {", ".join(parts)}
+  SELECT vec_id, CAST(k AS INT) AS cluster, d AS distance, CAST(SUM(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+    CAST(SUM(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a10 JOIN v USING (r) JOIN c10 USING (k)"""
+
+
+ORACLE_SQL = {"op13_centroids": _op13(), "op7_chat_format": OP7, "op9_quality_rules": OP9, "op10_decontaminate": OP10}

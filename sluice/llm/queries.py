@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, gam, html_tree, licenses, quality_rules, simhash, token_counts, toxicity
+from . import bpe, centroids, chat, decontam, gam, html_tree, licenses, quality_rules, simhash, token_counts, toxicity
 from .labelled import remainder
 from .oracle import ORACLE_SQL  # noqa: F401  (read by the entry points)
 
@@ -83,10 +83,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_toxicity, op3_token_counts, op4_html_text, op5_word_bpe, op6_quality, op7_chat_format, op8_simhash,
-        op9_quality_rules, op10_decontaminate,
+        op9_quality_rules, op10_decontaminate, op13_centroids,
     )
 }

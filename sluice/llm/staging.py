@@ -29,11 +29,22 @@ def _own() -> str:
     return "file://" + tempfile.mkdtemp(prefix="sluice-")
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back; the table goes when the application ends."""
+def place(df: DataFrame, label: str) -> str:
+    """Write `df` to the shared folder; returns its path there. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back."""
+    return df.sparkSession.read.schema(df.schema).parquet(place(df, label))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a placed table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
