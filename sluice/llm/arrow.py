@@ -79,3 +79,28 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([*(part.column(first + i) for i in range(len(kept))), *ready], names)
 
     return narrow.mapInArrow(run, out).toDF(*kept, *(n for n, _ in outputs))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], flush_rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, of about `flush_rows` rows, from batches that are sorted by `keys`."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < flush_rows:
+            continue
+        table = pa.Table.from_batches(held)
+        last = pa.array([True] * table.num_rows)
+        for name in keys:
+            c = table.column(name)
+            last = pc.and_(last, pc.equal(c, c[-1]))
+        cut = table.num_rows - (pc.sum(last).as_py() or 0)
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+            size = table.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
