@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, chat, decontam, gam, html_tree, hyperminhash, licenses, quality_rules, simhash, token_counts, toxicity
+from . import alignment, bpe, centroids, chat, decontam, gam, html_tree, hyperminhash, licenses, quality_rules, simhash, token_counts, toxicity
 from .labelled import remainder
 from .oracle import ORACLE_SQL  # noqa: F401  (read by the entry points)
 
@@ -83,6 +83,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -95,6 +99,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_toxicity, op3_token_counts, op4_html_text, op5_word_bpe, op6_quality, op7_chat_format, op8_simhash,
-        op9_quality_rules, op10_decontaminate, op12_minhash, op13_centroids,
+        op9_quality_rules, op10_decontaminate, op11_token_alignment, op12_minhash, op13_centroids,
     )
 }
