@@ -1,7 +1,7 @@
 """User transforms: Python text that defines transform(rows), guarded.
 
-The text is scanned on the driver; with a finding it isn't sent anywhere. It runs in
-Python workers, which are no sandbox, with the guard's own builtins. Rows are dicts of text, in
+The text is scanned on the driver; with a finding it isn't sent anywhere. Workers run it in
+child processes with the guard's own builtins (`jail`), which hold whatever the guard missed. Rows are dicts of text, in
 and out. A transform gets all rows of one file at once, in their order, where the rows say which
 file they are of: what it remembers from row to row doesn't depend on batches. Without that, rows
 are taken as independent and come batch by batch.
@@ -14,43 +14,46 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import PlanError
 from ..plans.contract import FeedContract
 from ..plans.plan import IngestionPlan, compile_plan
-from ..schemas import CANONICAL
-from . import guard
+from ..schemas import CANONICAL, FINDINGS, H1
+from . import guard, jail
 
 MODULE = "transform"
 
 
-def _load(source: str):
-    space: dict = {"__name__": "user_transform", "__builtins__": guard.builtins_of()}
-    exec(compile(source, "<transform>", "exec"), space)
-    return space[MODULE]
-
-
-def apply_transform(rows: DataFrame, source: str, by: str | None = None, order: str | None = None) -> DataFrame:
-    """Canonical rows that the source's transform makes of raw rows; by: the column that tells files apart, which
-    comes out too; order: the column that orders a file's rows. Both are no columns of the rows that the source sees."""
+def _checked(source: str) -> str:
     if found := guard.scan(source):
         raise PlanError("; ".join(f["message"] for f in found))
     if f"def {MODULE}(" not in source:
         raise PlanError(f"the source defines no {MODULE}(rows)")
-    schema = ", ".join(f"{c} string" for c in CANONICAL)
+    return source
+
+
+def _made(source: str, frame: pd.DataFrame, limits: jail.Limits) -> pd.DataFrame:
+    rows = jail.run(source, MODULE, frame.to_dict("records"), limits=limits)
+    return pd.DataFrame(rows, columns=list(CANONICAL)).fillna("").astype(str)
 
-    def made(function, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(function(frame.to_dict("records"))), columns=list(CANONICAL)).fillna("").astype(str)
+
+def apply_transform(rows: DataFrame, source: str, by: str | None = None, order: str | None = None, limits: jail.Limits = jail.Limits()) -> DataFrame:
+    """Canonical rows that the source's transform makes of raw rows; by: the column that tells files apart, which
+    comes out too; order: the column that orders a file's rows. Both are no columns of the rows that the source sees.
+    Where the transform fails or is stopped, so does the job."""
+    _checked(source)
+    schema = ", ".join(f"{c} string" for c in CANONICAL)
 
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        function = _load(source)
         for batch in batches:
-            yield made(function, batch)
+            yield _made(source, batch, limits)
 
     def of_file(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if order is not None:
             frame = frame.sort_values(order, kind="stable")
-        out = made(_load(source), frame.drop(columns=[c for c in (by, order) if c is not None]))
+        out = _made(source, frame.drop(columns=[c for c in (by, order) if c is not None]), limits)
         out.insert(0, by, key[0])
         return out
 
@@ -60,6 +63,37 @@ def apply_transform(rows: DataFrame, source: str, by: str | None = None, order:
     return rows.groupBy(by).applyInPandas(of_file, f"`{by}` {kind}, {schema}")
 
 
+def try_transform(rows: DataFrame, source: str, by: str, order: str | None = None, limits: jail.Limits = jail.Limits(), scan: bool = True) -> DataFrame:
+    """As apply_transform by file, with a column `fault`: a file whose transform fails or is stopped gives one row, which says
+    why, and the other files go on. scan: whether the guard has to find nothing first; the jail holds in either case."""
+    if scan:
+        _checked(source)
+    schema = ", ".join(f"{c} string" for c in CANONICAL)
+
+    def of_file(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if order is not None:
+            frame = frame.sort_values(order, kind="stable")
+        try:
+            out = _made(source, frame.drop(columns=[c for c in (by, order) if c is not None]), limits).assign(fault=None)
+        except (jail.JailError, SyntaxError) as e:
+            out = pd.DataFrame([[""] * len(CANONICAL) + [str(e) or type(e).__name__]], columns=[*CANONICAL, "fault"])
+        out.insert(0, by, key[0])
+        return out
+
+    kind = rows.schema[by].dataType.simpleString()
+    return rows.groupBy(by).applyInPandas(of_file, f"`{by}` {kind}, {schema}, fault string")
+
+
+def runtime_faults(tried: DataFrame, client: str, by: str, iteration: int = 1) -> DataFrame:
+    """H1 findings, one for each file whose transform failed."""
+    proof = F.create_map(F.lit("fault"), F.left("fault", F.lit(500)))
+    found = tried.filter(F.col("fault").isNotNull()).select(
+        F.lit(client).alias("client"), F.col(by).cast("string").alias("sample"), F.lit(iteration).alias("iteration"), F.lit(H1).alias("check"),
+        F.lit("error").alias("severity"), F.concat(F.lit("transform stopped: "), F.left("fault", F.lit(200))).alias("message"), proof.alias("evidence"),
+    )
+    return found.to(T._parse_datatype_string(FINDINGS))
+
+
 class Provider(Protocol):
     """Makes plans, and better ones from what the checks found."""
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import FeedError
-from .functions.text import decimal_of, money, run_id, truncated, truncated_tail
+from .functions.text import LINE_END, decimal_of, money, run_id, truncated, truncated_tail
 from .ledger import Ledger
 from .operators import checks, custom, guard, manifest, metrics, reports, tables
 from .operators.profile import as_pins, long_form, profile
@@ -24,7 +24,7 @@ from .plans.contract import ColumnSpec, FeedContract
 from .plans.plan import IngestionPlan, compile_plan, dag, inject, mapping_document
 from .schemas import CANONICAL
 from .service import route
-from .sources import files
+from .sources import files, quoted
 from .streaming.arrivals import ingest
 
 
@@ -1047,6 +1047,38 @@ def arrivals(spark, sf_dir):
 SQL["arrivals"] = "SELECT 'r' || CAST(n_regionkey AS VARCHAR) || '.csv' AS sample, COUNT(*) AS rows, CAST(1 AS BIGINT) AS quarantine FROM nation GROUP BY 1"
 
 
+def quoted_line_ends(spark, sf_dir):
+    """Documents written as delimited files whose texts run over lines, read back: the texts, put together from their lines."""
+    path = files.work_folder(spark, "quoted")
+    quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    text = F.regexp_replace("text", LINE_END, "\n")
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    docs.select(F.concat_ws(",", F.col("doc_id").cast("string"), quote("lang"), quote(text)).alias("value")).write.text(path)
+    lines = quoted.quoted_records(spark, path, _spec(skip_blank_lines=False, header_rows=0))
+    rows, raw = files.with_csv(lines, ["k", "lang", "text"], ",", strict=True)
+    return rows.select(raw["k"].cast("long").alias("doc_id"), raw["lang"].alias("lang"), F.md5(raw["text"].cast("binary")).alias("text_md5"), F.col("_fault").isNull().alias("sound"))
+
+
+SQL["quoted_line_ends"] = r"""SELECT doc_id, lang, md5(regexp_replace(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g')) AS text_md5, TRUE AS sound FROM documents WHERE text IS NOT NULL"""
+
+
+def jailed_faults(spark, sf_dir):
+    """Orders dealt to 500 files, some of whose transforms fail or reach for what isn't theirs: findings of H1, and rows of the others."""
+    source = (
+        "def transform(rows):\n    kind = int(rows[0]['part']) % 5\n    if kind == 1:\n        return [{'trade_id': open('/etc/passwd').read()}]\n    if kind == 2:\n        return [{'trade_id': r['none']} for r in rows]\n"
+        "    if kind == 3:\n        raise SystemExit\n    return [{'trade_id': r['key']} for r in rows]\n"
+    )
+    part = (F.col("o_custkey") % 500).cast("string")
+    rows = table(spark, sf_dir, "orders").select(part.alias("part"), part.alias("file"), F.col("o_orderkey").cast("string").alias("key"))
+    tried = custom.try_transform(rows, source, by="file")
+    found = custom.runtime_faults(tried, "orders", "file").select("sample", F.regexp_extract("message", r"^transform stopped: (\w+)", 1).alias("fault"), F.lit(0).cast("long").alias("rows"))
+    return tried.filter("fault is null").groupBy(F.col("file").alias("sample")).agg(F.lit("").alias("fault"), F.count("*").alias("rows")).unionByName(found)
+
+
+SQL["jailed_faults"] = """SELECT CAST(p AS VARCHAR) AS sample, CASE p % 5 WHEN 1 THEN 'PermissionError' WHEN 2 THEN 'KeyError' WHEN 3 THEN 'SystemExit' ELSE '' END AS fault,
+  CAST(CASE WHEN p % 5 IN (1, 2, 3) THEN 0 ELSE n END AS BIGINT) AS rows FROM (SELECT o_custkey % 500 AS p, COUNT(*) AS n FROM orders GROUP BY 1)"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -1058,7 +1090,7 @@ QUERIES = {
         json_recovery, evidence_text, report_summaries, custom_transform, guard_scan, guard_verdicts, framed_lenient, fixed_lenient, jsonl_lenient,
         format_dispatch, row_errors, runtime_findings, stored_reports, defects_of_framing, evidence_tail, first_sound_event, rounded_amounts,
         contract_scan, replay_figures, pinned_profiles, adversarial_division, ledger_iterations, ledger_runs, event_log, corpus_pins, rows_sink,
-        missing_columns, transform_by_file, mapping_documents, driver_views, arrivals,
+        missing_columns, transform_by_file, mapping_documents, driver_views, arrivals, quoted_line_ends, jailed_faults,
     )
 }
 ORACLE_SQL = SQL

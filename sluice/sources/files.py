@@ -90,7 +90,27 @@ def framed_lines(texts: DataFrame, spec: FeedContract, strict: bool = True) -> D
 
 
 def framed_lines_large(spark: SparkSession, paths: str | list[str], spec: FeedContract, strict: bool = True) -> DataFrame:
-    """As framed_lines, for UTF-8 files of any size; splits are counted first, then placed."""
+    """As framed_lines, for UTF-8 files of any size."""
+    return numbered_lines(spark, paths, spec, strict).select(sample_of("path").alias("sample"), "idx", "line")
+
+
+#: Facts of splits, a row each, are broadcast up to this many.
+BROADCAST_SPLITS = 500_000
+
+
+def by_split(rows: DataFrame, facts: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows with the facts of their split; the rows of a split stay together and in order."""
+    held = facts.limit(BROADCAST_SPLITS + 1).toPandas()
+    if len(held) <= BROADCAST_SPLITS:
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(held, facts.schema)), keys)
+    return rows.join(facts, keys).repartition(*keys).sortWithinPartitions(*keys, order)
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str], spec: FeedContract, strict: bool = True, ordered: bool = False) -> DataFrame:
+    """path, block (where its split begins), idx and line of each data line; splits are counted first, then placed.
+
+    ordered: the lines of a split come together and in order; that counts the splits then and there.
+    """
     rows = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
@@ -107,8 +127,9 @@ def framed_lines_large(spark: SparkSession, paths: str | list[str], spec: FeedCo
         total = F.when(total < need, short.cast("long")).otherwise(total)
     placed = counts.select("path", "block", "first", F.coalesce(before, F.lit(0)).alias("before"), total.alias("total"))
     idx = F.col("before") + F.col("at") - F.col("first") - spec.header_rows
-    numbered = rows.join(placed, ["path", "block"]).select(sample_of("path").alias("sample"), idx.alias("idx"), "line", "total")
-    return numbered.filter((F.col("idx") >= 0) & (F.col("idx") < F.col("total") - spec.header_rows - spec.trailer_rows)).select("sample", "idx", "line")
+    joined = by_split(rows, placed, ["path", "block"], "at") if ordered else rows.join(placed, ["path", "block"])
+    numbered = joined.select("path", "block", idx.alias("idx"), "line", "total")
+    return numbered.filter((F.col("idx") >= 0) & (F.col("idx") < F.col("total") - spec.header_rows - spec.trailer_rows)).select("path", "block", "idx", "line")
 
 
 def header_names(spark: SparkSession, path: str, spec: FeedContract, strict: bool = True) -> list[str]:
@@ -139,7 +160,7 @@ def header_names_of(spark: SparkSession, paths: list[str], spec: FeedContract, s
 def with_csv(lines: DataFrame, names: list[str], delimiter: str, strict: bool) -> tuple[DataFrame, dict[str, Column]]:
     """Lines parsed as delimited fields, and a column per name; strict sets `_fault` where the field count differs."""
     schema = ", ".join(f"f{i} string" for i in range(len(names))) + ", _corrupt string"
-    options = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    options = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "multiLine": "true"}
     parsed = lines.withColumn("_r", F.from_csv("line", schema, options))
     wrong = F.when(F.col("_r._corrupt").isNotNull() | (F.col("line") == ""), F.lit(f"expected {len(names)} fields"))
     parsed = parsed.withColumn("_fault", wrong if strict else F.lit(None).cast("string"))

@@ -1,18 +1,39 @@
 """The guard: what it finds, what it lets through, and what guarded code runs with."""
 
+import importlib
+import types
+
 import pytest
 
 from sluice.errors import PlanError
 from sluice.operators import guard
 from sluice.operators.custom import apply_transform
 
-HOSTILE = [
-    "import typing\ntyping.sys.modules['subprocess'].run('x')", "import re\nre.functools.os.execv('a', [])", "x = open\nx('f', 'w')", "from pathlib import Path\nPath('a').removedirs()",
-    "import typing\ntyping.sys.modules['os'].killpg(1, 9)", "import collections.abc\ncollections.abc.sys.exit()", "import os.path as osp\nosp.os.system('x')", "import json\njson.codecs.sys.modules",
-    "import decimal\ndecimal.sys", "from pathlib import Path\nPath('x').write_text('y')", "import pathlib\nq = pathlib.Path\nq('x').touch()", "class A:\n    unlink = 1\np = A()\np.unlink()",
-    "open('x', 'w')", "open('x', 'r+')", "open('x', **{'mode': 'w'})", "open(*['x', 'w'])", "[f for f in [open]][0]('x', 'w')", "from io import open as o\no('x', 'w')", "import io\nf = io.open\nf('x', 'w')",
-    "import io\nio.FileIO('x', 'w')", "p = 1\np.open('w')", "__import__('os')", "getattr(1, 'x')", "().__class__.__subclasses__()", "x = eval", "exec('1')", "vars()", "breakpoint()", "input()",
-    "from re import functools", "from typing import *", "import typing as t\ny = t\ny.sys", "import typing\nfor m in [typing]:\n    m.sys", "import typing\ntyping.get_type_hints(1)", "x = 1\nx.gi_frame", "f'{().__class__}'",
+
+
+def module_hops():
+    """Each allowed module's way to each module that it holds, and to one below it, by attribute and by import."""
+    out = []
+    for name in sorted(guard.TRANSFORM_MODULES - {"__future__"}):
+        members = sorted(n for n, v in vars(importlib.import_module(name)).items() if isinstance(v, types.ModuleType) and not guard._module(v.__name__, guard.TRANSFORM_MODULES))
+        out += [f"import {name}\n{name}.{m}" for m in members] + [f"from {name} import {m}" for m in members]
+        out += [f"import {name} as z\nz.{m}" for m in members]
+    return out
+
+
+HOSTILE = module_hops() + [
+    # files, in ways other than reading
+    "open('f', 'a')", "open('f', 'rb+')", "open(file='f', mode='x')", "open('f', **{'mode': 'a'})", "open(*('f', 'a'))", "k = [open]\nk[0]('f', 'a')", "m = 'a'\nopen('f', m)",
+    "from io import FileIO", "import io\nio.FileIO('f', 'a')", "import io\nq = io.open", "p = 1\np.open('a')", "from pathlib import Path\nPath('f').touch()", "from pathlib import Path\nPath('f').rmdir()",
+    "import pathlib\nk = pathlib.Path\nk('f').write_bytes(b'')", "class A:\n    rename = 1\nA().rename",
+    "from pathlib import Path\nPath('a').replace('b')", "from pathlib import Path\nPath('a').replace(target='b')", "from pathlib import Path\nf = Path('a').replace\nf('b')", "from pathlib import Path\nPath('a').replace(*['b'])",
+    # modules as values, whatever else has the name
+    "import typing\ndef f(typing):\n    return typing\nclass A:\n    def sys(self): pass\n    def modules(self): pass\nf(typing).sys.modules['os']",
+    "import re\nclass A:\n    def __init__(self, t):\n        self.sys = self.modules = t\nA(re)", "import re\nmatch re:\n    case re:\n        re.x", "import re\n[re for re in [re]]",
+    "import re\nre = re", "import re as q\nfor q in [q]:\n    pass", "import json\nlambda json: json", "import csv\ntry:\n    pass\nexcept ValueError as csv:\n    pass", "import typing as t\ny = t", "import io\nx = {1: io}",
+    "class A:\n    os = 1\nA().os", "x = 1\nx.modules",
+    # reflection
+    "__import__('abc')", "setattr(1, 'x', 2)", "''.__class__.__mro__", "k = exec", "eval('1')", "globals()", "memoryview(b'')", "def g():\n    yield\ng().gi_frame", "f'{[].__class__}'", "from typing import *", "import typing\ntyping.get_type_hints(1)",
 ]
 
 
@@ -51,6 +72,8 @@ def transform(rows):
             day = datetime.strptime(r["d"], "%d/%m/%Y").date().isoformat()
         except (ValueError, KeyError) as e:
             raise RuntimeError(str(e)) from e
+        noon = datetime(2020, 1, 1).replace(hour=12)
+        assert noon and r["a"].replace(",", "", 1)
         amount = Decimal(r["a"].replace(",", "")).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
         seen[day] += 1
         m = re.match(r"x(?P<n>.*)", r["a"])
