@@ -1066,7 +1066,7 @@ def jailed_faults(spark, sf_dir):
     """Orders dealt to 500 files, some of whose transforms fail or reach for what isn't theirs: findings of H1, and rows of the others."""
     source = (
         "def transform(rows):\n    kind = int(rows[0]['part']) % 5\n    if kind == 1:\n        return [{'trade_id': open('/etc/passwd').read()}]\n    if kind == 2:\n        return [{'trade_id': r['none']} for r in rows]\n"
-        "    if kind == 3:\n        raise SystemExit\n    return [{'trade_id': r['key']} for r in rows]\n"
+        "    if kind == 3:\n        raise RuntimeError('x')\n    return [{'trade_id': r['key']} for r in rows]\n"
     )
     part = (F.col("o_custkey") % 500).cast("string")
     rows = table(spark, sf_dir, "orders").select(part.alias("part"), part.alias("file"), F.col("o_orderkey").cast("string").alias("key"))
@@ -1075,7 +1075,7 @@ def jailed_faults(spark, sf_dir):
     return tried.filter("fault is null").groupBy(F.col("file").alias("sample")).agg(F.lit("").alias("fault"), F.count("*").alias("rows")).unionByName(found)
 
 
-SQL["jailed_faults"] = """SELECT CAST(p AS VARCHAR) AS sample, CASE p % 5 WHEN 1 THEN 'PermissionError' WHEN 2 THEN 'KeyError' WHEN 3 THEN 'SystemExit' ELSE '' END AS fault,
+SQL["jailed_faults"] = """SELECT CAST(p AS VARCHAR) AS sample, CASE p % 5 WHEN 1 THEN 'PermissionError' WHEN 2 THEN 'KeyError' WHEN 3 THEN 'RuntimeError' ELSE '' END AS fault,
   CAST(CASE WHEN p % 5 IN (1, 2, 3) THEN 0 ELSE n END AS BIGINT) AS rows FROM (SELECT o_custkey % 500 AS p, COUNT(*) AS n FROM orders GROUP BY 1)"""
 
 
