@@ -15,13 +15,13 @@ on the full sets, made again from the whole texts.
 
 No group is expanded into pairs, and no pair is left out for the size of its group:
 
-1. Each set is verified against one hub, the least set of the bands that it is in, taken where it shares most bands.
-   That joins most near copies of a group to one component.
-2. Bands that still hold several components are compared by registers in blocks of CHUNK by CHUNK sets: sets outside the
-   band's largest component against all, only pairs of two components. Blocks are groups of their own, so a hot band is
-   many small ones.
-3. Of these pairs each set's best is verified, components grow together, and pairs within one fall away; so on, until
-   a turn joins nothing: then all that are left are verified at once.
+1. In each of up to HUB_TURNS turns a band names one of its sets as its hub, another each time, and each set is verified
+   against one hub: that with which it shares most bands, of those outside its component. That joins most near
+   copies of a group, at one comparison a set and turn.
+2. Bands that still hold several components are worked on in blocks of about CHUNK by CHUNK sets: sets outside the
+   band's largest component against all. A block takes the texts, compares registers, verifies what they leave, and joins
+   sets as it finds them, so that what has one component needs no further look; it gives out a link for each joining, so
+   at most one a set. Blocks are groups of their own, so a hot band is many small ones.
 """
 
 from __future__ import annotations
@@ -48,7 +48,11 @@ EMPTY = 0xFFFF
 #: Chance of equal registers of different minima is this times d / 2**MANTISSA (HyperMinHash, published constant).
 COLLIDE = 0.169919487159739093975315012348630288992889
 CUT, SURE = 0.70, 256
-CHUNK = 512
+#: Sets of a block's side, about, and shingles that they hold together.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 18
+HUB_TURNS = 4
+#: Turns go on while they join at least this share of the sets that they compare.
+YIELD = 0.02
 #: Members of a hub that are verified in one group.
 SALT_ROWS = 256
 BROADCAST_ROWS = 200_000
@@ -182,31 +186,40 @@ def banded(sets: DataFrame) -> DataFrame:
     return sets.select("node", F.explode(F.array(*keys)).alias("band")).filter("band is not null").select("band", "node")
 
 
-def _pairs_of(table: pa.Table) -> pa.RecordBatch:
-    """Pairs of two components, one set on the left, the other on the right, that may be near; rows are whole blocks."""
-    block = np.zeros(table.num_rows, bool)
-    block[:1] = True
-    for name in ("band", "i", "j"):
-        c = table.column(name).to_numpy()
-        block[1:] |= c[1:] != c[:-1]
-    node, comp, n = (table.column(x).to_numpy() for x in ("node", "comp", "n"))
-    left, right, minor = (table.column(x).to_numpy(zero_copy_only=False) for x in ("left", "right", "minor"))
-    regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), "<u2").reshape(-1, BUCKETS * ROUNDS)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    edges = np.append(np.flatnonzero(block), table.num_rows)
-    for s, e in zip(edges[:-1], edges[1:]):
-        on = s + np.flatnonzero(right[s:e])
-        for x in (s + np.flatnonzero(left[s:e])).tolist():
-            others = on[(comp[on] != comp[x]) & (~minor[on] | (node[on] > node[x]))]
-            others = others[100 * np.minimum(n[others], n[x]) >= PERCENT * np.maximum(n[others], n[x])]
-            if not len(others):
-                continue
-            est = estimate(regs[others], regs[x], n[others], n[x])
-            ok = possible(est, n[others], n[x])
-            y = node[others[ok]]
-            found.append((np.minimum(y, node[x]), np.maximum(y, node[x]), est[ok]))
-    a, b, est = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(est)], ["a", "b", "est"])
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _block_links(node: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, minor: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the sets of a block as all near pairs of a set on the left and one on the right do."""
+    regs = np.stack([registers(minima(s)).ravel() for s in sets])
+    n = np.array([len(s) for s in sets])
+    at = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts, flags = np.cumsum(n) - n, np.zeros(int(at.max()) + 1, bool)
+    root, found = comp.copy(), []
+    on = np.flatnonzero(right)
+    for x in np.flatnonzero(left).tolist():
+        others = on[(root[on] != root[x]) & (~minor[on] | ~left[on] | (on > x))]
+        others = others[100 * np.minimum(n[others], n[x]) >= PERCENT * np.maximum(n[others], n[x])]
+        if not len(others):
+            continue
+        others = others[possible(estimate(regs[others], regs[x], n[others], n[x]), n[others], n[x])]
+        if not len(others):
+            continue
+        own = at[starts[x] : starts[x] + n[x]]
+        flags[own] = True
+        for y in others.tolist():
+            if root[y] != root[x]:
+                both = int(np.count_nonzero(flags[at[starts[y] : starts[y] + n[y]]]))
+                if 100 * both >= PERCENT * (n[x] + n[y] - both):
+                    found.append((int(node[x]), int(node[y])))
+                    root[root == root[y]] = root[x]
+        flags[own] = False
+    return found
 
 
 def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,35 +242,45 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the settled pairs (a, b) whose full sets are near. texts: id, text and mark of every row, which name a set's text.
+def texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, z): the compressed text of each of the settled sets, settled. docs: id, text and mark of every row, which name it."""
+    named = sets.select("node", F.col("first").alias("w_id"), F.col("mark").alias("w_mark"))
+    here = docs.join(_small(named), (F.col("mark") == F.col("w_mark")) & F.col("id").eqNullSafe(F.col("w_id"))).select("node", "text")
 
-    Each a is the hub of a group, b its members; a hub of many members is dealt out with its text. Texts go where
-    they are compared, once for each group that they are in.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(x) for x in byte_texts(batch.column(1))], pa.binary())], ["node", "z"])
+
+    # Rows that are there twice with id and text name one set: one of them will do.
+    return settle(here.mapInArrow(run, "node long, z binary").groupBy("node").agg(F.first("z").alias("z")), "texts")
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the settled pairs (a, b) whose full sets are near.
+
+    Each a is the hub of a group, b its members; a hub of many members is dealt out with its text.
     """
     of_hub = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("long").alias("salts"))
     dealt = pairs.join(of_hub, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     roles = dealt.select("a", "salt", F.col("b").alias("node"), F.lit(1).alias("role")).union(
         dealt.select("a", "salt", F.col("a").alias("node"), F.lit(0).alias("role")).distinct()
     )
-    wanted = settle(roles.join(sets.select("node", F.col("first").alias("w_id"), F.col("mark").alias("w_mark")), "node"), "wanted")
-    here = texts.join(_small(wanted), (F.col("mark") == F.col("w_mark")) & F.col("id").eqNullSafe(F.col("w_id")))
-    ready = here.select("a", "salt", "role", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    here = texts.join(_small(settle(roles, "roles")), "node").select("a", "salt", "role", "node", "z")
+    ready = here.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, hub = None, None
         for batch in batches:
-            a, salt, role, node = (batch.column(i).to_pylist() for i in range(4))
+            a, salt, role, node, z = (batch.column(i).to_pylist() for i in range(5))
             found: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
                 if role[i] == 0:
-                    if group != (a[i], salt[i]):  # a row that is there twice says it twice
-                        group, hub = (a[i], salt[i]), shingles(byte_texts(batch.column(4).slice(i, 1))[0])
-                elif group == (a[i], salt[i]) and near(hub, shingles(byte_texts(batch.column(4).slice(i, 1))[0])):
+                    group, hub = (a[i], salt[i]), shingles(unsqueeze(z[i]))
+                elif group == (a[i], salt[i]) and near(hub, shingles(unsqueeze(z[i]))):
                     found.append((a[i], node[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return settle(ready.mapInArrow(run, "a long, b long").distinct(), "verified")
+    return settle(ready.mapInArrow(run, "a long, b long"), "verified")
 
 
 def _labelled(rows: DataFrame, roots: DataFrame, name: str, to: str) -> DataFrame:
@@ -266,58 +289,71 @@ def _labelled(rows: DataFrame, roots: DataFrame, name: str, to: str) -> DataFram
     return rows.join(found, name, "left").withColumn(to, F.coalesce("_r", name)).drop("_r")
 
 
-def cross_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, est) of two components that share a band and may be near."""
+def mixed_bands(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, node, comp) of the bands that hold several components, settled."""
     at = _labelled(members, roots, "node", "comp")
     mixed = at.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band")
-    at = settle(at.join(mixed, "band"), "mixed")
-    if at.isEmpty():
-        return at.sparkSession.createDataFrame([], "a long, b long, est double")
-    sizes = at.groupBy("band", "comp").agg(F.count("*").alias("k"))
-    most = F.max_by(F.struct("comp", "k"), F.struct("k", -F.col("comp"))).alias("m")
-    sizes = sizes.groupBy("band").agg(most, F.sum("k").alias("all")).select("band", F.col("m.comp").alias("major"), F.ceil(F.col("all") / CHUNK).alias("js"), F.ceil((F.col("all") - F.col("m.k")) / CHUNK).alias("is"))
-    rows = at.join(sizes, "band").join(sets.select("node", "n", "regs"), "node").withColumn("minor", F.col("comp") != F.col("major"))
+    return settle(at.join(mixed, "band"), "mixed")
+
+
+def hub_pairs(at: DataFrame, turn: int) -> DataFrame:
+    """(a, b): for each set b of the bands the hub a outside its component with which it shares most of them."""
+    hubs = at.groupBy("band").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("comp").alias("ca")), F.struct(F.xxhash64(F.lit(turn), "node"), "node")).alias("h"))
+    met = at.join(hubs.select("band", "h.a", "h.ca"), "band").filter("comp != ca").groupBy("node", "a").agg(F.count("*").alias("k"))
+    return met.groupBy("node").agg(F.max_by("a", F.struct("k", F.xxhash64("a"), "a")).alias("a")).select("a", F.col("node").alias("b"))
+
+
+def block_links(at: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (a, b) that join all sets of a band that are near and of two components."""
+    rows = at.join(sets.select("node", "n"), "node")
+    sizes = rows.groupBy("band", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    most = F.max_by(F.struct("comp", "k", "s"), F.struct("k", -F.col("comp"))).alias("m")
+    sizes = sizes.groupBy("band").agg(most, F.sum("k").alias("k"), F.sum("s").alias("s"))
+    parts = lambda k, s: F.greatest(F.ceil(k / CHUNK), F.ceil(s / CHUNK_SHINGLES)).cast("long")
+    sizes = sizes.select("band", F.col("m.comp").alias("major"), parts(F.col("k"), F.col("s")).alias("js"), parts(F.col("k") - F.col("m.k"), F.col("s") - F.col("m.s")).alias("is"))
+    rows = rows.join(sizes, "band").withColumn("minor", F.col("comp") != F.col("major"))
     i, j = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("is")), F.pmod(F.xxhash64("node"), F.col("js"))
     # A block (i, j) is i's minor sets on the left and j's sets on the right.
     cell = lambda x, y, left: F.struct(x.alias("i"), y.alias("j"), F.lit(left).alias("left"), (y == j).alias("right"))
     lefts = F.when(F.col("minor"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("js") - 1), lambda y: cell(i, y, True))).otherwise(F.array())
     own: Column = F.col("minor")
     rights = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("is") - 1), lambda x: ~own | (x != i)), lambda x: cell(x, j, False))
-    blocks = rows.withColumn("c", F.explode(F.concat(lefts, rights))).select("band", "c.i", "c.j", "c.left", "c.right", "minor", "node", "comp", "n", "regs")
-    blocks = blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    dealt = settle(rows.withColumn("c", F.explode(F.concat(lefts, rights))).select("band", "c.i", "c.j", "c.left", "c.right", "minor", "node", "comp"), "blocks")
+    blocks = dealt.join(texts, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ("band", "i", "j"), 4 * CHUNK):
-            yield _pairs_of(table)
+        for table in whole_groups(batches, ("band", "i", "j"), CHUNK):
+            band, bi, bj, node, comp = (table.column(x).to_numpy() for x in ("band", "i", "j", "node", "comp"))
+            left, right, minor = (table.column(x).to_numpy() for x in ("left", "right", "minor"))
+            edges = np.append(np.flatnonzero(np.diff(band, prepend=band[0] - 1) | np.diff(bi, prepend=bi[0] - 1) | np.diff(bj, prepend=bj[0] - 1)), len(band))
+            found: list[tuple[int, int]] = []
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                sets_here = [shingles(unsqueeze(z)) for z in table.column("z").slice(s, e - s).to_pylist()]
+                found += _block_links(node[s:e], comp[s:e], left[s:e], right[s:e], minor[s:e], sets_here)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return settle(blocks.mapInArrow(run, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
+    return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
-def links_of(texts: DataFrame, sets: DataFrame) -> DataFrame:
+def links_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified links (a, b) between settled sets, enough to join all that are near, over paths."""
     bands = banded(sets)
-    shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("band", "hub")
-    members = settle(bands.join(settle(shared, "shared"), "band"), "members")
-    met = members.filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("k"))
-    stars = met.groupBy("node").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("a")).select("a", F.col("node").alias("b"))
-    links = verified(texts, sets, settle(_likely(stars, sets), "stars"))
-    roots = components(links)
-    pairs = cross_pairs(members.select("band", "node"), sets, roots)
-    while True:
-        open_ = _labelled(_labelled(pairs, roots, "a", "ca"), roots, "b", "cb").filter("ca != cb").select("a", "b", "est")
-        pairs = settle(open_, "open")
-        if pairs.isEmpty():
-            return links
-        ends = pairs.select(F.col("a").alias("x"), "a", "b", "est").union(pairs.select(F.col("b").alias("x"), "a", "b", "est"))
-        best = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("est", -F.col("a"), -F.col("b"))).alias("p"))
-        best = settle(best.select("p.a", "p.b").distinct(), "best")
-        new = verified(texts, sets, best)
-        if new.isEmpty():
-            rest = settle(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), "rest")
-            return links.union(verified(texts, sets, rest))
+    shared = settle(bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band"), "shared")
+    members = settle(bands.join(shared, "band"), "members")
+    texts = texts_of(docs, settle(sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "first", "mark"), "met"))
+    spark = docs.sparkSession
+    links = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
+    for turn in range(HUB_TURNS):
+        at = mixed_bands(members, roots)
+        pairs = settle(_likely(hub_pairs(at, turn), sets), "stars")
+        new = verified(texts, pairs)
         links = settle(links.union(new), "linked")
         roots = components(links)
-        pairs = pairs.join(best, ["a", "b"], "left_anti")
+        if new.count() <= YIELD * pairs.count():
+            break
+    at = mixed_bands(members, roots)
+    return links if at.isEmpty() else links.union(block_links(at, sets, texts))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
