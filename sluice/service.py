@@ -8,13 +8,11 @@ import secrets
 import threading
 import time
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from datetime import UTC, datetime
 from functools import reduce
 from pathlib import Path
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +47,8 @@ def decision_of(payload) -> tuple[str, str, str]:
     return payload["decision"], payload["approver"], payload.get("note") or ""
 
 
-#: So many files are timed one after another, each by itself; more of them side by side.
-SERIAL_FILES, SIDE_BY_SIDE = 16, 4
+#: So many files are timed one after another, each by a job of its own; more of them in one scan.
+SERIAL_FILES = 16
 
 
 @contextmanager
@@ -73,8 +71,9 @@ def time_limit(spark: SparkSession, seconds: float) -> Iterator[threading.Event]
         spark.sparkContext.removeJobTag(tag)
 
 
-def timed_rows(spark: SparkSession, plan: IngestionPlan, paths: list[str], iteration: int) -> list[tuple[DataFrame, int, int]]:
-    """Each file's rows, kept for the checks, how many there are, and milliseconds: those that reading it took, and a declared delay."""
+def timed_rows(spark: SparkSession, plan: IngestionPlan, paths: list[str], iteration: int) -> list[tuple[DataFrame | None, int, int]]:
+    """Each file's rows, kept for the checks, how many there are, and milliseconds: those that reading it took, and a declared delay.
+    Of many files, which are read in one scan, the first has the rows of all."""
 
     def one(path: str) -> tuple[DataFrame, int, int]:
         began = time.monotonic()
@@ -84,8 +83,57 @@ def timed_rows(spark: SparkSession, plan: IngestionPlan, paths: list[str], itera
 
     if len(paths) <= SERIAL_FILES:
         return [one(p) for p in paths]
-    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(one), paths))
+    rows, found = scan_times(spark, read_rows_a_file(spark, plan, paths, iteration))
+    some = (found.get(p.rsplit("/", 1)[-1], (0, 0)) for p in paths)
+    return [(rows if i == 0 else None, n, ms + plan.delay_ms) for i, (n, ms) in enumerate(some)]
+
+
+def read_rows_a_file(spark: SparkSession, plan: IngestionPlan, paths: list[str], iteration: int) -> DataFrame:
+    """The rows of many files as one scan for each header that they have."""
+    return read_rows(spark, paths, plan, strict=False).withColumn("iteration", F.lit(iteration))
+
+
+def scan_times(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """The rows, kept, and by sample how many there are and how many milliseconds tasks took over them: one job.
+
+    Each file has tasks of its own, whose times Spark's status store has. Where a task holds rows of several files (as
+    after a shuffle), its time is shared out by rows. A file without rows has no entry.
+    """
+    rows, tag = rows.persist(), f"times-{secrets.token_hex(6)}"
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    try:
+        with files.partition_a_file(spark):
+            counts = rows.groupBy(F.spark_partition_id().alias("p"), "sample").agg(F.count("*").alias("n")).collect()  # a row a file and task
+    finally:
+        context.removeJobTag(tag)
+    took = _task_times(spark, tag)
+    held: dict[int, int] = {}
+    for r in counts:
+        held[r.p] = held.get(r.p, 0) + r.n
+    out: dict[str, tuple[int, float]] = {}
+    for r in counts:
+        n, ms = out.get(r.sample, (0, 0.0))
+        out[r.sample] = (n + r.n, ms + took.get(r.p, 0) * r.n / held[r.p])
+    return rows, {s: (n, round(ms)) for s, (n, ms) in out.items()}
+
+
+def _task_times(spark: SparkSession, tag: str) -> dict[int, int]:
+    """Run times (ms) by partition of the longest stage of the jobs with a tag: the one that reads."""
+    scala = spark.sparkContext._jsc.sc()
+    scala.listenerBus().waitUntilEmpty()
+    tracker, store, best = scala.statusTracker(), scala.statusStore(), {}
+    for job in tracker.getJobIdsForTag(tag):
+        for stage in tracker.getJobInfo(job).get().stageIds():
+            took: dict[int, int] = {}
+            tasks = store.taskList(stage, 0, 1 << 30).iterator()
+            while tasks.hasNext():
+                t = tasks.next()
+                if t.taskMetrics().isDefined():
+                    took[t.index()] = took.get(t.index(), 0) + t.taskMetrics().get().executorRunTime()
+            if sum(took.values()) > sum(best.values()):
+                best = took
+    return best
 
 
 def evaluate(
@@ -109,7 +157,7 @@ def evaluate(
     with time_limit(spark, timeout_s * max(1, len(paths))) as late:
         try:
             read = timed_rows(spark, plan, paths, iteration)
-            canonical = reduce(DataFrame.unionByName, (rows for rows, _, _ in read))
+            canonical = reduce(DataFrame.unionByName, (rows for rows, _, _ in read if rows is not None))
             times = [(contract.client, n, iteration, ms) for n, (_, _, ms) in zip(names, read)]
             found = checks.evaluate_rows(canonical, manifest.pins(spark, pinned), tolerance)
             d = dag(plan)
@@ -127,7 +175,8 @@ def evaluate(
             return failed([("", f"timed out: more than {timeout_s:g} s a file", {"wall_ms": str(wall)})]), 0, wall
         finally:
             for rows, _, _ in read:
-                rows.unpersist()
+                if rows is not None:
+                    rows.unpersist()
     over = [(n, f"{n}: timed out after {timeout_s:g} s", {"wall_ms": str(ms)}) for _, n, _, ms in times if ms > 1000 * timeout_s]
     out = spark.createDataFrame(collected, checks.FINDINGS)
     return out.unionByName(failed(over)) if over else out, sum(n for _, n, _ in read), sum(ms for _, _, ms in read)

@@ -13,9 +13,12 @@ import csv
 import re
 import tempfile
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,14 +150,74 @@ def header_names(spark: SparkSession, path: str, spec: FeedContract, strict: boo
         found = frame(read_texts(spark, path, spec.encoding), spec.header_rows, 0, spec.skip_blank_lines).first()["header"]
     if len(found) < spec.header_rows:
         raise ContractError(f"{PurePosixPath(path).name}: no header")
-    names = next(csv.reader([found[spec.header_rows - 1]], delimiter=spec.delimiter))
-    return names if strict else [x.strip() for x in names]
+    return names_of(found[spec.header_rows - 1], spec, strict)
+
+
+@contextmanager
+def partition_a_file(spark: SparkSession) -> Iterator[None]:
+    """Within this, scans that begin give each file (and each split of a large one) a partition of its own."""
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key, None)
+    # A file counts as a whole partition by the cost of opening it.
+    spark.conf.set(key, str(1 << 40))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _line_at(spark: SparkSession, paths: list[str], k: int, skip_blank: bool) -> dict[str, str]:
+    """The k-th line of each UTF-8 file that has one, by path, in one scan of them."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    if skip_blank:
+        lines = lines.filter(~is_blank(F.col("value")))
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    if k == 1:
+        found = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "at")).alias("value"))
+    else:  # tasks keep k lines a file
+        found = lines.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("block", "at"))).filter(F.col("k") <= k).filter(F.col("k") == k)
+    return {r.path: r.value for r in found.select("path", "value").collect()}
+
+
+def _line_at_top(spark: SparkSession, paths: list[str], k: int, skip_blank: bool) -> dict[str, str]:
+    """As _line_at, for large files: a task reads the first split of one file and leaves off where it has the line. A file
+    whose first split has too few lines has no entry."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            if batch.num_rows and batch.column(1)[0].as_py():
+                return
+            for path, value in zip(batch.column(0), batch.column(2)):
+                line = value.as_py()
+                seen += not skip_blank or bool(line.strip())
+                if seen == k:
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([line])], ["path", "value"])
+                    return
+
+    with partition_a_file(spark):
+        return {r.path: r.value for r in lines.mapInArrow(run, "path string, value string").collect()}
 
 
 def header_names_of(spark: SparkSession, paths: list[str], spec: FeedContract, strict: bool = True) -> list[tuple[str, ...]]:
-    """header_names of many files; their small jobs run side by side."""
-    with ThreadPoolExecutor(8) as pool:
-        return list(pool.map(lambda p: tuple(header_names(spark, p, spec, strict)), paths))
+    """header_names of many files: a job for small ones, a job for large ones; other encodings, and large files with too little in their
+    first split, take a job each."""
+    if spec.header_rows == 0 or charset(spec.encoding) != "UTF-8" or len(paths) < 2:
+        return [tuple(header_names(spark, p, spec, strict)) for p in paths]
+    plain = lambda p: unquote(re.sub(r"^file:/+", "/", p))
+    sizes = {plain(r.path): r.length for r in spark.read.format("binaryFile").load(paths).select("path", "length").collect()}
+    large = [p for p in paths if sizes.get(plain(p), 0) >= LARGE_BYTES]
+    small = [p for p in paths if p not in set(large)]
+    found = _line_at(spark, small, spec.header_rows, spec.skip_blank_lines) if small else {}
+    found |= _line_at_top(spark, large, spec.header_rows, spec.skip_blank_lines) if large else {}
+    found = {plain(p): line for p, line in found.items()}
+    return [tuple(names_of(found[plain(p)], spec, strict) if plain(p) in found else header_names(spark, p, spec, strict)) for p in paths]
+
+
+def names_of(header: str, spec: FeedContract, strict: bool) -> list[str]:
+    names = next(csv.reader([header], delimiter=spec.delimiter))
+    return names if strict else [x.strip() for x in names]
 
 
 def with_csv(lines: DataFrame, names: list[str], delimiter: str, strict: bool) -> tuple[DataFrame, dict[str, Column]]:
