@@ -24,7 +24,7 @@ from .plans.contract import ColumnSpec, FeedContract
 from .plans.plan import IngestionPlan, compile_plan, dag, inject, mapping_document
 from .schemas import CANONICAL
 from .service import route
-from .sources import files, quoted
+from .sources import encoded, files, quoted
 from .streaming.arrivals import ingest
 
 
@@ -1079,6 +1079,43 @@ SQL["jailed_faults"] = """SELECT CAST(p AS VARCHAR) AS sample, CASE p % 5 WHEN 1
   CAST(CASE WHEN p % 5 IN (1, 2, 3) THEN 0 ELSE n END AS BIGINT) AS rows FROM (SELECT o_custkey % 500 AS p, COUNT(*) AS n FROM orders GROUP BY 1)"""
 
 
+def encoded_documents(spark, sf_dir):
+    """Documents written in encodings of one, two and four bytes a character, and read back by splits: their lines by encoding."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(","), F.regexp_replace("text", r"[^\x20-\x7e\xa1-\xff]", " "))
+    out = None
+    for name, java in (("cp1252", "ISO-8859-1"), ("utf-16-le", "UTF-16LE"), ("utf-32-be", "UTF-32")):
+        path = files.work_folder(spark, "encoded")
+        feed = "\n".encode(name).decode("latin-1")
+        docs.select(F.encode(line, java).cast("string").alias("value")).write.option("lineSep", feed).text(path)
+        lines = encoded.encoded_lines(spark, path, _spec(encoding=name, header_rows=0, skip_blank_lines=False))
+        one = lines.select(F.lit(name).alias("encoding"), F.substring_index("line", ",", 1).cast("long").alias("doc_id"), F.md5(F.col("line").cast("binary")).alias("line_md5"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SQL["encoded_documents"] = r"""SELECT encoding, doc_id, md5(CAST(doc_id AS VARCHAR) || ',' || regexp_replace(text, '[^\x20-\x7e\x{a1}-\x{ff}]', ' ', 'g')) AS line_md5
+  FROM documents, (VALUES ('cp1252'), ('utf-16-le'), ('utf-32-be')) AS e(encoding) WHERE text IS NOT NULL"""
+
+
+def framed_large(spark, sf_dir):
+    """Documents' lines as files without a limit of size: each file is framed and numbered by splits, and digested as a stream."""
+    path = files.work_folder(spark, "large")
+    docs = table(spark, sf_dir, "documents").select(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20-\\x7e]", " ").alias("t"), (F.col("doc_id") % 7).alias("file"))
+    docs.repartition("file").sortWithinPartitions("file", "t").select("t", "file").write.partitionBy("file").text(path)
+    top = F.regexp_extract("path", r"file=(\d+)/", 1).cast("long")
+    spec = _spec(header_rows=1, trailer_rows=1, skip_blank_lines=False)
+    lines = files.numbered_lines(spark, path, spec).groupBy(top.alias("file")).agg(F.count("*").alias("n"), F.max("idx").alias("last"), F.sum(F.length("line")).alias("chars"))
+    sums = encoded.digests(spark, path, large=0).select(top.alias("file"), "bytes", "sha256")
+    return lines.join(sums, "file")
+
+
+SQL["framed_large"] = r"""WITH t AS (SELECT doc_id % 7 AS file, regexp_replace(coalesce(text, ''), '[^\x20-\x7e]', ' ', 'g') AS t FROM documents),
+  r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY file ORDER BY t) AS k, COUNT(*) OVER (PARTITION BY file) AS m FROM t)
+  SELECT file, COUNT(*) FILTER (k > 1 AND k < m) AS n, CAST(MAX(m) - 3 AS BIGINT) AS last, CAST(SUM(length(t)) FILTER (k > 1 AND k < m) AS BIGINT) AS chars,
+    CAST(SUM(length(t) + 1) AS BIGINT) AS bytes, sha256(string_agg(t || chr(10), '' ORDER BY t)) AS sha256 FROM r GROUP BY file"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -1090,7 +1127,7 @@ QUERIES = {
         json_recovery, evidence_text, report_summaries, custom_transform, guard_scan, guard_verdicts, framed_lenient, fixed_lenient, jsonl_lenient,
         format_dispatch, row_errors, runtime_findings, stored_reports, defects_of_framing, evidence_tail, first_sound_event, rounded_amounts,
         contract_scan, replay_figures, pinned_profiles, adversarial_division, ledger_iterations, ledger_runs, event_log, corpus_pins, rows_sink,
-        missing_columns, transform_by_file, mapping_documents, driver_views, arrivals, quoted_line_ends, jailed_faults,
+        missing_columns, transform_by_file, mapping_documents, driver_views, arrivals, quoted_line_ends, jailed_faults, encoded_documents, framed_large,
     )
 }
 ORACLE_SQL = SQL

@@ -109,14 +109,16 @@ def by_split(rows: DataFrame, facts: DataFrame, keys: list[str], order: str) ->
     return rows.join(facts, keys).repartition(*keys).sortWithinPartitions(*keys, order)
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str], spec: FeedContract, strict: bool = True, ordered: bool = False) -> DataFrame:
+def numbered_lines(spark: SparkSession, paths: str | list[str], spec: FeedContract, strict: bool = True, ordered: bool = False, rows: DataFrame | None = None) -> DataFrame:
     """path, block (where its split begins), idx and line of each data line; splits are counted first, then placed.
 
-    ordered: the lines of a split come together and in order; that counts the splits then and there.
+    ordered: the lines of a split come together and in order; that counts the splits then and there. rows: path, block and
+    value, in order, where lines are read in another way than as UTF-8.
     """
-    rows = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
-    )
+    if rows is None:
+        rows = spark.read.text(paths).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
+        )
     rows = rows.select("path", "block", F.explode(split_lines(F.concat("value", F.lit("\n")))).alias("line"))
     if spec.skip_blank_lines:
         rows = rows.filter(~is_blank(F.col("line")))

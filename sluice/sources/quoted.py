@@ -116,9 +116,39 @@ def join_lines(lines: DataFrame, delimiter: str = ",", joint: str = "\n") -> Dat
     no_quote = ~F.contains(line, F.lit('"'))
     out = F.when(no_quote, False).otherwise(ends_inside(line, delimiter, False))
     stay = F.when(no_quote, True).otherwise(ends_inside(line, delimiter, True))
-    marked = lines.withColumns({"out": out, "stay": stay})
+    numbered = _numbered(lines.withColumns({"out": out, "stay": stay}))
+    parts = F.array_sort(F.collect_list(F.struct("idx", "line")))
+    longer = numbered.filter("not whole").groupBy("sample", "record").agg(F.array_join(F.transform(parts, lambda p: p["line"]), joint).alias("line"))
+    return numbered.filter("whole").select("sample", F.col("record").alias("idx"), "line").unionByName(longer.select("sample", F.col("record").alias("idx"), "line"))
+
+
+def join_pieces(pieces: DataFrame, width: int, separator: bytes) -> DataFrame:
+    """(sample, block, idx, line, first): pieces of bytes put together that were parted at separators across characters of `width` bytes.
+
+    pieces: as lines in join_lines, binary, between separators whose length is a multiple of width. first: whether it is
+    a file's first. Of four bytes a character the state is one of four places; it goes by two halves, the second on what the
+    first has put together.
+    """
+    size = F.octet_length("line")
+    step = 2
+    rows = pieces
+    while step <= width:
+        odd = (size % step) != 0
+        numbered = _numbered(rows.withColumns({"out": odd, "stay": ~odd}))
+        parts = F.array_sort(F.collect_list(F.struct("idx", "block", "line")))
+        glued = F.aggregate(F.slice(parts, 2, F.size(parts)), parts[0]["line"], lambda a, p: F.concat(a, F.lit(separator), p["line"]))
+        longer = numbered.filter("not whole").groupBy("sample", "record").agg(glued.alias("line"), F.min("block").alias("block"), F.min("idx").alias("idx"))
+        kept = ["sample", "block", "idx", "line"]
+        joined = numbered.filter("whole").select(*kept, F.col("record")).unionByName(longer.select(*kept, "record"))
+        rows = joined.repartition("sample", "block").sortWithinPartitions("sample", "block", "idx") if step < width else joined
+        step *= 2
+    return rows.select("sample", "block", "idx", "line", (F.col("record") == 0).alias("first"))
+
+
+def _numbered(marked: DataFrame) -> DataFrame:
+    """(sample, block, record, whole, idx, line) from lines with out and stay: the record that each is of, and whether it is all of it."""
     rows = by_split(marked, _placed(_summaries(marked)), ["sample", "block"], "idx").select("sample", "block", "out", "stay", "inside", "before", "idx", "line")
-    schema = T.StructType([T.StructField("sample", T.StringType()), T.StructField("record", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("idx", T.LongType()), T.StructField("line", T.StringType())])
+    schema = T.StructType([T.StructField("sample", T.StringType()), T.StructField("block", T.LongType()), T.StructField("record", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("idx", T.LongType()), T.StructField("line", marked.schema["line"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, state, number = None, False, -1
@@ -135,12 +165,9 @@ def join_lines(lines: DataFrame, delimiter: str = ",", joint: str = "\n") -> Dat
                 record[s:e] = number + np.cumsum(~got[:-1])
                 whole[s:e] = ~got[:-1] & ~got[1:]
                 state, number = bool(got[-1]), int(record[e - 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(record), pa.array(whole), batch.column(6), batch.column(7)], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(record), pa.array(whole), batch.column(6), batch.column(7)], schema.names)
 
-    numbered = rows.mapInArrow(run, schema)
-    parts = F.array_sort(F.collect_list(F.struct("idx", "line")))
-    longer = numbered.filter("not whole").groupBy("sample", "record").agg(F.array_join(F.transform(parts, lambda p: p["line"]), joint).alias("line"))
-    return numbered.filter("whole").select("sample", F.col("record").alias("idx"), "line").unionByName(longer.select("sample", F.col("record").alias("idx"), "line"))
+    return rows.mapInArrow(run, schema)
 
 
 def quoted_records(spark: SparkSession, paths: str | list[str], spec: FeedContract, strict: bool = True, joint: str = "\n") -> DataFrame:
