@@ -10,26 +10,28 @@ has two measures in [0, 1]:
   the number of pages with that text there; texts of all pages give 0, own texts 1.
 
 The importance of a branch is the larger of its content, weighted over all that stands
-below it, and half its presentation. It needs MIN_PAGES pages, and is NEUTRAL without
-them. A block has the importance of the node it stands in. What the page's own marks say
-is a bounded prior: blocks in a landmark (article, main) gain MARK, blocks outside the
+below it, and half its presentation, drawn towards NEUTRAL by PRIOR_PAGES pages: few pages say
+little, and a node of one page says nothing. A block has the importance of the node it stands in. What the page's own
+marks say is a bounded prior: blocks in a landmark (article, main) gain MARK, blocks outside the
 landmarks of a page that has some lose MARK. As MARK is less than half the range of the
 importance, text of all pages falls inside landmarks too, and own text stays outside
 them. Blocks below LEAST fall; the rest gives the text.
 
+A host also has a cut (`host_cuts`): where the contents of its nodes in which text stands part with
+the least variance within the two parts. Without marks (`extract(..., marks=False)`) it decides alone.
+
 A node also has a mass: the characters that stand in it, each text's weighted by 1 - log_m(c).
 Branches whose tag or class names a menu, header, footer, sidebar, notice, advert, form or
-comments fall, as their texts are often other ones on each page, which no entropy tells from
-an article's; unless the tree overrules the name: a branch with over half of the mass of its
-host is the host's text, whatever it is called (but comments are comments). A landmark has no
-such name but as a comment. Names on html, body and on wrappers, and forms and page headers
+comments fall, as their texts are often other ones on each page; unless the tree overrules the name: a branch with over half of the mass of its
+host is the host's text, whatever it is called (but comments are comments). Inside a landmark only a name
+that says nothing else counts ("ad-slot" does, "ad-lib", "related-work" and a table called menu don't); so it is with
+comments everywhere. A landmark has no such name but as a comment. Names on html, body and on wrappers, and forms and page headers
 that wrap, are no marks either: an element wraps if it holds a main, most of the text of the
-page's articles or, where there are neither, of the page (a comment section has to hold most
-of both). Landmarks in a nav, footer, aside or comment are none. Where names alone would take
+page's articles or, where there are neither, of the page (a comment section has to hold all of it). Landmarks in a nav, footer, aside or comment are none. Where names alone would take
 all text, or all of the landmarks, only comments count.
 
 The tree is two counting aggregations over (host, node, value); the hot host's values
-are many keys, pre-counted in each task. Only nodes of MIN_PAGES pages come back to the
+are many keys, pre-counted in each task. Only nodes of two pages and more come back to the
 pages: as a broadcast table if it is small; else page and node rows are joined, salted
 against hot hosts, and a page gets the few nodes that it has itself, never its host's tree.
 
@@ -55,9 +57,12 @@ from pyspark.sql import functions as F
 from .arrow import SLICE_BYTES, col, map_texts, texts
 from .staging import settle
 
-MIN_PAGES = 5
+#: What a node's pages weigh against: its importance is drawn towards NEUTRAL as if by so many pages.
+PRIOR_PAGES = 1.0
 LEAST = NEUTRAL = 0.5
 MARK = 0.4
+#: Importances are counted by host in so many bins, to find the cut between its two kinds.
+BINS = 200
 BROADCAST_BYTES = 8 << 20
 #: Into so many parts a hot host's rows are dealt where tables are joined.
 SALTS = 16
@@ -89,6 +94,11 @@ OUTER_WORDS = frozenset(
 )
 #: Of these, those that speak of a landmark itself; "has-sidebar" and the like speak of what is beside it.
 TALK_WORDS = frozenset("comment comments reply replies disqus".split())
+#: Words beside which a name of the lists above still says the same: "ad-slot" does, "ad-lib" doesn't.
+PLAIN_WORDS = frozenset(
+    "box block wrap wrapper container button buttons bar list links link item items post posts article articles story stories slot unit section area inner outer "
+    "top bottom left right main site page content primary secondary icons icon count body text thread user reader author meta form tree title holder group row col head".split()
+)
 NAMED_BY = frozenset({"class", "id", "role"})
 WHOLE = frozenset({"html", "body"})
 
@@ -96,12 +106,15 @@ WHOLE = frozenset({"html", "body"})
 class Element:
     """An open or closed block element: its place in `elements` of its parent, marks, and lengths of text in it."""
 
-    __slots__ = ("parent", "tag", "node", "landmark", "hard", "word", "talk", "main", "length", "landed")
+    __slots__ = ("parent", "tag", "node", "landmark", "hard", "word", "plain", "talk", "main", "length", "landed")
 
-    def __init__(self, parent, tag, node, landmark, words):
+    def __init__(self, parent, tag, node, landmark, names):
         self.parent, self.tag, self.node, self.landmark = parent, tag, node, landmark
-        self.talk = bool(words & TALK_WORDS)
+        words = {w for name in names for w in name}
+        said = [set(name) for name in names if name and all(w in OUTER_WORDS or w in PLAIN_WORDS for w in name)]
+        self.talk = any(name & TALK_WORDS for name in said)
         self.word = not landmark and bool(words & OUTER_WORDS)
+        self.plain = tag != "table" and any(name & OUTER_WORDS for name in said)
         self.hard = tag in OUTER_TAGS or landmark and self.talk
         self.main, self.length, self.landed = False, 0, 0
 
@@ -126,14 +139,14 @@ def judge(elements: list[Element], own: list[tuple[int, int]]) -> list[tuple[tup
         most_landed = e.main or 2 * e.landed > top.landed
         most = 2 * e.length > top.length
         if e.talk:
-            return most and (most_landed or not top.landed)
+            return e.main or (e.landed == top.landed if top.landed else e.length == top.length)
         return most_landed or most and not top.landed and not top.main and e.tag != "header"
 
     def marks(names: bool) -> list[tuple[tuple[Element, ...], bool]]:
         out: list[tuple[tuple[Element, ...], bool]] = [((), False)]
         for e in elements[1:]:
             marked, inside = out[e.parent]
-            soft = names and (e.word or e.tag in SOFT_TAGS and not (e.tag == "header" and inside)) or e.talk and not e.landmark
+            soft = names and ((e.plain and e.word if inside else e.word) or e.tag in SOFT_TAGS and not (e.tag == "header" and inside)) or e.talk and not e.landmark
             if e.hard or soft and e.tag not in WHOLE and not wraps(e):
                 marked = (*marked, e)
             out.append((marked, inside or e.landmark))
@@ -158,14 +171,14 @@ def node_id(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - (1 << 63)
 
 
-ROOT = node_id("")
+ROOT, CUT = node_id(""), node_id("#cut")
 
 
 def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
     """The blocks of a page in order, and each node's children, in order and without repeats in a row."""
     blocks: list[Block] = []
     children: dict[int, list[str]] = {}
-    elements, own = [Element(0, "", ROOT, False, set())], []
+    elements, own = [Element(0, "", ROOT, False, [])], []
     # Open block elements: tag, node, path, place in elements.
     stack: list[tuple[str, int, str, int]] = [("", ROOT, "", 0)]
     run: list[str] = []
@@ -204,13 +217,16 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
             k -= 1
         del stack[k:]
         words: set[str] = set()
+        names: list[list[str]] = []
         landmark = tag in LANDMARKS
         if m[4]:
             for a in ATTRIBUTE.finditer(m[4]):
                 name = a[1].lower()
                 if name in NAMED_BY:
-                    said = WORD.findall((a[2] or a[3] or a[4] or "").lower())
+                    value = (a[2] or a[3] or a[4] or "").lower()
+                    said = WORD.findall(value)
                     words.update(said)
+                    names += [WORD.findall(part) for part in value.split()]
                     landmark = landmark or name == "role" and "main" in said
         _, parent, path, place = stack[-1]
         name = ".".join([tag, *sorted(words)])
@@ -220,7 +236,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
         if tag in SINGLE:
             continue
         path = f"{path}>{name}"
-        elements.append(Element(place, tag, node_id(path), landmark, words))
+        elements.append(Element(place, tag, node_id(path), landmark, names))
         stack.append((tag, elements[-1].node, path, len(elements) - 1))
         children.setdefault(stack[-1][1], [])
     if at < len(page):
@@ -235,8 +251,21 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
 Nodes = dict[int, tuple[float, float]]
 
 
-def text_of(blocks: list[Block], nodes: Nodes) -> str:
-    """What is kept of a page's blocks, given importance and mass of nodes of its host's tree (absent: NEUTRAL)."""
+def by_tree(block: Block, nodes: Nodes) -> float:
+    """What the tree alone says of a block, around NEUTRAL: how far its node lies from the host's cut."""
+    if block.nodes[-1] not in nodes or CUT not in nodes:
+        return NEUTRAL
+    (cut, reach), at = nodes[CUT], nodes[block.nodes[-1]][0]
+    return NEUTRAL + max(-0.5, min(0.5, (at - cut) / max(reach, 1e-6) / 2))
+
+
+def text_of(blocks: list[Block], nodes: Nodes, marks: bool = True) -> str:
+    """What is kept of a page's blocks, given importance and mass of nodes of its host's tree (absent: NEUTRAL).
+
+    marks: whether the page's own marks have a say; without them the tree's cut decides alone.
+    """
+    if not marks:
+        return "\n".join(b.text for b in blocks if by_tree(b, nodes) >= LEAST)
     whole = nodes.get(ROOT, (0.0, 0.0))[1]
 
     def overruled(e: Element) -> bool:
@@ -258,7 +287,7 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-PAGE, STYLE, TEXT = 0, 1, 2
+PAGE, STYLE, TEXT, STANDS = 0, 1, 2, 3
 
 
 def style_counts(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -286,6 +315,7 @@ def style_counts(pages: DataFrame, url: str = "url", page: str = "html") -> Data
                 blocks, children = parse(text)
                 found = {(host, n, PAGE, 0) for n in children}
                 found.update((host, n, STYLE, node_id("|".join(kids))) for n, kids in children.items() if kids)
+                found.update((host, b.nodes[-1], STANDS, 0) for b in blocks)
                 for b in blocks:
                     value = node_id(b.text)
                     for n in b.nodes:
@@ -315,14 +345,41 @@ def node_importance(counts: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     nodes = counts.groupBy("host", "node").agg(
         on(PAGE, n).alias("m"), on(STYLE, n).alias("s"), on(STYLE, n * F.log(n)).alias("s_log"),
-        on(TEXT, n).alias("t"), on(TEXT, n * F.log(n)).alias("t_log"), F.sum("chars").alias("c"), on(TEXT, F.col("chars") * F.log(n)).alias("c_log"),
+        on(STANDS, n).alias("own"), on(TEXT, n).alias("t"), on(TEXT, n * F.log(n)).alias("t_log"), F.sum("chars").alias("c"), on(TEXT, F.col("chars") * F.log(n)).alias("c_log"),
     )
     base = F.log(F.col("m"))
     presentation = F.when(F.col("s") > 0, (F.log("s") - F.col("s_log") / F.col("s")) / base).otherwise(0.0)
     content = F.when(F.col("t") > 0, 1 - F.col("t_log") / F.col("t") / base).otherwise(0.0)
-    worth = F.when(F.col("m") < MIN_PAGES, 1.0).otherwise(F.greatest(content, presentation / 2))
-    mass = F.when(F.col("m") > 1, F.col("c") - F.col("c_log") / base).otherwise(F.col("c"))
-    return nodes.select("host", "node", F.col("m").cast("long").alias("pages"), worth.alias("importance"), mass.alias("mass"))
+    many = F.col("m") > 1
+    share = F.col("m") / (F.col("m") + PRIOR_PAGES)
+    worth = F.when(many, NEUTRAL + (F.greatest(content, presentation / 2) - NEUTRAL) * share).otherwise(NEUTRAL)
+    mass = F.when(many, F.col("c") - F.col("c_log") / base).otherwise(F.col("c"))
+    own = F.when(many, F.greatest(F.lit(0.0), F.least(F.lit(1.0), content)))
+    return nodes.select("host", "node", F.col("m").cast("long").alias("pages"), worth.alias("importance"), mass.alias("mass"), F.when(F.col("own") > 0, own).alias("own"))
+
+
+def host_cuts(nodes: DataFrame) -> DataFrame:
+    """(host, node = CUT, importance = cut, mass = reach): where the importances of a host's nodes part.
+
+    Of all cuts of a host's nodes in which text stands, this is the one with the least variance within the two parts;
+    reach is half the distance of their means. A host whose nodes are all alike, or all of one page, has none.
+    """
+    bins = nodes.filter("own is not null").groupBy("host", F.floor(F.col("own") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("k"), F.sum("own").alias("s"))
+
+    def of_host(key, frame):
+        frame = frame.sort_values("bin")
+        k, s = frame["k"].to_numpy(float).cumsum(), frame["s"].to_numpy(float).cumsum()
+        if len(k) < 2:
+            return frame.iloc[:0].assign(importance=0.0, mass=0.0)[["host", "importance", "mass"]]
+        low, high = s[:-1] / k[:-1], (s[-1] - s[:-1]) / (k[-1] - k[:-1])
+        at = int(np.argmax(k[:-1] * (k[-1] - k[:-1]) * (high - low) ** 2))  # least within is most between
+        # Midway between the parts' nearest bins.
+        cut = (frame["bin"].iloc[at] + 1 + frame["bin"].iloc[at + 1]) / 2 / BINS
+        return type(frame)({"host": [key[0]], "importance": [cut], "mass": [(high[at] - low[at]) / 2]})
+
+    # At most BINS + 1 rows a host.
+    found = bins.groupBy("host").applyInPandas(of_host, "host string, importance double, mass double")
+    return found.select("host", F.lit(CUT).alias("node"), "importance", "mass")
 
 
 class Forest:
@@ -340,13 +397,14 @@ class Forest:
 
 
 def nodes_of(blocks: list[Block]) -> list[int]:
-    return list({n for b in blocks for n in b.nodes})
+    return [CUT, *{n for b in blocks for n in b.nodes}] if blocks else []
 
 
-def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """Columns `keep` of every page with its main text."""
-    known = node_importance(style_counts(pages, url, page)).filter(F.col("pages") >= MIN_PAGES)
-    known = settle(known.select("host", "node", "importance", "mass"), "trees")
+def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url"), marks: bool = True) -> DataFrame:
+    """Columns `keep` of every page with its main text; marks: as text_of."""
+    known = settle(node_importance(style_counts(pages, url, page)).filter(F.col("pages") > 1), "nodes")
+    trees = known.select("host", "node", F.col("importance") if marks else F.coalesce("own", "importance").alias("importance"), "mass")
+    known = settle(trees.unionByName(host_cuts(known)), "trees")
     names = [n for n in keep if n.lower() != "text"]
     kept = [f"_k{i}" for i in range(len(names))]
     rows = pages.select(col(page).cast("string").alias("_page"), host_of(col(url)).alias("_host"), *(col(n).alias(k) for n, k in zip(names, kept)))
@@ -359,17 +417,17 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[
 
             def kernel(array, hosts):
                 parsed = [(h, parse(x)[0]) for x, h in zip(texts(array), hosts.to_pylist())]
-                return [pa.array([text_of(blocks, forest.pick(h, nodes_of(blocks))) for h, blocks in parsed], pa.string())]
+                return [pa.array([text_of(blocks, forest.pick(h, nodes_of(blocks)), marks) for h, blocks in parsed], pa.string())]
 
             return kernel
 
         found = map_texts(rows, "_page", [("text", "string")], factory, kept, ("_host",))
     else:
-        found = _joined_texts(rows, known, kept)
+        found = _joined_texts(rows, known, kept, marks)
     return found.select(*(col(k).alias(n) for k, n in zip(kept, names)), "text")
 
 
-def _joined_texts(rows: DataFrame, known: DataFrame, kept: list[str]) -> DataFrame:
+def _joined_texts(rows: DataFrame, known: DataFrame, kept: list[str], marks: bool) -> DataFrame:
     """Columns `kept` and the text of rows (_page, _host), where the trees are too large to broadcast."""
     rows = settle(rows.select(F.monotonically_increasing_id().alias("_row"), "*"), "pages")  # so that a row keeps its number
 
@@ -384,7 +442,7 @@ def _joined_texts(rows: DataFrame, known: DataFrame, kept: list[str]) -> DataFra
     def factory():
         def kernel(array, nodes):
             trees = ({x["node"]: (x["importance"], x["mass"]) for x in t or ()} for t in nodes.to_pylist())
-            return [pa.array([main_text(x, t) for x, t in zip(texts(array), trees)], pa.string())]
+            return [pa.array([text_of(parse(x)[0], t, marks) for x, t in zip(texts(array), trees)], pa.string())]
 
         return kernel
 

@@ -58,8 +58,8 @@ SALT_ROWS = 256
 BROADCAST_ROWS = 200_000
 #: At most so many sets have a HEAVY-th of all rows each.
 HEAVY = 100_000
-CACHE_ENTRIES = 400_000
-FLAT = 1 << 15
+CACHE_ENTRIES = 100_000
+FLAT = 1 << 12
 
 _U = np.uint64
 _ODD = np.array([xxhash.xxh64_intdigest(f"word {i}") | 1 for i in range(SHINGLE)], _U)
@@ -196,29 +196,35 @@ def unsqueeze(blob: bytes) -> bytes:
 
 def _block_links(node: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, minor: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that join the sets of a block as all near pairs of a set on the left and one on the right do."""
-    regs = np.stack([registers(minima(s)).ravel() for s in sets])
     n = np.array([len(s) for s in sets])
-    at = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts, flags = np.cumsum(n) - n, np.zeros(int(at.max()) + 1, bool)
+    sure = n >= SURE  # only of these an estimate is asked for
+    regs = np.zeros((len(sets), BUCKETS * ROUNDS), np.uint16)
+    for k in np.flatnonzero(sure).tolist():
+        regs[k] = registers(minima(sets[k])).ravel()
+    at = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    starts, flags = np.cumsum(n) - n, np.zeros(int(at.max()) + 1, np.int32)
     root, found = comp.copy(), []
     on = np.flatnonzero(right)
     for x in np.flatnonzero(left).tolist():
         others = on[(root[on] != root[x]) & (~minor[on] | ~left[on] | (on > x))]
         others = others[100 * np.minimum(n[others], n[x]) >= PERCENT * np.maximum(n[others], n[x])]
-        if not len(others):
-            continue
-        others = others[possible(estimate(regs[others], regs[x], n[others], n[x]), n[others], n[x])]
+        if sure[x] and len(others):
+            big = others[sure[others]]
+            likely = big[possible(estimate(regs[big], regs[x], n[big], n[x]), n[big], n[x])]
+            others = np.concatenate([others[~sure[others]], likely])
         if not len(others):
             continue
         own = at[starts[x] : starts[x] + n[x]]
-        flags[own] = True
-        for y in others.tolist():
-            if root[y] != root[x]:
-                both = int(np.count_nonzero(flags[at[starts[y] : starts[y] + n[y]]]))
-                if 100 * both >= PERCENT * (n[x] + n[y] - both):
-                    found.append((int(node[x]), int(node[y])))
-                    root[root == root[y]] = root[x]
-        flags[own] = False
+        flags[own] = 1
+        if len(others) > 8:
+            both = np.add.reduceat(flags[at], starts)[others]
+        else:
+            both = np.array([flags[at[starts[y] : starts[y] + n[y]]].sum() for y in others.tolist()])
+        flags[own] = 0
+        linked = others[100 * both >= PERCENT * (n[x] + n[others] - both)]
+        roots, first = np.unique(root[linked], return_index=True)
+        found += [(int(node[x]), int(node[y])) for y in linked[first].tolist()]
+        root[np.isin(root, roots)] = root[x]
     return found
 
 

@@ -54,12 +54,12 @@ def test_importance_is_what_counting_gives(spark):
             texts.update({b.text for b in blocks if n in b.nodes})
     assert set(got) == set(seen)
     for key, (m, styles, texts) in seen.items():
-        worth = 1.0
-        if m >= html_tree.MIN_PAGES:
+        worth = html_tree.NEUTRAL
+        if m > 1:
             s, t = sum(styles.values()), sum(texts.values())
             look = -sum(c / s * math.log(c / s, m) for c in styles.values()) if s else 0.0
             said = 1 - sum(c * math.log(c, m) for c in texts.values()) / t if t else 0.0
-            worth = max(said, look / 2)
+            worth += (max(said, look / 2) - worth) * m / (m + html_tree.PRIOR_PAGES)
         assert got[key][0] == m and abs(got[key][1] - worth) < 1e-9
 
 
@@ -128,3 +128,45 @@ def test_names_that_stay_marks():
     assert html_tree.main_text(f"<div class=wide-promo>{said}</div><div id=comments><article>first!</article></div>", {}) == "the main text of it"
     assert html_tree.main_text("".join(f"<div class='x-widget'><p>part {i}</p></div>" for i in range(3)) + "<nav>menu</nav>", {}) == "part 0\npart 1\npart 2"
     assert html_tree.main_text("".join(f"<div class='x-widget'><article>part {i}</article></div>" for i in range(3)) + "<p>credits</p>", {}) == "part 0\npart 1\npart 2"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<article><p>of the article</p><section class="related-work"><p>Related work text</p></section></article>', "of the article\nRelated work text"),
+        ('<article><div class="notice-board"><p>pinned</p></div><p>x</p></article>', "pinned\nx"), ('<article><p class="ad-lib">spoken</p><div class="social-history">of a town</div></article>', "spoken\nof a town"),
+        ('<article><table class="menu"><tr><td>soup</td></tr></table></article>', "soup"), ('<article><p>x</p><div class="ad-slot">buy</div><div class="share buttons">tell</div><ul class="related posts"><li>more</li></ul></article>', "x"),
+        ('<div class="post"><p>short text</p></div><div id="comments"><p>a far longer comment than all of the text</p></div>', "short text"),
+        ('<article><p>x</p><div class="comment-list"><p>a far longer comment than all of the text</p></div></article>', "x"), ('<article class="no-comments"><p>x</p></article>', "x"),
+        ('<div class="reader-comments"><p>all that there is</p></div>', "all that there is"),
+    ],
+)
+def test_names_inside_articles_and_comments(html, text):
+    assert html_tree.main_text(html, {}) == text
+
+
+def test_the_cut_of_a_host_alone(spark):
+    """Without a mark, texts of a menu that are other ones on most pages are told from articles by where their host parts."""
+    pages = []
+    for host in ("a", "b", "one"):
+        for i in range(40 if host != "one" else 1):
+            menu = f"<ul><li>menu {i % (9 if host == 'a' else 25)}</li></ul>"
+            pages.append((len(pages), f"http://{host}.example/{i}", page(f"{menu}<div><p>story {host} {i}</p><p>goes on {i}</p></div>")))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_tree.extract(frame, marks=False).collect()}
+    for k, url, _ in pages[:80]:
+        host, i = url[7], url.rsplit("/", 1)[1]
+        assert got[k] == f"story {host} {i}\ngoes on {i}"
+    assert got[80].endswith("story one 0\ngoes on 0")  # a host of one page has no cut
+    cuts = {r.host: r.importance for r in html_tree.host_cuts(html_tree.node_importance(html_tree.style_counts(frame))).collect()}
+    assert set(cuts) == {"a.example", "b.example"} and cuts["a.example"] < cuts["b.example"] < 1
+
+
+def test_few_pages_weigh_little_and_no_number_is_a_switch(spark):
+    said = "<p class='legal'>Terms apply to all</p>"
+    for n in (1, 2, 4, 6, 12):
+        pages = [(i, f"http://a.example/{i}", page(f"<article><p>piece {i}</p>{said}</article>")) for i in range(n)]
+        frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+        worth = [r.importance for r in html_tree.node_importance(html_tree.style_counts(frame)).collect()]
+        assert all(abs(w - html_tree.NEUTRAL) <= n / (n + html_tree.PRIOR_PAGES) / 2 + 1e-9 for w in worth)
+        assert {("Terms" in r.text) for r in html_tree.extract(frame).collect()} == {n <= 4}

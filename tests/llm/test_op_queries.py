@@ -171,12 +171,13 @@ def plain_trees(pages):
                     chars[host, node][b.text] += len(b.text)
     out = defaultdict(dict)
     for (host, node), (m, styles, texts) in seen.items():
-        if m >= html_tree.MIN_PAGES:
+        if m > 1:
             s, t = sum(styles.values()), sum(texts.values())
             look = -sum(c / s * math.log(c / s, m) for c in styles.values()) if s else 0.0
             own = 1 - sum(c * math.log(c, m) for c in texts.values()) / t if t else 0.0
             mass = sum(n * (1 - math.log(texts[x], m)) for x, n in chars[host, node].items())
-            out[host][node] = (max(own, look / 2), mass)
+            worth = html_tree.NEUTRAL + (max(own, look / 2) - html_tree.NEUTRAL) * m / (m + html_tree.PRIOR_PAGES)
+            out[host][node] = (worth, mass)
     return out
 
 
