@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .errors import FeedError
 from .functions.text import LINE_END, decimal_of, money, run_id, truncated, truncated_tail
 from .ledger import Ledger
-from .operators import checks, custom, guard, manifest, metrics, reports, tables
+from .operators import checks, custom, guard, manifest, metrics, reports, tables, versions
 from .operators.profile import as_pins, long_form, profile
 from .operators.transform import load, project, quarantine
 from .plans.contract import ColumnSpec, FeedContract
@@ -1116,6 +1116,20 @@ SQL["framed_large"] = r"""WITH t AS (SELECT doc_id % 7 AS file, regexp_replace(c
     CAST(SUM(length(t) + 1) AS BIGINT) AS bytes, sha256(string_agg(t || chr(10), '' ORDER BY t)) AS sha256 FROM r GROUP BY file"""
 
 
+def version_diffs(spark, sf_dir):
+    """Turns of conversations as versions of a text of a word a line: what each changes, and whether the patch gives the next one."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("text", F.lit("")))), " ").alias("t"))
+    rows = rows.withColumn("t", F.regexp_replace("t", "[^A-Za-z0-9]+", "\n"))
+    found = versions.version_diffs(rows, "conv_id", "turn", "t")
+    return found.select("conv_id", "turn", "n_old", "n_new", (F.col("inserted") - F.col("deleted")).alias("growth"), "restored")
+
+
+SQL["version_diffs"] = r"""WITH t AS (SELECT conv_id, turn, regexp_replace(string_agg(coalesce(text, ''), ' ' ORDER BY coalesce(text, '')), '[^A-Za-z0-9]+', chr(10), 'g') AS t FROM conversations GROUP BY 1, 2),
+  n AS (SELECT *, CAST(length(t) - length(replace(t, chr(10), '')) + CASE WHEN t = '' OR t LIKE '%' || chr(10) THEN 0 ELSE 1 END AS BIGINT) AS n FROM t),
+  p AS (SELECT *, LAG(n) OVER (PARTITION BY conv_id ORDER BY turn) AS n_old FROM n)
+  SELECT conv_id, turn, n_old, n AS n_new, n - n_old AS growth, TRUE AS restored FROM p WHERE n_old IS NOT NULL"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -1127,7 +1141,7 @@ QUERIES = {
         json_recovery, evidence_text, report_summaries, custom_transform, guard_scan, guard_verdicts, framed_lenient, fixed_lenient, jsonl_lenient,
         format_dispatch, row_errors, runtime_findings, stored_reports, defects_of_framing, evidence_tail, first_sound_event, rounded_amounts,
         contract_scan, replay_figures, pinned_profiles, adversarial_division, ledger_iterations, ledger_runs, event_log, corpus_pins, rows_sink,
-        missing_columns, transform_by_file, mapping_documents, driver_views, arrivals, quoted_line_ends, jailed_faults, encoded_documents, framed_large,
+        missing_columns, transform_by_file, mapping_documents, driver_views, arrivals, quoted_line_ends, jailed_faults, encoded_documents, framed_large, version_diffs,
     )
 }
 ORACLE_SQL = SQL
