@@ -18,6 +18,7 @@ from .errors import FeedError
 from .functions.text import LINE_END, decimal_of, money, run_id, truncated, truncated_tail
 from .ledger import Ledger
 from .operators import checks, custom, guard, manifest, metrics, reports, tables, versions
+from .operators.counts import KeptCounts
 from .operators.profile import as_pins, long_form, profile
 from .operators.transform import load, project, quarantine
 from .plans.contract import ColumnSpec, FeedContract
@@ -1130,6 +1131,20 @@ SQL["version_diffs"] = r"""WITH t AS (SELECT conv_id, turn, regexp_replace(strin
   SELECT conv_id, turn, n_old, n AS n_new, n - n_old AS growth, TRUE AS restored FROM p WHERE n_old IS NOT NULL"""
 
 
+def merged_profiles(spark, sf_dir):
+    """The feed in ten batches, each added to the kept counts, three of them reversed again: the profile of what is left."""
+    kept = KeptCounts(spark, files.work_folder(spark, "counts"), ("currency",))
+    rows = canonical(spark, sf_dir)
+    for batch in range(10):
+        kept.add(rows.filter(F.col("o_orderkey") % 10 == batch))
+    for batch in (2, 5, 7):
+        kept.reverse(rows.filter(F.col("o_orderkey") % 10 == batch))
+    return kept.profile().select("currency", *_profile_columns())
+
+
+SQL["merged_profiles"] = f"WITH {CANON} SELECT currency, {_PROFILE} FROM canon WHERE o_orderkey % 10 NOT IN (2, 5, 7) GROUP BY currency"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -1141,7 +1156,7 @@ QUERIES = {
         json_recovery, evidence_text, report_summaries, custom_transform, guard_scan, guard_verdicts, framed_lenient, fixed_lenient, jsonl_lenient,
         format_dispatch, row_errors, runtime_findings, stored_reports, defects_of_framing, evidence_tail, first_sound_event, rounded_amounts,
         contract_scan, replay_figures, pinned_profiles, adversarial_division, ledger_iterations, ledger_runs, event_log, corpus_pins, rows_sink,
-        missing_columns, transform_by_file, mapping_documents, driver_views, arrivals, quoted_line_ends, jailed_faults, encoded_documents, framed_large, version_diffs,
+        missing_columns, transform_by_file, mapping_documents, driver_views, arrivals, quoted_line_ends, jailed_faults, encoded_documents, framed_large, version_diffs, merged_profiles,
     )
 }
 ORACLE_SQL = SQL
