@@ -159,6 +159,17 @@ def evaluate_rows(rows: DataFrame, pins: DataFrame, tolerance: float = NULL_TOLE
     return broken.unionByName(check_schema(sound)).unionByName(check_completeness(profiles, pins)).unionByName(check_drift(profiles, pins, tolerance))
 
 
+def evaluate_plans(rows: DataFrame, pins: DataFrame, tolerance: float = NULL_TOLERANCE) -> DataFrame:
+    """As evaluate_rows by plan: rows have a column plan besides, and so do the findings. Plans have no / in their names."""
+    plans = rows.select("plan").distinct()
+    name = F.concat("plan", F.lit("/"), F.col("sample"))
+    every = F.broadcast(plans).crossJoin(pins).withColumn("sample", name).drop("plan")  # a row a plan and sample
+    found = evaluate_rows(rows.withColumn("sample", name).drop("plan"), every, tolerance)
+    found = found.withColumn("plan", F.substring_index("sample", "/", 1))
+    plain = F.expr("substring(sample, length(plan) + 2)")
+    return found.withColumns({"message": F.replace("message", F.col("sample"), plain), "sample": plain})
+
+
 def empty_findings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FINDINGS)
 

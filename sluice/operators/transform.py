@@ -78,8 +78,8 @@ def convert(plan: IngestionPlan, c: ColumnSpec, raw: dict[str, Column], strict:
     return F.upper(text) if c.target == "currency" else text, missing
 
 
-def project(rows: DataFrame, raw: dict[str, Column], plan: IngestionPlan, strict: bool = True, keep: tuple[str, ...] = ("sample", "idx")) -> DataFrame:
-    """Columns `keep`, the canonical columns (never NULL) and error, NULL where a row is sound."""
+def _projected(rows: DataFrame, raw: dict[str, Column], plan: IngestionPlan, strict: bool, numbered: bool) -> list[Column]:
+    """The canonical columns (never NULL) and error of a plan."""
     made: dict[str, Column] = {}
     errors: list = [(F.col("_fault").isNotNull(), F.col("_fault"))] if "_fault" in rows.columns else []
     for c in plan.contract.columns:
@@ -87,10 +87,31 @@ def project(rows: DataFrame, raw: dict[str, Column], plan: IngestionPlan, strict
             made[c.target], found = convert(plan, c, raw, strict)
             errors += found
     error = first_error(*errors) if errors else F.lit(None).cast("string")
-    if "idx" in keep:
+    if numbered:
         error = F.concat(F.lit("data row "), (F.col("idx") + 1).cast("string"), F.lit(": "), error)
-    columns = [F.coalesce(made.get(n, F.lit("")), F.lit("")).alias(n) for n in CANONICAL]
-    return rows.select(*keep, *columns, error.alias("error"))
+    return [*(F.coalesce(made.get(n, F.lit("")), F.lit("")).alias(n) for n in CANONICAL), error.alias("error")]
+
+
+def project(rows: DataFrame, raw: dict[str, Column], plan: IngestionPlan, strict: bool = True, keep: tuple[str, ...] = ("sample", "idx")) -> DataFrame:
+    """Columns `keep`, the canonical columns (never NULL) and error, NULL where a row is sound."""
+    return rows.select(*keep, *_projected(rows, raw, plan, strict, "idx" in keep))
+
+
+def project_plans(rows: DataFrame, raw: dict[str, Column], plans: dict[str, IngestionPlan], strict: bool = True, keep: tuple[str, ...] = ("sample", "idx")) -> DataFrame:
+    """Columns `keep`, plan (its name) and what `project` makes of each row by each plan, in one scan of the rows.
+
+    raw holds the fields that any of the plans asks for. Where rows have a column `tail`, trailer lines are among them: it counts
+    lines from the end, is NULL for data, and a plan sees the lines beyond those that it takes for the trailer.
+    """
+    kinds = [("plan", "string"), *((n, "string") for n in (*CANONICAL, "error"))]
+    made = []
+    for name, plan in plans.items():
+        one = F.struct(F.lit(name).alias("plan"), *_projected(rows, raw, plan, strict, "idx" in keep))
+        if "tail" in rows.columns:
+            one = F.when(F.col("tail").isNull() | (F.col("tail") > plan.contract.trailer_rows), one)
+        made.append(one.cast("struct<" + ",".join(f"{n}:{k}" for n, k in kinds) + ">"))
+    seen = F.filter(F.array(*made), lambda x: x.isNotNull())
+    return rows.select(*keep, F.inline(seen))
 
 
 def read_rows(spark: SparkSession, paths: list[str], plan: IngestionPlan, strict: bool = True) -> DataFrame:

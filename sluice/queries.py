@@ -20,7 +20,7 @@ from .ledger import Ledger
 from .operators import checks, custom, guard, manifest, metrics, reports, tables, versions
 from .operators.counts import KeptCounts
 from .operators.profile import as_pins, long_form, profile
-from .operators.transform import load, project, quarantine
+from .operators.transform import load, project, project_plans, quarantine
 from .plans.contract import ColumnSpec, FeedContract
 from .plans.plan import IngestionPlan, compile_plan, dag, inject, mapping_document
 from .schemas import CANONICAL
@@ -1145,6 +1145,22 @@ def merged_profiles(spark, sf_dir):
 SQL["merged_profiles"] = f"WITH {CANON} SELECT currency, {_PROFILE} FROM canon WHERE o_orderkey % 10 NOT IN (2, 5, 7) GROUP BY currency"
 
 
+def plans_over_one_scan(spark, sf_dir):
+    """A sound plan and three defective ones over one scan of the feed: rows, rows with an error and the sum of the others by plan."""
+    sound = compile_plan(ORDERS)
+    plans = {"sound": sound} | {d: inject(sound, d) for d in ("amount_sign_dropped", "date_format_swapped", "thousands_separator_kept")}
+    raw = raw_orders(spark, sf_dir)
+    made = project_plans(raw, {c.source: F.col(c.source) for c in ORDERS.columns}, plans, keep=("o_orderkey",))
+    total = F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col("amount").cast("decimal(28,2)"))), F.lit(0)).cast("decimal(38,2)").cast("string")
+    return made.groupBy("plan").agg(F.count("*").alias("rows"), F.count("error").alias("broken"), total.alias("total"))
+
+
+SQL["plans_over_one_scan"] = """WITH o AS (SELECT CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18,2)) AS a, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END AS s, day(o_orderdate) AS d FROM orders),
+  p AS (SELECT 'sound' AS plan, s * a AS v, FALSE AS bad FROM o UNION ALL SELECT 'amount_sign_dropped', a, FALSE FROM o
+    UNION ALL SELECT 'date_format_swapped', s * a, d > 12 FROM o UNION ALL SELECT 'thousands_separator_kept', s * a, a >= 1000 FROM o)
+  SELECT plan, COUNT(*) AS rows, COUNT(*) FILTER (bad) AS broken, CAST(CAST(coalesce(SUM(v) FILTER (NOT bad), 0) AS DECIMAL(38,2)) AS VARCHAR) AS total FROM p GROUP BY plan"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -1156,7 +1172,7 @@ QUERIES = {
         json_recovery, evidence_text, report_summaries, custom_transform, guard_scan, guard_verdicts, framed_lenient, fixed_lenient, jsonl_lenient,
         format_dispatch, row_errors, runtime_findings, stored_reports, defects_of_framing, evidence_tail, first_sound_event, rounded_amounts,
         contract_scan, replay_figures, pinned_profiles, adversarial_division, ledger_iterations, ledger_runs, event_log, corpus_pins, rows_sink,
-        missing_columns, transform_by_file, mapping_documents, driver_views, arrivals, quoted_line_ends, jailed_faults, encoded_documents, framed_large, version_diffs, merged_profiles,
+        missing_columns, transform_by_file, mapping_documents, driver_views, arrivals, quoted_line_ends, jailed_faults, encoded_documents, framed_large, version_diffs, merged_profiles, plans_over_one_scan,
     )
 }
 ORACLE_SQL = SQL
