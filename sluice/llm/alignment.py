@@ -22,6 +22,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,7 +91,7 @@ class Side:
         return word.encode()
 
     def encode(self, words: list[str]) -> bytes | None:
-        """Ids of words one after another, as little-endian 16-bit integers."""
+        """Ids of words one after another, as 16-bit integers in the machine's order."""
         cache, extra = self.cache, {}
         try:
             return b"".join(map(cache.__getitem__, words))
@@ -99,9 +100,13 @@ class Side:
         if len(cache) + len(new) > CACHE_ENTRIES:
             cache.clear()
             new = list(set(words))
+        spelled, raw, join = self.spelled.__getitem__, self.raw, b"".join
         for w, ids in zip(new, self.ids_of(new) if new else [], strict=True):
-            right = b"".join(map(self.spelled.__getitem__, ids)) == self.raw(w)
-            (cache if len(w) <= CACHED_CHARS else extra)[w] = np.array(ids, "<u2").tobytes() if right else None
+            found = array("H", ids).tobytes() if join(map(spelled, ids)) == raw(w) else None
+            if len(w) <= CACHED_CHARS:
+                cache[w] = found
+            else:
+                extra[w] = found
         got = [cache[w] if w in cache else extra[w] for w in words]
         return None if None in got else b"".join(got)
 
@@ -124,7 +129,7 @@ class ByteSide(Side):
         self.direct = splitter()
 
     def ids_of(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
+        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
     def words(self, segment: str) -> list[str]:
         if segment.isascii() or not DIRECT.search(segment):
@@ -171,6 +176,13 @@ def segments(text: str) -> Iterator[str]:
     yield text[start:]
 
 
+def learn(both: tuple[Side, Side], texts: list[str]) -> None:
+    """Put the words of some texts into the caches, with one call of each library."""
+    for side in both:
+        words = {w for t in texts if t and MARK not in t and len(t) <= SEGMENT for w in side.words(" " + t)}
+        side.encode([w for w in words if len(w) <= CACHED_CHARS and w not in side.cache])
+
+
 def encoded(both: tuple[Side, Side], text: str) -> tuple[np.ndarray, np.ndarray] | None:
     """Ids of A and of B; None where they don't spell a space and the text."""
     if not text or MARK in text:
@@ -182,7 +194,7 @@ def encoded(both: tuple[Side, Side], text: str) -> tuple[np.ndarray, np.ndarray]
             if ids is None:
                 return None
             out.append(ids)
-    return tuple(np.frombuffer(b"".join(p), "<u2") for p in parts)
+    return tuple(np.frombuffer(b"".join(p), np.uint16) for p in parts)
 
 
 def events(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -197,6 +209,7 @@ def events(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id
         for batch in batches:
             for part in slices(batch, 2):
                 rows: list[tuple] = []
+                learn(both, part.column(2).to_pylist())
                 for key, d, t in zip(*(part.column(i).to_pylist() for i in range(3))):
                     got = encoded(both, t or "")
                     if got is None:
