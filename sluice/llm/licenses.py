@@ -6,7 +6,7 @@ its pattern is tried. Rules and their matches carry a priority. Detections are
 resolved in the order of the text: one inside another falls (of equal extents the one
 of weaker priority; a tie of both falls to the later label), and of two that overlap in
 part the one of stronger priority stays, the earlier one at equal priorities. What is left
-doesn't overlap.
+doesn't overlap. One that fell doesn't come back if what it fell to falls to a later one.
 
 The rules are data: each license has hand-written names, and FORMS turn a name into
 signatures of falling confidence. TEXTS are hand-written patterns for grants,
@@ -309,30 +309,30 @@ def spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
 
+#: Signs around a match. BREAK makes spaces of them in a text, so they are nowhere else.
+OPEN, CLOSE = "\x01", "\x02"
+
+
 def _detections(norm: Column, rules: Column) -> Column:
-    """Array of (start, minus end, priority, label, confidence) of all matches of all rules."""
+    """Array of (start, minus end, priority, label, confidence) of all matches of all rules, in words.
+
+    A pattern begins and ends at spaces, so a match is marked by signs at its first and last word, and its place
+    is the number of that word: one walk over the words, however many matches there are.
+    """
 
     def one(rule: Column) -> Column:
-        parts = F.split(norm, rule["pattern"], -1)
-        found = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
-
-        def places(p: Column, m: Column) -> Column:
-            step = F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))
-            start = F.lit(0)
-            walk = F.aggregate(
-                F.zip_with(step, m, lambda s, x: F.struct(s.alias("s"), F.length(x).alias("n"))),
-                F.struct(start.alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out")),
-                lambda acc, x: F.struct(
-                    (acc["at"] + x["s"]).alias("at"),
-                    F.concat(acc["out"], F.array(F.struct((acc["at"] + x["s"] - x["n"]).alias("a"), (-(acc["at"] + x["s"])).alias("b")))).alias("out"),
-                ),
-                lambda acc: acc["out"],
-            )
-            return F.transform(walk, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
+        words = F.split(F.regexp_replace(norm, rule["pattern"], F.lit(f"{OPEN}$0{CLOSE}")), " ", -1)
+
+        def places(w: Column) -> Column:
+            first = F.filter(F.transform(w, lambda x, i: F.when(F.startswith(x, F.lit(OPEN)), i)), lambda i: i.isNotNull())
+            last = F.filter(F.transform(w, lambda x, i: F.when(F.endswith(x, F.lit(CLOSE)), -(i + 1))), lambda i: i.isNotNull())
+            return F.zip_with(first, last, lambda a, b: F.struct(
+                a.alias("a"), b.alias("b"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence"),
+            ))
 
-        return let(parts, lambda p: let(found, lambda m: places(p, m)))
+        return let(words, places)
 
-    active = F.filter(rules, lambda r: F.contains(norm, r["keyword"]))
+    active = F.filter(rules, lambda r: F.contains(norm, r["keyword"]) & F.regexp_like(norm, r["pattern"]))
     return F.flatten(F.transform(active, one))
 
 
@@ -346,7 +346,8 @@ def _resolve(found: Column) -> Column:
 
     def closed(acc: Column) -> tuple[Column, Column]:
         """Labels and best confidence with those of the detection held."""
-        return F.when(acc["b"] > 0, F.array_union(acc["labels"], F.array(acc["label"]))).otherwise(acc["labels"]), F.greatest(acc["best"], acc["confidence"])
+        new = (acc["b"] > 0) & ~F.array_contains(acc["labels"], acc["label"])
+        return F.when(new, F.array_append(acc["labels"], acc["label"])).otherwise(acc["labels"]), F.greatest(acc["best"], acc["confidence"])
 
     def step(acc: Column, x: Column) -> Column:
         end = -x["b"]

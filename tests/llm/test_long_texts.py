@@ -1,6 +1,7 @@
 """Texts of a megabyte and more, ties and odd tables through the operators."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -18,6 +19,16 @@ def docs(spark):
     return spark.createDataFrame([(1, said, "h"), (2, said, "h"), (3, "short", "h")], "doc_id long, text string, source string")
 
 
+def test_licenses_without_end(spark):
+    # Over a million matches in one text: work must grow with the text alone.
+    docs = spark.range(1).selectExpr("id AS doc_id", "concat(repeat('mit license ', 800000), 'x apache license version 2 0') AS text")
+    begun = time.monotonic()
+    (row,) = licenses.scan(docs).collect()
+    assert time.monotonic() - begun < 120
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (1_600_006, 800_001, 0, 1_600_001)
+    assert row.labels == ["apache", "apache-2.0", "mit"]
+
+
 def test_license(docs):
     rows = {r.doc_id: r for r in licenses.scan(docs).collect()}
     text = docs.filter("doc_id = 1").first().text
