@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,32 @@ def test_leaks(spark, monkeypatch, block):
     assert decontam.find_leaks(docs.limit(0), bench).collect() == []
 
 
+def test_large_benchmark_is_one_scan(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    said = [" ".join(f"w{k}" for k in rng.integers(0, 300, rng.integers(1, 60))) for _ in range(300)] + ["the same few words open it " * 3] * 4
+    items = [(str(i), t) for i, t in enumerate(said)]
+    texts = []
+    for i in range(200):
+        own = [f"w{k}" for k in rng.integers(0, 300, 80)]
+        at = int(rng.integers(0, 80))
+        texts.append(" ".join(own[:at] + said[int(rng.integers(len(said)))].split() + own[at:]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i, texts[0]) for i in range(900, 1000)], "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = {r.doc_id: tuple(r) for r in decontam.find_leaks(docs, bench).collect()}
+    assert sum(r[2] > 0 for r in want.values()) > 250
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(decontam, "RUN_BYTES", 1000)  # so that a block's runs go to several tasks
+    for bits in (decontam.FILTER_BITS, 15):
+        monkeypatch.setattr(decontam, "FILTER_BITS", bits)
+        scans = []
+        real = decontam.map_texts
+        monkeypatch.setattr(decontam, "map_texts", lambda df, text, *a, **k: (scans.append(text), real(df, text, *a, **k))[1])
+        rows = decontam.find_leaks(docs, bench).collect()
+        monkeypatch.setattr(decontam, "map_texts", real)
+        assert scans.count("_text") == 1  # the documents, whatever the number of blocks
+        assert len(rows) == 300 and {r.doc_id: tuple(r) for r in rows} == want
+
+
 def test_many_words_take_more_signs(monkeypatch):
     monkeypatch.setattr(decontam, "DIGITS", 3)
     items = [(str(i), " ".join(f"w{(i * 7 + k) % 13}" for k in range(12)).encode()) for i in range(4)] + [("s", b"w1 w2")]
