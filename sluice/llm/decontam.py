@@ -237,9 +237,12 @@ def _runs(keys: np.ndarray, chosen: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _known(table: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    """Numbers of the windows that the bit table may hold."""
-    at = h >> np.uint64(64 - bits)
-    return np.flatnonzero(table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+    """Numbers of the windows that the bit table may hold: both their bits, of a hash's first and last part, are set."""
+    chosen = np.arange(len(h))
+    for at in (h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)):
+        at = at[chosen]
+        chosen = chosen[(table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1) == 1]
+    return chosen
 
 
 _WINDOW = "array<struct<n:int,h:long,least:long,bytes:double>>"
@@ -363,9 +366,10 @@ def _in_blocks(docs: DataFrame, text: str, items: DataFrame, n: int, names: list
     for r in windows_.groupBy(home.alias("home")).agg(F.sum("bytes").alias("b")).collect():  # a row a MiB of the benchmark
         parts[r.home] = max(1, -(-int(r.b) // (2 * BLOCK_BYTES)))
     blocks = Blocks(parts)
-    place = F.shiftrightunsigned("h", 64 - bits) + 1
+    places = F.array(F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND(F.lit((1 << bits) - 1)))
+    place = F.col("p") + 1
     table = np.zeros(1 << (bits - 3), np.uint8)
-    for r in windows_.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).toLocalIterator():
+    for r in windows_.select(F.explode(places).alias("p")).groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).toLocalIterator():
         table[(r.k - 1) << 12 : r.k << 12] = np.frombuffer(r.m, np.uint8)
     shared = spark.sparkContext.broadcast(table)  # FILTER_BITS bounds it
 
@@ -382,7 +386,8 @@ def _in_blocks(docs: DataFrame, text: str, items: DataFrame, n: int, names: list
     pieces = pieces.join(F.broadcast(deals), "key").select(
         "key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("deal"), F.lit(True).alias("piece"), F.lit(None).cast("long").alias("_row"), "a", "words", F.col("i").alias("item"),
     )
-    by_block = dealt.unionByName(pieces).repartition("key", "deal").sortWithinPartitions("key", "deal", F.desc("piece"))
+    tasks = deals.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]  # named, so that blocks aren't put together for being small
+    by_block = dealt.unionByName(pieces).repartition(int(tasks), "key", "deal").sortWithinPartitions("key", "deal", F.desc("piece"))
     hits = by_block.mapInArrow(_through_automata, f"_row long, _items array<string>, _words {_SPANS}")
     hits = hits.groupBy("_row").agg(F.flatten(F.collect_set("_items")).alias("_items"), F.flatten(F.collect_list("_words")).alias("_words"))
     joined = scanned.drop("runs").withColumnsRenamed({x: f"_{x}" for x, _ in _SCAN[:4]}).join(hits, "_row", "left").withColumn("_none", F.lit(""))
