@@ -176,6 +176,8 @@ def contract_of(values: dict) -> FeedContract:
     """A validated contract from a mapping."""
     values = dict(values)
     cols = values.pop("columns", None) or ()
+    if not isinstance(cols, (list, tuple)) or not all(isinstance(c, dict) for c in cols):
+        raise ContractError("contract: columns are not a list of mappings")
     columns = tuple(_made(ColumnSpec, {k: (str(v) if k in ("source", "default", "negative_marker") and v is not None else v) for k, v in c.items()}, "column") for c in cols)
     quirks = tuple(values.pop("quirks", None) or ())
     spec = _made(FeedContract, values | {"columns": columns, "quirks": quirks}, "contract")

@@ -25,7 +25,7 @@ from .plans.contract import ColumnSpec, FeedContract
 from .plans.plan import IngestionPlan, compile_plan, dag, inject, mapping_document
 from .schemas import CANONICAL
 from .service import route
-from .sources import encoded, files, quoted
+from .sources import bulk, encoded, files, quoted
 from .streaming.arrivals import ingest
 
 
@@ -1161,6 +1161,31 @@ SQL["plans_over_one_scan"] = """WITH o AS (SELECT CAST(CAST(o_totalprice AS VARC
   SELECT plan, COUNT(*) AS rows, COUNT(*) FILTER (bad) AS broken, CAST(CAST(coalesce(SUM(v) FILTER (NOT bad), 0) AS DECIMAL(38,2)) AS VARCHAR) AS total FROM p GROUP BY plan"""
 
 
+def contracts_in_bulk(spark, sf_dir):
+    """Specs made of documents, sound and broken: their columns as rows, their faults as rows."""
+    key, client = F.col("doc_id"), F.concat(F.lit("client: c"), F.col("doc_id").cast("string"))
+    head = F.concat(F.lit("# spec\n```yaml feed-contract\n"), client, F.lit("\nfeed_name: f\nformat: "), F.when(key % 7 == 1, "xml").otherwise("csv"), F.lit("\ncolumns:\n"))
+    column = F.lit("  - {source: Amt, target: amount, dtype: decimal}\n")
+    other = (
+        F.when(key % 7 == 2, "  - {source: Day, target: nowhere}\n").when(key % 7 == 3, "  - {source: Day, dtype: date}\n").when(key % 7 == 4, "  - {source: Day, colour: red}\n")
+        .when(key % 7 == 5, "  plain\n").otherwise('  - {source: "Cur", target: currency, default: EUR}\n')
+    )
+    block = F.concat(head, column, other, F.lit("```\n"))
+    rows = bulk.contract_rows(table(spark, sf_dir, "documents"), F.when(key % 7 == 6, F.concat(block, block)).otherwise(block), ("doc_id",))
+    said = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select(
+        "doc_id", F.coalesce("position", F.lit(-1)).alias("position"), said("client").alias("client"), said("source").alias("source"), said("target").alias("target"),
+        said("default_value").alias("default_value"), said("fault").alias("fault"),
+    )
+
+
+SQL["contracts_in_bulk"] = """WITH d AS (SELECT doc_id, doc_id % 7 AS k, 'c' || CAST(doc_id AS VARCHAR) AS c FROM documents)
+  SELECT doc_id, p AS position, c AS client, CASE p WHEN 0 THEN 'Amt' ELSE 'Cur' END AS source, CASE p WHEN 0 THEN 'amount' ELSE 'currency' END AS target,
+    CASE p WHEN 0 THEN '' ELSE 'EUR' END AS default_value, '' AS fault FROM d, (VALUES (CAST(0 AS BIGINT)), (1)) v(p) WHERE k = 0
+  UNION ALL SELECT doc_id, -1, '', '', '', '', CASE k WHEN 1 THEN c || ': unknown format ' || chr(39) || 'xml' || chr(39) WHEN 2 THEN c || ': ''nowhere'' is not canonical' WHEN 3 THEN c || ': Day is a date without date_format'
+    WHEN 4 THEN 'column: unknown keys [''colour'']' WHEN 5 THEN 'cannot read ' || chr(39) || 'plain' || chr(39) ELSE 'spec: expected one feed-contract block, found 2' END FROM d WHERE k > 0"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -1173,6 +1198,7 @@ QUERIES = {
         format_dispatch, row_errors, runtime_findings, stored_reports, defects_of_framing, evidence_tail, first_sound_event, rounded_amounts,
         contract_scan, replay_figures, pinned_profiles, adversarial_division, ledger_iterations, ledger_runs, event_log, corpus_pins, rows_sink,
         missing_columns, transform_by_file, mapping_documents, driver_views, arrivals, quoted_line_ends, jailed_faults, encoded_documents, framed_large, version_diffs, merged_profiles, plans_over_one_scan,
+        contracts_in_bulk,
     )
 }
 ORACLE_SQL = SQL

@@ -292,21 +292,26 @@ def contract_block(text: Column) -> Column:
     """blocks, how many contract blocks a text has, and block, the first one: as contract_blocks, in one pass over the lines."""
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
     fence, said = F.lit(FENCE), F.lit(" ".join(LANGUAGE))
-    start = F.struct(F.lit(False).alias("open"), F.lit(0).alias("blocks"), F.array().cast("array<string>").alias("held"), F.array().cast("array<string>").alias("first"))
+    names = ("open", "blocks", "begin", "first", "n")
+    made = lambda parts: F.struct(*(p.alias(n) for p, n in zip(parts, names)))
+    start = made((F.lit(False), F.lit(0), F.lit(0), F.lit(1), F.lit(0)))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, row: Column) -> Column:
+        x, i = row["x"], row["i"]
         closes = acc["open"] & F.regexp_replace(x, r"\A[ \t]+", "").startswith(fence)
         words = F.trim(F.regexp_replace(F.substring(x, len(FENCE) + 1, 1 << 20), r"[ \t]+", " "))
         opens = ~acc["open"] & x.startswith(FENCE + LANGUAGE[0]) & (words == said)
-        as_is = (acc["open"], acc["blocks"], acc["held"], acc["first"])
-        empty = F.array().cast("array<string>")
-        closed = (F.lit(False), acc["blocks"] + 1, empty, F.when(acc["blocks"] == 0, acc["held"]).otherwise(acc["first"]))
-        opened = (F.lit(True), acc["blocks"], empty, acc["first"])
-        more = (acc["open"], acc["blocks"], F.concat(acc["held"], F.array(x)), acc["first"])
-        made = lambda parts: F.struct(*(p.alias(n) for p, n in zip(parts, ("open", "blocks", "held", "first"))))
-        return F.when(closes, made(closed)).when(acc["open"], made(more)).when(opens, made(opened)).otherwise(made(as_is))
-
-    return F.aggregate(lines, start, step, lambda acc: F.struct(acc["blocks"].alias("blocks"), F.when(acc["blocks"] > 0, F.array_join(acc["first"], "\n")).alias("block")))
+        whole = closes & (acc["blocks"] == 0)  # the first block is kept by the numbers of its lines
+        return made((
+            opens | (acc["open"] & ~closes), acc["blocks"] + closes.cast("int"), F.when(opens, i + 1).otherwise(acc["begin"]),
+            F.when(whole, acc["begin"] + 1).otherwise(acc["first"]), F.when(whole, i - acc["begin"]).otherwise(acc["n"]),
+        ))
+
+    def out(acc: Column) -> Column:
+        block = F.array_join(F.slice(lines, acc["first"], acc["n"]), "\n")
+        return F.struct(acc["blocks"].alias("blocks"), F.when(acc["blocks"] > 0, block).alias("block"))
+
+    return F.aggregate(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), start, step, out)
 
 
 def contracts(spark: SparkSession, root: str) -> DataFrame:
