@@ -12,18 +12,25 @@ gives out a document's links in parts of LINKS and its digest as it goes.
 A second pass counts the pairs of ids over all links. The counts come back to the links by a broadcast table if
 that has TABLE_PAIRS rows at most, else by a join on the pair.
 
-Words are encoded once per worker while its cache lasts: both tokenizers work word by word. Texts of code points under
-0x250 are split by a pattern of the standard library, others by the library's own splitter.
+Both tokenizers work word by word, and mostly part at single spaces. A slice's texts are therefore cut at spaces; the ids
+of each distinct chunk are taken from the worker's cache or encoded once, and gathered for all its places at once. Where a
+token of A may go on over such a cut (white space on both sides of it), the text is split as a whole. Caches have
+two generations, so words that come back stay. Chunks and texts of code points under 0x250 are split by a pattern of the
+standard library, others by the library's own splitter.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+import sys
 import unicodedata
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import col, slices
-from .bpe import byte_alphabet
+from .bpe import LONG as LONG_WORD
+from .bpe import WordBpe, byte_alphabet
 from .staging import settle
 from .token_counts import MARK, load_model, pre_tokens
 
@@ -45,6 +53,13 @@ TABLE_PAIRS = 4_000_000
 COUNT_LINKS = 1 << 22
 CACHE_ENTRIES = 400_000
 CACHED_CHARS = 48
+#: Bytes of texts that are encoded at a time, characters of a chunk that may have a head, and words of a call of a library.
+SLICE = 2 << 20
+CHUNK = 2_000
+WORDS = 2_048
+#: A chunk's head: how many ids of A follow, and whether it begins or ends with white space. Two heads stand alone: for chunks
+#: whose ids spell something else, and for those of over CHUNK characters.
+LEAD, TRAIL, WRONG, LONG = 1 << 14, 1 << 15, 0xFFFE, 0xFFFF
 CODEC = "zstd"
 DIRECT = re.compile("[^\x00-ɏ]")
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -73,8 +88,31 @@ def splitter() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{kinds['L']}]+| ?[{kinds['N']}]+| ?[^{white}{kinds['L']}{kinds['N']}]+|[{white}]+(?![^{white}])|[{white}]+")
 
 
+class Recent:
+    """A cache of two generations: when the young one is full it becomes the old one, from which what is used comes back."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        """Values of distinct keys; None where there is none."""
+        got = list(map(self.young.get, keys))
+        if self.old:
+            back = {k: x for k, v in zip(keys, got) if v is None and (x := self.old.get(k)) is not None}
+            if back:
+                got = [back.get(k) if v is None else v for k, v in zip(keys, got)]
+                self.put(back)
+        return got
+
+    def put(self, found: dict[str, bytes]) -> None:
+        if self.young and len(self.young) + len(found) > CACHE_ENTRIES // 2:
+            self.young, self.old = {}, self.young
+        self.young.update(found)
+
+
 class Side:
-    """One tokenizer: the ids of words, and the bytes of ids. A word whose ids spell something else is None."""
+    """One tokenizer: the ids of words, and the bytes of ids. A word whose ids spell something else has none: b""."""
 
     def __init__(self, spelled: list[bytes]):
         if len(spelled) > 1 << 16:
@@ -82,7 +120,7 @@ class Side:
         self.spelled = spelled
         self.length = np.array([len(x) for x in spelled], np.int64)
         self.names = np.array([str(i) for i in range(len(spelled))], object)
-        self.cache: dict[str, bytes | None] = {}
+        self.cache = Recent()
 
     def ids_of(self, words: list[str]) -> list[list[int]]:
         raise NotImplementedError
@@ -90,31 +128,74 @@ class Side:
     def raw(self, word: str) -> bytes:
         return word.encode()
 
+    def fresh(self, words: list[str]) -> list[bytes]:
+        """Ids of words as 16-bit integers in the machine's order, from the library. WORDS at a time, so that the lists it returns stay few."""
+        return list(chain.from_iterable(self._fresh(words[i : i + WORDS]) for i in range(0, len(words), WORDS)))
+
+    def _fresh(self, words: list[str]) -> list[bytes]:
+        ids = self.ids_of(words)
+        flat, raws = array("H", chain.from_iterable(ids)), list(map(self.raw, words))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        spelled = np.concatenate(([0], np.cumsum(self.length[np.frombuffer(flat, np.uint16)])))[ends]
+        blob, cuts = flat.tobytes(), [0, *(2 * ends).tolist()]
+        found = [blob[s:e] for s, e in zip(cuts, cuts[1:])]
+        if np.array_equal(spelled, np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))) and b"".join(map(self.spelled.__getitem__, flat)) == b"".join(raws):
+            return found
+        return [x if b"".join(map(self.spelled.__getitem__, i)) == r else b"" for x, i, r in zip(found, ids, raws)]
+
+    def values(self, words: list[str]) -> list[bytes]:
+        """The same for distinct words, by the cache."""
+        got = self.cache.find(words)
+        new = [w for w, v in zip(words, got) if v is None]
+        if not new:
+            return got
+        made = dict(zip(new, self.fresh(new)))
+        self.cache.put({w: v for w, v in made.items() if len(w) <= CACHED_CHARS})
+        return [made[w] if v is None else v for w, v in zip(words, got)]
+
     def encode(self, words: list[str]) -> bytes | None:
-        """Ids of words one after another, as 16-bit integers in the machine's order."""
-        cache, extra = self.cache, {}
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except (KeyError, TypeError):
-            new = list({w for w in words if w not in cache})
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = list(set(words))
-        spelled, raw, join = self.spelled.__getitem__, self.raw, b"".join
-        for w, ids in zip(new, self.ids_of(new) if new else [], strict=True):
-            found = array("H", ids).tobytes() if join(map(spelled, ids)) == raw(w) else None
-            if len(w) <= CACHED_CHARS:
-                cache[w] = found
-            else:
-                extra[w] = found
-        got = [cache[w] if w in cache else extra[w] for w in words]
-        return None if None in got else b"".join(got)
+        """Ids of words one after another."""
+        distinct = list(dict.fromkeys(words))
+        found = dict(zip(distinct, self.values(distinct)))
+        return b"".join(map(found.__getitem__, words)) if all(found.values()) else None
+
+
+class Merges(WordBpe):
+    """The merges of a byte-level vocabulary, by the rank arrays of bpe.py."""
+
+    def __init__(self, model: dict):
+        if model.get("unk_token") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback") or model.get("ignore_merges"):
+            raise ValueError("not a byte-level BPE of the kind known here")
+        vocab = model["vocab"]
+        self.inner = np.array([vocab[c] for c in byte_alphabet()], np.int32)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        order = np.argsort(keys, kind="stable")
+        self._build_table(keys[order], order.astype(np.int32))
+
+    def ids_by_place(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of words in bytes, as 16-bit integers; b"" for words over LONG_WORD."""
+        out, by_length = [b""] * len(raws), defaultdict(list)
+        for i, n in enumerate(map(len, raws)):
+            by_length[n].append(i)
+        for n, same in by_length.items():
+            if n > LONG_WORD:
+                continue
+            data = np.frombuffer(b"".join(map(raws.__getitem__, same)), np.uint8).reshape(-1, n)
+            for rows, merged in self.merge_rows(self.inner[data]):
+                width, flat = 2 * merged.shape[1], merged.astype(np.uint16).tobytes()
+                for k, row in enumerate(rows.tolist()):
+                    out[same[row]] = flat[k * width : (k + 1) * width]
+        return out
 
 
 class ByteSide(Side):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core: the library's threads, one per core of the machine in each worker, add to its CPU time.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         spec = json.load(open(path, encoding="utf-8"))
         first, model = spec["pre_tokenizer"] or {}, spec["model"]
         if spec["normalizer"] or first.get("type") != "ByteLevel" or first["add_prefix_space"] or not first["use_regex"] or model["type"] != "BPE":
@@ -126,8 +207,18 @@ class ByteSide(Side):
         byte_of = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
         entries = {t["id"]: b"" for t in spec["added_tokens"]} | {i: b"".join(byte_of.get(c, b"") for c in w) for w, i in model["vocab"].items()}
         super().__init__([entries.get(i, b"") for i in range(max(entries) + 1)])
+        self.merges = Merges(model)
         self.direct = splitter()
 
+    def fresh(self, words: list[str]) -> list[bytes]:
+        """By merges, which spell their word; long words by the library."""
+        found = self.merges.ids_by_place(list(map(str.encode, words)))
+        if not all(found):
+            long = [w for w, ids in zip(words, found) if not ids]
+            rest = iter(super().fresh(long))
+            found = [ids or next(rest) for ids in found]
+        return found
+
     def ids_of(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -159,6 +250,7 @@ class PieceSide(Side):
 
 
 _loaded: dict[tuple[str, str], tuple[Side, Side]] = {}
+_chunks: dict[tuple[str, str], Recent] = {}
 
 
 def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
@@ -176,13 +268,6 @@ def segments(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-def learn(both: tuple[Side, Side], texts: list[str]) -> None:
-    """Put the words of some texts into the caches, with one call of each library."""
-    for side in both:
-        words = {w for t in texts if t and MARK not in t and len(t) <= SEGMENT for w in side.words(" " + t)}
-        side.encode([w for w in words if len(w) <= CACHED_CHARS and w not in side.cache])
-
-
 def encoded(both: tuple[Side, Side], text: str) -> tuple[np.ndarray, np.ndarray] | None:
     """Ids of A and of B; None where they don't spell a space and the text."""
     if not text or MARK in text:
@@ -197,6 +282,72 @@ def encoded(both: tuple[Side, Side], text: str) -> tuple[np.ndarray, np.ndarray]
     return tuple(np.frombuffer(b"".join(p), np.uint16) for p in parts)
 
 
+def chunk_values(both: tuple[Side, Side], known: Recent, chunks: list[str]) -> list[bytes]:
+    """Of distinct chunks, each without the space before it: the head, ids of A, ids of B."""
+    got = known.find(chunks)
+    new = [c for c, v in zip(chunks, got) if v is None and len(c) <= CHUNK]
+    a, b = both
+    words = [a.words(" " + c) for c in new]
+    distinct = list(dict.fromkeys(chain.from_iterable(words)))
+    ids = dict(zip(distinct, a.values(distinct)))
+    made: dict[str, bytes] = {}
+    for c, split, of_b in zip(new, words, b.fresh(new)):
+        parts = [ids[w] for w in split]
+        if of_b and all(parts):
+            of_a = b"".join(parts)
+            head = len(of_a) // 2 | LEAD * (not c or c[0].isspace()) | TRAIL * (not c or c[-1].isspace())
+            made[c] = head.to_bytes(2, sys.byteorder) + of_a + of_b
+        else:
+            made[c] = WRONG.to_bytes(2, sys.byteorder)
+    known.put({c: v for c, v in made.items() if len(c) <= CACHED_CHARS})
+    long = LONG.to_bytes(2, sys.byteorder)
+    return [made.get(c, long) if v is None else v for c, v in zip(chunks, got)]
+
+
+def encoded_texts(both: tuple[Side, Side], known: Recent, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """What `encoded` gives of each text, for all of them at once."""
+    out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
+    again, rows, counts = [], [], []
+    place: defaultdict[str, int] = defaultdict(count().__next__)
+    index = array("i")
+    for i, text in enumerate(texts):
+        if not text or MARK in text:
+            continue
+        if len(text) > SEGMENT:
+            again.append(i)
+            continue
+        chunks = pre_tokens(text)
+        index.extend(map(place.__getitem__, chunks))
+        rows.append(i)
+        counts.append(len(chunks))
+    if rows:
+        values = chunk_values(both, known, list(place))
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 2
+        blob, start = np.frombuffer(b"".join(values), np.uint16), np.cumsum(size) - size
+        head, at, ends = blob[start], np.frombuffer(index, np.int32), np.cumsum(counts)
+        # White space on both sides of a cut may be one token of A.
+        meet = np.zeros(len(at), bool)
+        meet[1:] = (head[at[:-1]] & TRAIL != 0) & (head[at[1:]] & LEAD != 0)
+        meet[ends[:-1]] = False
+        over = np.logical_or.reduceat(meet | (head[at] == LONG), ends - counts)
+        wrong = np.logical_or.reduceat(head[at] == WRONG, ends - counts)
+        many = np.where(size > 1, head & (LEAD - 1), 0).astype(np.int64)
+        sides: list[list[np.ndarray]] = []
+        for first, n in ((start + 1, many), (start + 1 + many, size - 1 - many)):
+            each = n[at]
+            upto = np.cumsum(each)
+            ids = blob[np.repeat(first[at] - upto + each, each) + np.arange(upto[-1])]
+            sides.append(np.split(ids, upto[ends[:-1] - 1]))
+        for k, i in enumerate(rows):
+            if over[k]:
+                again.append(i)
+            elif not wrong[k]:
+                out[i] = (sides[0][k], sides[1][k])
+    for i in again:
+        out[i] = encoded(both, texts[i] or "")
+    return out
+
+
 def events(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(key, at, side, d, ids): up to BLOCK events of one side of a document from byte `at` on. Side 0 has a row for each
     document, even without tokens; its first one carries the id."""
@@ -205,13 +356,12 @@ def events(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id
     out = T.StructType([T.StructField("key", T.LongType()), T.StructField("at", T.LongType()), T.StructField("side", T.IntegerType()), T.StructField("d", kind), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = sides(path_a, path_b)
+        both, known = sides(path_a, path_b), _chunks.setdefault((path_a, path_b), Recent())
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, SLICE):
                 rows: list[tuple] = []
-                learn(both, part.column(2).to_pylist())
-                for key, d, t in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    got = encoded(both, t or "")
+                ready = encoded_texts(both, known, part.column(2).to_pylist())
+                for key, d, got in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ready):
                     if got is None:
                         rows.append((key, 0, 0, d, None))
                         continue

@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -14,6 +15,7 @@ import pytest
 from sluice.llm import alignment
 from sluice.llm.bpe import byte_alphabet
 from sluice.llm.queries import QUERIES, vocabulary
+from sluice.llm.token_counts import MARK
 
 A, B = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
 SMALL = "/root/testdata/sf0.001"
@@ -159,3 +161,41 @@ def test_words_outside_the_cache_and_full_caches(monkeypatch):
         words = known.words(" " + text)
         assert side.encode(words) == known.encode(words) == side.encode(words)
     assert np.array_equal(alignment.unpack(alignment.pack(np.arange(300, dtype=np.uint32))), np.arange(300)) and not len(alignment.unpack(alignment.pack(np.zeros(0, np.uint16))))
+
+
+def test_texts_by_chunks(libraries, monkeypatch):
+    """Many texts at once, with small caches and short chunks, give what the libraries give of each."""
+    r = random.Random(3)
+    letters = list("ab é\n\t   '.,1\x1c\x85 　\xa0日-SﬁЖ") + ["'s", "the", " and", "  ", "y" * 30, "y" * 60, MARK]
+    both, known = (alignment.ByteSide(A), alignment.PieceSide(B)), alignment.Recent()
+    for k in range(60):
+        monkeypatch.setattr(alignment, "CACHE_ENTRIES", r.choice([2, 40, 400_000]))
+        monkeypatch.setattr(alignment, "CHUNK", r.choice([1, 20, 2_000]))
+        monkeypatch.setattr(alignment, "SEGMENT", r.choice([15, 1 << 20]))
+        texts = ["".join(r.choice(letters) for _ in range(r.randrange(0, 40))) for _ in range(r.randrange(0, 20))] + [None] * (k % 2) + STRANGE * (k % 9 == 0)
+        got = alignment.encoded_texts(both, known, texts)
+        assert len(got) == len(texts)
+        for text, found in zip(texts, got):
+            assert [list(x) for x in found or ([], [])] == [[i for i, _ in side] for side in tokens(libraries, text)], text
+
+
+def test_a_chunk_is_split_and_encoded_once(monkeypatch):
+    both, known, split = (alignment.ByteSide(A), alignment.PieceSide(B)), alignment.Recent(), []
+    words = alignment.ByteSide.words
+    monkeypatch.setattr(alignment.ByteSide, "words", lambda self, x: split.append(x) or words(self, x))
+    texts = ["some words, and some more words. " * 200 + str(i) for i in range(50)]
+    got = alignment.encoded_texts(both, known, texts) + alignment.encoded_texts(both, known, texts)
+    assert sorted(split) == sorted({" some", " words,", " and", " more", " words."} | {f" {i}" for i in range(50)})
+    assert [tuple(map(list, x)) for x in got] == [tuple(map(list, alignment.encoded(both, t))) for t in texts] * 2
+    assert "TOKENIZERS_PARALLELISM" in os.environ
+
+
+def test_words_that_come_back_stay_in_full_caches(monkeypatch):
+    monkeypatch.setattr(alignment, "CACHE_ENTRIES", 60)
+    seen: Counter = Counter()
+    ids_of = alignment.PieceSide.ids_of
+    monkeypatch.setattr(alignment.PieceSide, "ids_of", lambda self, words: seen.update(words) or ids_of(self, words))
+    side = alignment.PieceSide(B)
+    for i in range(30):
+        assert side.encode(["often", "seen"] + [f"rare{i}x{j}" for j in range(15)])
+    assert seen["often"] == seen["seen"] == 1 and len(side.cache.young) + len(side.cache.old) <= 60
