@@ -14,8 +14,8 @@ that has TABLE_PAIRS rows at most, else by a join on the pair.
 
 Both tokenizers work word by word, and mostly part at single spaces. A slice's texts are therefore cut at spaces; the ids
 of each distinct chunk are taken from the worker's cache or encoded once, and gathered for all its places at once. Where a
-token of A may go on over such a cut (white space on both sides of it), the text is split as a whole. Caches have
-two generations, so words that come back stay. Chunks and texts of code points under 0x250 are split by a pattern of the
+token of A may go on over such a cut (white space on both sides of it), chunks are put together; texts with chunks of over
+CHUNK characters are split as a whole. Caches have two generations, so words that come back stay. Chunks and texts of code points under 0x250 are split by a pattern of the
 standard library, others by the library's own splitter.
 """
 
@@ -57,6 +57,8 @@ CACHED_CHARS = 48
 SLICE = 2 << 20
 CHUNK = 2_000
 WORDS = 2_048
+#: Below so many words the library is faster than arrays.
+FEW = 4_096
 #: A chunk's head: how many ids of A follow, and whether it begins or ends with white space. Two heads stand alone: for chunks
 #: whose ids spell something else, and for those of over CHUNK characters.
 LEAD, TRAIL, WRONG, LONG = 1 << 14, 1 << 15, 0xFFFE, 0xFFFF
@@ -211,7 +213,9 @@ class ByteSide(Side):
         self.direct = splitter()
 
     def fresh(self, words: list[str]) -> list[bytes]:
-        """By merges, which spell their word; long words by the library."""
+        """By merges, which spell their word; long words, and few, by the library."""
+        if len(words) < FEW:
+            return super().fresh(words)
         found = self.merges.ids_by_place(list(map(str.encode, words)))
         if not all(found):
             long = [w for w, ids in zip(words, found) if not ids]
@@ -304,48 +308,60 @@ def chunk_values(both: tuple[Side, Side], known: Recent, chunks: list[str]) -> l
     return [made.get(c, long) if v is None else v for c, v in zip(chunks, got)]
 
 
-def encoded_texts(both: tuple[Side, Side], known: Recent, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-    """What `encoded` gives of each text, for all of them at once."""
-    out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
-    again, rows, counts = [], [], []
+def joined(chunks: list[str]) -> list[str]:
+    """Chunks put together where white space stands on both sides of the cut."""
+    out: list[str] = []
+    parts = chunks[:1]
+    for before, c in zip(chunks, chunks[1:]):
+        if (not before or before[-1].isspace()) and (not c or c[0].isspace()):
+            parts.append(c)
+        else:
+            out.append(" ".join(parts))
+            parts = [c]
+    return [*out, " ".join(parts)]
+
+
+def gathered(both: tuple[Side, Side], known: Recent, cut: Iterator[tuple[int, list[str]]]) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], list[int], list[int]]:
+    """Ids of texts by their numbers and chunks. Numbers of texts where white space meets over a cut, and of those with long chunks, stand apart."""
+    rows, counts = [], []
     place: defaultdict[str, int] = defaultdict(count().__next__)
     index = array("i")
-    for i, text in enumerate(texts):
-        if not text or MARK in text:
-            continue
-        if len(text) > SEGMENT:
-            again.append(i)
-            continue
-        chunks = pre_tokens(text)
+    for i, chunks in cut:
         index.extend(map(place.__getitem__, chunks))
         rows.append(i)
         counts.append(len(chunks))
-    if rows:
-        values = chunk_values(both, known, list(place))
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 2
-        blob, start = np.frombuffer(b"".join(values), np.uint16), np.cumsum(size) - size
-        head, at, ends = blob[start], np.frombuffer(index, np.int32), np.cumsum(counts)
-        # White space on both sides of a cut may be one token of A.
-        meet = np.zeros(len(at), bool)
-        meet[1:] = (head[at[:-1]] & TRAIL != 0) & (head[at[1:]] & LEAD != 0)
-        meet[ends[:-1]] = False
-        over = np.logical_or.reduceat(meet | (head[at] == LONG), ends - counts)
-        wrong = np.logical_or.reduceat(head[at] == WRONG, ends - counts)
-        many = np.where(size > 1, head & (LEAD - 1), 0).astype(np.int64)
-        sides: list[list[np.ndarray]] = []
-        for first, n in ((start + 1, many), (start + 1 + many, size - 1 - many)):
-            each = n[at]
-            upto = np.cumsum(each)
-            ids = blob[np.repeat(first[at] - upto + each, each) + np.arange(upto[-1])]
-            sides.append(np.split(ids, upto[ends[:-1] - 1]))
-        for k, i in enumerate(rows):
-            if over[k]:
-                again.append(i)
-            elif not wrong[k]:
-                out[i] = (sides[0][k], sides[1][k])
-    for i in again:
-        out[i] = encoded(both, texts[i] or "")
-    return out
+    if not rows:
+        return {}, [], []
+    values = chunk_values(both, known, list(place))
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 2
+    blob, start = np.frombuffer(b"".join(values), np.uint16), np.cumsum(size) - size
+    head, at, ends = blob[start], np.frombuffer(index, np.int32), np.cumsum(counts)
+    many = np.where(size > 1, head & (LEAD - 1), 0).astype(np.int64)
+    meet = np.zeros(len(at), bool)
+    meet[1:] = (head[at[:-1]] & TRAIL != 0) & (head[at[1:]] & LEAD != 0)
+    meet[ends[:-1]] = False
+    meets, longs, wrongs = (np.logical_or.reduceat(x, ends - counts).tolist() for x in (meet, (head == LONG)[at], (head == WRONG)[at]))
+    sides: list[list[np.ndarray]] = []
+    for first, n in ((start + 1, many), (start + 1 + many, size - 1 - many)):
+        each = n[at]
+        upto = np.cumsum(each)
+        ids = blob[np.repeat(first[at] - upto + each, each) + np.arange(upto[-1])]
+        sides.append(np.split(ids, upto[ends[:-1] - 1]))
+    kept = {i: (x, y) for i, x, y, *no in zip(rows, *sides, meets, longs, wrongs) if not any(no)}
+    return kept, [i for i, m, x in zip(rows, meets, longs) if m and not x], [i for i, x in zip(rows, longs) if x]
+
+
+def encoded_texts(both: tuple[Side, Side], known: Recent, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """What `encoded` gives of each text, for all of them at once."""
+    some = [i for i, t in enumerate(texts) if t and MARK not in t and len(t) <= SEGMENT]
+    found, meet, whole = gathered(both, known, ((i, pre_tokens(texts[i])) for i in some))
+    more, _, long = gathered(both, known, ((i, joined(pre_tokens(texts[i]))) for i in meet))
+    found |= more
+    whole += long + [i for i, t in enumerate(texts) if t and len(t) > SEGMENT]
+    for i in whole:
+        if (got := encoded(both, texts[i])) is not None:
+            found[i] = got
+    return [found.get(i) for i in range(len(texts))]
 
 
 def events(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -172,6 +172,7 @@ def test_texts_by_chunks(libraries, monkeypatch):
         monkeypatch.setattr(alignment, "CACHE_ENTRIES", r.choice([2, 40, 400_000]))
         monkeypatch.setattr(alignment, "CHUNK", r.choice([1, 20, 2_000]))
         monkeypatch.setattr(alignment, "SEGMENT", r.choice([15, 1 << 20]))
+        monkeypatch.setattr(alignment, "FEW", r.choice([0, 1 << 20]))
         texts = ["".join(r.choice(letters) for _ in range(r.randrange(0, 40))) for _ in range(r.randrange(0, 20))] + [None] * (k % 2) + STRANGE * (k % 9 == 0)
         got = alignment.encoded_texts(both, known, texts)
         assert len(got) == len(texts)
@@ -199,3 +200,10 @@ def test_words_that_come_back_stay_in_full_caches(monkeypatch):
     for i in range(30):
         assert side.encode(["often", "seen"] + [f"rare{i}x{j}" for j in range(15)])
     assert seen["often"] == seen["seen"] == 1 and len(side.cache.young) + len(side.cache.old) <= 60
+
+
+def test_indented_texts_are_not_split_as_a_whole(libraries, monkeypatch):
+    both, texts = (alignment.ByteSide(A), alignment.PieceSide(B)), [f"def f{i}():\n    x = {i}\n    return  x \n \n" for i in range(20)]
+    want = [tokens(libraries, t) for t in texts]
+    monkeypatch.setattr(alignment, "encoded", None)
+    assert [[list(x) for x in pair] for pair in alignment.encoded_texts(both, alignment.Recent(), texts)] == [[[i for i, _ in side] for side in w] for w in want]
