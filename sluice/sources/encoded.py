@@ -5,8 +5,8 @@ Spark's text source cuts a file at line feeds and gives the bytes between them a
 * Encodings of a byte a character: bytes read as Latin-1 are characters one for one, and a translation of 256
   characters does the rest. The line feed is whatever byte the encoding has for it.
 * UTF-16 and UTF-32: cut at the bytes of a line feed in that encoding. Such bytes also occur across characters, at
-  places that are no multiple of a character's width. Whether a cut is one of these depends on the lengths of all pieces before it, so
-  pieces are put together by a scan over the splits (`quoted`): a piece is a function on the place modulo the width.
+  places that are no multiple of a character's width. Whether a cut is one of these depends on the lengths of all pieces before it, modulo
+  the width, so splits' lengths are summed up first, and then pieces are put together (`quoted`); only lines over a split's end are shuffled.
 * East Asian encodings whose characters never hold a line feed's byte: lines are decoded in Python, batch by batch.
 
 Digests: SHA-256 goes through a file from its beginning to its end, so a file is one stream: its pieces are sorted to
@@ -70,19 +70,20 @@ def raw_pieces(spark: SparkSession, paths: str | list[str], separator: str) -> D
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"))
 
 
-def _wide_pieces(spark: SparkSession, paths: str | list[str], codec: str, marked: bool = False) -> DataFrame:
-    """path, block and value, in order: lines of UTF-16 or UTF-32 files, cut where line feeds really are; marked: without the mark at the top."""
+def _wide_pieces(spark: SparkSession, paths: str | list[str], codec: str, marked: bool = False) -> list[DataFrame]:
+    """path, block, alone and value: lines of UTF-16 or UTF-32 files, cut where line feeds really are; marked: without the mark at the top.
+
+    Those within a split, in order, then, if there are any, those over a split's end: alone in their block, and in no order.
+    """
     width = WIDE[codec]
-    feed = "\n".encode(codec).decode("latin-1")
-    pieces = raw_pieces(spark, paths, feed).withColumn("idx", F.monotonically_increasing_id())
-    whole = join_pieces(pieces.select(F.col("path").alias("sample"), "block", "idx", F.col("raw").alias("line")), width, feed.encode("latin-1"))
+    feed = "\n".encode(codec)
     # UTF-32 has one name for both orders, and a mark that says which.
     mark = codecs.BOM_UTF32_LE if codec.endswith("le") else codecs.BOM_UTF32_BE
-    value = F.decode("line", f"UTF-16{codec[-2:].upper()}") if width == 2 else F.decode(F.concat(F.lit(mark), F.col("line")), "UTF-32")
+    value = F.decode("raw", f"UTF-16{codec[-2:].upper()}") if width == 2 else F.decode(F.concat(F.lit(mark), F.col("raw")), "UTF-32")
     if marked:
         value = F.when(F.col("first"), F.regexp_replace(value, "\\A\ufeff", "")).otherwise(value)
-    lines = whole.select(F.col("sample").alias("path"), "block", "idx", value.alias("value"))
-    return lines.repartition("path", "block").sortWithinPartitions("path", "block", "idx").select("path", "block", "value")
+    inside, over = join_pieces(raw_pieces(spark, paths, feed.decode("latin-1")), width, feed)
+    return [rows.select("path", "block", F.lit(alone).alias("alone"), value.alias("value")) for rows, alone in ((inside, False), (over, True)) if rows is not None]
 
 
 def _big_endian(spark: SparkSession, paths: str | list[str], codec: str) -> tuple[list[str], list[str]]:
@@ -96,8 +97,8 @@ def _big_endian(spark: SparkSession, paths: str | list[str], codec: str) -> tupl
 def decoded_lines(spark: SparkSession, paths: str | list[str], encoding: str) -> DataFrame:
     """path, block and value of each line of files in any encoding; a line may still hold other line ends than the line feed.
 
-    Bytes that are nothing in the encoding are an error. Encodings with states between characters have no lines to cut at; they
-    are refused.
+    Lines are in order as they are scanned, but for those that a column `alone` marks: such a line is all of its block. Bytes that are
+    nothing in the encoding are an error. Encodings with states between characters have no lines to cut at; they are refused.
     """
     codec = codec_of(encoding)
     if codec in ("utf-8", "utf-8-sig", "ascii"):
@@ -109,9 +110,11 @@ def decoded_lines(spark: SparkSession, paths: str | list[str], encoding: str) ->
     if codec in ("utf-16", "utf-32"):
         little, big = _big_endian(spark, paths, codec)
         parts = [_wide_pieces(spark, some, f"{codec}-{end}", True) for some, end in ((little, "le"), (big, "be")) if some]
-        return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "path string, block long, value string"))
+        # What is in order goes first: its partitions' numbers must not follow from how many a shuffle gives.
+        parts = [p[0] for p in parts] + [p[1] for p in parts if len(p) > 1]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "path string, block long, value string")
     if codec in WIDE:
-        return _wide_pieces(spark, paths, codec)
+        return reduce(DataFrame.unionByName, _wide_pieces(spark, paths, codec))
     if table := single_byte(codec):
         feed = table.find("\n")
         if feed < 0 or feed > 127:
@@ -130,7 +133,7 @@ def decoded_lines(spark: SparkSession, paths: str | list[str], encoding: str) ->
 
 def encoded_lines(spark: SparkSession, paths: str | list[str], spec: FeedContract, strict: bool = True) -> DataFrame:
     """sample, idx and line of each data line, as `framed_lines`, of files of any encoding and size."""
-    lines = numbered_lines(spark, paths, spec, strict, rows=decoded_lines(spark, paths, spec.encoding))
+    lines = numbered_lines(spark, paths, spec, strict, ordered=True, rows=decoded_lines(spark, paths, spec.encoding))
     return lines.select(sample_of("path").alias("sample"), "idx", "line")
 
 

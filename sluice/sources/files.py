@@ -112,17 +112,24 @@ def by_split(rows: DataFrame, facts: DataFrame, keys: list[str], order: str) ->
 def numbered_lines(spark: SparkSession, paths: str | list[str], spec: FeedContract, strict: bool = True, ordered: bool = False, rows: DataFrame | None = None) -> DataFrame:
     """path, block (where its split begins), idx and line of each data line; splits are counted first, then placed.
 
-    ordered: the lines of a split come together and in order; that counts the splits then and there. rows: path, block and
-    value, in order, where lines are read in another way than as UTF-8.
+    ordered: the lines of a split come together and in order; that counts the splits then and there, and lines aren't shuffled. rows:
+    path, block and value, in order as they are scanned, where lines are read in another way than as UTF-8. Places follow from
+    partitions, which come out alike for the counts and the lines only if no shuffle stands before; after one a row has to be
+    `alone` in its block.
     """
     if rows is None:
         rows = spark.read.text(paths).select(
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
         )
-    rows = rows.select("path", "block", F.explode(split_lines(F.concat("value", F.lit("\n")))).alias("line"))
-    if spec.skip_blank_lines:
-        rows = rows.filter(~is_blank(F.col("line")))
-    rows = rows.select("path", "block", "line", F.monotonically_increasing_id().alias("at"))
+    at = F.monotonically_increasing_id()
+    if "alone" in rows.columns:
+        rows = rows.select("path", "block", "alone", F.posexplode(lines_of(F.concat("value", F.lit("\n")), spec.skip_blank_lines)).alias("pos", "line"))
+        at = F.when(F.col("alone"), F.col("pos").cast("long")).otherwise(at)
+    else:
+        rows = rows.select("path", "block", F.explode(split_lines(F.concat("value", F.lit("\n")))).alias("line"))
+        if spec.skip_blank_lines:
+            rows = rows.filter(~is_blank(F.col("line")))
+    rows = rows.select("path", "block", "line", at.alias("at"))
     counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     by_file = Window.partitionBy("path")
     before = F.sum("n").over(by_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))

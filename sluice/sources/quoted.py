@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,27 +123,114 @@ def join_lines(lines: DataFrame, delimiter: str = ",", joint: str = "\n") -> Dat
     return numbered.filter("whole").select("sample", F.col("record").alias("idx"), "line").unionByName(longer.select("sample", F.col("record").alias("idx"), "line"))
 
 
-def join_pieces(pieces: DataFrame, width: int, separator: bytes) -> DataFrame:
-    """(sample, block, idx, line, first): pieces of bytes put together that were parted at separators across characters of `width` bytes.
+def _shifts(pieces: DataFrame, width: int) -> DataFrame:
+    """A row a split: what the lengths of its pieces sum to, and at which sums pieces begin (a bit each), modulo width."""
 
-    pieces: as lines in join_lines, binary, between separators whose length is a multiple of width. first: whether it is
-    a file's first. Of four bytes a character the state is one of four places; it goes by two halves, the second on what the
-    first has put together.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, at, begins, made = None, 0, 0, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch.column(2).to_numpy()
+            for path, block, s, e in _runs(batch):
+                if (path, block) != split:
+                    if split is not None:
+                        made.append((*split, at, begins))
+                    split, at, begins = (path, block), 0, 0
+                starts = (at + np.cumsum(size[s:e]) - size[s:e]) % width
+                begins |= int(np.bitwise_or.reduce(1 << starts))
+                at = int(starts[-1] + size[e - 1]) % width
+        if split is not None:
+            made.append((*split, at, begins))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], ["path", "block", "shift", "begins"])
+
+    sizes = pieces.select("path", "block", F.octet_length("raw").cast("long").alias("size"))
+    return sizes.mapInArrow(run, "path string, block long, shift long, begins long")
+
+
+def _cut_across(pieces: DataFrame, width: int) -> DataFrame:
+    """(path, block, at, owner) of splits that begin or end within a record: at which byte of a character one begins, and in which split the record does."""
+
+    def of_file(frame):
+        frame = frame.sort_values("block", kind="stable")
+        at, owner, rows = 0, 0, []
+        for r in frame.itertuples():
+            end = (at + r.shift) % width
+            if at or end:
+                rows.append((r.path, r.block, at, owner))
+            if r.begins >> (-at % width) & 1:
+                owner = r.block
+            at = end
+        return type(frame)(rows, columns=["path", "block", "at", "owner"])
+
+    return _shifts(pieces, width).groupBy("path").applyInPandas(of_file, "path string, block long, at long, owner long")
+
+
+def join_pieces(pieces: DataFrame, width: int, separator: bytes) -> tuple[DataFrame, DataFrame | None]:
+    """(path, block, raw, first): pieces of bytes put together that were parted at separators across characters of `width` bytes.
+
+    pieces: path, block and raw, as they are scanned. A cut is a true one if it lies at a multiple of width; as a separator is as long
+    as a character, that is what the lengths of the pieces before it sum to. The first frame has the records that begin and end in
+    one split, where they are and in order. The other, if it takes one, has those that run over a split's end, one a split at most, and only they
+    are shuffled; each is a block of its own: 2 * block + 1, where the others of the split in which it begins have 2 * block. first: whether it is
+    a file's first.
     """
-    size = F.octet_length("line")
-    step = 2
-    rows = pieces
-    while step <= width:
-        odd = (size % step) != 0
-        numbered = _numbered(rows.withColumns({"out": odd, "stay": ~odd}))
-        parts = F.array_sort(F.collect_list(F.struct("idx", "block", "line")))
-        glued = F.aggregate(F.slice(parts, 2, F.size(parts)), parts[0]["line"], lambda a, p: F.concat(a, F.lit(separator), p["line"]))
-        longer = numbered.filter("not whole").groupBy("sample", "record").agg(glued.alias("line"), F.min("block").alias("block"), F.min("idx").alias("idx"))
-        kept = ["sample", "block", "idx", "line"]
-        joined = numbered.filter("whole").select(*kept, F.col("record")).unionByName(longer.select(*kept, "record"))
-        rows = joined.repartition("sample", "block").sortWithinPartitions("sample", "block", "idx") if step < width else joined
-        step *= 2
-    return rows.select("sample", "block", "idx", "line", (F.col("record") == 0).alias("first"))
+    names = ["path", "block", "raw", "first", "owner"]
+    # A row a split at most, and few by nature: a split begins within a record only where its end is a separator's bytes across characters.
+    held = _cut_across(pieces, width).toPandas()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, at, owner, seen, top, parts = None, 0, None, False, False, []
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.int64()))], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size, raw = pc.binary_length(batch.column(2)).to_numpy(), batch.column(2)
+            for path, block, s, e in _runs(batch):
+                if (path, block) != split:
+                    if parts:
+                        yield made([(*split, separator.join(parts), top, owner)])
+                    split, at, owner, seen, parts = (path, block), batch.column(3)[s].as_py(), batch.column(4)[s].as_py(), False, []
+                ends = (at + np.cumsum(size[s:e])) % width
+                if not at and not ends.any():
+                    first = np.zeros(e - s, bool)
+                    first[0] = not seen and not block
+                    seen = True
+                    yield pa.RecordBatch.from_arrays([*batch.slice(s, e - s).columns[:3], pa.array(first), pa.nulls(e - s, pa.int64())], names)
+                    continue
+                rows = []
+                for k, end in zip(range(s, e), ends.tolist()):
+                    if not at:
+                        owner, top, seen = block, not seen and not block, True
+                    elif not parts:
+                        top = False
+                    parts.append(raw[k].as_py())
+                    at = end
+                    if not at:
+                        rows.append((path, block, separator.join(parts), top, None if owner == block else owner))
+                        parts = []
+                if rows:
+                    yield made(rows)
+        if parts:
+            yield made([(*split, separator.join(parts), top, owner)])
+
+    def joined(begun: DataFrame, at: Column, owner: Column) -> DataFrame:
+        begun = begun.select("path", "block", "raw", at.cast("long").alias("at"), owner.cast("long").alias("owner"))
+        return begun.mapInArrow(run, "path string, block long, raw binary, first boolean, owner long")
+
+    own = ["path", (2 * F.col("block")).alias("block"), "raw", "first"]
+    if not len(held):
+        return joined(pieces, F.lit(0), F.lit(None)).select(*own), None
+    cut = F.broadcast(pieces.sparkSession.createDataFrame(held, "path string, block long, at long, owner long"))
+    inside = joined(pieces.join(cut, ["path", "block"], "left"), F.coalesce("at", F.lit(0)), F.col("owner")).filter("owner is null")
+    over = joined(pieces.join(cut, ["path", "block"]), F.col("at"), F.col("owner")).filter("owner is not null")
+    parts = F.array_sort(F.collect_list(F.struct("block", "raw", "first")))
+    glued = F.aggregate(F.slice(parts, 2, F.size(parts)), parts[0]["raw"], lambda a, p: F.concat(a, F.lit(separator), p["raw"]))
+    over = over.groupBy("path", "owner").agg(glued.alias("raw"), F.bool_or("first").alias("first"))
+    return inside.select(*own), over.select("path", (2 * F.col("owner") + 1).alias("block"), "raw", "first")
 
 
 def _numbered(marked: DataFrame) -> DataFrame:

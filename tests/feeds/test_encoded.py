@@ -39,6 +39,33 @@ def test_any_split(spark, tmp_path, encoding, split):
         assert sorted((x.idx, x.line) for x in got if x.sample == name) == list(enumerate(want)), name
 
 
+def test_places_are_alike_in_every_pass(spark, tmp_path):
+    """Adaptive plans merge partitions by what else is in a stage: the pass that counts and the one that reads have to agree all the same."""
+    r = random.Random(7)
+    held = {"spark.sql.files.maxPartitionBytes": "60k", "spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    texts, lines = {}, None
+    for encoding in ("utf-16", "utf-16-le", "utf-32-be"):
+        (tmp_path / encoding).mkdir()
+        for k in range(2):
+            name = f"{encoding}-{k}"
+            texts[name] = "t\n" + "".join("".join(r.choices("abcé日", k=r.randint(0, 200))) + r.choice(["\n", "\n", "Ċ\n", "ਊ\u0a00一"]) + f"{i}\n" for i in range(1500)) + "e"
+            (tmp_path / encoding / name).write_bytes(texts[name].encode(encoding))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for encoding in ("utf-16", "utf-16-le", "utf-32-be"):
+            one = encoded.encoded_lines(spark, str(tmp_path / encoding), contract(encoding))
+            lines = one if lines is None else lines.unionByName(one)
+        got = lines.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for name, text in texts.items():
+        want = [x for x in text.splitlines() if x.strip()][1:-1]
+        assert sorted((x.idx, x.line) for x in got if x.sample == name) == list(enumerate(want)), name
+
+
 def test_both_marks_in_one_feed(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"\xfe\xff" + "t\n﻿x\ne".encode("utf-16-be"))
     (tmp_path / "b").write_bytes("t\ny\ne".encode("utf-16"))
