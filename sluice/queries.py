@@ -1081,18 +1081,25 @@ SQL["jailed_faults"] = """SELECT CAST(p AS VARCHAR) AS sample, CASE p % 5 WHEN 1
 
 
 def encoded_documents(spark, sf_dir):
-    """Documents written in encodings of one, two and four bytes a character, and read back by splits: their lines by encoding."""
+    """Documents written in encodings of one, two and four bytes a character, and read back by splits: their lines by encoding.
+
+    An encoding of n bytes a character takes n turns, a part of the documents each, whose files go when their lines are settled:
+    so files never take more than the texts at a byte a character do.
+    """
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     line = F.concat(F.col("doc_id").cast("string"), F.lit(","), F.regexp_replace("text", r"[^\x20-\x7e\xa1-\xff]", " "))
-    out = None
-    for name, java in (("cp1252", "ISO-8859-1"), ("utf-16-le", "UTF-16LE"), ("utf-32-be", "UTF-32")):
-        path = files.work_folder(spark, "encoded")
+    settled = files.work_folder(spark, "lines")
+    for name, java, width in (("cp1252", "ISO-8859-1", 1), ("utf-16-le", "UTF-16LE", 2), ("utf-32-be", "UTF-32", 4)):
         feed = "\n".encode(name).decode("latin-1")
-        docs.select(F.encode(line, java).cast("string").alias("value")).write.option("lineSep", feed).text(path)
-        lines = encoded.encoded_lines(spark, path, _spec(encoding=name, header_rows=0, skip_blank_lines=False))
-        one = lines.select(F.lit(name).alias("encoding"), F.substring_index("line", ",", 1).cast("long").alias("doc_id"), F.md5(F.col("line").cast("binary")).alias("line_md5"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        for turn in range(width):
+            path = files.work_folder(spark, "encoded")
+            some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(width)) == turn)
+            some.select(F.encode(line, java).cast("string").alias("value")).write.option("lineSep", feed).text(path)
+            lines = encoded.encoded_lines(spark, path, _spec(encoding=name, header_rows=0, skip_blank_lines=False))
+            one = lines.select(F.lit(name).alias("encoding"), F.substring_index("line", ",", 1).cast("long").alias("doc_id"), F.md5(F.col("line").cast("binary")).alias("line_md5"))
+            one.write.mode("append").parquet(settled)
+            files.discard(spark, path)
+    return spark.read.schema("encoding string, doc_id long, line_md5 string").parquet(settled)
 
 
 SQL["encoded_documents"] = r"""SELECT encoding, doc_id, md5(CAST(doc_id AS VARCHAR) || ',' || regexp_replace(text, '[^\x20-\x7e\x{a1}-\x{ff}]', ' ', 'g')) AS line_md5

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ContractError, FeedError
-from ..functions.text import is_blank, split_lines
+from ..functions.text import LINE_END, is_blank, split_lines
 from ..plans.contract import FENCE, LANGUAGE, FeedContract, parse_contract, slice_of
 from ..schemas import EVENTS
 
@@ -121,12 +121,15 @@ def numbered_lines(spark: SparkSession, paths: str | list[str], spec: FeedContra
         rows = spark.read.text(paths).select(
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
         )
-    at = F.monotonically_increasing_id()
+    at, value = F.monotonically_increasing_id(), F.col("value")
+    # Most values are one line, which a look for line ends tells in a fraction of the time that splitting takes.
+    lines = F.when(value.rlike(LINE_END), split_lines(F.concat(value, F.lit("\n")))).otherwise(F.array(value))
     if "alone" in rows.columns:
-        rows = rows.select("path", "block", "alone", F.posexplode(lines_of(F.concat("value", F.lit("\n")), spec.skip_blank_lines)).alias("pos", "line"))
+        lines = F.filter(lines, lambda x: ~is_blank(x)) if spec.skip_blank_lines else lines
+        rows = rows.select("path", "block", "alone", F.posexplode(lines).alias("pos", "line"))
         at = F.when(F.col("alone"), F.col("pos").cast("long")).otherwise(at)
     else:
-        rows = rows.select("path", "block", F.explode(split_lines(F.concat("value", F.lit("\n")))).alias("line"))
+        rows = rows.select("path", "block", F.explode(lines).alias("line"))
         if spec.skip_blank_lines:
             rows = rows.filter(~is_blank(F.col("line")))
     rows = rows.select("path", "block", "line", at.alias("at"))
@@ -375,6 +378,12 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a work folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small UTF-8 file to any store that Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

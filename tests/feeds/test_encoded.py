@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from sluice import queries
 from sluice.errors import ContractError
 from sluice.plans.contract import ColumnSpec, FeedContract
 from sluice.sources import encoded
@@ -96,3 +99,21 @@ def test_digests(spark, tmp_path):
             assert got == {n: (len(raw), hashlib.sha256(raw).hexdigest()) for n, raw in contents.items()}, large
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_take_no_more_than_the_texts(spark, monkeypatch):
+    """The query's files of 1, 2 and 4 bytes a character never lie there all at once, and none is left."""
+    sf, held = "/root/testdata/sf0.001", []
+    texts = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    top = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(top.glob("encoded-*"))
+    read = encoded.encoded_lines
+
+    def measured(*args):
+        held.append(sum(p.stat().st_size for d in set(top.glob("encoded-*")) - before for p in d.glob("part-*")))
+        return read(*args)
+
+    monkeypatch.setattr(encoded, "encoded_lines", measured)
+    assert queries.encoded_documents(spark, sf).count() == 3 * spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").count()
+    assert 0 < max(held) < 2 * texts
+    assert set(top.glob("encoded-*")) == before
