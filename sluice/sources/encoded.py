@@ -56,12 +56,16 @@ def single_byte(codec: str) -> str | None:
 def translated(raw: Column, table: str, codec: str) -> Column:
     """Text of bytes in an encoding of a byte a character; a byte that has no character is an error."""
     latin = F.decode(raw, "ISO-8859-1")
+    among = lambda places: latin.rlike("[" + "".join(f"\\x{{{i:x}}}" for i in places) + "]")
     changed = [i for i in range(256) if table[i] not in (chr(i), NO_CHARACTER)]
+    holes = [i for i in range(256) if table[i] == NO_CHARACTER]
+    if not changed and not holes:
+        return latin
     text = F.translate(latin, "".join(map(chr, changed)), "".join(table[i] for i in changed)) if changed else latin
-    if NO_CHARACTER not in table:
-        return text
-    holes = "".join(f"\\x{{{i:x}}}" for i in range(256) if table[i] == NO_CHARACTER)
-    return F.when(latin.rlike(f"[{holes}]"), F.raise_error(F.lit(f"bytes that are nothing in {codec}")).cast("string")).otherwise(text)
+    if holes:
+        text = F.when(among(holes), F.raise_error(F.lit(f"bytes that are nothing in {codec}")).cast("string")).otherwise(text)
+    # Most texts have none of these, which a look tells sooner than a translation.
+    return F.when(among([*changed, *holes]), text).otherwise(latin)
 
 
 def raw_pieces(spark: SparkSession, paths: str | list[str], separator: str) -> DataFrame:

@@ -15,6 +15,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ContractError, FeedError
-from ..functions.text import LINE_END, is_blank, split_lines
+from ..functions.text import is_blank, split_lines
 from ..plans.contract import FENCE, LANGUAGE, FeedContract, parse_contract, slice_of
 from ..schemas import EVENTS
 
@@ -32,6 +33,8 @@ LARGE_BYTES = 64 << 20
 #: Fixed value: the characters of a plain name.
 SAFE_NAME = re.compile(r"[A-Za-z0-9._-]+")
 SAMPLE = r"([^/]+)$"
+#: Fixed value: the characters of LINE_END, each of which ends a line.
+END_CHARS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def safe_name(name: str) -> str:
@@ -122,8 +125,9 @@ def numbered_lines(spark: SparkSession, paths: str | list[str], spec: FeedContra
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
         )
     at, value = F.monotonically_increasing_id(), F.col("value")
-    # Most values are one line, which a look for line ends tells in a fraction of the time that splitting takes.
-    lines = F.when(value.rlike(LINE_END), split_lines(F.concat(value, F.lit("\n")))).otherwise(F.array(value))
+    # Most values are one line, which searches for bytes tell in a fraction of the time that a pattern takes.
+    several = reduce(Column.__or__, (F.contains(value, F.lit(c)) for c in END_CHARS))
+    lines = F.when(several, split_lines(F.concat(value, F.lit("\n")))).otherwise(F.array(value))
     if "alone" in rows.columns:
         lines = F.filter(lines, lambda x: ~is_blank(x)) if spec.skip_blank_lines else lines
         rows = rows.select("path", "block", "alone", F.posexplode(lines).alias("pos", "line"))
